@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from pricelode import schema
 from pricelode.operators import forest, lof, rules
-from pricelode.operators.statistical import IqrFence, ZScore
+from pricelode.operators.statistical import IQR_FEATURES, ZSCORE_FEATURES, IqrFence, ZScore
 from pricelode.operators.timeseries import mom_flags
 from pricelode.plans.durable import checkpointed
-from pricelode.plans.quantiles import exact_quantiles
+from pricelode.plans.quantiles import exact_quantiles, profile
 
 SQL_METHODS = ("zscore", "iqr", "mom", "rules")
 ALL_METHODS = ("zscore", "iqr", "mom", "forest", "lof", "rules")
@@ -40,19 +40,22 @@ def with_flags(
     if unknown:
         raise ValueError(f"unknown detectors: {', '.join(sorted(unknown))}")
     source = df
+    used = {"zscore": ZSCORE_FEATURES, "iqr": IQR_FEATURES, "forest": forest.FEATURES}
+    wanted = [c for m in methods for c in used.get(m, [])]
+    known = profile(source, wanted) if wanted else None
     out = mom_flags(df, spike, drop) if "mom" in methods else df.withColumns({
         "mom_type": F.lit(None).cast("string"), "mom_score": F.lit(None).cast("double"),
         "price_change": F.lit(None).cast("double"),
     })
     none = F.lit(None)
     if "zscore" in methods:
-        z = ZScore.fit(source, threshold=z_threshold)
+        z = ZScore.fit(source, threshold=z_threshold, known=known)
         out = out.withColumns(z.columns()).withColumn("zscore_score", F.when(z.flagged(), z.score()))
     else:
         out = out.withColumns({"z_max": none.cast("double"), "z_feature": none.cast("string"),
                                "z_value": none.cast("double"), "zscore_score": none.cast("double")})
     if "iqr" in methods:
-        fence = IqrFence.fit(source, multiplier=iqr_multiplier)
+        fence = IqrFence.fit(source, multiplier=iqr_multiplier, known=known)
         out = out.withColumns(fence.columns()).withColumn("iqr_score", F.when(fence.flagged(), fence.score()))
     else:
         out = out.withColumns({"iqr_distance": none.cast("double"), "iqr_feature": none.cast("string"),
@@ -62,7 +65,7 @@ def with_flags(
 
     models = [m for m in ("forest", "lof") if m in methods]
     if "forest" in models:
-        out = forest.with_raw_score(out, forest.fit(source, trees=trees, seed=seed), "forest_raw")
+        out = forest.with_raw_score(out, forest.fit(source, trees=trees, seed=seed, known=known), "forest_raw")
     if "lof" in models:
         out = lof.join_factors(out, lof.factors(source, neighbors=neighbors), "lof_raw")
     if models:

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricelode.operators.statistical import column_medians, filled
+from pricelode.plans.quantiles import ColumnProfile, profile
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -113,10 +114,14 @@ def grow(x: np.ndarray, depth: int, rng: np.random.Generator) -> tuple[np.ndarra
     return feature, split, path
 
 
-def fit(df: DataFrame, features: list[str] = FEATURES, trees: int = 200, seed: int = 42) -> Forest:
-    medians = column_medians(df, features)
+def fit(
+    df: DataFrame, features: list[str] = FEATURES, trees: int = 200, seed: int = 42,
+    known: dict[str, ColumnProfile] | None = None,
+) -> Forest:
+    known = known or profile(df, features)
+    medians = column_medians(df, features, known)
     data = df.select("txn_id", *[filled(f, medians).alias(f) for f in features])
-    n = df.count()
+    n = known[features[0]].n + known[features[0]].nulls
     per_tree = min(ROWS_PER_TREE, n)
     depth = max(1, math.ceil(math.log2(max(per_tree, 2))))
     empty = np.zeros((0, 2 ** depth - 1))

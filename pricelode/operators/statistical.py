@@ -11,20 +11,20 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pricelode.plans.quantiles import exact_quantiles
+from pricelode.plans.quantiles import ColumnProfile, exact_quantiles, profile
 
 ZSCORE_FEATURES = ["actual_price", "margin_percent", "gtn_price"]
 IQR_FEATURES = ["actual_price", "wac_price", "margin_percent"]
 FLAT = 1e-9
 
 
-def column_medians(df: DataFrame, cols: list[str]) -> dict[str, float]:
+def column_medians(
+    df: DataFrame, cols: list[str], known: dict[str, ColumnProfile] | None = None,
+) -> dict[str, float]:
     """Medians of the columns that have nulls to fill; the others need none."""
-    row = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols]).first()
-    gaps = [c for c in cols if row[c]]
-    if not gaps:
-        return {}
-    return {c: q[0] for c, q in exact_quantiles(df, gaps, [0.5]).items() if q[0] is not None}
+    known = known or profile(df, cols)
+    gaps = [c for c in cols if known[c].nulls and known[c].n]
+    return {c: q[0] for c, q in exact_quantiles(df, gaps, [0.5], known).items()} if gaps else {}
 
 
 def filled(col: str, medians: dict[str, float]) -> Column:
@@ -40,22 +40,16 @@ class ZScore:
     threshold: float = 3.0
 
     @classmethod
-    def fit(cls, df: DataFrame, features: list[str] = ZSCORE_FEATURES, threshold: float = 3.0) -> ZScore:
-        def moments(medians):
-            return df.agg(*[
-                agg(filled(f, medians)).alias(f"{name}_{f}")
-                for f in features for name, agg in (("mean", F.avg), ("std", F.stddev_samp))
-            ], *[F.count_if(F.col(f).isNull()).alias(f"gaps_{f}") for f in features]).first()
-
-        row, medians = moments({}), {}
-        if any(row[f"gaps_{f}"] for f in features):
-            medians = column_medians(df, features)
-            row = moments(medians)
-        known = {
-            f: (row[f"mean_{f}"], row[f"std_{f}"])
-            for f in features if row[f"mean_{f}"] is not None and row[f"std_{f}"] is not None
-        }
-        return cls(known, medians, threshold)
+    def fit(
+        cls, df: DataFrame, features: list[str] = ZSCORE_FEATURES, threshold: float = 3.0,
+        known: dict[str, ColumnProfile] | None = None,
+    ) -> ZScore:
+        known = known or profile(df, features)
+        medians = column_medians(df, features, known)
+        if medians:
+            known = profile(df.select(*[filled(f, medians).alias(f) for f in features]), features)
+        moments = {f: (known[f].mean, known[f].std) for f in features if known[f].std is not None}
+        return cls(moments, medians, threshold)
 
     def z(self, feature: str) -> Column:
         mean, std = self.moments.get(feature, (0.0, 0.0))
@@ -89,11 +83,12 @@ class IqrFence:
     multiplier: float = 2.5
 
     @classmethod
-    def fit(cls, df: DataFrame, features: list[str] = IQR_FEATURES, multiplier: float = 2.5) -> IqrFence:
-        medians = column_medians(df, features)
-        data = df.select(*[filled(f, medians).alias(f) for f in features]) if medians else df
+    def fit(
+        cls, df: DataFrame, features: list[str] = IQR_FEATURES, multiplier: float = 2.5,
+        known: dict[str, ColumnProfile] | None = None,
+    ) -> IqrFence:
         fences = {}
-        for f, (q1, q3) in exact_quantiles(data, features, [0.25, 0.75]).items():
+        for f, (q1, q3) in filled_quantiles(df, features, [0.25, 0.75], known)[1].items():
             if q1 is not None:
                 iqr = q3 - q1
                 fences[f] = (q1 - multiplier * iqr, q3 + multiplier * iqr, iqr)
@@ -127,14 +122,20 @@ class IqrFence:
         return F.least(F.col("iqr_distance") / 10, F.lit(1.0))
 
 
+def filled_quantiles(
+    df: DataFrame, cols: list[str], probs: list[float], known: dict[str, ColumnProfile] | None = None,
+) -> tuple[dict[str, float], dict[str, list[float | None]]]:
+    """The medians used to fill nulls, and the quantiles after filling."""
+    known = known or profile(df, cols)
+    medians = column_medians(df, cols, known)
+    if medians:
+        df, known = df.select(*[filled(c, medians).alias(c) for c in cols]), None
+    return medians, exact_quantiles(df, cols, probs, known)
+
+
 def robust_scale(df: DataFrame, cols: list[str]) -> dict[str, Column]:
     """(x - median) / (Q3 - Q1) per column, nulls read as the median, a zero range as 1."""
-    quartiles = exact_quantiles(df, cols, [0.25, 0.5, 0.75])
-    medians = {c: q[1] for c, q in quartiles.items() if q[1] is not None}
-    # Filling with the median can move the quartiles, so they are taken again when it happened.
-    gaps = column_medians(df, cols)
-    if gaps:
-        quartiles = exact_quantiles(df.select(*[filled(c, medians).alias(c) for c in cols]), cols, [0.25, 0.5, 0.75])
+    medians, quartiles = filled_quantiles(df, cols, [0.25, 0.5, 0.75])
     out = {}
     for c in cols:
         q1, mid, q3 = quartiles[c]

@@ -36,54 +36,84 @@ class _Span:
         return self.lo == self.hi
 
 
-def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float]) -> dict[str, list[float | None]]:
+@dataclass
+class ColumnProfile:
+    """What one pass tells about a numeric column."""
+
+    n: int
+    nulls: int
+    low: float | None
+    high: float | None
+    mean: float | None
+    std: float | None
+
+
+def profile(df: DataFrame, cols: list[str]) -> dict[str, ColumnProfile]:
+    names = list(dict.fromkeys(cols))
+    aggs = [F.count("*").alias("rows")] + [
+        agg(F.col(c).cast("double")).alias(f"{name}{i}")
+        for i, c in enumerate(names)
+        for name, agg in (("n", F.count), ("lo", F.min), ("hi", F.max), ("mean", F.avg), ("std", F.stddev_samp))
+    ]
+    row = df.agg(*aggs).first()
+    return {
+        c: ColumnProfile(row[f"n{i}"], row["rows"] - row[f"n{i}"], *(row[f"{k}{i}"] for k in ("lo", "hi", "mean", "std")))
+        for i, c in enumerate(names)
+    }
+
+
+def exact_quantiles(
+    df: DataFrame, cols: list[str], probs: list[float], known: dict[str, ColumnProfile] | None = None, **options,
+) -> dict[str, list[float | None]]:
     """Linear-interpolated quantiles of each column, nulls skipped."""
-    per_group = grouped_quantiles(df, None, cols, probs)
-    return per_group.get(None, {c: [None] * len(probs) for c in cols})
+    known = known or profile(df, cols)
+    bounds = [(None, [(known[c].n, known[c].low, known[c].high) for c in cols])]
+    return _quantiles(_values(df, None, cols), bounds, cols, probs, grouped=False, **options)[None]
+
+
+def _values(df: DataFrame, by: str | None, cols: list[str]) -> DataFrame:
+    keys = [] if by is None else [F.col(by).alias("g")]
+    return df.select(*keys, *[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(cols)])
 
 
 def grouped_quantiles(
-    df: DataFrame,
-    by: str | None,
-    cols: list[str],
-    probs: list[float],
-    max_groups: int = 100,
-    bins: int = BINS,
-    final_rows: int = FINAL_ROWS,
+    df: DataFrame, by: str, cols: list[str], probs: list[float], max_groups: int = 100, **options,
 ) -> dict[object, dict[str, list[float | None]]]:
     """Quantiles per value of ``by``, a column of few distinct values (drug class, ...)."""
-    keys = [] if by is None else [F.col(by).alias("g")]
-    data = df.select(*keys, *[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(cols)])
-    bounds = [
+    data = _values(df, by, cols)
+    rows = data.groupBy("g").agg(*[
         agg(f"v{i}").alias(f"{name}{i}")
-        for i in range(len(cols))
-        for name, agg in (("n", F.count), ("lo", F.min), ("hi", F.max))
-    ]
-    profile = data.groupBy(*(["g"] if by else [])).agg(*bounds).limit(max_groups + 1).collect()
-    if len(profile) > max_groups:
+        for i in range(len(cols)) for name, agg in (("n", F.count), ("lo", F.min), ("hi", F.max))
+    ]).limit(max_groups + 1).collect()
+    if len(rows) > max_groups:
         raise ValueError(f"{by} has more than {max_groups} distinct values")
+    bounds = [(r["g"], [(r[f"n{i}"], r[f"lo{i}"], r[f"hi{i}"]) for i in range(len(cols))]) for r in rows]
+    return _quantiles(data, bounds, cols, probs, grouped=True, **options)
+
 
+def _quantiles(
+    data: DataFrame, bounds: list, cols: list[str], probs: list[float], grouped: bool,
+    bins: int = BINS, final_rows: int = FINAL_ROWS,
+) -> dict[object, dict[str, list[float | None]]]:
     sizes: dict[tuple[object, int], int] = {}
     spans: list[_Span] = []
-    for row in profile:
-        group = row["g"] if by else None
-        for i in range(len(cols)):
-            n = row[f"n{i}"]
+    for group, columns in bounds:
+        for i, (n, low, high) in enumerate(columns):
             sizes[group, i] = n
             if n:
                 ranks = sorted({r for p in probs for r in _ranks(p, n)})
-                spans.append(_Span(group, i, row[f"lo{i}"], row[f"hi{i}"], 0, n, ranks))
+                spans.append(_Span(group, i, low, high, 0, n, ranks))
 
     found: dict[tuple[object, int, int], float] = {}
     while spans:
         for s in [s for s in spans if s.settled]:
             found.update({(s.group, s.col, r): s.lo for r in s.ranks})
-        spans = [s for s in spans if not s.settled]
+        spans = [t for s in spans if not s.settled for t in _without_ends(s, found)]
         small = [s for s in spans if s.rows <= final_rows]
         wide = [s for s in spans if s.rows > final_rows]
         if small:
-            found.update(_read_ranks(data, by is not None, small))
-        spans = _narrow(data, by is not None, wide, bins) if wide else []
+            found.update(_read_ranks(data, grouped, small))
+        spans = _narrow(data, grouped, wide, bins) if wide else []
 
     out: dict[object, dict[str, list[float | None]]] = {}
     for (group, i), n in sizes.items():
@@ -92,6 +122,14 @@ def grouped_quantiles(
     return out
 
 
+def _without_ends(s: _Span, found: dict) -> list[_Span]:
+    """The first and last rank of a span are its bounds; drop it when nothing else is wanted."""
+    ends = {s.below: s.lo, s.below + s.rows - 1: s.hi}
+    found.update({(s.group, s.col, r): ends[r] for r in s.ranks if r in ends})
+    inner = [r for r in s.ranks if r not in ends]
+    return [_Span(s.group, s.col, s.lo, s.hi, s.below, s.rows, inner)] if inner else []
+
+
 def _ranks(p: float, n: int) -> tuple[int, int]:
     low = math.floor(p * (n - 1))
     return low, min(low + 1, n - 1)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pricelode.plans.spread import spread
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
@@ -23,7 +25,7 @@ def pricing_fact(spark: SparkSession, folder: str) -> DataFrame:
     wac = F.col("wac_price")
     returned = F.col("l_returnflag") == "R"
     return (
-        line.withColumns(number)
+        spread(line).withColumns(number)
         .join(part, F.col("l_partkey") == F.col("p_partkey"))
         .join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
         .join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
