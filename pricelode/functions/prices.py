@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from pricelode.functions.numbers import rounded
+
 # Statutory rebate shares taken off AMP.
 REBATE_INNOVATOR = 0.2302
 REBATE_NON_INNOVATOR = 0.1302
@@ -22,11 +24,11 @@ def gtn_discount(wac: str = "wac_price", gtn: str = "gtn_price", scale: float =
 
 
 def margin_percent(asp: str = "asp_price", actual: str = "actual_price") -> Column:
-    return F.round(F.try_divide(F.col(asp) - F.col(actual), F.col(asp)) * 100, 4)
+    return rounded(F.try_divide(F.col(asp) - F.col(actual), F.col(asp)) * 100, 4)
 
 
 def ceiling_340b(amp: str | Column = "amp_price", rebate: float = REBATE_INNOVATOR) -> Column:
-    return F.round((F.col(amp) if isinstance(amp, str) else amp) * (F.lit(1.0) - F.lit(rebate)), 4)
+    return rounded((F.col(amp) if isinstance(amp, str) else amp) * (F.lit(1.0) - F.lit(rebate)), 4)
 
 
 def month(ts: str = "transaction_date") -> Column:

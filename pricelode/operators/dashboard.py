@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pricelode.functions.formats import anomaly_label
+from pricelode.functions.numbers import rounded
 from pricelode.functions.prices import gtn_discount, month, quarter
 from pricelode.operators.ensemble import severity_rank
 from pricelode.plans.quantiles import exact_quantiles, grouped_quantiles, profile
@@ -170,11 +171,11 @@ def gtn_center(df: DataFrame) -> DataFrame:
 
 def class_pricing(df: DataFrame) -> DataFrame:
     return df.groupBy("drug_class").agg(
-        F.round(F.avg("wac_price"), 2).alias("wac_mean"),
-        F.round(F.min("wac_price"), 2).alias("wac_min"),
-        F.round(F.max("wac_price"), 2).alias("wac_max"),
-        F.round(F.avg("gtn_price"), 2).alias("gtn_mean"),
-        F.round(F.avg("margin_percent"), 2).alias("margin_mean"))
+        rounded(F.avg("wac_price"), 2).alias("wac_mean"),
+        rounded(F.min("wac_price"), 2).alias("wac_min"),
+        rounded(F.max("wac_price"), 2).alias("wac_max"),
+        rounded(F.avg("gtn_price"), 2).alias("gtn_mean"),
+        rounded(F.avg("margin_percent"), 2).alias("margin_mean"))
 
 
 def key_findings(df: DataFrame) -> DataFrame:
@@ -208,9 +209,9 @@ def summary_stats(df: DataFrame) -> DataFrame:
     totals = df.agg(
         F.count("*").alias("total_records"),
         F.count_if(labelled).alias("anomaly_count"),
-        F.round(F.try_divide(F.count_if(labelled), F.count("*")), 4).alias("anomaly_rate"),
-        F.round(F.avg("margin_percent"), 4).alias("avg_margin"),
-        F.round(F.avg(gtn_discount()), 4).alias("avg_gtn_discount_pct"))
+        rounded(F.try_divide(F.count_if(labelled), F.count("*")), 4).alias("anomaly_rate"),
+        rounded(F.avg("margin_percent"), 4).alias("avg_margin"),
+        rounded(F.avg(gtn_discount()), 4).alias("avg_gtn_discount_pct"))
     # Two frames of one row each.
     one = F.lit(1).alias("one")
     return totals.select("*", one).join(F.broadcast(top.select("*", one)), "one").drop("one")
@@ -218,9 +219,9 @@ def summary_stats(df: DataFrame) -> DataFrame:
 
 def wac_range(df: DataFrame) -> DataFrame:
     return df.groupBy("drug_class").agg(
-        F.round(F.min("wac_price"), 2).alias("wac_min"),
-        F.round(F.max("wac_price"), 2).alias("wac_max"),
-        F.round(F.avg("wac_price"), 2).alias("wac_mean"))
+        rounded(F.min("wac_price"), 2).alias("wac_min"),
+        rounded(F.max("wac_price"), 2).alias("wac_max"),
+        rounded(F.avg("wac_price"), 2).alias("wac_mean"))
 
 
 def label_counts(df: DataFrame) -> DataFrame:

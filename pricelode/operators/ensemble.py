@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pricelode import schema
+from pricelode.functions.numbers import rounded
 from pricelode.operators import forest, lof, rules
 from pricelode.operators.statistical import IQR_FEATURES, ZSCORE_FEATURES, IqrFence, ZScore
 from pricelode.operators.timeseries import mom_flags
@@ -226,4 +227,4 @@ def summary(annotated: DataFrame) -> DataFrame:
         F.coalesce(F.sum(F.when(flagged, F.col("n"))), F.lit(0)).alias("total_anomalies"),
         F.map_from_entries(F.collect_list(F.when(flagged, F.struct("anomaly_type", "n")))).alias("by_reason"),
     ).withColumn(
-        "anomaly_rate_pct", F.round(F.try_divide(F.col("total_anomalies") * 100.0, F.col("total_rows")), 4))
+        "anomaly_rate_pct", rounded(F.try_divide(F.col("total_anomalies") * 100.0, F.col("total_rows")), 4))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricelode import schema
+from pricelode.functions.numbers import rounded
 from pricelode.functions.prices import gtn_discount
 from pricelode.operators.ensemble import severity_rank
 
@@ -53,7 +54,7 @@ def pharmacy_risk(annotated: DataFrame) -> DataFrame:
     points = F.col("regulatory_breach_count") * RULE_POINTS
     for severity, weight in POINTS.items():
         points = points + F.col(f"{severity}_count") * weight
-    score = F.round(F.least(points / F.col("transactions") * 500, F.lit(100.0)), 1)
+    score = rounded(F.least(points / F.col("transactions") * 500, F.lit(100.0)), 1)
     tier = F.when(F.col("risk_score") <= GREEN_UP_TO, "green") \
         .when(F.col("risk_score") <= YELLOW_UP_TO, "yellow").otherwise("red")
     return (
@@ -98,7 +99,7 @@ def class_summary(annotated: DataFrame) -> DataFrame:
         .where((F.col("anomalies") > 0) | ~F.col("any"))
         .select(
             "drug_class",
-            F.round(F.col("anomalies") / F.col("transactions"), 4).alias("anomaly_rate"),
+            rounded(F.col("anomalies") / F.col("transactions"), 4).alias("anomaly_rate"),
             F.coalesce(F.try_divide("weight", "anomalies"), F.lit(0.0)).alias("avg_severity_score"),
             F.col("top.anomaly_type").alias("most_common_violation"),
             "avg_gtn_discount_pct")
@@ -115,7 +116,7 @@ def price_trend(df: DataFrame, days: int = 90) -> DataFrame:
     drug = Window.partitionBy("drug_id")
     span = F.expr(f"INTERVAL {int(days)} DAYS")
     return daily.withColumn("cutoff", F.max("newest").over(drug) - span).where("newest >= cutoff").select(
-        "drug_id", "day", F.round("last.actual_price", 2).alias("actual_price"))
+        "drug_id", "day", rounded("last.actual_price", 2).alias("actual_price"))
 
 
 def drug_report(annotated: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pricelode.functions import formats, prices
+from pricelode.functions.numbers import rounded
 from pricelode.operators import (
     causal, conversations, dashboard, ensemble, forest, history, lof, reports, rules, statistical, timeseries)
 from pricelode.plans.durable import scratch_path
@@ -29,8 +30,7 @@ def plain(df: DataFrame, digits: int = 6) -> DataFrame:
     def tidy(field: T.StructField):
         c = F.col(f"`{field.name}`")
         if isinstance(field.dataType, T.DoubleType):
-            # Sums in another order can fall on either side of a half; the nudge settles those.
-            return F.round(c + F.signum(c) * 1e-9, digits).alias(field.name)
+            return rounded(c, digits).alias(field.name)
         if isinstance(field.dataType, T.DateType):
             return formats.iso_date(c).alias(field.name)
         if isinstance(field.dataType, T.ArrayType):
@@ -438,7 +438,7 @@ def lof_transactions(fact):
 def drug_points(fact: DataFrame) -> DataFrame:
     """Mean price, margin and volume per drug, rounded so that engines agree on the points."""
     return fact.groupBy("drug_id").agg(
-        *[F.round(F.avg(c), 4).alias(c) for c in lof.FEATURES])
+        *[rounded(F.avg(c), 4).alias(c) for c in lof.FEATURES])
 
 
 @on_fact(4)
