@@ -9,7 +9,7 @@ STABLE_BELOW = 5.0
 MEASURES = ["actual_price", "margin_percent"]
 
 
-def _sums(half: Column | None = None) -> list[Column]:
+def _sums() -> list[Column]:
     """Additive parts of the means and bounds."""
     return [
         *[F.sum(m).alias(f"sum_{m}") for m in MEASURES], *[F.count(m).alias(f"n_{m}") for m in MEASURES],
@@ -56,8 +56,8 @@ def causal_summary(df: DataFrame) -> DataFrame:
 
     pre = F.col("is_pre")
     compared = both.groupBy("drug_id").agg(F.sum("n").alias("transactions"), *side(pre, "pre"), *side(~pre, "post"))
-    whole_drug = df.groupBy("drug_id").agg(
-        F.min("drug_name").alias("drug_name"), F.stddev_samp("actual_price").alias("volatility"))
+    names = df.select("drug_id", "drug_name").distinct().groupBy("drug_id").agg(F.min("drug_name").alias("drug_name"))
+    volatility = df.groupBy("drug_id").agg(F.stddev_samp("actual_price").alias("volatility"))
 
     def change(m: str, base: Column) -> Column:
         moved = (F.col(f"post_{m}") - F.col(f"pre_{m}")) / base * 100
@@ -67,5 +67,5 @@ def causal_summary(df: DataFrame) -> DataFrame:
     margin = change("margin_percent", F.abs("pre_margin_percent"))
     trend = F.when(F.abs("price_change_pct") < STABLE_BELOW, "stable") \
         .when(F.col("price_change_pct") > 0, "increasing").when(F.col("price_change_pct") <= 0, "decreasing")
-    return compared.join(whole_drug, "drug_id").withColumns(
+    return compared.join(names, "drug_id").join(volatility, "drug_id").withColumns(
         {"price_change_pct": price, "margin_change_pct": margin}).withColumn("trend", trend)

@@ -131,9 +131,14 @@ def null_counts(df: DataFrame) -> DataFrame:
 
 
 def drug_catalog(df: DataFrame) -> DataFrame:
-    return df.groupBy("drug_name").agg(
+    # Attributes are grouping keys first, so that the pass over all rows hashes instead of sorting.
+    cells = df.groupBy("drug_name", "drug_class", "manufacturer", "drug_id").agg(
+        F.min("wac_price").alias("low"), F.max("wac_price").alias("high"),
+        F.sum("wac_price").alias("total"), F.count("wac_price").alias("priced"))
+    return cells.groupBy("drug_name").agg(
         *[F.min(c).alias(c) for c in ("drug_class", "manufacturer", "drug_id")],
-        F.min("wac_price").alias("wac_min"), F.max("wac_price").alias("wac_max"), F.avg("wac_price").alias("wac_mean"))
+        F.min("low").alias("wac_min"), F.max("high").alias("wac_max"),
+        F.try_divide(F.sum("total"), F.sum("priced")).alias("wac_mean"))
 
 
 def describe(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -182,16 +187,20 @@ def key_findings(df: DataFrame) -> DataFrame:
     known = profile(df, ["margin_percent"])
     median = exact_quantiles(df, ["margin_percent"], [0.5], known)["margin_percent"][0]
     labelled = F.count_if(F.col("is_anomaly"))
+    # One row per pair of names carries everything that is left to count.
+    cells = df.groupBy("drug_name", "pharmacy_name").agg(
+        F.count("*").alias("n"), labelled.alias("labelled"), F.max("wac_price").alias("top"),
+        *[f(c).alias(f"{k}_{c}") for c in ("wac_price", "gtn_price") for k, f in (("sum", F.sum), ("n", F.count))])
     # The dearest drug is the first by name among those that reach the highest WAC.
-    dearest = F.min(F.struct((-F.col("wac_price")).alias("negated"), "drug_name"))
-    return df.agg(
-        F.count("*").alias("transactions"),
+    dearest = F.min(F.struct((-F.col("top")).alias("negated"), "drug_name"))
+    return cells.agg(
+        F.sum("n").alias("transactions"),
         F.count_distinct("drug_name").alias("drugs"),
         F.count_distinct("pharmacy_name").alias("pharmacies"),
-        labelled.alias("anomalies"),
-        _rate(labelled, F.count("*")).alias("anomaly_rate"),
-        F.avg("wac_price").alias("avg_wac"),
-        F.avg("gtn_price").alias("avg_gtn"),
+        F.sum("labelled").alias("anomalies"),
+        _rate(F.sum("labelled"), F.sum("n")).alias("anomaly_rate"),
+        F.try_divide(F.sum("sum_wac_price"), F.sum("n_wac_price")).alias("avg_wac"),
+        F.try_divide(F.sum("sum_gtn_price"), F.sum("n_gtn_price")).alias("avg_gtn"),
         F.lit(median).cast("double").alias("median_margin"),
         dearest["drug_name"].alias("highest_wac_drug"),
         (-dearest["negated"]).alias("highest_wac"),

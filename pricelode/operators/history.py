@@ -9,9 +9,10 @@ from pricelode.functions.prices import REBATE_INNOVATOR, ceiling_340b, gtn_disco
 
 
 def price_history(df: DataFrame, rebate: float = REBATE_INNOVATOR) -> DataFrame:
-    """One row per drug and month."""
-    monthly = df.groupBy(F.col("drug_id").alias("ndc"), month().alias("period")).agg(
-        F.min("drug_name").alias("brand_name"),
+    """One row per drug (with its name) and month."""
+    monthly = df.groupBy(
+        F.col("drug_id").alias("ndc"), F.col("drug_name").alias("brand_name"), month().alias("period"),
+    ).agg(
         F.avg("wac_price").alias("wac_per_unit"), F.avg("asp_price").alias("asp"), F.avg("amp_price").alias("amp"),
         F.min("actual_price").alias("best_price"), F.avg("gtn_price").alias("net_price"))
     return monthly.withColumns({

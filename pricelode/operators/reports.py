@@ -20,6 +20,8 @@ RULE_POINTS = 25
 GREEN_UP_TO = 25
 YELLOW_UP_TO = 60
 
+PHARMACY = ["pharmacy_name", "pharmacy_chain", "state"]
+
 
 def _is(severity: str) -> Column:
     return F.col("severity") == severity
@@ -37,19 +39,19 @@ def _severity_counts() -> list[Column]:
     return [F.count_if(_is(s)).alias(f"{s}_count") for s in POINTS]
 
 
-def _first_name(name: str) -> Column:
-    """Attributes of an entity do not vary; the smallest makes the choice repeatable if they do."""
-    return F.min(F.when(_found(), F.col(name))).alias(name)
-
-
 def pharmacy_risk(annotated: DataFrame) -> DataFrame:
     """Risk score and tier of every pharmacy with at least one anomaly, riskiest first."""
-    counted = annotated.groupBy("pharmacy_id").agg(
-        *[_first_name(c) for c in ("pharmacy_name", "pharmacy_chain", "state")],
+    # The names are grouping keys first: a smallest string would make Spark sort all rows, and
+    # the second step sees one row per pharmacy (more only if its names vary).
+    counts = ["total_anomalies", *[f"{s}_count" for s in POINTS], "regulatory_breach_count", "transactions"]
+    named = annotated.groupBy("pharmacy_id", *PHARMACY).agg(
         F.count_if(_found()).alias("total_anomalies"),
         *_severity_counts(),
         F.count_if(_is_rule()).alias("regulatory_breach_count"),
         F.count("*").alias("transactions"),
+    )
+    counted = named.groupBy("pharmacy_id").agg(
+        *[F.min(c).alias(c) for c in PHARMACY], *[F.sum(c).alias(c) for c in counts],
     ).where("total_anomalies > 0")
     points = F.col("regulatory_breach_count") * RULE_POINTS
     for severity, weight in POINTS.items():
@@ -109,13 +111,12 @@ def class_summary(annotated: DataFrame) -> DataFrame:
 
 def price_trend(df: DataFrame, days: int = 90) -> DataFrame:
     """Last price of each day within ``days`` of the drug's newest transaction (inclusive)."""
-    priced = F.when(F.col("actual_price").isNotNull(), F.struct("transaction_date", "txn_id", "actual_price"))
-    daily = df.groupBy("drug_id", F.to_date("transaction_date").alias("day")).agg(
-        F.max(priced).alias("last"), F.max("transaction_date").alias("newest"))
-    # From here on a drug has at most one row per day.
-    drug = Window.partitionBy("drug_id")
     span = F.expr(f"INTERVAL {int(days)} DAYS")
-    return daily.withColumn("cutoff", F.max("newest").over(drug) - span).where("newest >= cutoff").select(
+    cutoff = df.groupBy("drug_id").agg((F.max("transaction_date") - span).alias("cutoff"))
+    # Only the recent rows are ordered, and those by day.
+    recent = df.join(cutoff, "drug_id").where("transaction_date >= cutoff")
+    last = F.max(F.struct("transaction_date", "txn_id", "actual_price"))
+    return recent.groupBy("drug_id", F.to_date("transaction_date").alias("day")).agg(last.alias("last")).select(
         "drug_id", "day", rounded("last.actual_price", 2).alias("actual_price"))
 
 
@@ -124,9 +125,11 @@ def drug_report(annotated: DataFrame) -> DataFrame:
 
     The findings themselves stay rows, see ``anomaly_history``; the 90-day trend is ``price_trend``.
     """
-    cells = annotated.groupBy("drug_id", "anomaly_type").agg(
-        F.min("drug_name").alias("drug_name"), F.count("*").alias("n"), *_severity_counts())
+    named = annotated.groupBy("drug_id", "drug_name", "anomaly_type").agg(F.count("*").alias("n"), *_severity_counts())
     # At most one row per anomaly type and drug.
+    cells = named.groupBy("drug_id", "anomaly_type").agg(
+        F.min("drug_name").alias("drug_name"),
+        *[F.sum(c).alias(c) for c in ("n", *[f"{s}_count" for s in POINTS])])
     listed = F.when(_found(), F.struct((-F.col("n")).alias("n"), "anomaly_type"))
     per_drug = cells.groupBy("drug_id").agg(
         F.min("drug_name").alias("drug_name"),
@@ -162,16 +165,20 @@ def pharmacy_profile(annotated: DataFrame) -> DataFrame:
     """Counts, commonest violation, top three drugs and the count-based tier per flagged pharmacy."""
     found = annotated.where(_found())
     breach = F.col("anomaly_type").contains("breach") | F.col("anomaly_type").contains("violation")
-    by_type = found.groupBy("pharmacy_id", "anomaly_type").agg(
-        *[F.min(c).alias(c) for c in ("pharmacy_name", "pharmacy_chain", "state")],
+    # One aggregation of the findings feeds all parts of the profile.
+    cells = found.groupBy("pharmacy_id", *PHARMACY, "drug_name", "anomaly_type").agg(
         F.count("*").alias("n"), F.count_if(_is("high")).alias("high"))
+    by_type = cells.groupBy("pharmacy_id", *PHARMACY, "anomaly_type").agg(
+        F.sum("n").alias("n"), F.sum("high").alias("high"))
+    by_type = by_type.groupBy("pharmacy_id", "anomaly_type").agg(
+        *[F.min(c).alias(c) for c in PHARMACY], F.sum("n").alias("n"), F.sum("high").alias("high"))
     per_pharmacy = by_type.groupBy("pharmacy_id").agg(
-        *[F.min(c).alias(c) for c in ("pharmacy_name", "pharmacy_chain", "state")],
+        *[F.min(c).alias(c) for c in PHARMACY],
         F.sum("n").alias("total_anomalies"), F.sum("high").alias("high_severity_count"),
         F.sum(F.when(breach, F.col("n")).otherwise(0)).alias("regulatory_breach_count"),
         F.min(F.struct((-F.col("n")).alias("n"), "anomaly_type")).alias("top"))
     drugs = commonest(
-        found.groupBy("pharmacy_id", "drug_name").agg(F.count("*").alias("n")), ["pharmacy_id"], "drug_name", top=3)
+        cells.groupBy("pharmacy_id", "drug_name").agg(F.sum("n").alias("n")), ["pharmacy_id"], "drug_name", top=3)
     top_drugs = drugs.groupBy("pharmacy_id").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("place", "drug_name"))), lambda d: d["drug_name"])
         .alias("top_drugs"))

@@ -14,11 +14,12 @@ def price_changes(df: DataFrame, **hot_options) -> DataFrame:
     """Relative change from the previous priced transaction of the same drug and pharmacy.
 
     Adds ``previous_price`` and ``price_change``. A row without a price carries the last
-    price on, so it never changes anything and the next row compares with the price before it.
+    price on, so it changes nothing itself and the next row compares with the price before it.
     """
     priced = over_ordered(
-        df.where("actual_price is not null"), ["drug_id", "pharmacy_id"], ORDER, 1,
-        lambda w: {"previous_price": F.lag("actual_price").over(w)}, **hot_options,
+        df, ["drug_id", "pharmacy_id"], ORDER, 1,
+        lambda w: {"previous_price": F.lag("actual_price").over(w)},
+        counts=F.col("actual_price").isNotNull(), **hot_options,
     )
     now, before = F.col("actual_price"), F.col("previous_price")
     # From zero the change is infinite by sign; zero to zero is no change at all.
@@ -31,12 +32,10 @@ def mom_flags(df: DataFrame, spike: float = 0.25, drop: float = 0.20, **hot_opti
     change = F.col("price_change")
     kind = F.when(change > spike, "mom_spike").when(change < -drop, "mom_drop")
     limit = F.when(change > spike, F.lit(spike * 4)).otherwise(F.lit(drop * 4))
-    flagged = price_changes(df, **hot_options).withColumns({
+    return price_changes(df, **hot_options).withColumns({
         "mom_type": kind,
         "mom_score": F.when(kind.isNotNull(), F.least(F.abs(change) / limit, F.lit(1.0))),
     })
-    rest = df.where("actual_price is null or drug_id is null or pharmacy_id is null")
-    return flagged.unionByName(rest, allowMissingColumns=True)
 
 
 def rolling_zscore(

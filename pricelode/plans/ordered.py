@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 MAX_HOT_KEYS = 10_000
+LANES = 4_096
 
 
 def find_hot_keys(
@@ -22,7 +23,7 @@ def find_hot_keys(
     """Keys with about ``one_in * min_sampled`` rows or more, the largest first; None if there are none."""
     sampled = df if one_in == 1 else df.where(F.pmod(F.xxhash64(row_id), F.lit(one_in)) == 0)
     rows = (
-        sampled.groupBy(*keys).agg(F.count("*").alias("n"))
+        sampled.dropna(subset=keys).groupBy(*keys).agg(F.count("*").alias("n"))
         .where(F.col("n") >= min_sampled)
         .orderBy(F.desc("n"), *keys).limit(MAX_HOT_KEYS)
         .select(*keys)
@@ -37,39 +38,49 @@ def over_ordered(
     order: list[str],
     lookback: int,
     add: Callable[[WindowSpec], dict[str, Column]],
+    counts: Column | None = None,
     row_id: str = "txn_id",
     slice_by: str = "transaction_date",
     **hot_options,
 ) -> DataFrame:
     """Add window columns whose frames reach at most ``lookback`` rows back.
 
-    ``order`` must be a total order whose first column is ``slice_by``. Rows with a null
-    key belong to no group and are left out.
+    ``order`` must be a total order whose first column is ``slice_by``. Rows with a null key, or for
+    which ``counts`` is false, belong to no sequence: they stay, with nulls in the new columns,
+    and are spread over lanes of their own.
     """
-    df = df.dropna(subset=keys)
-    hot = find_hot_keys(df, keys, row_id, **hot_options)
+    takes_part = F.lit(True) if counts is None else F.coalesce(counts, F.lit(False))
+    for key in keys:
+        takes_part = takes_part & F.col(key).isNotNull()
+    spread_out = F.pmod(F.xxhash64(row_id), F.lit(LANES)).cast("int")
+    source_columns = df.columns
+    laned = df.withColumn("_lane", F.when(takes_part, F.lit(-1)).otherwise(spread_out))
+    in_sequence = F.col("_lane") == -1
 
     def windowed(rows: DataFrame, by: list[str]) -> DataFrame:
-        return rows.withColumns(add(Window.partitionBy(*by).orderBy(*order)))
+        added = add(Window.partitionBy(*by, "_lane").orderBy(*order))
+        return rows.withColumns(added).withColumns({c: F.when(in_sequence, F.col(c)) for c in added})
 
+    hot = find_hot_keys(df, keys, row_id, **hot_options)
     if hot is None:
-        return windowed(df, keys)
+        return windowed(laned, keys).drop("_lane")
 
     hot = F.broadcast(hot)  # at most MAX_HOT_KEYS rows
-    cold_part = windowed(df.join(hot, keys, "left_anti"), keys)
+    cold_part = windowed(laned.join(hot, keys, "left_anti"), keys).drop("_lane")
 
-    rows = df.join(hot, keys, "left_semi").withColumn("_slice", F.to_date(slice_by))
+    rows = laned.join(hot, keys, "left_semi").withColumn("_slice", F.to_date(slice_by))
     newest_first = Window.partitionBy(*keys, "_slice").orderBy(*[F.desc(c) for c in order])
-    tails = rows.withColumn("_r", F.row_number().over(newest_first)).where(F.col("_r") <= lookback).drop("_r")
+    tails = rows.where(in_sequence).withColumn("_r", F.row_number().over(newest_first)) \
+        .where(F.col("_r") <= lookback).drop("_r")
     in_key = Window.partitionBy(*keys).orderBy(*order)
     in_slice = Window.partitionBy(*keys, "_slice").orderBy(*order)
     carried = (
-        tails.withColumn("_before", F.collect_list(F.struct(*df.columns)).over(in_key.rowsBetween(-lookback, -1)))
+        tails.withColumn("_before", F.collect_list(F.struct(*source_columns)).over(in_key.rowsBetween(-lookback, -1)))
         .withColumn("_r", F.row_number().over(in_slice)).where(F.col("_r") == 1)
         .select(F.col("_slice").alias("_to"), F.explode("_before").alias("_b"))
-        .select("_b.*", F.col("_to").alias("_slice"), F.lit(True).alias("_carried"))
+        .select("_b.*", F.lit(-1).alias("_lane"), F.col("_to").alias("_slice"), F.lit(True).alias("_carried"))
     )
     hot_part = windowed(
         rows.withColumn("_carried", F.lit(False)).unionByName(carried), [*keys, "_slice"],
-    ).where(~F.col("_carried")).drop("_slice", "_carried")
+    ).where(~F.col("_carried")).drop("_slice", "_carried", "_lane")
     return cold_part.unionByName(hot_part)

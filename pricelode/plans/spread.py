@@ -1,11 +1,11 @@
-"""Parallelism for Python stages that follow a scan."""
+"""Parallelism for the stages that follow a scan."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Redistribute a table of fewer files than cores; a table of many files is left as scanned."""
-    files, cores = len(df.inputFiles()), df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if 0 < files < cores else df
+def spread(scan: DataFrame) -> DataFrame:
+    """Redistribute a scan of fewer splits than cores; larger tables are left as they are read."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan

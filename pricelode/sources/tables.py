@@ -51,14 +51,14 @@ def labelled_anomalies(df: DataFrame) -> DataFrame:
 
 def star_schema(df: DataFrame) -> dict[str, DataFrame]:
     """Split the wide table into drugs, pharmacies, transactions and anomalies."""
-    drugs = df.groupBy("drug_id").agg(
-        *[F.min(c).alias(c) for c in ("drug_name", "ndc_code", "manufacturer", "drug_class") if c in df.columns],
-        F.min("wac_price").alias("wac_low"),
-        F.max("wac_price").alias("wac_high"),
-    )
-    pharmacies = df.groupBy("pharmacy_id").agg(
-        *[F.min(c).alias(c) for c in ("pharmacy_name", "pharmacy_chain", "state")]
-    )
+    # Attributes are grouping keys first: smallest strings alone would make Spark sort all rows.
+    drug = [c for c in ("drug_name", "ndc_code", "manufacturer", "drug_class") if c in df.columns]
+    drugs = df.groupBy("drug_id", *drug).agg(F.min("wac_price").alias("low"), F.max("wac_price").alias("high")) \
+        .groupBy("drug_id").agg(
+            *[F.min(c).alias(c) for c in drug], F.min("low").alias("wac_low"), F.max("high").alias("wac_high"))
+    pharmacy = ["pharmacy_name", "pharmacy_chain", "state"]
+    pharmacies = df.select("pharmacy_id", *pharmacy).distinct().groupBy("pharmacy_id").agg(
+        *[F.min(c).alias(c) for c in pharmacy])
     transactions = df.select(
         F.col("txn_id").alias("tx_id"), "drug_id", "pharmacy_id", "transaction_date",
         *schema.PRICES, "margin_percent", "volume_units", "is_anomaly", "anomaly_type",

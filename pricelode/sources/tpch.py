@@ -12,6 +12,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table whose rows are worked on one by one, on all cores even if it is a single file."""
+    return spread(table(spark, folder, name))
+
+
 def pricing_fact(spark: SparkSession, folder: str) -> DataFrame:
     """One transaction per order line; the joins are left to the optimizer, which prunes by the columns used."""
     line, part, supplier, nation, region = (

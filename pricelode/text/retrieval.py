@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricelode.text.chunk import chunk_documents
 from pricelode.text.embed import fit_tfidf, tfidf_embed
+from pricelode.text.index import save_index
 from pricelode.text.search import passages, top_k
 
 DOCUMENT = "doc_id string, title string, topic string, content string"
@@ -31,10 +33,16 @@ def read_directory(spark: SparkSession, folder: str) -> DataFrame:
         F.lit("").alias("topic"), F.col("value").alias("content"))
 
 
-def retrieve(docs: DataFrame, queries: DataFrame, k: int = 4, **search_options) -> DataFrame:
-    """The ``k`` best passages of ``docs`` for each row (query_id, text) of ``queries``."""
+def build(docs: DataFrame, path: str) -> tuple[DataFrame, PipelineModel]:
+    """Chunk and embed the documents once; searches then read the stored vectors only."""
     chunks = chunk_documents(docs)
     model = fit_tfidf(chunks)
-    hits = top_k(tfidf_embed(chunks.select("chunk_id", "text"), model), tfidf_embed(queries, model), k,
-                 **search_options)
-    return passages(hits, chunks)
+    return save_index(tfidf_embed(chunks, model), path), model
+
+
+def retrieve(
+    index: DataFrame, model: PipelineModel, queries: DataFrame, k: int = 4, **search_options,
+) -> DataFrame:
+    """The ``k`` best passages of the index for each row (query_id, text) of ``queries``."""
+    hits = top_k(index, tfidf_embed(queries, model), k, **search_options)
+    return passages(hits, index)

@@ -13,8 +13,6 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pricelode.plans.spread import spread
-
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 MAX_BROADCAST_QUERIES = 1_024
@@ -83,7 +81,7 @@ def _against_broadcast(store: DataFrame, few: pd.DataFrame, k: int, id_type: str
             yield pd.DataFrame({
                 "query_id": names[top["query"]], "id": top["id"].to_numpy(), "similarity": top["score"].to_numpy()})
 
-    return spread(store).mapInPandas(scan, schema)
+    return store.mapInPandas(scan, schema)
 
 
 def _in_cells(
@@ -113,18 +111,3 @@ def passages(hits: DataFrame, chunks: DataFrame, length: int = 500) -> DataFrame
     """Hits with their text and metadata, and the start of the text as a snippet."""
     found = chunks.select(F.col("chunk_id").alias("id"), "doc_id", "chunk_index", "text", "metadata")
     return hits.join(found, "id").withColumn("snippet", F.substring("text", 1, length))
-
-
-def save_index(chunks: DataFrame, path: str) -> str:
-    """Persist ``chunk_id, text, metadata, embedding``; an empty store is refused."""
-    if chunks.isEmpty():
-        raise ValueError("there are no chunks to index")
-    chunks.write.mode("overwrite").parquet(path)
-    return path
-
-
-def load_index(spark: SparkSession, path: str) -> DataFrame:
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as missing:
-        raise FileNotFoundError(f"no index at {path}: build it first") from missing

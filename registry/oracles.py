@@ -332,7 +332,7 @@ on(
     price_history=f"""SELECT ndc, period, brand_name,
         {rounded('wac_per_unit asp amp best_price net_price ceiling_340b gross_to_net_pct', 4)} FROM history""",
     extra_rules="""SELECT ndc, period, reason IS NOT NULL AS anomaly, reason AS anomaly_reason,
-        CASE WHEN reason IS NULL THEN 0.0 ELSE 1.0 END AS anomaly_score FROM (
+        CAST(reason IS NOT NULL AS DOUBLE) AS anomaly_score FROM (
           SELECT *, CASE WHEN best_price > amp THEN 'bp_exceeds_amp'
             WHEN ceiling_340b < 0 THEN 'negative_340b_ceiling' END AS reason FROM history)""",
 )
@@ -442,7 +442,7 @@ on(
     CHUNKS,
     chunk_docs="""SELECT doc_id, chunk_index, substring(sha256(doc_id || '-' || chunk_index), 1, 12) AS chunk_id,
         text, source AS topic FROM chunks""",
-    context_pack="""SELECT doc_id, count(*) AS passages, sum(length(body)) AS body_chars,
+    context_pack="""SELECT doc_id, count(*) AS passages, CAST(sum(length(body)) AS BIGINT) AS body_chars,
           string_agg('[' || source || ' — ' || lang || ']' || chr(10) || body, chr(10) || chr(10) || '---' || chr(10)
             || chr(10) ORDER BY chunk_index) AS context
         FROM (SELECT *, substring(text, 1, CAST(6000 - used AS INT)) AS body FROM (
@@ -456,9 +456,9 @@ on(vector_topk="""
     means AS (SELECT label, list(m ORDER BY i) AS q FROM (
       SELECT label, i, avg(CAST(v AS DOUBLE)) AS m FROM parts GROUP BY label, i) GROUP BY label),
     scored AS (SELECT means.label AS query_id, vec_id AS id,
-      round(list_inner_product(CAST(embedding AS DOUBLE[]), q), 12) AS s FROM embeddings, means)
-    SELECT query_id, id, place, round(s, 9) AS similarity FROM (
-      SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS place FROM scored) WHERE place <= 4""")
+      list_inner_product(CAST(embedding AS DOUBLE[]), q) AS s FROM embeddings, means)
+    SELECT query_id, id, place, round(s, 6) AS similarity FROM (
+      SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 12) DESC, id) AS place FROM scored) WHERE place <= 4""")
 
 on(
     conversation_summary="""SELECT conv_id, count(*) FILTER (role = 'user') AS total_turns,

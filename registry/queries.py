@@ -17,7 +17,7 @@ from pricelode.operators import (
 from pricelode.plans.durable import scratch_path
 from pricelode.plans.quantiles import profile
 from pricelode.sources import adhoc, tables
-from pricelode.sources.tpch import pricing_fact, table
+from pricelode.sources.tpch import pricing_fact, spread_table, table
 from pricelode.text import context, embed, retrieval, search
 from pricelode.text.chunk import chunk_documents
 
@@ -523,7 +523,7 @@ def competitive_snapshot(fact):
 # Text
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").select(
+    return spread_table(spark, folder, "documents").select(
         "doc_id", F.col("lang").alias("title"), F.col("source").alias("topic"), F.col("text").alias("content"))
 
 
@@ -549,29 +549,30 @@ def tfidf_embed(spark, folder):
         "embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))), 4).alias("norm"))
 
 
-@query(9)
+@query()
 def vector_topk(spark, folder):
     """The vectors closest to the mean vector of each label."""
-    store = table(spark, folder, "embeddings")
+    store = spread_table(spark, folder, "embeddings")
     means = store.groupBy("label").agg(Summarizer.mean(array_to_vector("embedding")).alias("m")).select(
         F.col("label").alias("query_id"), vector_to_array("m").alias("embedding"))
     return search.top_k(store, means, 4, id_col="vec_id").select("query_id", "id", "place", "similarity")
 
 
+def retrieved(spark: SparkSession, folder: str) -> DataFrame:
+    index, model = retrieval.build(documents(spark, folder), scratch_path(spark, "index"))
+    asked = table(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return retrieval.retrieve(index, model, asked).select(
+        "query_id", "place", "similarity", F.col("id").alias("chunk_id"), "doc_id",
+        F.col("metadata")["topic"].alias("topic"), F.col("metadata")["title"].alias("title"), "text", "snippet")
+
+
 @query()
 def retrieve(spark, folder):
     """The best passages for each text of the benchmark table."""
-    asked = table(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return retrieval.retrieve(documents(spark, folder), asked).select(
-        "query_id", "place", "similarity", F.col("id").alias("chunk_id"), "doc_id",
-        F.col("metadata")["topic"].alias("topic"), F.col("metadata")["title"].alias("title"), "snippet")
+    return retrieved(spark, folder).drop("text")
 
 
 @query()
 def retrieved_context(spark, folder):
     """The retrieved passages of each question packed into its context."""
-    asked = table(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    found = retrieval.retrieve(documents(spark, folder), asked)
-    return context.context_pack(found.select(
-        "query_id", "place", "text", F.col("metadata")["topic"].alias("topic"),
-        F.col("metadata")["title"].alias("title")))
+    return context.context_pack(retrieved(spark, folder))
