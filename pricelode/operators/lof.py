@@ -15,9 +15,9 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pricelode.operators.statistical import robust_scale
@@ -31,6 +31,9 @@ MAX_LEAVES = 65_536  # the broadcast tree is at most a few MB
 SAMPLES_PER_LEAF = 8
 AXES = ["x0", "x1", "x2"]
 
+# A neighbour; the order of the fields is the order of preference: near first, ties by position.
+NEIGHBOUR = "struct<dist: double, o0: double, o1: double, o2: double, other: long, weight: long>"
+
 
 @dataclass
 class LeafTree:
@@ -86,11 +89,12 @@ def grow_tree(sample: np.ndarray, depth: int) -> LeafTree:
 
 def nearest(
     queries: np.ndarray, points: np.ndarray, k: int, radius: np.ndarray | None, own: bool, block: int = 256,
-) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Blocks of (query, point, distance) with the ``k`` nearest points; ties go to the lower point.
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, point, distance) of the ``k`` nearest points, by query and distance; ties go to the lower point.
 
     With ``own``, query i is point i and is not its own neighbour. ``radius`` drops farther points.
     """
+    found = []
     for start in range(0, len(queries), block):
         q = queries[start:start + block]
         square = np.zeros((len(q), len(points)))
@@ -112,11 +116,26 @@ def nearest(
         row, point, d = row[order], point[order], d[order]
         first = np.searchsorted(row, np.arange(len(q)))
         keep = np.arange(len(row)) - first[row] < k
-        yield start + row[keep], point[keep], d[keep]
+        found.append((start + row[keep], point[keep], d[keep]))
+    if not found:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0)
+    return tuple(np.concatenate(parts) for parts in zip(*found))
+
+
+def lists(row: np.ndarray, n: int, values: pa.Array) -> pa.ListArray:
+    """``values``, ordered by ``row``, as one list per row 0..n-1."""
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(n + 1)), pa.int32()), values)
+
+
+def neighbour_lists(hit: tuple, n: int, ids: np.ndarray, weight: np.ndarray, x: np.ndarray) -> pa.ListArray:
+    row, point, dist = hit
+    fields = {"dist": dist, "o0": x[point, 0], "o1": x[point, 1], "o2": x[point, 2],
+              "other": ids[point], "weight": weight[point]}
+    return lists(row, n, pa.StructArray.from_arrays([pa.array(v) for v in fields.values()], list(fields)))
 
 
 def locations(df: DataFrame, features: list[str] = FEATURES) -> DataFrame:
-    """Distinct scaled points with their number of rows."""
+    """Distinct scaled points, and the raw values they come from, with their number of rows."""
     scaled = robust_scale(df, features)
     # + 0.0 folds -0.0 into 0.0, so that equal points group together.
     axes = [(scaled[f] + F.lit(0.0)).alias(a) for f, a in zip(features, AXES)]
@@ -124,82 +143,73 @@ def locations(df: DataFrame, features: list[str] = FEATURES) -> DataFrame:
     return df.select(*axes, *raw).groupBy(*AXES, *[f"raw_{f}" for f in features]).agg(F.count("*").alias("raw_rows"))
 
 
-def neighbours(points: DataFrame, k: int, leaf_rows: int = LEAF_ROWS) -> DataFrame:
-    """``id, weight, near``: for each location its ``k`` nearest other locations, closest first.
-
-    ``points`` has the axes and ``weight``. ``near`` is an array of (id, dist, weight).
-    """
-    n = points.count()
+def sampled_tree(points: DataFrame, n: int, k: int, leaf_rows: int) -> LeafTree:
+    """A tree whose leaves hold about ``leaf_rows`` of the ``n`` points, from a sample bounded by MAX_LEAVES."""
     depth = max(0, min(int(math.log2(MAX_LEAVES)), math.ceil(math.log2(max(n, 1) / max(leaf_rows, 2 * k)))))
-    wanted = SAMPLES_PER_LEAF * 2 ** depth
-    cut = int(-(2 ** 63) + min(1.0, 2 * wanted / max(n, 1)) * 2 ** 64)
-    hashed = points.select(*AXES, F.xxhash64(*AXES).alias("_h")).where(F.col("_h") <= min(cut, 2 ** 63 - 1))
-    sample = hashed.orderBy("_h", *AXES).limit(2 * wanted).select(*AXES).toPandas()  # bounded by MAX_LEAVES
-    shared = points.sparkSession.sparkContext.broadcast(
-        grow_tree(sample.to_numpy(dtype=np.float64).reshape(-1, len(AXES)), depth))
-
-    def find_leaf(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield b.assign(leaf=shared.value.leaf_of(b[AXES].to_numpy(dtype=np.float64)))
-
-    schema = "x0 double, x1 double, x2 double, weight long, leaf long"
-    placed = points.select(*AXES, "weight").mapInPandas(find_leaf, schema)
-
-    def number(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(AXES, ignore_index=True)
-        return rows.assign(id=rows["leaf"] * 2 ** 32 + np.arange(len(rows)))
-
-    numbered = checkpointed(placed.groupBy("leaf").applyInPandas(number, schema + ", id long"))
-
-    pair = "id long, other long, dist double, other_weight long, o0 double, o1 double, o2 double"
-
-    def pairs(q_ids, p: pd.DataFrame, row, point, dist) -> pd.DataFrame:
-        at = p[["id", "weight", *AXES]].to_numpy()
-        hit = p.iloc[point]
-        return pd.DataFrame({
-            "id": q_ids[row], "other": hit["id"].to_numpy(), "dist": dist,
-            "other_weight": hit["weight"].to_numpy(),
-            "o0": hit["x0"].to_numpy(), "o1": hit["x1"].to_numpy(), "o2": hit["x2"].to_numpy(),
-        }) if len(at) else pd.DataFrame(columns=pair.split())
+    wanted = 2 * SAMPLES_PER_LEAF * 2 ** depth
+    cut = min(2 ** 63 - 1, int(-(2 ** 63) + min(1.0, wanted / max(n, 1)) * 2 ** 64))
+    hashed = points.select(*AXES, F.xxhash64(*AXES).alias("_h")).where(F.col("_h") <= cut)
+    sample = hashed.orderBy("_h", *AXES).limit(2 * wanted).select(*AXES).toPandas()
+    return grow_tree(sample.to_numpy(dtype=np.float64).reshape(-1, len(AXES)), depth)
 
-    def within(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("id", ignore_index=True)
-        x = rows[AXES].to_numpy(dtype=np.float64)
-        found = [pairs(rows["id"].to_numpy(), rows, *hit) for hit in nearest(x, x, k, None, True)]
-        return pd.concat(found, ignore_index=True)
 
-    local = checkpointed(numbered.groupBy("leaf").applyInPandas(within, pair))
+def neighbours(points: DataFrame, n: int, k: int, leaf_rows: int = LEAF_ROWS) -> DataFrame:
+    """``id, weight, near``: for each location its ``k`` nearest other locations, closest first.
 
-    # The k-th local distance bounds the search; a leaf with too few locations leaves it open.
-    reach = local.groupBy("id").agg(F.count("*").alias("n"), F.max("dist").alias("d")).select(
-        "id", F.when(F.col("n") >= k, F.col("d")).otherwise(F.lit(float("inf"))).alias("radius"))
-    searching = numbered.join(reach, "id", "left").fillna({"radius": float("inf")})
+    ``points`` has the axes and ``weight``. Each leaf numbers its locations in order of position.
+    """
+    shared = points.sparkSession.sparkContext.broadcast(sampled_tree(points, n, k, leaf_rows))
 
-    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            row, leaf = shared.value.touched(b[AXES].to_numpy(dtype=np.float64), b["radius"].to_numpy())
-            away = leaf != b["leaf"].to_numpy()[row]
-            yield b.iloc[row[away]].assign(leaf=leaf[away])
-
-    visits = searching.select("id", *AXES, "radius", "leaf").mapInPandas(
-        route, "id long, x0 double, x1 double, x2 double, radius double, leaf long")
-
-    def across(query: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        if len(query) == 0 or len(rows) == 0:
-            return pd.DataFrame({c: pd.Series(dtype="int64") for c in
-                                 ("id", "other", "dist", "other_weight", "o0", "o1", "o2")})
-        rows = rows.sort_values("id", ignore_index=True)
-        q, x = query[AXES].to_numpy(dtype=np.float64), rows[AXES].to_numpy(dtype=np.float64)
-        hits = nearest(q, x, k, query["radius"].to_numpy(), False)
-        return pd.concat([pairs(query["id"].to_numpy(), rows, *h) for h in hits], ignore_index=True)
-
-    foreign = visits.groupBy("leaf").cogroup(numbered.groupBy("leaf")).applyInPandas(across, pair)
-
-    best = Window.partitionBy("id").orderBy("dist", "o0", "o1", "o2")
-    merged = local.unionByName(foreign).withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k)
-    near = merged.groupBy("id").agg(
-        F.array_sort(F.collect_list(F.struct("_r", "other", "dist", "other_weight"))).alias("near"))
-    return numbered.join(near, "id", "left").select("id", "weight", *AXES, "near")
+            x = np.column_stack([b.column(a).to_numpy(zero_copy_only=False) for a in AXES])
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns, pa.array(shared.value.leaf_of(x))], [*b.schema.names, "leaf"])
+
+    point = "x0 double, x1 double, x2 double, weight long, leaf long"
+    placed = points.select(*AXES, "weight").mapInArrow(place, point)
+
+    def within(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([(a, "ascending") for a in AXES])
+        x = np.column_stack([rows.column(a).to_numpy() for a in AXES])
+        leaf = rows.column("leaf")[0].as_py()
+        ids = leaf * 2 ** 32 + np.arange(len(x))
+        hit = nearest(x, x, k, None, True)
+        counts = np.bincount(hit[0], minlength=len(x))
+        last = np.maximum(np.searchsorted(hit[0], np.arange(len(x)), side="right") - 1, 0)
+        # The k-th local distance bounds the search; a leaf with too few locations leaves it open.
+        radius = np.where(counts >= k, hit[2][last] if len(hit[2]) else np.inf, np.inf)
+        row, other_leaf = shared.value.touched(x, radius)
+        away = other_leaf != leaf
+        order = np.argsort(row[away], kind="stable")
+        visits = lists(row[away][order], len(x), pa.array(other_leaf[away][order]))
+        near = neighbour_lists(hit, len(x), ids, rows.column("weight").to_numpy(), x)
+        for name, values in (("id", pa.array(ids)), ("radius", pa.array(radius)), ("near", near), ("visits", visits)):
+            rows = rows.append_column(name, values)
+        return rows
+
+    local = checkpointed(placed.groupBy("leaf").applyInArrow(
+        within, f"{point}, id long, radius double, near array<{NEIGHBOUR}>, visits array<long>"))
+
+    crossing = local.where(F.size("visits") > 0)
+    query = crossing.select("id", *AXES, "radius", F.explode("visits").alias("leaf"))
+
+    def across(query: pa.Table, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("id")
+        q = np.column_stack([query.column(a).to_numpy() for a in AXES])
+        x = np.column_stack([rows.column(a).to_numpy() for a in AXES])
+        hit = nearest(q, x, k, query.column("radius").to_numpy(), False)
+        near = neighbour_lists(hit, len(q), rows.column("id").to_numpy(), rows.column("weight").to_numpy(), x)
+        return pa.table({"id": query.column("id"), "near": near})
+
+    foreign = query.groupBy("leaf").cogroup(local.select("id", *AXES, "weight", "leaf").groupBy("leaf")) \
+        .applyInArrow(across, f"id long, near array<{NEIGHBOUR}>")
+
+    # A location gets one short list per leaf it touches.
+    merged = crossing.select("id", "near").unionByName(foreign).groupBy("id").agg(
+        F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
+    known = crossing.select("id", "weight", *AXES).join(merged, "id")
+    return local.where(F.size("visits") == 0).select("id", "weight", *AXES, "near").unionByName(known)
 
 
 def factors(
@@ -208,50 +218,59 @@ def factors(
     """The local outlier factor of every distinct combination of feature values (columns ``raw_*``)."""
     found = checkpointed(locations(df, features))
     raw = [f"raw_{f}" for f in features]
-    total = found.agg(F.coalesce(F.sum("raw_rows"), F.lit(0)).alias("n")).first()["n"]
-    k = min(neighbors, total - 1)
-    if k < 1:
-        return found.select(*raw, F.lit(None).cast("double").alias("factor"))
     # Different raw values (null and the median) can share a location.
     points = found.groupBy(*AXES).agg(F.sum("raw_rows").alias("weight"))
-    scored = local_outlier_factor(neighbours(points, k, leaf_rows), k)
+    size = points.agg(F.count("*").alias("n"), F.coalesce(F.sum("weight"), F.lit(0)).alias("rows")).first()
+    k = min(neighbors, size["rows"] - 1)
+    if k < 1:
+        return found.select(*raw, F.lit(None).cast("double").alias("factor"))
+    scored = local_outlier_factor(neighbours(points, size["n"], k, leaf_rows), k)
     return found.join(scored, AXES).select(*raw, "factor")
 
 
-def local_outlier_factor(lists: DataFrame, k: int) -> DataFrame:
-    """``lof`` per location from the neighbour lists.
+def places(near: Column, own: Column, k: int) -> Column:
+    """How many of the ``k`` places each listed neighbour takes: as many as it has rows, while there are any left."""
+    start = F.struct(own.cast("long").alias("used"), F.array().cast("array<long>").alias("taken"))
+
+    def step(acc: Column, n: Column) -> Column:
+        take = F.least(n["weight"], F.lit(k) - acc["used"])
+        return F.struct((acc["used"] + take).alias("used"), F.concat(acc["taken"], F.array(take)).alias("taken"))
+
+    weighted = F.aggregate(near, start, step)["taken"]
+    # Nearly always every location is a single row.
+    single = (own == 0) & F.forall(near, lambda n: n["weight"] == 1)
+    return F.when(single, F.transform(near, lambda n: F.lit(1).cast("long"))).otherwise(weighted)
+
+
+def local_outlier_factor(found: DataFrame, k: int) -> DataFrame:
+    """``factor`` per location from the neighbour lists.
 
     A location of weight w counts w - 1 copies of itself at distance 0 before any other.
     """
     own = F.least(F.col("weight") - 1, F.lit(k))
-    # Each neighbour takes as many of the k places as its rows fill, in order of distance.
-    listed = lists.select("id", *AXES, own.alias("own"), F.posexplode_outer("near").alias("pos", "n"))
-    before = F.coalesce(
-        F.sum("n.other_weight").over(Window.partitionBy("id").orderBy("pos").rowsBetween(-k, -1)), F.lit(0))
-    taken = F.greatest(F.least(F.col("n.other_weight"), F.lit(k) - F.col("own") - before), F.lit(0))
-    placed = checkpointed(
-        listed.select("id", *AXES, "own", F.col("n.other").alias("other"), F.col("n.dist").alias("dist"),
-                      F.coalesce(taken, F.lit(0)).alias("taken"))
-        .where((F.col("taken") > 0) | (F.col("own") >= k)))
-    per_id = placed.groupBy("id").agg(
-        *[F.first(a).alias(a) for a in AXES], F.first("own").alias("own"),
-        F.coalesce(F.max(F.when(F.col("taken") > 0, F.col("dist"))), F.lit(0.0)).alias("kdist"))
-    links = placed.where("taken > 0").select("id", "other", "dist", "taken")
-
-    other_kdist = per_id.select(F.col("id").alias("other"), F.col("kdist").alias("other_kdist"))
-    reached = links.join(other_kdist, "other").groupBy("id").agg(
+    near = F.coalesce("near", F.array().cast(f"array<{NEIGHBOUR}>"))
+    counted = found.select("id", *AXES, own.alias("own"), near.alias("near"))
+    counted = counted.withColumn("taken", places(F.col("near"), F.col("own"), k))
+    links = F.filter(
+        F.zip_with("near", "taken", lambda n, t: F.struct(
+            n["other"].alias("other"), n["dist"].alias("dist"), t.alias("taken"))),
+        lambda x: x["taken"] > 0)
+    listed = checkpointed(counted.select("id", *AXES, "own", links.alias("links")).withColumn(
+        "kdist", F.coalesce(F.array_max(F.transform("links", lambda x: x["dist"])), F.lit(0.0))))
+    pairs = listed.select("id", F.explode("links").alias("link")).select("id", "link.*")
+
+    other_kdist = listed.select(F.col("id").alias("other"), F.col("kdist").alias("other_kdist"))
+    reached = pairs.join(other_kdist, "other").groupBy("id").agg(
         F.sum(F.col("taken") * F.greatest("dist", "other_kdist")).alias("reach"))
-    density = checkpointed(per_id.join(reached, "id", "left").select(
-        "id", *AXES, "own",
-        (F.lit(1.0) / ((F.col("own") * F.col("kdist") + F.coalesce("reach", F.lit(0.0))) / F.lit(k)
-                       + F.lit(1e-10))).alias("lrd")))
+    mean_reach = (F.col("own") * F.col("kdist") + F.coalesce("reach", F.lit(0.0))) / F.lit(k)
+    density = checkpointed(listed.join(reached, "id", "left").select(
+        "id", *AXES, "own", (F.lit(1.0) / (mean_reach + F.lit(1e-10))).alias("lrd")))
 
     other_lrd = density.select(F.col("id").alias("other"), F.col("lrd").alias("other_lrd"))
-    around = links.join(other_lrd, "other").groupBy("id").agg(
+    around = pairs.join(other_lrd, "other").groupBy("id").agg(
         F.sum(F.col("taken") * F.col("other_lrd")).alias("around"))
-    return density.join(around, "id", "left").select(
-        *AXES,
-        ((F.col("own") * F.col("lrd") + F.coalesce("around", F.lit(0.0))) / F.lit(k) / F.col("lrd")).alias("factor"))
+    total = F.col("own") * F.col("lrd") + F.coalesce("around", F.lit(0.0))
+    return density.join(around, "id", "left").select(*AXES, (total / F.lit(k) / F.col("lrd")).alias("factor"))
 
 
 def join_factors(
