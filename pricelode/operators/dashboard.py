@@ -210,20 +210,14 @@ def key_findings(df: DataFrame) -> DataFrame:
 def summary_stats(df: DataFrame) -> DataFrame:
     """Totals of the labelled table with the five drugs that have most labelled anomalies."""
     labelled = F.col("is_anomaly")
-    top = (
-        top_values(df.where(labelled), "drug_name", 5)
-        .agg(F.collect_list(F.struct((-F.col("n")).alias("n"), "drug_name")).alias("top"))
-        .select(F.transform(F.sort_array("top"), lambda t: t["drug_name"]).alias("top_5_anomalous_drugs"))
-    )
-    totals = df.agg(
+    top = [r["drug_name"] for r in top_values(df.where(labelled), "drug_name", 5).collect()]
+    return df.agg(
         F.count("*").alias("total_records"),
         F.count_if(labelled).alias("anomaly_count"),
         rounded(F.try_divide(F.count_if(labelled), F.count("*")), 4).alias("anomaly_rate"),
         rounded(F.avg("margin_percent"), 4).alias("avg_margin"),
-        rounded(F.avg(gtn_discount()), 4).alias("avg_gtn_discount_pct"))
-    # Two frames of one row each.
-    one = F.lit(1).alias("one")
-    return totals.select("*", one).join(F.broadcast(top.select("*", one)), "one").drop("one")
+        rounded(F.avg(gtn_discount()), 4).alias("avg_gtn_discount_pct"),
+    ).withColumn("top_5_anomalous_drugs", F.array(*[F.lit(name) for name in top]).cast("array<string>"))
 
 
 def wac_range(df: DataFrame) -> DataFrame:

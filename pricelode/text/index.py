@@ -9,13 +9,9 @@ from pricelode.plans.spread import spread
 
 
 def save_index(chunks: DataFrame, path: str) -> DataFrame:
-    """Write ``chunk_id, ..., text, metadata, embedding`` and return it as stored; an empty store is refused."""
-    spark = chunks.sparkSession
+    """Write ``chunk_id, ..., text, metadata, embedding`` and return it as stored."""
     chunks.write.mode("overwrite").parquet(path)
-    stored = spark.read.parquet(path)
-    if stored.isEmpty():
-        raise ValueError("there are no chunks to index")
-    return spread(stored)
+    return load_index(chunks.sparkSession, path)
 
 
 def load_index(spark: SparkSession, path: str) -> DataFrame:

@@ -24,7 +24,7 @@ def text_document(spark: SparkSession, text: str, title: str, topic: str = "") -
 def read_directory(spark: SparkSession, folder: str) -> DataFrame:
     """One document per text file; an absent folder has none."""
     try:
-        files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(folder)
+        files = spark.read.text(folder, wholetext=True, recursiveFileLookup=True)
     except AnalysisException:
         return spark.createDataFrame([], DOCUMENT)
     path = F.col("_metadata.file_path")
@@ -36,6 +36,8 @@ def read_directory(spark: SparkSession, folder: str) -> DataFrame:
 def build(docs: DataFrame, path: str) -> tuple[DataFrame, PipelineModel]:
     """Chunk and embed the documents once; searches then read the stored vectors only."""
     chunks = chunk_documents(docs)
+    if chunks.isEmpty():
+        raise ValueError("there are no chunks to index")
     model = fit_tfidf(chunks)
     return save_index(tfidf_embed(chunks, model), path), model
 

@@ -96,7 +96,8 @@ def _in_cells(
 
     def meet(part: pd.DataFrame, batch: pd.DataFrame) -> pd.DataFrame:
         if not len(part) or not len(batch):
-            return pd.DataFrame({"query_id": [], "id": [], "similarity": []})
+            return pd.DataFrame({
+                "query_id": batch["query_id"].head(0), "id": part["id"].head(0), "similarity": pd.Series(dtype=float)})
         hits = score(part["id"].to_numpy(), matrix(part["vector"]), matrix(batch["vector"]), k)
         return pd.DataFrame({
             "query_id": batch["query_id"].to_numpy()[hits["query"]],
