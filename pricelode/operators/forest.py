@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 import sys
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
 import numpy as np
 import pandas as pd
@@ -48,19 +48,23 @@ class Forest:
     path: np.ndarray
     normaliser: float
 
-    def score(self, x: np.ndarray) -> np.ndarray:
+    def score(self, x: np.ndarray, block: int = 2_048) -> np.ndarray:
         """2 ** (-mean path / c), near 1 for rows that are cut off early."""
-        if self.feature.shape[0] == 0 or self.normaliser == 0:
+        trees = self.feature.shape[0]
+        if trees == 0 or self.normaliser == 0:
             return np.zeros(len(x))
-        trees, depth = self.feature.shape[0], int(math.log2(self.path.shape[1]))
+        inner, bottom = self.feature.shape[1], self.path.shape[1]
         total = np.zeros(len(x))
-        rows = np.arange(len(x))
-        for t in range(trees):
-            node = np.zeros(len(x), dtype=np.int64)
-            for _ in range(depth):
-                right = x[rows, self.feature[t, node]] > self.split[t, node]
-                node = 2 * node + 1 + right
-            total += self.path[t, node - (2 ** depth - 1)]
+        for start in range(0, len(x), block):
+            values = np.ascontiguousarray(x[start:start + block]).ravel()
+            first = np.arange(len(x[start:start + block]), dtype=np.int64) * x.shape[1]
+            for t in range(trees):
+                feature, split = self.feature[t], self.split[t]
+                node = np.zeros(len(first), dtype=np.int64)
+                while len(node) and node[0] < inner:  # all rows are on the same level
+                    right = values.take(first + feature.take(node)) > split.take(node)
+                    node = 2 * node + 1 + right
+                total[start:start + block] += self.path[t].take(node - (bottom - 1))
         return np.exp2(-total / trees / self.normaliser)
 
 
@@ -147,10 +151,11 @@ def fit(
 
 
 def with_raw_score(df: DataFrame, model: Forest, name: str = "forest_raw") -> DataFrame:
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    # Plain arrays, so that workers need nothing but numpy to read them.
+    shared = df.sparkSession.sparkContext.broadcast(asdict(model))
 
     @F.pandas_udf("double")
     def score(*columns: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.score(np.column_stack([c.to_numpy(dtype=np.float64) for c in columns])))
+        return pd.Series(Forest(**shared.value).score(np.column_stack([c.to_numpy(dtype=np.float64) for c in columns])))
 
     return df.withColumn(name, score(*[filled(f, model.medians) for f in model.features]))

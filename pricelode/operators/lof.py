@@ -12,7 +12,7 @@ from __future__ import annotations
 import math
 import sys
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -26,9 +26,10 @@ from pricelode.plans.durable import checkpointed
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 FEATURES = ["actual_price", "margin_percent", "volume_units"]
-LEAF_ROWS = 1_000
-MAX_LEAVES = 65_536  # the broadcast tree is at most a few MB
-SAMPLES_PER_LEAF = 8
+LEAF_ROWS = 16_000  # locations per task group
+MAX_LEAVES = 131_072  # bounds the broadcast tree (16 MB) and its sample
+SAMPLES_PER_LEAF = 16
+SCAN_ROWS = 256  # locations compared all with all inside a task
 AXES = ["x0", "x1", "x2"]
 
 # A neighbour; the order of the fields is the order of preference: near first, ties by position.
@@ -122,6 +123,48 @@ def nearest(
     return tuple(np.concatenate(parts) for parts in zip(*found))
 
 
+def nearest_in(
+    queries: np.ndarray, points: np.ndarray, k: int, radius: np.ndarray | None, own: bool,
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``nearest`` over many points: a small tree keeps each query to the points around it."""
+    scan = max(SCAN_ROWS, 2 * k)
+    if len(points) <= 4 * scan:
+        return nearest(queries, points, k, radius, own)
+    depth = math.ceil(math.log2(len(points) / scan))
+    tree = grow_tree(points[:: max(1, len(points) // (64 * 2 ** depth))], depth)
+    leaf = tree.leaf_of(points)
+    order = np.argsort(leaf, kind="stable")
+    bounds = np.searchsorted(leaf[order], np.arange(2 ** depth - 1, 2 ** (depth + 1)))
+    members = {2 ** depth - 1 + i: order[bounds[i]:bounds[i + 1]] for i in range(2 ** depth)}
+    found = []
+    if own:
+        radius = np.full(len(queries), np.inf)
+        for rows in members.values():
+            row, point, dist = nearest(points[rows], points[rows], k, None, True)
+            found.append((rows[row], rows[point], dist))
+            full = np.bincount(row, minlength=len(rows)) >= k
+            last = np.searchsorted(row, np.arange(len(rows)), side="right") - 1
+            radius[rows[full]] = dist[last[full]]
+    row, node = tree.touched(queries, radius)
+    if own:
+        away = node != leaf[row]
+        row, node = row[away], node[away]
+    by_node = np.argsort(node, kind="stable")
+    row, node = row[by_node], node[by_node]
+    for part in np.split(np.arange(len(row)), np.flatnonzero(np.diff(node)) + 1):
+        if len(part):
+            asked, rows = row[part], members[node[part[0]]]
+            q, point, dist = nearest(queries[asked], points[rows], k, radius[asked], False)
+            found.append((asked[q], rows[point], dist))
+    if not found:
+        return nearest(queries[:0], points, k, None, False)
+    row, point, dist = (np.concatenate(parts) for parts in zip(*found))
+    best = np.lexsort((point, dist, row))
+    row, point, dist = row[best], point[best], dist[best]
+    keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[keep], point[keep], dist[keep]
+
+
 def lists(row: np.ndarray, n: int, values: pa.Array) -> pa.ListArray:
     """``values``, ordered by ``row``, as one list per row 0..n-1."""
     return pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(n + 1)), pa.int32()), values)
@@ -149,7 +192,7 @@ def sampled_tree(points: DataFrame, n: int, k: int, leaf_rows: int) -> LeafTree:
     wanted = 2 * SAMPLES_PER_LEAF * 2 ** depth
     cut = min(2 ** 63 - 1, int(-(2 ** 63) + min(1.0, wanted / max(n, 1)) * 2 ** 64))
     hashed = points.select(*AXES, F.xxhash64(*AXES).alias("_h")).where(F.col("_h") <= cut)
-    sample = hashed.orderBy("_h", *AXES).limit(2 * wanted).select(*AXES).toPandas()
+    sample = hashed.limit(2 * wanted).select(*AXES).toPandas()  # the limit only guards the driver
     return grow_tree(sample.to_numpy(dtype=np.float64).reshape(-1, len(AXES)), depth)
 
 
@@ -158,13 +201,14 @@ def neighbours(points: DataFrame, n: int, k: int, leaf_rows: int = LEAF_ROWS) ->
 
     ``points`` has the axes and ``weight``. Each leaf numbers its locations in order of position.
     """
-    shared = points.sparkSession.sparkContext.broadcast(sampled_tree(points, n, k, leaf_rows))
+    # Plain arrays, so that workers need nothing but numpy to read them.
+    shared = points.sparkSession.sparkContext.broadcast(asdict(sampled_tree(points, n, k, leaf_rows)))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = np.column_stack([b.column(a).to_numpy(zero_copy_only=False) for a in AXES])
             yield pa.RecordBatch.from_arrays(
-                [*b.columns, pa.array(shared.value.leaf_of(x))], [*b.schema.names, "leaf"])
+                [*b.columns, pa.array(LeafTree(**shared.value).leaf_of(x))], [*b.schema.names, "leaf"])
 
     point = "x0 double, x1 double, x2 double, weight long, leaf long"
     placed = points.select(*AXES, "weight").mapInArrow(place, point)
@@ -174,12 +218,12 @@ def neighbours(points: DataFrame, n: int, k: int, leaf_rows: int = LEAF_ROWS) ->
         x = np.column_stack([rows.column(a).to_numpy() for a in AXES])
         leaf = rows.column("leaf")[0].as_py()
         ids = leaf * 2 ** 32 + np.arange(len(x))
-        hit = nearest(x, x, k, None, True)
+        hit = nearest_in(x, x, k, None, True)
         counts = np.bincount(hit[0], minlength=len(x))
         last = np.maximum(np.searchsorted(hit[0], np.arange(len(x)), side="right") - 1, 0)
         # The k-th local distance bounds the search; a leaf with too few locations leaves it open.
         radius = np.where(counts >= k, hit[2][last] if len(hit[2]) else np.inf, np.inf)
-        row, other_leaf = shared.value.touched(x, radius)
+        row, other_leaf = LeafTree(**shared.value).touched(x, radius)
         away = other_leaf != leaf
         order = np.argsort(row[away], kind="stable")
         visits = lists(row[away][order], len(x), pa.array(other_leaf[away][order]))
@@ -198,7 +242,7 @@ def neighbours(points: DataFrame, n: int, k: int, leaf_rows: int = LEAF_ROWS) ->
         rows = rows.sort_by("id")
         q = np.column_stack([query.column(a).to_numpy() for a in AXES])
         x = np.column_stack([rows.column(a).to_numpy() for a in AXES])
-        hit = nearest(q, x, k, query.column("radius").to_numpy(), False)
+        hit = nearest_in(q, x, k, query.column("radius").to_numpy(), False)
         near = neighbour_lists(hit, len(q), rows.column("id").to_numpy(), rows.column("weight").to_numpy(), x)
         return pa.table({"id": query.column("id"), "near": near})
 

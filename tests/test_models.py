@@ -55,6 +55,18 @@ def test_fewer_rows_than_neighbours(spark):
     assert lof.factors(raw.limit(1)).first()["factor"] is None
 
 
+@pytest.mark.parametrize("own", [True, False])
+def test_search_inside_a_task_equals_all_pairs(own):
+    rng = np.random.default_rng(4)
+    x = np.vstack([rng.normal(0, 0.01, (1500, 3)), rng.normal(0, 3, (1500, 3)), rng.integers(0, 5, (600, 3))])
+    x = np.unique(x, axis=0)
+    q = x if own else rng.normal(0, 2, (50, 3))
+    radius = None if own else np.full(50, 1.5)
+    got, want = lof.nearest_in(q, x, 7, radius, own), lof.nearest(q, x, 7, radius, own)
+    for a, b in zip(got, want):
+        np.testing.assert_array_equal(a, b)
+
+
 def test_tree_routes_to_every_touched_leaf():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(500, 3))
