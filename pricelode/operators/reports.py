@@ -148,17 +148,17 @@ def drug_report(annotated: DataFrame) -> DataFrame:
     )
 
 
-def anomaly_history(annotated: DataFrame, drug_id=None) -> DataFrame:
-    """The findings of one drug, or of all, as rows."""
-    found = annotated.where(_found())
-    return found if drug_id is None else found.where(F.col("drug_id") == F.lit(drug_id))
+def anomaly_history(annotated: DataFrame) -> DataFrame:
+    """The findings as rows."""
+    return annotated.where(_found())
 
 
-def one_drug_report(annotated: DataFrame, drug_id) -> DataFrame:
-    rows = annotated.where(F.col("drug_id") == F.lit(drug_id))
+def only(df: DataFrame, column: str, value) -> DataFrame:
+    """The rows of one drug or pharmacy, for the report of a single one; an unknown id is an error."""
+    rows = df.where(F.col(column) == F.lit(value))
     if rows.isEmpty():
-        raise LookupError(f"drug_id {drug_id!r} not found")
-    return drug_report(rows)
+        raise LookupError(f"{column} {value!r} not found")
+    return rows
 
 
 def pharmacy_profile(annotated: DataFrame) -> DataFrame:

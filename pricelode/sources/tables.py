@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pricelode import schema
+from pricelode.plans.durable import checkpointed
 
 
 def load(spark: SparkSession, path: str, columns=None) -> DataFrame:
@@ -31,13 +33,31 @@ def save(df: DataFrame, path: str, fmt: str = "parquet", partition_by: list[str]
 
 
 def scan_pricing(spark: SparkSession, path: str) -> DataFrame:
-    """A transaction table with its columns checked and missing numbers as nulls."""
-    df = load(spark, path, schema.TRANSACTIONS if path.rstrip("/").endswith(".csv") else None)
+    """A transaction table with its columns checked, missing numbers as nulls and a row id."""
+    if path.rstrip("/").endswith(".csv"):
+        # The columns of the file by name, with the types of the contract where it knows them.
+        names = spark.read.option("header", True).csv(path).columns
+        known = {f.name: f for f in schema.TRANSACTIONS.fields}
+        df = load(spark, path, T.StructType([known.get(n, T.StructField(n, T.StringType())) for n in names]))
+    else:
+        df = load(spark, path)
     return prepared(df)
 
 
 def prepared(df: DataFrame) -> DataFrame:
-    return schema.nan_to_null(schema.require_columns(df, schema.REQUIRED))
+    df = schema.nan_to_null(schema.require_columns(df, [c for c in schema.REQUIRED if c != "txn_id"]))
+    return df if "txn_id" in df.columns else with_txn_id(df)
+
+
+def with_txn_id(df: DataFrame) -> DataFrame:
+    """Give rows an id made of their content and, among equal rows, a number; written once to stay the same."""
+    digest = F.substring(F.sha2(F.to_json(F.struct(*df.columns)), 256), 1, 24)
+    # Equal rows are interchangeable, so lanes may split a large group of them at will.
+    lane = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1_024))
+    rows = df.withColumns({"_digest": digest, "_lane": lane})
+    number = F.row_number().over(Window.partitionBy("_digest", "_lane").orderBy(F.lit(0)))
+    numbered = rows.withColumn("txn_id", F.concat_ws("-", "_digest", F.col("_lane").cast("string"), number.cast("string")))
+    return checkpointed(numbered.select("txn_id", *df.columns))
 
 
 def save_results(results: DataFrame, path: str, fmt: str = "parquet") -> str:

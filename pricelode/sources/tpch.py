@@ -8,20 +8,35 @@ from pyspark.sql import functions as F
 from pricelode.plans.spread import spread
 
 
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "supplier": "s_suppkey long, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "lineitem": "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, "
+                "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+                "l_shipdate timestamp_ntz",
+    "documents": "doc_id long, text string, lang string, source string, n_chars long",
+    "embeddings": "vec_id long, embedding array<float>, label int",
+    "benchmark": "item_id long, text string",
+    "conversations": "conv_id long, turn long, role string, text string",
+}
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
 def spread_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A table whose rows are worked on one by one, on all cores even if it is a single file."""
-    return spread(table(spark, folder, name))
+    scan = table(spark, folder, name)
+    return spread(scan, scan.columns[0])
 
 
 def pricing_fact(spark: SparkSession, folder: str) -> DataFrame:
     """One transaction per order line; the joins are left to the optimizer, which prunes by the columns used."""
-    line, part, supplier, nation, region = (
-        table(spark, folder, n) for n in ("lineitem", "part", "supplier", "nation", "region")
-    )
+    line = spread_table(spark, folder, "lineitem")
+    part, supplier, nation, region = (table(spark, folder, n) for n in ("part", "supplier", "nation", "region"))
     # Missing numbers are nulls before anything is derived from them.
     number = {
         c: F.nanvl(c, F.lit(None).cast("double"))
@@ -30,7 +45,7 @@ def pricing_fact(spark: SparkSession, folder: str) -> DataFrame:
     wac = F.col("wac_price")
     returned = F.col("l_returnflag") == "R"
     return (
-        spread(line).withColumns(number)
+        line.withColumns(number)
         .join(part, F.col("l_partkey") == F.col("p_partkey"))
         .join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
         .join(nation, F.col("s_nationkey") == F.col("n_nationkey"))

@@ -16,6 +16,6 @@ def save_index(chunks: DataFrame, path: str) -> DataFrame:
 
 def load_index(spark: SparkSession, path: str) -> DataFrame:
     try:
-        return spread(spark.read.parquet(path))
+        return spread(spark.read.parquet(path), "chunk_id")
     except AnalysisException as missing:
         raise FileNotFoundError(f"no index at {path}: build it first") from missing

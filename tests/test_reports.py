@@ -51,7 +51,7 @@ def test_class_summary(spark):
     ([("mom_spike", "medium"), ("mom_drop", "low")], "investigate"), ([("mom_drop", "low")], "monitor"), ([], "monitor")])
 def test_drug_report(spark, found, action):
     rows = [("P", "D", "C", t, s) for t, s in found] + [("P", "D", "C", None, None)]
-    row = reports.one_drug_report(findings(spark, rows), "D").first()
+    row = reports.drug_report(reports.only(findings(spark, rows), "drug_id", "D")).first()
     assert row["recommended_action"] == action and row["anomalies"] == len(found)
     assert row["top_violations"] == sorted(t for t, _ in found)
     assert sum(row["severity_breakdown"].values()) == len(found)
@@ -59,7 +59,7 @@ def test_drug_report(spark, found, action):
 
 def test_unknown_drug(spark):
     with pytest.raises(LookupError):
-        reports.one_drug_report(findings(spark, [("P", "D", "C", None, None)]), "X")
+        reports.only(findings(spark, [("P", "D", "C", None, None)]), "drug_id", "X")
 
 
 def test_pharmacy_profile_counts_by_name(spark):

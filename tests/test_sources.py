@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 from pricelode.plans.durable import shared_dir
 from pricelode.sources import adhoc, tables
@@ -18,6 +19,15 @@ def test_round_trip(spark, transactions, tmp_path, fmt):
     assert sorted(back.collect(), key=lambda r: r["txn_id"]) == df.collect()
 
 
+def test_rows_without_an_id_get_one(spark, transactions, tmp_path):
+    df = transactions([dict(txn_id="x")] * 3 + [dict(actual_price=1.0)]).withColumn(
+        "transaction_date", F.lit("2024-01-01").cast("date")).drop("txn_id")
+    back = tables.scan_pricing(spark, tables.save(df, str(tmp_path / "bare"), "csv"))
+    ids = [r["txn_id"] for r in back.collect()]
+    assert len(set(ids)) == 4 and len({i.split("-")[0] for i in ids}) == 2
+    assert sorted(ids) == sorted(r["txn_id"] for r in back.repartition(3).collect())
+
+
 def test_unknown_formats(spark, transactions, tmp_path):
     with pytest.raises(ValueError):
         tables.load(spark, "x.xlsx")
