@@ -73,21 +73,22 @@ def with_flags(
         # The cut-off of a model is a quantile of its own scores over all rows.
         out = checkpointed(out)
     for m in ("forest", "lof"):
-        raw, score = MODEL_SCORES[m]
-        if m in models:
-            out = with_top_share(out, raw, score, contamination)
+        if m not in models:
+            out = out.withColumns({name: none.cast("double") for name in MODEL_SCORES[m]})
+    return with_top_shares(out, [MODEL_SCORES[m] for m in models], contamination)
+
+
+def with_top_shares(df: DataFrame, scores: list[tuple[str, str]], share: float) -> DataFrame:
+    """For each (raw, score): ``raw`` scaled to [0, 1] where it exceeds its ``1 - share`` quantile, else null."""
+    cuts = exact_quantiles(df, [raw for raw, _ in scores], [0.0, 1.0 - share, 1.0]) if scores else {}
+    for raw, score in scores:
+        low, cut, high = cuts[raw]
+        if cut is None:
+            df = df.withColumn(score, F.lit(None).cast("double"))
         else:
-            out = out.withColumns({raw: none.cast("double"), score: none.cast("double")})
-    return out
-
-
-def with_top_share(df: DataFrame, raw: str, score: str, share: float) -> DataFrame:
-    """``raw`` scaled to [0, 1] where it exceeds its ``1 - share`` quantile, else null."""
-    low, cut, high = exact_quantiles(df, [raw], [0.0, 1.0 - share, 1.0])[raw]
-    if cut is None:
-        return df.withColumn(score, F.lit(None).cast("double"))
-    scaled = (F.col(raw) - F.lit(low)) / F.lit(high - low + 1e-9)
-    return df.withColumn(score, F.when(F.col(raw) > F.lit(cut), scaled))
+            scaled = (F.col(raw) - F.lit(low)) / F.lit(high - low + 1e-9)
+            df = df.withColumn(score, F.when(F.col(raw) > F.lit(cut), scaled))
+    return df
 
 
 def _rule(name: str) -> Column:

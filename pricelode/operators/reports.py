@@ -13,6 +13,7 @@ from pricelode import schema
 from pricelode.functions.numbers import rounded
 from pricelode.functions.prices import gtn_discount
 from pricelode.operators.ensemble import severity_rank
+from pricelode.plans.durable import checkpointed
 
 # Points per finding and the upper bounds of the risk tiers.
 POINTS = {"high": 15, "medium": 7, "low": 2}
@@ -165,9 +166,9 @@ def pharmacy_profile(annotated: DataFrame) -> DataFrame:
     """Counts, commonest violation, top three drugs and the count-based tier per flagged pharmacy."""
     found = annotated.where(_found())
     breach = F.col("anomaly_type").contains("breach") | F.col("anomaly_type").contains("violation")
-    # One aggregation of the findings feeds all parts of the profile.
-    cells = found.groupBy("pharmacy_id", *PHARMACY, "drug_name", "anomaly_type").agg(
-        F.count("*").alias("n"), F.count_if(_is("high")).alias("high"))
+    # One aggregation of the findings, written once, feeds both parts of the profile.
+    cells = checkpointed(found.groupBy("pharmacy_id", *PHARMACY, "drug_name", "anomaly_type").agg(
+        F.count("*").alias("n"), F.count_if(_is("high")).alias("high")))
     by_type = cells.groupBy("pharmacy_id", *PHARMACY, "anomaly_type").agg(
         F.sum("n").alias("n"), F.sum("high").alias("high"))
     by_type = by_type.groupBy("pharmacy_id", "anomaly_type").agg(

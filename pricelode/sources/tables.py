@@ -76,9 +76,11 @@ def star_schema(df: DataFrame) -> dict[str, DataFrame]:
     drugs = df.groupBy("drug_id", *drug).agg(F.min("wac_price").alias("low"), F.max("wac_price").alias("high")) \
         .groupBy("drug_id").agg(
             *[F.min(c).alias(c) for c in drug], F.min("low").alias("wac_low"), F.max("high").alias("wac_high"))
+    # The commonest attributes of an id; the count also keeps the optimizer from dropping the first step.
     pharmacy = ["pharmacy_name", "pharmacy_chain", "state"]
-    pharmacies = df.select("pharmacy_id", *pharmacy).distinct().groupBy("pharmacy_id").agg(
-        *[F.min(c).alias(c) for c in pharmacy])
+    pharmacies = df.groupBy("pharmacy_id", *pharmacy).agg(F.count("*").alias("n")).groupBy("pharmacy_id") \
+        .agg(F.min(F.struct((-F.col("n")).alias("n"), *pharmacy)).alias("a")) \
+        .select("pharmacy_id", *[F.col(f"a.{c}").alias(c) for c in pharmacy])
     transactions = df.select(
         F.col("txn_id").alias("tx_id"), "drug_id", "pharmacy_id", "transaction_date",
         *schema.PRICES, "margin_percent", "volume_units", "is_anomaly", "anomaly_type",

@@ -425,14 +425,14 @@ def iforest(fact):
     known = profile(fact, forest.FEATURES)
     scored = forest.with_raw_score(fact, forest.fit(fact, known=known))
     scored = ensemble.checkpointed(scored.select("txn_id", "actual_price", "margin_percent", "forest_raw"))
-    return ensemble.with_top_share(scored, "forest_raw", "anomaly_score", 0.07).where("anomaly_score is not null")
+    return ensemble.with_top_shares(scored, [("forest_raw", "anomaly_score")], 0.07).where("anomaly_score is not null")
 
 
 @on_fact()
 def lof_transactions(fact):
     scored = ensemble.checkpointed(
         lof.join_factors(fact, lof.factors(fact)).select("txn_id", *lof.FEATURES, "lof_raw"))
-    return ensemble.with_top_share(scored, "lof_raw", "anomaly_score", 0.07).where("anomaly_score is not null")
+    return ensemble.with_top_shares(scored, [("lof_raw", "anomaly_score")], 0.07).where("anomaly_score is not null")
 
 
 def drug_points(fact: DataFrame) -> DataFrame:

@@ -96,7 +96,7 @@ def prices(transactions):
 
 def test_forest_flags_the_share_and_puts_planted_rows_on_top(prices):
     scored = forest.with_raw_score(prices, forest.fit(prices)).cache()
-    found = ensemble.with_top_share(scored, "forest_raw", "score", 0.07).where("score is not null")
+    found = ensemble.with_top_shares(scored, [("forest_raw", "score")], 0.07).where("score is not null")
     assert abs(found.count() / 1200 - 0.07) < 0.01
     top = {r["txn_id"] for r in found.orderBy(F.desc("score")).limit(3).collect()}
     assert top == {"t00003", "t00400", "t00900"}
