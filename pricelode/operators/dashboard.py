@@ -187,23 +187,20 @@ def key_findings(df: DataFrame) -> DataFrame:
     known = profile(df, ["margin_percent"])
     median = exact_quantiles(df, ["margin_percent"], [0.5], known)["margin_percent"][0]
     labelled = F.count_if(F.col("is_anomaly"))
-    # One row per pair of names carries everything that is left to count.
-    cells = df.groupBy("drug_name", "pharmacy_name").agg(
-        F.count("*").alias("n"), labelled.alias("labelled"), F.max("wac_price").alias("top"),
-        *[f(c).alias(f"{k}_{c}") for c in ("wac_price", "gtn_price") for k, f in (("sum", F.sum), ("n", F.count))])
     # The dearest drug is the first by name among those that reach the highest WAC.
-    dearest = F.min(F.struct((-F.col("top")).alias("negated"), "drug_name"))
-    return cells.agg(
-        F.sum("n").alias("transactions"),
+    tops = df.groupBy("drug_name").agg(F.max("wac_price").alias("top"))
+    dearest = tops.where("top is not null").orderBy(F.desc("top"), "drug_name").first()
+    return df.agg(
+        F.count("*").alias("transactions"),
         F.count_distinct("drug_name").alias("drugs"),
         F.count_distinct("pharmacy_name").alias("pharmacies"),
-        F.sum("labelled").alias("anomalies"),
-        _rate(F.sum("labelled"), F.sum("n")).alias("anomaly_rate"),
-        F.try_divide(F.sum("sum_wac_price"), F.sum("n_wac_price")).alias("avg_wac"),
-        F.try_divide(F.sum("sum_gtn_price"), F.sum("n_gtn_price")).alias("avg_gtn"),
+        labelled.alias("anomalies"),
+        _rate(labelled, F.count("*")).alias("anomaly_rate"),
+        F.avg("wac_price").alias("avg_wac"),
+        F.avg("gtn_price").alias("avg_gtn"),
         F.lit(median).cast("double").alias("median_margin"),
-        dearest["drug_name"].alias("highest_wac_drug"),
-        (-dearest["negated"]).alias("highest_wac"),
+        F.lit(dearest and dearest["drug_name"]).cast("string").alias("highest_wac_drug"),
+        F.max("wac_price").alias("highest_wac"),
     )
 
 
