@@ -14,12 +14,10 @@ def packed_parts(
     text: str = "text", topic: str = "topic", title: str = "title", budget: int = MAX_CHARS,
 ) -> DataFrame:
     """Passages in order until ``budget`` characters are used; the one that crosses it is cut."""
-    in_order = Window.partitionBy(by).orderBy(order)
-    # A passage has at least one character, so no more than ``budget`` of them can be used; the
-    # others of a long list are dropped before the shuffle.
-    ranked = ranked.withColumn("_r", F.row_number().over(in_order)).where(F.col("_r") <= budget).drop("_r")
+    # The list of one ``by`` value is k hits of a search, or the chunks of a single document.
     before = F.coalesce(
-        F.sum(F.length(text)).over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        F.sum(F.length(text)).over(Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)),
+        F.lit(0))
     left = (F.lit(budget) - F.col("used")).cast("int")
     named = F.coalesce(F.col(title), F.lit("")) != ""
     header = F.concat(
