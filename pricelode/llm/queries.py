@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricelode.llm import maxscore, suffixes, warc
+import public_tokenizers
+
+from pricelode.llm import bpe, licenses, lines, maxscore, minhash, packing, repetition, suffixes, toxicity, warc
 from pricelode.llm.corpus import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,11 +21,43 @@ def query(sql: str | None = None):
     def register(fn):
         QUERIES[fn.__name__] = fn
         if sql:
-            ORACLES[fn.__name__] = sql
+            ORACLES[fn.__name__] = sql.replace("{upper}", f"'{ascii_uppercase}'").replace("{small}", f"'{ascii_lowercase}'")
         return fn
     return register
 
 
+@query("""
+    WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {upper}, {small}), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+    s AS (SELECT DISTINCT doc_id, unnest(CASE
+                WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS x FROM t),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+    p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+    e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+    r AS (SELECT doc_id, doc_id AS reached FROM documents UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.reached = e.a),
+    c AS (SELECT doc_id, min(reached) AS component_id FROM r GROUP BY 1)
+    SELECT c.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, c.doc_id = component_id AS kept FROM c LEFT JOIN n USING (doc_id)
+""")
+def op1_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    """Components of near-duplicate documents."""
+    return minhash.near_duplicates(table(spark, folder, "documents"))
+
+
+@query()
+def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """A calibrated toxicity score of every document, learned from labelled rows that are not held out."""
+    docs = table(spark, folder, "documents")
+    out = toxicity.held_out(F.col("doc_id"))
+    model = toxicity.fitted(docs.select("doc_id", "text"), table(spark, folder, "labels"), ~out)
+    return toxicity.scored(docs, model).withColumn("held_out", out)
+
+
+@query()
+def op3_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document encoded and decoded again."""
+    return bpe.round_trip(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 @query("""
     WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
     d AS (SELECT page_id, octet_length(body) AS payload_bytes, sha256(body) AS payload_digest FROM p),
@@ -37,6 +72,44 @@ def op4_warc(spark: SparkSession, folder: str) -> DataFrame:
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@query("""
+    WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+    b AS (SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+                 len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols,
+                 len(list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\\x20\\x09-\\x0D]'))) AS n_lines,
+                 len(list_distinct(list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\\x20\\x09-\\x0D]')))) AS n_different
+          FROM t),
+    v AS (SELECT doc_id, unnest(range(1, len(w) - 6)) AS i, w FROM t WHERE len(w) >= 8),
+    g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(w[i:i + 7], ' ')) AS c,
+                 CASE WHEN i + 50 <= len(w) THEN count(*) OVER (PARTITION BY doc_id, array_to_string(w[i:i + 50], ' ')) ELSE 1 END AS c51
+          FROM v),
+    r AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS j FROM g WHERE c > 1) GROUP BY 1),
+    l AS (SELECT DISTINCT doc_id FROM g WHERE c51 > 1),
+    a AS (SELECT b.doc_id, n_words, word_chars, n_symbols, n_lines - n_different AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words,
+                 l.doc_id IS NOT NULL AS long
+          FROM b LEFT JOIN r USING (doc_id) LEFT JOIN l USING (doc_id)),
+    f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM a)
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+           NOT base_failed AND 100 * n_repeat_words <= 20 * n_words AND NOT long AS kept
+    FROM f
+""")
+def op5_repetition(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts and verdict of the repetition rules for every document."""
+    return repetition.rules(table(spark, folder, "documents")).drop("spans", "longest_repeat")
+
+
+@query()
+def op6_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    """Every place of a license in a document."""
+    return licenses.scanned(table(spark, folder, "documents"))
+
+
+@query()
+def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """A place in a sequence of 4,096 tokens for every piece of every document."""
+    return packing.packed(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 @query()
 def op8_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """What remains of every document without strings of 100 bytes that start earlier."""
@@ -58,3 +131,32 @@ def op9_topk(spark: SparkSession, folder: str) -> DataFrame:
     """The 20 best other vectors of every twentieth vector."""
     vectors = table(spark, folder, "embeddings")
     return maxscore.top_k(vectors, F.col("vec_id") % 20 == 0, 20)
+
+
+@query("""
+    WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i
+               FROM documents WHERE text IS NOT NULL),
+    t AS (SELECT doc_id, i, regexp_extract_all(translate(line, {upper}, {small}), '[^\\x20\\x09-\\x0D]+') AS w FROM l),
+    s AS (SELECT DISTINCT doc_id, i, unnest(CASE
+                WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                ELSE list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' ')) END) AS x FROM t),
+    n AS (SELECT doc_id, i, count(*) AS n, md5(string_agg(x, '|' ORDER BY x)) AS k FROM s GROUP BY 1, 2),
+    c AS (SELECT k, any_value(n) AS n, min((doc_id, i)) AS first, row_number() OVER () AS id FROM n GROUP BY k),
+    d AS (SELECT c.id, c.first, c.n, s.x FROM c JOIN s ON (s.doc_id, s.i) = c.first),
+    p AS (SELECT a.id, a.n AS n, b.n AS m, count(*) AS o FROM d a JOIN d b ON a.x = b.x AND b.first < a.first GROUP BY a.id, b.id, a.n, b.n),
+    g AS (SELECT DISTINCT id FROM p WHERE 100 * o >= 75 * (n + m - o)),
+    k AS (SELECT first FROM c WHERE id NOT IN (SELECT id FROM g)),
+    r AS (SELECT l.doc_id, l.i, line, n.k IS NULL OR (l.doc_id, l.i) IN (SELECT first FROM k) AS stays
+          FROM l LEFT JOIN n ON n.doc_id = l.doc_id AND n.i = l.i)
+    SELECT d.doc_id, coalesce(any_value(x.n_lines), 0) AS n_lines, coalesce(any_value(x.n_removed), 0) AS n_removed,
+           coalesce(any_value(x.text_md5), md5('')) AS text_md5
+    FROM documents d LEFT JOIN (
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (NOT stays) AS n_removed,
+               md5(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (stays), '')) AS text_md5
+        FROM r GROUP BY 1) x USING (doc_id)
+    GROUP BY d.doc_id
+""")
+def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without lines similar to an earlier one."""
+    return lines.without_similar_lines(table(spark, folder, "documents")).select(
+        "doc_id", "n_lines", "n_removed", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))
