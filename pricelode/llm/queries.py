@@ -81,7 +81,7 @@ def op4_warc(spark: SparkSession, folder: str) -> DataFrame:
           FROM t),
     v AS (SELECT doc_id, unnest(range(1, len(w) - 6)) AS i, w FROM t WHERE len(w) >= 8),
     g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(w[i:i + 7], ' ')) AS c,
-                 CASE WHEN i + 50 <= len(w) THEN count(*) OVER (PARTITION BY doc_id, array_to_string(w[i:i + 50], ' ')) ELSE 1 END AS c51
+                 CASE WHEN i + 50 <= len(w) THEN count(*) OVER (PARTITION BY doc_id, i + 50 <= len(w), array_to_string(w[i:i + 50], ' ')) ELSE 1 END AS c51
           FROM v),
     r AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS j FROM g WHERE c > 1) GROUP BY 1),
     l AS (SELECT DISTINCT doc_id FROM g WHERE c51 > 1),
@@ -90,7 +90,7 @@ def op4_warc(spark: SparkSession, folder: str) -> DataFrame:
           FROM b LEFT JOIN r USING (doc_id) LEFT JOIN l USING (doc_id)),
     f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM a)
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-           NOT base_failed AND 100 * n_repeat_words <= 20 * n_words AND NOT long AS kept
+           NOT base_failed AND 100 * n_repeat_words <= 25 * n_words AND NOT long AS kept
     FROM f
 """)
 def op5_repetition(spark: SparkSession, folder: str) -> DataFrame:

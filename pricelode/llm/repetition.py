@@ -93,7 +93,7 @@ def maximal_spans(repeat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 8, least_words: int = 20,
-          most_repeated: int = 30, most_covered: int = 20, longest: int = 50) -> DataFrame:
+          most_repeated: int = 30, most_covered: int = 25, longest: int = 50) -> DataFrame:
     """Counts, repeated spans and verdict for each row of ``docs``.
 
     Words are runs of anything but ASCII white space, as they are. ``spans`` are the word ranges ``[start, end)`` that

@@ -1,6 +1,7 @@
 """Toxicity scores: gradient-boosted trees over dense features of the whole text, with isotonic calibration.
 
-The lexicon is learned too: words that occur far more often in texts labelled toxic. Lexicon, trees and calibration are
+The lexicon is learned too: words, and beginnings of words for inflected ones, that occur far more often in texts labelled
+toxic. Lexicon, trees and calibration are
 fitted on a bounded sample of labelled rows (``SAMPLE``, taken by a hash of the id); every row is scored.
 """
 
@@ -16,13 +17,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pricelode.llm.corpus import texts, utf8
+from pricelode.llm.corpus import REMEMBERED, texts, utf8
 from pricelode.llm.steps import written
 
 #: Labelled rows that the model is fitted on at most, and words in its lexicon at most.
 SAMPLE, LEXICON = 16_000, 200
 #: A lexicon word is in at least this share of the toxic texts, and this many times as common there as elsewhere.
 SHARE, ODDS = 0.02, 6.0
+#: Bytes of the beginnings of words that the lexicon may hold.
+STEMS = range(4, 8)
 #: Words around a lexicon word in which a second person counts.
 NEAR = 5
 TREES, DEPTH, RATE, BINS, FOLDS = 80, 3, 0.15, 32, 5
@@ -45,17 +48,40 @@ def words_of(data: bytes) -> list[bytes]:
     return data.lower().translate(_SPACED).split()
 
 
-def features(data: bytes, lexicon: dict[bytes, float]) -> list[float]:
+def terms_of(word: bytes) -> list[bytes]:
+    """What of a word the lexicon may hold: the word, and its beginnings, marked as such."""
+    return [word, *(word[:n] + b"*" for n in STEMS if n < len(word))]
+
+
+class Lexicon(dict):
+    """Weights of words: the greatest of their terms, 0 where none is held; remembers words up to a bound."""
+
+    def __init__(self, terms: dict[bytes, float]):
+        super().__init__()
+        self.terms = terms
+
+    def __missing__(self, word: bytes) -> float:
+        weight = max((self.terms[t] for t in terms_of(word) if t in self.terms), default=0.0)
+        if len(self) < REMEMBERED:
+            self[word] = weight
+        return weight
+
+    def __reduce__(self):
+        return Lexicon, (self.terms,)
+
+
+def features(data: bytes, lexicon: Lexicon) -> list[float]:
     """Dense features of one text; all zero but the length where there are no words."""
     found = words_of(data)
     n = max(1, len(found))
-    hits = [i for i, w in enumerate(found) if w in lexicon]
+    weight = list(map(lexicon.__getitem__, found))
+    hits = [i for i, x in enumerate(weight) if x]
     people = [i for i, w in enumerate(found) if w in SECOND_PERSON]
     near = sum(any(abs(i - j) <= NEAR for j in people) for i in hits) if people else 0
     plain = data.lower().translate(_PLAIN, _REMOVED).split()
-    hidden = max(0, sum(w in lexicon for w in plain) - len(hits))
+    hidden = max(0, sum(map(bool, map(lexicon.__getitem__, plain))) - len(hits))
     letters = len(data) - len(data.translate(None, _LETTERS))
-    weights = [lexicon[found[i]] for i in hits]
+    weights = [weight[i] for i in hits]
     return [
         100 * len(hits) / n, 100 * sum(weights) / n, float(len({found[i] for i in hits})), math.log1p(len(hits)),
         max(weights, default=0.0), 100 * near / n, 100 * len(people) / n,
@@ -135,7 +161,7 @@ def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Model:
     """Lexicon, trees and calibration; a constant where the labels are all alike."""
 
-    def __init__(self, lexicon: dict[bytes, float], x: np.ndarray, y: np.ndarray, fold: np.ndarray):
+    def __init__(self, lexicon: Lexicon, x: np.ndarray, y: np.ndarray, fold: np.ndarray):
         self.lexicon, self.constant = lexicon, float(y.mean()) if len(y) else 0.0
         self.trees = None
         if 0 < self.constant < 1:
@@ -165,7 +191,7 @@ def fitted(docs: DataFrame, labels: DataFrame, allowed: Column, label_col: str =
         seen = (Counter(), Counter())
         for batch in batches:
             for y, data in zip(batch.column(2).to_pylist(), utf8(batch.column(1)), strict=True):
-                seen[y].update(set(words_of(data or b"")))
+                seen[y].update({t for w in set(words_of(data or b"")) for t in terms_of(w)})
         found = list(seen[1])
         yield pa.RecordBatch.from_arrays([
             pa.array(found, pa.binary()), pa.array([seen[1][w] for w in found], pa.int64()),
@@ -175,14 +201,14 @@ def fitted(docs: DataFrame, labels: DataFrame, allowed: Column, label_col: str =
             pa.array(rest, pa.binary()), pa.array([0] * len(rest), pa.int64()), pa.array([seen[0][w] for w in rest], pa.int64())],
             ["word", "toxic", "clean"])
 
-    n1, n0 = sample.agg(F.count_if("y = 1"), F.count_if("y = 0")).first()
+    n1, n0 = sample.agg(F.count_if(F.col("y") == 1), F.count_if(F.col("y") == 0)).first()
     odds = (F.col("toxic") + 0.5) / (n1 + 1) / ((F.col("clean") + 0.5) / (n0 + 1))
     top = (
         sample.select("doc_id", "text", "y").mapInArrow(count, "word binary, toxic long, clean long")
         .groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
         .where((F.col("toxic") >= SHARE * n1) & (odds >= ODDS)).select("word", F.log(odds).alias("weight"), "toxic")
         .orderBy(F.desc(F.col("weight") * F.col("toxic")), "word").limit(LEXICON).collect())
-    lexicon = {bytes(r["word"]): float(r["weight"]) for r in top}
+    lexicon = Lexicon({bytes(r["word"]): float(r["weight"]) for r in top})
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
