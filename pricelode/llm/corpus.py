@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pricelode.plans.spread import spread
 
@@ -29,9 +30,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spread(scan, scan.columns[0])
 
 
-def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The two columns the operators work on, as ``doc_id`` and ``text``; whatever else is there is left behind."""
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
+def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carried: Sequence[str] = ()) -> DataFrame:
+    """The two columns the operators work on, as ``doc_id`` and ``text``; whatever else is there is left behind, but for the
+    ``carried`` columns, which come along in one struct of that name."""
+    own = [docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")]
+    return docs.select(*own, *([F.struct(*(docs[c] for c in carried)).alias("carried")] if carried else []))
+
+
+def carried_type(docs: DataFrame) -> str:
+    """What a schema string needs for the carried columns of ``docs``."""
+    return f", carried {docs.schema['carried'].dataType.simpleString()}" if "carried" in docs.columns else ""
 
 
 def utf8(column: pa.Array) -> Iterator[bytes | None]:

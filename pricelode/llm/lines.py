@@ -12,7 +12,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import chain
 
 import numpy as np
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pricelode.llm.corpus import WordHashes, mixed, shingle_hashes, signed, texts, utf8
+from pricelode.llm.corpus import WordHashes, carried_type, mixed, shingle_hashes, signed, texts, utf8
 from pricelode.llm.steps import written
 
 #: Buckets of the rarity sketch: its size does not depend on the corpus.
@@ -191,7 +191,7 @@ def kept_lines(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
 
 
 def without_similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, num: int = 75,
-                          den: int = 100) -> DataFrame:
+                          den: int = 100, carried: Sequence[str] = ()) -> DataFrame:
     """``(doc_id, text, n_lines, n_removed)`` for each row of ``docs``: the text without lines similar to an earlier one.
 
     Lines are what ``\\n`` separates; their words are runs of anything but ASCII white space with A-Z in lower case, their
@@ -199,15 +199,17 @@ def without_similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     document and a smaller line number. A line goes if an earlier line of the input, itself removed or not, has
     ``den * intersection >= num * union``. Lines without words always stay. A null text stays null, with no lines. Rows without
     an id stay as they are. Rows that repeat an id and text count as one document and get the same result. An empty table
-    gives no rows; other columns are ignored. Jobs run and steps are written when this is called.
+    gives no rows; other columns are ignored, or come along as the struct ``carried``. Jobs run and steps are written when
+    this is called.
     """
-    docs = texts(docs, id_col, text_col)
-    stay = kept_lines(docs, size, num, den).groupBy("doc_id").agg(F.collect_set("line").alias("stay"))
+    docs = texts(docs, id_col, text_col, carried)
+    stay = kept_lines(docs.select("doc_id", "text"), size, num, den).groupBy("doc_id").agg(F.collect_set("line").alias("stay"))
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text, lines, removed = [], [], []
-            for doc, data, own in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+            stays = batch.column("stay").to_pylist()
+            for doc, data, own in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), stays, strict=True):
                 cut = data.split(b"\n") if data is not None else []
                 own = set(own or ())
                 kept = [x for i, x in enumerate(cut) if i in own or not x.strip()] if doc is not None else cut
@@ -216,6 +218,8 @@ def without_similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
                 removed.append(len(cut) - len(kept))
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), pa.array(text, pa.binary()).cast(pa.string()), pa.array(lines, pa.int64()),
-                pa.array(removed, pa.int64())], ["doc_id", "text", "n_lines", "n_removed"])
+                pa.array(removed, pa.int64()), *([batch.column("carried")] if carried else [])],
+                ["doc_id", "text", "n_lines", "n_removed", *(["carried"] if carried else [])])
 
-    return docs.join(stay, "doc_id", "left").mapInArrow(rebuild, "doc_id long, text string, n_lines long, n_removed long")
+    return docs.join(stay, "doc_id", "left").mapInArrow(
+        rebuild, f"doc_id long, text string, n_lines long, n_removed long{carried_type(docs)}")

@@ -16,7 +16,7 @@ are compared with the last of the bucket before it. Suffixes travel as packed co
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pricelode.llm.corpus import mixed, texts, utf8
+from pricelode.llm.corpus import carried_type, mixed, texts, utf8
 from pricelode.llm.steps import written
 
 #: Suffixes that one bucket holds on average, whatever the size of the corpus: what bounds a task's memory.
@@ -364,20 +364,22 @@ def _repeated_strings(open_docs: DataFrame, strings: int, sample: tuple[np.ndarr
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100,
-                    gram: int = GRAM) -> DataFrame:
+                    gram: int = GRAM, carried: Sequence[str] = ()) -> DataFrame:
     """``(doc_id, n_bytes, n_removed, n_spans, spans, kept)`` for each row of ``docs``.
 
     Texts are UTF-8 bytes, a null text is empty. A byte goes if a string of ``length`` bytes covers it that also starts
     earlier: in a document of smaller id, or earlier in the same one. Strings are judged on the input, and none crosses
     documents. ``kept`` are the remaining bytes, ``spans`` the removed ones as ``[start, end)`` pairs. Rows that repeat an id
     and its text count as one document, each gets its result. Rows without an id take no part and are kept whole. Texts
-    shorter than ``length`` are kept. An empty table gives no rows; other columns are ignored. Jobs run when this is called.
+    shorter than ``length`` are kept. An empty table gives no rows; other columns are ignored, or come along as the struct
+    ``carried``. Jobs run and steps are written when this is called.
     """
     if not 0 < gram <= length or length - gram > 250:
         raise ValueError("gram must be at most length, and at most 250 shorter")
-    docs = texts(docs, id_col, text_col)
-    buckets, sample = _sampled(docs, length, gram)
-    marks = written(_marked(docs, length, gram, buckets, sample[0]))
+    docs = texts(docs, id_col, text_col, carried)
+    own = docs.select("doc_id", "text")
+    buckets, sample = _sampled(own, length, gram)
+    marks = written(_marked(own, length, gram, buckets, sample[0]))
     strings = marks.agg(F.sum("opened")).first()[0] or 0
     joined = written(docs.join(marks, "doc_id", "left"))
     if strings:
@@ -392,10 +394,13 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             rows = zip(batch.column(0).to_pylist(), utf8(batch.column(1)), *(batch.column(i).to_pylist() for i in range(2, 6)),
                        strict=True)
             out = [_without(doc, data or b"", first, count, still, more, length) for doc, data, first, count, still, more in rows]
-            yield pa.RecordBatch.from_pylist(out, _RESULT)
+            out = pa.RecordBatch.from_pylist(out, _RESULT)
+            yield out.append_column("carried", batch.column("carried")) if carried else out
 
-    return joined.join(again, "doc_id", "left").select("doc_id", "text", "m_start", "m_count", "m_open", "again").mapInArrow(
-        cut, "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<array<int>>, kept binary")
+    rows = joined.join(again, "doc_id", "left").select(
+        "doc_id", "text", "m_start", "m_count", "m_open", "again", *(["carried"] if carried else []))
+    return rows.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<array<int>>, "
+                                f"kept binary{carried_type(docs)}")
 
 
 _RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()),
@@ -433,6 +438,11 @@ def union(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.stack([starts[new], reach[np.append(np.flatnonzero(new)[1:] - 1, len(reach) - 1)]], axis=1)
 
 
+def valid(data: bytes) -> str:
+    """The bytes as text, without what is left of characters that were cut."""
+    return data.decode("utf-8", "ignore")
+
+
 def digest(result: DataFrame) -> DataFrame:
     return result.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 

@@ -236,6 +236,16 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     return texts(docs, id_col, text_col).mapInArrow(score, "doc_id long, score double, predicted int")
 
 
+def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text scores under 0.5."""
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            s = model.score([d or b"" for d in utf8(batch.column(text_col))])
+            yield batch.filter(pa.array(s < 0.5))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def held_out(doc_id: Column) -> Column:
     """Whether a row is kept from fitting: the remainder of its id's checksum is 0."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
