@@ -145,7 +145,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
 def _write_one(out: BinaryIO, first: bytes, more: Iterator[bytes], archive_bytes: int) -> tuple[int, int]:
     """Fills one archive; returns its records and bytes."""
     sample, held = [first], len(first)
-    while held < SAMPLE_BYTES and (nxt := next(more, None)) is not None:
+    while held < min(SAMPLE_BYTES, archive_bytes) and (nxt := next(more, None)) is not None:
         sample.append(nxt)
         held += len(nxt)
     shared = _dictionary(sample)

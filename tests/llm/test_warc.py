@@ -81,7 +81,7 @@ def test_compressed_dictionary():
     assert list(warc.read_records(io.BytesIO(data[:4] + len(packed).to_bytes(4, "little") + packed + data[8 + size:]))) == records
 
 
-@pytest.mark.parametrize("harm", [lambda d: d[:-3], lambda d: d[:len(d) // 2] + b"\0" + d[len(d) // 2 + 1:], lambda d: d + b"junk", lambda d: d + b"x"])
+@pytest.mark.parametrize("harm", [lambda d: d[:-3], lambda d: d[:-20] + bytes([d[-20] ^ 1]) + d[-19:], lambda d: d + b"junk", lambda d: d + b"x"])
 def test_broken_archives(harm):
     with pytest.raises(warc.BadArchive):
         list(map(warc.parsed, warc.read_records(io.BytesIO(harm(archive()[0])))))
