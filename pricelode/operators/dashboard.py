@@ -11,7 +11,7 @@ from pricelode.functions.formats import anomaly_label
 from pricelode.functions.numbers import rounded
 from pricelode.functions.prices import gtn_discount, month, quarter
 from pricelode.operators.ensemble import severity_rank
-from pricelode.plans.quantiles import exact_quantiles, grouped_quantiles, profile
+from pricelode.plans.quantiles import exact_quantiles, profile, quantile_table
 
 BENCHMARKS = ["wac_price", "asp_price", "amp_price", "price_340b"]
 CORRIDOR = ["wac_price", "asp_price", "amp_price", "gtn_price", "price_340b"]
@@ -75,12 +75,9 @@ def counts_by(df: DataFrame, column: str) -> DataFrame:
 
 
 def five_numbers(df: DataFrame, value: str, by: str = "drug_class") -> DataFrame:
-    """Minimum, quartiles and maximum per class."""
-    found = grouped_quantiles(df, by, [value], [0.0, 0.25, 0.5, 0.75, 1.0])
-    group_type = dict(df.dtypes)[by]
-    return df.sparkSession.createDataFrame(
-        [(g, *q[value]) for g, q in found.items()],
-        f"{by} {group_type}, low double, q1 double, median double, q3 double, high double")
+    """Minimum, quartiles and maximum per class, for any number of classes."""
+    found = quantile_table(df, by, [value], [0.0, 0.25, 0.5, 0.75, 1.0])
+    return found.select(by, *[F.get("quantiles", F.lit(i)).alias(c) for i, c in enumerate(("low", "q1", "median", "q3", "high"))])
 
 
 def method_coverage(results: DataFrame) -> DataFrame:
@@ -154,16 +151,18 @@ def describe(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def histogram(df: DataFrame, value: Column, bins: int) -> DataFrame:
-    """Counts in equal-width bins from the smallest to the largest value, the last bin closed."""
-    data = df.select(value.cast("double").alias("v")).where("v is not null")
+    """Counts in all equal-width bins from the smallest to the largest finite value, the last bin closed."""
+    data = df.select(value.cast("double").alias("v")).where(F.abs("v") < float("inf"))
     ends = data.agg(F.min("v").alias("lo"), F.max("v").alias("hi")).first()
     if ends["lo"] is None:
         return df.sparkSession.createDataFrame([], "bin int, low double, high double, n long")
     low, width = ends["lo"], (ends["hi"] - ends["lo"]) / bins or 1.0
     bin_no = F.least(F.floor((F.col("v") - F.lit(low)) / F.lit(width)), F.lit(bins - 1)).cast("int")
-    return data.groupBy(bin_no.alias("bin")).agg(F.count("*").alias("n")).select(
+    every = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
+    counted = data.groupBy(bin_no.alias("bin")).agg(F.count("*").alias("n"))
+    return every.join(counted, "bin", "left").select(
         "bin", (F.lit(low) + F.col("bin") * F.lit(width)).alias("low"),
-        (F.lit(low) + (F.col("bin") + 1) * F.lit(width)).alias("high"), "n")
+        (F.lit(low) + (F.col("bin") + 1) * F.lit(width)).alias("high"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def gtn_center(df: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ expressions as literals, so applying a detector is a plain projection.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -53,7 +54,7 @@ class ZScore:
 
     def z(self, feature: str) -> Column:
         mean, std = self.moments.get(feature, (0.0, 0.0))
-        if std < FLAT:
+        if not (std >= FLAT and math.isfinite(mean) and math.isfinite(std)):  # an infinite value leaves no measure
             return F.lit(0.0)
         return (filled(feature, self.medians) - F.lit(mean)) / F.lit(std)
 
@@ -69,7 +70,7 @@ class ZScore:
         return {"z_max": top, "z_feature": feature, "z_value": value}
 
     def flagged(self) -> Column:
-        return F.col("z_max") > F.lit(self.threshold)
+        return (F.col("z_max") > F.lit(self.threshold)) & ~F.isnan("z_max")
 
     def score(self) -> Column:
         return F.least(F.col("z_max") / F.lit(self.threshold * 3), F.lit(1.0))

@@ -1,35 +1,42 @@
 """Exact quantiles with bounded memory.
 
-``percentile`` keeps one map entry per distinct value, which a price column of a large
-table does not allow. Here the interval that holds a wanted rank is narrowed by counting:
-each pass is one scan whose shuffle carries at most ``BINS`` counters per interval and
-task, whatever the row count or the skew. When an interval holds few enough rows
-its values are sorted and the rank is read off.
+``percentile`` keeps one map entry per distinct value, which a price column of a large table does not allow. Here the rows
+that can hold a wanted rank are narrowed by **rank**: approximate quantiles of what is left are the cuts, one scan counts
+exactly what lies at and between them, and only the rows between the two cuts around a rank go on. So each pass leaves
+about one in ``CUTS`` rows, for any distribution, infinities and heavy repeats included; when few enough are left they are
+sorted and the rank is read off.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-BINS = 2048
+from pricelode.plans.durable import checkpointed
+
+CUTS = 64
 FINAL_ROWS = 20_000
+#: Relative rank error of the cuts is one over this; it only decides how even the parts are.
+ACCURACY = 1_000
 
 
 @dataclass
 class _Span:
-    """Values of one column (and group) between lo and hi; ``below`` rows sort before it."""
+    """Values of one column between lo and hi; ``below`` rows sort before it."""
 
-    group: object
     col: int
     lo: float
     hi: float
     below: int
     rows: int
     ranks: list[int]
+    cuts: list[float] = field(default_factory=list)
 
     @property
     def settled(self) -> bool:
@@ -46,88 +53,140 @@ class ColumnProfile:
     high: float | None
     mean: float | None
     std: float | None
+    cuts: list[float] = field(default_factory=list)
+
+
+def _cuts(value: Column, number: int) -> Column:
+    """Approximate quantiles that cut the values into parts of about the same size."""
+    shares = F.array(*[F.lit(k / (number + 1)) for k in range(1, number + 1)])
+    return F.percentile_approx(value, shares, F.lit(max(ACCURACY, 4 * number)))
+
+
+def _part(value: Column, cuts: Column) -> Column:
+    """Even where the value lies between cuts, odd where it is one; equal cuts count once."""
+    return F.size(F.filter(cuts, lambda c: c < value)) * 2 + F.array_contains(cuts, value).cast("int")
 
 
-def profile(df: DataFrame, cols: list[str]) -> dict[str, ColumnProfile]:
+def profile(df: DataFrame, cols: list[str], cuts: int = CUTS) -> dict[str, ColumnProfile]:
+    """Counts, moments and first cuts of numeric columns, from one scan."""
     names = list(dict.fromkeys(cols))
     aggs = [F.count("*").alias("rows")] + [
         agg(F.col(c).cast("double")).alias(f"{name}{i}")
         for i, c in enumerate(names)
-        for name, agg in (("n", F.count), ("lo", F.min), ("hi", F.max), ("mean", F.avg), ("std", F.stddev_samp))
+        for name, agg in (("n", F.count), ("lo", F.min), ("hi", F.max), ("mean", F.avg), ("std", F.stddev_samp),
+                          ("cuts", lambda v: _cuts(v, cuts)))
     ]
     row = df.agg(*aggs).first()
     return {
-        c: ColumnProfile(row[f"n{i}"], row["rows"] - row[f"n{i}"], *(row[f"{k}{i}"] for k in ("lo", "hi", "mean", "std")))
+        c: ColumnProfile(row[f"n{i}"], row["rows"] - row[f"n{i}"], *(row[f"{k}{i}"] for k in ("lo", "hi", "mean", "std")),
+                         row[f"cuts{i}"] or [])
         for i, c in enumerate(names)
     }
 
 
 def exact_quantiles(
-    df: DataFrame, cols: list[str], probs: list[float], known: dict[str, ColumnProfile] | None = None, **options,
+    df: DataFrame, cols: list[str], probs: list[float], known: dict[str, ColumnProfile] | None = None,
+    bins: int = CUTS, final_rows: int = FINAL_ROWS,
 ) -> dict[str, list[float | None]]:
     """Linear-interpolated quantiles of each column, nulls skipped."""
-    known = known or profile(df, cols)
-    bounds = [(None, [(known[c].n, known[c].low, known[c].high) for c in cols])]
-    return _quantiles(_values(df, None, cols), bounds, cols, probs, grouped=False, **options)[None]
-
-
-def _values(df: DataFrame, by: str | None, cols: list[str]) -> DataFrame:
-    keys = [] if by is None else [F.col(by).alias("g")]
-    return df.select(*keys, *[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(cols)])
-
-
-def grouped_quantiles(
-    df: DataFrame, by: str, cols: list[str], probs: list[float], max_groups: int = 100, **options,
-) -> dict[object, dict[str, list[float | None]]]:
-    """Quantiles per value of ``by``, a column of few distinct values (drug class, ...)."""
-    data = _values(df, by, cols)
-    rows = data.groupBy("g").agg(*[
-        agg(f"v{i}").alias(f"{name}{i}")
-        for i in range(len(cols)) for name, agg in (("n", F.count), ("lo", F.min), ("hi", F.max))
-    ]).limit(max_groups + 1).collect()
-    if len(rows) > max_groups:
-        raise ValueError(f"{by} has more than {max_groups} distinct values")
-    bounds = [(r["g"], [(r[f"n{i}"], r[f"lo{i}"], r[f"hi{i}"]) for i in range(len(cols))]) for r in rows]
-    return _quantiles(data, bounds, cols, probs, grouped=True, **options)
-
-
-def _quantiles(
-    data: DataFrame, bounds: list, cols: list[str], probs: list[float], grouped: bool,
-    bins: int = BINS, final_rows: int = FINAL_ROWS,
-) -> dict[object, dict[str, list[float | None]]]:
-    sizes: dict[tuple[object, int], int] = {}
-    spans: list[_Span] = []
-    for group, columns in bounds:
-        for i, (n, low, high) in enumerate(columns):
-            sizes[group, i] = n
-            if n:
-                ranks = sorted({r for p in probs for r in _ranks(p, n)})
-                spans.append(_Span(group, i, low, high, 0, n, ranks))
-
-    found: dict[tuple[object, int, int], float] = {}
+    known = known or profile(df, cols, bins)
+    data = df.select(*[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(cols)])
+    found: dict[tuple[int, int], float] = {}
+    spans = [
+        _Span(i, known[c].low, known[c].high, 0, known[c].n, sorted({r for p in probs for r in _ranks(p, known[c].n)}),
+              known[c].cuts)
+        for i, c in enumerate(cols) if known[c].n
+    ]
     while spans:
         for s in [s for s in spans if s.settled]:
-            found.update({(s.group, s.col, r): s.lo for r in s.ranks})
+            found.update({(s.col, r): s.lo for r in s.ranks})
         spans = [t for s in spans if not s.settled for t in _without_ends(s, found)]
         small = [s for s in spans if s.rows <= final_rows]
         wide = [s for s in spans if s.rows > final_rows]
         if small:
-            found.update(_read_ranks(data, grouped, small))
-        spans = _narrow(data, grouped, wide, bins) if wide else []
+            found.update(_read_ranks(data, small))
+        spans = _narrow(data, wide, bins) if wide else []
+    return {
+        c: [_interpolate(p, known[c].n, lambda r, i=i: found[i, r]) if known[c].n else None for p in probs]
+        for i, c in enumerate(cols)
+    }
 
+
+def _on(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """An equi-join in which nulls meet."""
+    b = b.withColumnsRenamed({k: f"_{k}" for k in keys})
+    return a.join(b, reduce(and_, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])).drop(*[f"_{k}" for k in keys])
+
+
+def quantile_table(
+    df: DataFrame, by: str, cols: list[str], probs: list[float], bins: int = CUTS, final_rows: int = FINAL_ROWS,
+) -> DataFrame:
+    """``(by, column, quantiles)``: quantiles per value of ``by`` and column, for any number of groups.
+
+    The parts still open are a table that joins the values on the group; groups of at most ``final_rows`` values are
+    sorted at once. Quantiles are null where a group has no value. Jobs run and steps are written when this is called.
+    """
+    spread = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in cols])
+    values = df.select(F.col(by).alias("g"), F.explode(spread).alias("s")).select("g", "s.*")
+    key = ["g", "column"]
+    span = [*key, "below"]
+    sizes = checkpointed(values.groupBy(*key).agg(F.count("x").alias("n")))
+    low = lambda p: F.floor(F.lit(p) * (F.col("n") - 1))
+    wanted = F.array_sort(F.array_distinct(F.flatten(F.array(*[
+        F.array(low(p), F.least(low(p) + 1, F.col("n") - 1)) for p in probs]))))
+    spans = sizes.where("n > 0").select(
+        *key, F.lit(0).cast("long").alias("below"), "n", F.lit(-math.inf).alias("lo"), F.lit(math.inf).alias("hi"),
+        wanted.alias("ranks"))
+    found = []
+    while True:
+        spans = checkpointed(spans)
+        if spans.isEmpty():
+            break
+        held = _on(values.where("x IS NOT NULL"), spans, key).where("x >= lo AND x <= hi")
+        few = held.where(F.col("n") <= final_rows).groupBy(*span).agg(
+            F.array_sort(F.collect_list("x")).alias("all"), F.first("ranks").alias("ranks"))
+        found.append(few.select(*key, "below", "all", F.explode("ranks").alias("rank")).select(
+            *key, "rank", F.element_at("all", (F.col("rank") - F.col("below") + 1).cast("int")).alias("value")))
+        wide = held.where(F.col("n") > final_rows)
+        cuts = checkpointed(wide.groupBy(*span).agg(_cuts(F.col("x"), bins).alias("cuts"), F.first("ranks").alias("ranks")))
+        parts = (
+            _on(wide.drop("ranks"), cuts.drop("ranks"), span).withColumn("part", _part(F.col("x"), F.col("cuts")))
+            .groupBy(*span, "part").agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")))
+        before = W.partitionBy(*span).orderBy("part")  # at most 2 * bins + 1 rows
+        start = (F.col("below") + F.sum("n").over(before) - F.col("n")).alias("start")
+        parts = _on(parts.select("*", start), cuts.select(*span, "ranks"), span).withColumn(
+            "ranks", F.filter("ranks", lambda r: (r >= F.col("start")) & (r < F.col("start") + F.col("n"))))
+        parts = checkpointed(parts.where(F.size("ranks") > 0).select(
+            *key, F.col("start").alias("below"), "n", "lo", "hi", "ranks"))
+        found.append(parts.where("lo = hi").select(*key, F.explode("ranks").alias("rank"), F.col("lo").alias("value")))
+        spans = parts.where("lo <> hi")
+    picked = reduce(DataFrame.union, found) if found else sizes.select(*key, F.col("n").alias("rank"), F.lit(0.0).alias("value")).limit(0)
+    picked = picked.groupBy(*key).agg(F.map_from_entries(F.collect_set(F.struct("rank", "value"))).alias("at"))
+    joined = sizes.withColumnsRenamed({k: f"_{k}" for k in key}).join(
+        picked, reduce(and_, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key]), "left")
+    a = lambda p: F.element_at("at", low(p))
+    b = lambda p: F.element_at("at", F.least(low(p) + 1, F.col("n") - 1))
+    exact = [F.when(a(p) == b(p), a(p)).otherwise(a(p) + (b(p) - a(p)) * (F.lit(p) * (F.col("n") - 1) - low(p))) for p in probs]
+    return joined.select(F.col("_g").alias(by), F.col("_column").alias("column"),
+                         F.when(F.col("n") > 0, F.array(*exact)).alias("quantiles"))
+
+
+def grouped_quantiles(
+    df: DataFrame, by: str, cols: list[str], probs: list[float], **options,
+) -> dict[object, dict[str, list[float | None]]]:
+    """``quantile_table`` on the driver, for a column of few distinct values."""
     out: dict[object, dict[str, list[float | None]]] = {}
-    for (group, i), n in sizes.items():
-        values = out.setdefault(group, {})
-        values[cols[i]] = [_interpolate(p, n, lambda r: found[group, i, r]) if n else None for p in probs]
+    for r in quantile_table(df, by, cols, probs, **options).collect():
+        out.setdefault(r[by], {})[r["column"]] = r["quantiles"] or [None] * len(probs)
     return out
 
 
 def _without_ends(s: _Span, found: dict) -> list[_Span]:
     """The first and last rank of a span are its bounds; drop it when nothing else is wanted."""
     ends = {s.below: s.lo, s.below + s.rows - 1: s.hi}
-    found.update({(s.group, s.col, r): ends[r] for r in s.ranks if r in ends})
+    found.update({(s.col, r): ends[r] for r in s.ranks if r in ends})
     inner = [r for r in s.ranks if r not in ends]
-    return [_Span(s.group, s.col, s.lo, s.hi, s.below, s.rows, inner)] if inner else []
+    return [_Span(s.col, s.lo, s.hi, s.below, s.rows, inner, s.cuts)] if inner else []
 
 
 def _ranks(p: float, n: int) -> tuple[int, int]:
@@ -138,23 +197,25 @@ def _ranks(p: float, n: int) -> tuple[int, int]:
 def _interpolate(p: float, n: int, value) -> float:
     low, high = _ranks(p, n)
     frac = p * (n - 1) - low
-    a = value(low)
-    return a if frac == 0 else a + (value(high) - a) * frac
+    a, b = value(low), value(high)
+    return a if frac == 0 or a == b else a + (b - a) * frac
 
 
-def _inside(s: _Span, grouped: bool):
-    v = F.col(f"v{s.col}")
-    hit = v.between(F.lit(s.lo), F.lit(s.hi))
-    return hit & F.col("g").eqNullSafe(F.lit(s.group)) if grouped else hit
+def _inside(s: _Span) -> Column:
+    return F.col(f"v{s.col}").between(F.lit(s.lo), F.lit(s.hi))
 
 
-def _narrow(data: DataFrame, grouped: bool, spans: list[_Span], bins: int) -> list[_Span]:
-    """One counting pass: replace each span by the bins that hold its ranks."""
+def _narrow(data: DataFrame, spans: list[_Span], bins: int) -> list[_Span]:
+    """One counting pass: replace each span by the parts between its cuts that hold its ranks."""
+    if not all(s.cuts for s in spans):
+        row = data.agg(*[_cuts(F.when(_inside(s), F.col(f"v{s.col}")), bins).alias(f"c{k}") for k, s in enumerate(spans)]).first()
+        for k, s in enumerate(spans):
+            s.cuts = row[f"c{k}"]
     hits = []
     for k, s in enumerate(spans):
         v = F.col(f"v{s.col}")
-        bin_no = F.least(F.floor((v - F.lit(s.lo)) / F.lit((s.hi - s.lo) / bins or s.hi - s.lo)), F.lit(bins - 1))
-        hits.append(F.when(_inside(s, grouped), F.struct(F.lit(k).alias("k"), bin_no.alias("b"), v.alias("v"))))
+        cuts = F.array(*[F.lit(c) for c in sorted(set(s.cuts))])
+        hits.append(F.when(_inside(s), F.struct(F.lit(k).alias("k"), _part(v, cuts).alias("b"), v.alias("v"))))
     counted = (
         data.select(F.explode(F.array(*hits)).alias("h"))
         .where("h is not null")
@@ -162,7 +223,7 @@ def _narrow(data: DataFrame, grouped: bool, spans: list[_Span], bins: int) -> li
         .agg(F.count("*").alias("n"), F.min("h.v").alias("lo"), F.max("h.v").alias("hi"))
     )
     by_span: dict[int, list] = {}
-    for row in counted.collect():  # at most bins rows per span
+    for row in counted.collect():  # at most 2 * bins + 1 rows per span
         by_span.setdefault(row["k"], []).append(row)
 
     out = []
@@ -171,18 +232,18 @@ def _narrow(data: DataFrame, grouped: bool, spans: list[_Span], bins: int) -> li
         for row in sorted(by_span[k], key=lambda r: r["b"]):
             ranks = [r for r in s.ranks if below <= r < below + row["n"]]
             if ranks:
-                out.append(_Span(s.group, s.col, row["lo"], row["hi"], below, row["n"], ranks))
+                out.append(_Span(s.col, row["lo"], row["hi"], below, row["n"], ranks))
             below += row["n"]
     return out
 
 
-def _read_ranks(data: DataFrame, grouped: bool, spans: list[_Span]) -> dict[tuple[object, int, int], float]:
+def _read_ranks(data: DataFrame, spans: list[_Span]) -> dict[tuple[int, int], float]:
     """Sort the few values left in each span and pick the wanted ranks."""
     found = {}
     for start in range(0, len(spans), 100):
         part = spans[start:start + 100]
         sorted_values = [
-            F.array_sort(F.collect_list(F.when(_inside(s, grouped), F.col(f"v{s.col}")))).alias(f"s{k}")
+            F.array_sort(F.collect_list(F.when(_inside(s), F.col(f"v{s.col}")))).alias(f"s{k}")
             for k, s in enumerate(part)
         ]
         picks = [
@@ -190,5 +251,5 @@ def _read_ranks(data: DataFrame, grouped: bool, spans: list[_Span]) -> dict[tupl
             for k, s in enumerate(part) for r in s.ranks
         ]
         row = data.agg(*sorted_values).select(*picks).first()
-        found.update({(s.group, s.col, r): row[f"s{k}_{r}"] for k, s in enumerate(part) for r in s.ranks})
+        found.update({(s.col, r): row[f"s{k}_{r}"] for k, s in enumerate(part) for r in s.ranks})
     return found

@@ -1,12 +1,16 @@
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from pricelode.operators.statistical import robust_scale
-from pricelode.plans.quantiles import exact_quantiles, grouped_quantiles, profile
+from pricelode.operators.statistical import IqrFence, ZScore, robust_scale
+from pricelode.plans import quantiles
+from pricelode.plans.quantiles import exact_quantiles, grouped_quantiles, profile, quantile_table
 
 PROBS = [0.0, 0.25, 0.5, 0.9, 1.0]
 
@@ -52,9 +56,39 @@ def test_groups_with_a_hot_one(spark):
     assert got["empty"]["x"] == [None] * 5
 
 
-def test_too_many_groups(spark):
-    with pytest.raises(ValueError):
-        grouped_quantiles(spark.range(20).selectExpr("id", "1.0 as x"), "id", ["x"], [0.5], max_groups=10)
+def test_many_groups(spark):
+    rows = spark.range(6000).selectExpr("id % 1500 AS g", "cast(id * 37 % 1009 AS double) AS x")
+    got = {r["g"]: r["quantiles"] for r in quantile_table(rows, "g", ["x"], [0.25, 0.5]).collect()}
+    assert len(got) == 1500
+    for g in (0, 7, 1499):
+        np.testing.assert_allclose(got[g], np.quantile([(g + 1500 * k) * 37 % 1009 for k in range(4)], [0.25, 0.5]))
+
+
+@pytest.mark.parametrize("values", [
+    [math.inf] + list(range(999)), [-math.inf, math.inf] * 10 + list(range(800)), [math.inf] * 600 + [1.0] * 300,
+    [10.0**k for k in range(-290, 290)], [5.0] * 900, [5.0] * 700 + list(range(300)),
+], ids=["one infinity", "both", "mostly infinite", "wide", "equal", "heavy"])
+def test_passes_are_few_for_any_distribution(spark, values, monkeypatch):
+    df = frame(spark, values).repartition(3).cache()
+    passes = []
+    narrow = quantiles._narrow
+    monkeypatch.setattr(quantiles, "_narrow", lambda *a: passes.append(1) or narrow(*a))
+    got = exact_quantiles(df, ["x"], PROBS, bins=8, final_rows=5)["x"]
+    assert len(passes) <= 5
+    ordered, n = sorted(map(float, values)), len(values)
+    for p, v in zip(PROBS, got):
+        a, b = ordered[math.floor(p * (n - 1))], ordered[min(math.floor(p * (n - 1)) + 1, n - 1)]
+        assert v == a if a == b else v == pytest.approx(a + (b - a) * (p * (n - 1) % 1), rel=1e-9)
+    table = quantile_table(df.withColumn("g", F.lit(1)), "g", ["x"], PROBS, bins=8, final_rows=5).first()["quantiles"]
+    assert table == pytest.approx(got, rel=1e-9)
+
+
+def test_an_infinite_value_flags_nothing_by_itself(spark):
+    df = spark.createDataFrame([(float(i % 7),) for i in range(99)] + [(math.inf,)], "x double")
+    fitted = ZScore.fit(df, ["x"])
+    assert df.withColumns(fitted.columns()).where(fitted.flagged()).count() == 0
+    fence = IqrFence.fit(df, ["x"])
+    assert df.withColumns(fence.columns()).where(fence.flagged()).count() == 1
 
 
 def test_robust_scale_fills_nulls_and_survives_a_zero_range(spark):
