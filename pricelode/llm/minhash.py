@@ -9,7 +9,8 @@
 3. Components need not all links but enough of them. In every list each class meets the list's first class; candidates
    with enough matches are confirmed on their full sets, and the confirmed ones give components. Only classes of different
    components that share a list can still add a link; of them, those whose numbers of shingles known to any other of
-   these classes rule a link out are left aside, and all others are counted and confirmed pair by pair.
+   these classes rule a link out are left aside. All others are compared: in short lists pair by pair, in longer ones
+   block against block on their full sets, where a task gives no more links than join its components.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ COORDINATES = 32
 #: The least number of equal coordinates. At a similarity of 0.75 fewer than 10 of 32 happen once in 29 million pairs.
 MATCHES = 10
 _SEEDS = mixed(np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+#: Longer lists are compared in blocks, of so many classes at most on average.
+SHORT, BLOCK = 32, 1_024
 #: Shingles of a text hashed together; what a task needs beside the text itself.
 _BLOCK = 4_096
 
@@ -119,6 +122,69 @@ def _known(docs: DataFrame, size: int) -> DataFrame:
     return rows.join(again, "shingle").groupBy("cls").agg(F.count("*").alias("known"))
 
 
+def _links_within(table: pa.Table, num: int, den: int) -> pa.Table:
+    """Links between the components of two blocks of one list, no more than it takes to join them.
+
+    All intersections come from products of 0/1 matrices, a few shingles at a time; only shingles that several classes have
+    take part. Classes outside the largest component are compared with all.
+    """
+    cls, place = np.unique(table.column("cls").to_numpy(), return_index=True)
+    sets = [np.frombuffer(table.column("s")[i].as_py(), np.uint64) for i in place.tolist()]
+    n = np.array([len(x) for x in sets])
+    _, component, members = np.unique(table.column("component").to_numpy()[place], return_inverse=True, return_counts=True)
+    asks = np.flatnonzero(component != members.argmax())
+    _, shingle, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), n)
+    shared = count[shingle] > 1
+    number = np.cumsum(count > 1) - 1
+    column, row = number[shingle[shared]], row[shared]
+    order = np.argsort(column, kind="stable")
+    column, row = column[order], row[order]
+    common = np.zeros((len(asks), len(cls)), np.float32)
+    for at in range(0, int(number[-1]) + 1, _BLOCK):
+        a, b = np.searchsorted(column, (at, at + _BLOCK))
+        has = np.zeros((len(cls), _BLOCK), np.float32)
+        has[row[a:b], column[a:b] - at] = 1
+        common += has[asks] @ has.T
+    common = common.astype(np.int64)
+    linked = den * common >= num * (n[asks][:, None] + n[None, :] - common)
+    linked &= component[asks][:, None] != component[None, :]
+    root = list(range(len(members)))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    out = []
+    for i, j in zip(*np.nonzero(linked), strict=True):
+        a, b = find(int(component[asks[i]])), find(int(component[j]))
+        if a != b:
+            root[a] = b
+            out.append((int(cls[asks[i]]), int(cls[j])))
+    a, b = zip(*out, strict=True) if out else ((), ())
+    return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def _block_links(lists: DataFrame, docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """Links between components within long lists ``(key, cls, component, members)``."""
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            found = [shingle_set(d, hashes, size).tobytes() for d in utf8(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["cls", "s"])
+
+    wanted = lists.select(F.col("cls").alias("doc_id")).distinct()
+    of_class = docs.join(wanted, "doc_id", "left_semi").mapInArrow(sets, "cls long, s binary")
+    blocks = F.ceil(F.col("members") / BLOCK)
+    dealt = lists.withColumn("own", F.pmod(F.xxhash64("cls"), blocks)).withColumn(
+        "other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    return (
+        dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "cls", "component")
+        .join(of_class, "cls").groupBy("key", "i", "j")
+        .applyInArrow(lambda table: _links_within(table, num, den), "a long, b long"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, num: int = 75,
                     den: int = 100) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)`` for each row of ``docs``.
@@ -157,14 +223,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     open_classes = open_lists.select(F.col("cls").alias("doc_id")).distinct()
     known = _known(own_texts.join(open_classes, "doc_id", "left_semi"), size)
     able = written(open_lists.join(known, "cls").where(f"{den} * known >= {num} * n"))
-    x, y = able.alias("x"), able.alias("y")
+    still = able.groupBy("key").agg(
+        F.count("*").alias("members"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
+    able = written(able.join(still.select("key", "members"), "key"))
+    short = able.where(F.col("members") <= SHORT)
+    x, y = short.alias("x"), short.alias("y")
     common = "least(x.known, y.known)"
     rest = (
         x.join(y, "key")
         .where(f"x.cls < y.cls AND x.component <> y.component AND {den} * least(x.n, y.n) >= {num} * greatest(x.n, y.n) "
                f"AND {den} * {common} >= {num} * (x.n + y.n - {common})")
         .select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct())
-    more = written(_confirmed(_counted(rest, reps), own_texts, size, num, den))
+    more = written(
+        _confirmed(_counted(rest, reps), own_texts, size, num, den)
+        .union(_block_links(able.where(F.col("members") > SHORT), own_texts, size, num, den)))
     if not more.isEmpty():
         found = components(links.union(more))
     members = classes.join(found.withColumnRenamed("node", "cls"), "cls", "left").select(

@@ -41,8 +41,10 @@ def copies(r, words, rate):
     return " ".join(w for w in out if r.random() > rate / 3)
 
 
-@pytest.mark.parametrize("seed", range(2))
-def test_against_all_pairs(documents, seed):
+@pytest.mark.parametrize(("seed", "short", "block"), [(0, 32, 1024), (1, 32, 1024), (2, 2, 1024), (3, 1, 5)])
+def test_against_all_pairs(documents, seed, short, block, monkeypatch):
+    monkeypatch.setattr(minhash, "SHORT", short)
+    monkeypatch.setattr(minhash, "BLOCK", block)
     r = random.Random(seed)
     vocabulary = [f"w{i}" for i in range(300)]
     bases = [[r.choice(vocabulary) for _ in range(r.randint(6, 120))] for _ in range(12)]
