@@ -72,6 +72,14 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Odd multipliers of the words of a shingle; longer shingles go on with powers of the first.
+_PLACES = mixed(np.arange(1, 9, dtype=np.uint64)) | np.uint64(1)
+
+
+def _place(i: int) -> np.uint64:
+    return _PLACES[i] if i < len(_PLACES) else np.uint64(pow(int(_PLACES[0]), i, 2**64))
+
+
 def shingle_hashes(word_hashes: np.ndarray, size: int = 5) -> np.ndarray:
     """One hash per run of ``size`` words; fewer words are one run, none give nothing."""
     n = len(word_hashes)
@@ -80,8 +88,8 @@ def shingle_hashes(word_hashes: np.ndarray, size: int = 5) -> np.ndarray:
     width = min(size, n)
     total = np.full(n - width + 1, width, np.uint64)
     for i in range(width):
-        total = mixed(total + word_hashes[i:n - width + 1 + i])
-    return total
+        total += word_hashes[i:n - width + 1 + i] * _place(i)
+    return mixed(total)
 
 
 def signed(x: np.ndarray) -> np.ndarray:

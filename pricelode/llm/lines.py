@@ -6,13 +6,14 @@
 3. Classes are posted under the tokens of their prefix, long enough that similar lines share one. Pairs that share a
    prefix token pass the length filter and the positional filter, and are confirmed on their full sets.
 4. A class goes as soon as one earlier class is similar, so every class first meets the classes of the first document in
-   each of its lists. Only those that found none meet the rest of their lists, and of the pairs only those that the number
-   of shingles known to other listed classes leaves possible.
+   each of its lists. Only those that found none meet the rest of their lists: short lists pair by pair, longer ones block
+   against block on their full sets, where a task gives each line at most once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -28,6 +29,9 @@ from pricelode.llm.steps import written
 SKETCH = 1 << 16
 #: Words cut into shingles together; documents are added up to this many.
 WORDS = 500_000
+#: Longer lists are compared in blocks, of so many lines at most on average.
+SHORT, BLOCK = 32, 1_024
+_COLUMNS = 4_096
 _SALT = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -41,11 +45,10 @@ class Cut:
         counts = np.array([len(x[2]) for x in lines], np.int64)
         all_words = hashes.of(list(chain.from_iterable(x[2] for x in lines)))
         ends = np.cumsum(counts)
-        at = np.flatnonzero(np.repeat(ends, counts) - np.arange(len(all_words)) >= size)  # where a full shingle starts
-        line = np.repeat(np.arange(len(lines)), counts)[at]
-        total = np.full(len(at), size, np.uint64)
-        for i in range(size):
-            total = mixed(total + all_words[at + i])
+        full = np.maximum(counts - size + 1, 0)  # shingles of each line
+        at = np.arange(full.sum()) + np.repeat(ends - counts - (np.cumsum(full) - full), full)  # where they start
+        line = np.repeat(np.arange(len(lines)), full)
+        total = shingle_hashes(all_words, size)[at] if len(at) else np.empty(0, np.uint64)
         short = np.flatnonzero(counts < size)
         whole = [shingle_hashes(all_words[ends[i] - counts[i]:ends[i]], size)[0] for i in short]
         self.hash = np.concatenate([total, np.array(whole, np.uint64)])
@@ -129,12 +132,16 @@ def _confirmed(pairs: DataFrame, line_texts: DataFrame, size: int, num: int, den
     """Of pairs of lines ``(doc_id, line, doc_2, line_2)`` the first lines of those that are similar enough."""
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        tokens = lambda data: np.unique(shingle_hashes(hashes.of(data.lower().split()), size))
+
+        @lru_cache(maxsize=4_096)
+        def tokens(data: bytes) -> frozenset[int]:
+            return frozenset(shingle_hashes(hashes.of(data.lower().split()), size).tolist())
+
         for batch in batches:
             good = []
             for x, y in zip(utf8(batch.column(2)), utf8(batch.column(3)), strict=True):
                 a, b = tokens(x), tokens(y)
-                common = len(np.intersect1d(a, b, assume_unique=True))
+                common = len(a & b)
                 good.append(den * common >= num * (len(a) + len(b) - common))
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
@@ -143,20 +150,54 @@ def _confirmed(pairs: DataFrame, line_texts: DataFrame, size: int, num: int, den
     return rows.select("doc_id", "line", "text", "text_2").mapInArrow(confirm, "doc_id long, line int").distinct()
 
 
-def _known(line_texts: DataFrame, size: int) -> DataFrame:
-    """``(doc_id, line, known)``: how many shingles of each line another of these lines has too."""
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _earlier_within(table: pa.Table, num: int, den: int) -> pa.Table:
+    """Open lines of two blocks of one list that an earlier line of them is similar to.
+
+    All intersections come from products of 0/1 matrices, a few shingles at a time; only shingles that several lines have
+    take part.
+    """
+    doc, line = (table.column(c).to_numpy() for c in ("doc_id", "line"))
+    order = np.lexsort((line, doc))
+    doc, line, still = doc[order], line[order], table.column("still").to_numpy()[order]
+    sets = [np.frombuffer(table.column("s")[i].as_py(), np.uint64) for i in order.tolist()]
+    n = np.array([len(x) for x in sets])
+    asks = np.flatnonzero(still)
+    _, shingle, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = count[shingle] > 1
+    number = np.cumsum(count > 1) - 1
+    column, row = number[shingle[shared]], np.repeat(np.arange(len(sets)), n)[shared]
+    by_column = np.argsort(column, kind="stable")
+    column, row = column[by_column], row[by_column]
+    common = np.zeros((len(asks), len(sets)), np.float32)
+    for at in range(0, int(number[-1]) + 1, _COLUMNS):
+        a, b = np.searchsorted(column, (at, at + _COLUMNS))
+        has = np.zeros((len(sets), _COLUMNS), np.float32)
+        has[row[a:b], column[a:b] - at] = 1
+        common += has[asks] @ has.T
+    common = common.astype(np.int64)
+    similar = den * common >= num * (n[asks][:, None] + n[None, :] - common)
+    similar &= (doc[None, :] < doc[asks][:, None]) | ((doc[None, :] == doc[asks][:, None]) & (line[None, :] < line[asks][:, None]))
+    found = asks[similar.any(axis=1)]
+    return pa.table([pa.array(doc[found]), pa.array(line[found])], ["doc_id", "line"])
+
+
+def _block_matches(lists: DataFrame, line_texts: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """Open lines with an earlier similar one, within long lists ``(token, doc_id, line, length, still)``."""
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            sets = [np.unique(shingle_hashes(hashes.of(t.lower().split()), size)) for t in utf8(batch.column(2))]
-            of = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0).take(pa.array(of)), batch.column(1).take(pa.array(of)),
-                pa.array(signed(np.concatenate(sets)) if sets else [], pa.int64())], ["doc_id", "line", "token"])
+            found = [np.unique(shingle_hashes(hashes.of(t.lower().split()), size)).tobytes() for t in utf8(batch.column(2))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], ["doc_id", "line", "s"])
 
-    rows = line_texts.mapInArrow(cut, "doc_id long, line int, token long")
-    again = rows.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").drop("c")
-    return rows.join(again, "token").groupBy("doc_id", "line").agg(F.count("*").alias("known"))
+    of_line = line_texts.join(lists.select("doc_id", "line").distinct(), ["doc_id", "line"], "left_semi").select(
+        "doc_id", "line", "text").mapInArrow(sets, "doc_id long, line int, s binary")
+    blocks = F.ceil(F.col("length") / BLOCK)
+    dealt = lists.withColumn("own", F.pmod(F.xxhash64("doc_id", "line"), blocks)).withColumn(
+        "other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    return (
+        dealt.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "doc_id", "line", "still")
+        .join(of_line, ["doc_id", "line"]).groupBy("token", "i", "j")
+        .applyInArrow(lambda table: _earlier_within(table, num, den), "doc_id long, line int"))
 
 
 def kept_lines(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
@@ -167,27 +208,28 @@ def kept_lines(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
         .select("doc_id", "line", "n", "prefix"))
     posted = firsts.select("doc_id", "line", "n", F.posexplode("prefix").alias("place", "token"))
     lists = posted.groupBy("token").agg(F.count("*").alias("length"), F.min("doc_id").alias("head")).where("length > 1")
-    listed = written(posted.join(lists, "token").select("token", "doc_id", "line", "n", "place", "head"))
+    listed = written(posted.join(lists, "token").select("token", "doc_id", "line", "n", "place", "head", "length"))
     line_texts = written(_line_texts(docs, listed.select("doc_id", "line").distinct()))
 
-    def pairs(x: DataFrame, y: DataFrame, more: str = "true") -> DataFrame:
+    def pairs(x: DataFrame, y: DataFrame) -> DataFrame:
         """Of lines that share a prefix token, those that come later with those that come earlier."""
-        least = f"{num} * (x.n + y.n)"
         return (
             x.alias("x").join(y.alias("y"), "token")
             .where("(y.doc_id < x.doc_id OR y.doc_id = x.doc_id AND y.line < x.line)")
             .where(f"{den} * least(x.n, y.n) >= {num} * greatest(x.n, y.n)")
-            .where(f"{num + den} * least(x.n - x.place, y.n - y.place) >= {least}").where(more.replace("least_common", least))
+            .where(f"{num + den} * least(x.n - x.place, y.n - y.place) >= {num} * (x.n + y.n)")
             .selectExpr("x.doc_id", "x.line", "y.doc_id AS doc_2", "y.line AS line_2").distinct())
 
     gone = written(_confirmed(pairs(listed, listed.where("doc_id = head")), line_texts, size, num, den))
-    left = listed.join(gone, ["doc_id", "line"], "left_anti")
-    known = written(_known(line_texts, size).where("known > 0"))
-    able = listed.join(known, ["doc_id", "line"]).where(f"{den} * known >= {num} * n").where("doc_id <> head")
-    still = left.join(known, ["doc_id", "line"]).where(f"{den} * known >= {num} * n")
-    rest = pairs(still, able, f"{num + den} * least(x.known, y.known) >= least_common")
-    gone = gone.union(written(_confirmed(rest, line_texts, size, num, den)))
-    return firsts.select("doc_id", "line").join(gone, ["doc_id", "line"], "left_anti")
+    marked = listed.where("length > 2").join(gone.withColumn("gone", F.lit(True)), ["doc_id", "line"], "left").withColumn(
+        "still", F.col("gone").isNull())
+    short, rest = F.col("length") <= SHORT, F.col("doc_id") != F.col("head")
+    more = _confirmed(pairs(marked.where(short & F.col("still")), listed.where(short & rest)), line_texts, size, num, den)
+    long = marked.where(~short & rest)
+    asking = long.where("still").select("token").distinct()
+    long = written(long.join(asking, "token").select("token", "doc_id", "line", "length", "still"))
+    gone = gone.union(written(more.union(_block_matches(long, line_texts, size, num, den))))
+    return firsts.select("doc_id", "line").join(gone.distinct(), ["doc_id", "line"], "left_anti")
 
 
 def without_similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, num: int = 75,

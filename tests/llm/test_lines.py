@@ -48,8 +48,10 @@ def corpus(seed):
     return rows
 
 
-@pytest.mark.parametrize("seed", range(2))
-def test_against_all_pairs(documents, seed):
+@pytest.mark.parametrize(("seed", "short", "block"), [(0, 32, 1024), (1, 2, 1024), (2, 2, 4)])
+def test_against_all_pairs(documents, seed, short, block, monkeypatch):
+    monkeypatch.setattr(lines, "SHORT", short)
+    monkeypatch.setattr(lines, "BLOCK", block)
     rows = corpus(seed)
     assert found(documents(rows)) == brute(rows)
 
