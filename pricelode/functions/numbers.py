@@ -1,4 +1,4 @@
-"""Rounding that does not depend on the order in which sums were taken."""
+"""Rounding of published numbers."""
 
 from __future__ import annotations
 
@@ -7,6 +7,6 @@ from pyspark.sql import functions as F
 
 
 def rounded(c: Column | str, digits: int) -> Column:
-    """Halves go away from zero, also when the last bit of the sum falls just short of the half."""
+    """Rounded in decimals with halves away from zero: ten digits of the value count, not the last bits of a sum."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.round(c + F.signum(c) * 1e-9, digits)
+    return F.coalesce(F.round(c.try_cast("decimal(38,10)"), digits).cast("double"), F.round(c, digits))

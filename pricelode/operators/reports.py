@@ -111,13 +111,12 @@ def class_summary(annotated: DataFrame) -> DataFrame:
 
 
 def price_trend(df: DataFrame, days: int = 90) -> DataFrame:
-    """Last price of each day within ``days`` of the drug's newest transaction (inclusive)."""
-    span = F.expr(f"INTERVAL {int(days)} DAYS")
-    cutoff = df.groupBy("drug_id").agg((F.max("transaction_date") - span).alias("cutoff"))
-    # Only the recent rows are ordered, and those by day.
-    recent = df.join(cutoff, "drug_id").where("transaction_date >= cutoff")
+    """Last price of each day within ``days`` of the drug's newest transaction (inclusive): one scan, then a row per day."""
     last = F.max(F.struct("transaction_date", "txn_id", "actual_price"))
-    return recent.groupBy("drug_id", F.to_date("transaction_date").alias("day")).agg(last.alias("last")).select(
+    daily = df.groupBy("drug_id", F.to_date("transaction_date").alias("day")).agg(last.alias("last"))
+    newest = F.max("last.transaction_date").over(Window.partitionBy("drug_id"))  # as many rows as the drug has days
+    recent = F.col("last.transaction_date") >= F.col("newest") - F.expr(f"INTERVAL {int(days)} DAYS")
+    return daily.withColumn("newest", newest).where(recent).select(
         "drug_id", "day", rounded("last.actual_price", 2).alias("actual_price"))
 
 
@@ -198,28 +197,11 @@ def top_anomalies(annotated: DataFrame, per_drug: int = 5) -> DataFrame:
         .where(F.col("place") <= per_drug)
 
 
-# Actions by anomaly type; any other type takes the default.
-ACTIONS = {
-    "wac_breach": "Raise with the pricing committee and audit the pharmacy's WAC billing.",
-    "asp_wac_violation": "Check Part B billing; a notice to CMS may be due.",
-    "340b_ceiling_breach": "Start a regulatory review and inform the 340B team at once.",
-    "gtn_floor_breach": "Look for stacked rebates and re-read the contract terms.",
-    "margin_critical": "Review the margin urgently and verify the claims data.",
-}
-DEFAULT_ACTION = "Queue for the regular review."
-
-
-def action_for(anomaly_type: str | Column = "anomaly_type") -> Column:
-    kind = F.col(anomaly_type) if isinstance(anomaly_type, str) else anomaly_type
-    texts = F.create_map(*[F.lit(x) for pair in ACTIONS.items() for x in pair])
-    return F.coalesce(F.element_at(texts, kind), F.lit(DEFAULT_ACTION))
-
-
-def suggest_actions(annotated: DataFrame) -> DataFrame:
-    """Per drug and anomaly type found on it: how often, how severe at worst, and what to do."""
+def suggest_actions(annotated: DataFrame, actions: dict[str, str], other: str) -> DataFrame:
+    """Per drug and anomaly type found on it: how often, how severe at worst, and what the caller's table of actions says."""
     cells = annotated.where(_found()).groupBy("drug_id", "anomaly_type").agg(
         F.count("*").alias("findings"), F.min(severity_rank()).alias("rank"))
-    severity = F.element_at(
-        F.create_map(*[F.lit(x) for k, v in schema.SEVERITY_RANK.items() for x in (v, k)]), F.col("rank"))
-    return cells.select(
-        "drug_id", "anomaly_type", "findings", severity.alias("worst_severity"), action_for().alias("action"))
+    table = lambda pairs: F.create_map(*[F.lit(x) for pair in pairs for x in pair])
+    severity = F.element_at(table((v, k) for k, v in schema.SEVERITY_RANK.items()), F.col("rank"))
+    action = F.coalesce(F.element_at(table(actions.items()), F.col("anomaly_type")), F.lit(other)) if actions else F.lit(other)
+    return cells.select("drug_id", "anomaly_type", "findings", severity.alias("worst_severity"), action.alias("action"))

@@ -60,31 +60,29 @@ def annotate_price_history(df: DataFrame) -> DataFrame:
     })
 
 
-def validate_price_history(df: DataFrame) -> list[str]:
-    """Contract errors of a price history; an empty list means valid."""
-    errors = []
-    missing = schema.missing_columns(df, schema.PRICE_HISTORY_REQUIRED)
-    if missing:
-        errors.append(f"Missing required columns: {', '.join(missing)}")
-    checks = {
-        name: check for name, check in {
-            "wac_per_unit": ("wac_per_unit contains negative values.", F.col("wac_per_unit") < 0),
-            "gross_to_net_pct": ("gross_to_net_pct must be between 0 and 1.",
-                                 ~F.col("gross_to_net_pct").between(0, 1)),
-        }.items() if name in df.columns
-    }
-    if checks:
-        bad = df.agg(*[F.count_if(predicate).alias(name) for name, (_, predicate) in checks.items()]).first()
-        errors += [message for name, (message, _) in checks.items() if bad[name]]
-    return errors
+def value_checks(df: DataFrame, checks: list[tuple[str, str, Column]]) -> DataFrame:
+    """``(check_name, column_name, bad_rows)`` from one scan: how many rows break each ``(check, column, predicate)``."""
+    counted = df.agg(*[F.count_if(bad).alias(f"c{i}") for i, (_, _, bad) in enumerate(checks)])
+    rows = [F.struct(F.lit(name).alias("check_name"), F.lit(column).alias("column_name"), F.col(f"c{i}").alias("bad_rows"))
+            for i, (name, column, _) in enumerate(checks)]
+    return counted.select(F.inline(F.array(*rows)))
+
+
+def validate_price_history(df: DataFrame) -> DataFrame:
+    """The checks of a price history. A required column that is missing counts every row; an optional one is not checked."""
+    checks = [("missing", c, F.lit(True) if c not in df.columns else F.lit(False)) for c in schema.PRICE_HISTORY_REQUIRED]
+    if "wac_per_unit" in df.columns:
+        checks.append(("negative", "wac_per_unit", F.col("wac_per_unit") < 0))
+    if "gross_to_net_pct" in df.columns:
+        checks.append(("outside_0_1", "gross_to_net_pct", ~F.col("gross_to_net_pct").between(0, 1)))
+    return value_checks(df, checks)
 
 
 def contract_violations(df: DataFrame) -> DataFrame:
-    """The same value checks counted in one pass over a transaction table, one row per check."""
+    """The checks of a transaction table."""
     gtn = F.try_divide(F.col("wac_price") - F.col("gtn_price"), F.col("wac_price"))
-    counted = df.agg(
-        F.count_if(F.col("wac_price") < 0).alias("negative_wac"),
-        F.count_if(~gtn.between(0, 1)).alias("gtn_out_of_range"),
-        F.count_if(F.col("drug_id").isNull() | F.col("pharmacy_id").isNull()).alias("missing_key"),
-    )
-    return counted.unpivot([], ["negative_wac", "gtn_out_of_range", "missing_key"], "check_name", "bad_rows")
+    return value_checks(df, [
+        ("negative_wac", "wac_price", F.col("wac_price") < 0),
+        ("gtn_out_of_range", "gtn_price", ~gtn.between(0, 1)),
+        ("missing_key", "drug_id, pharmacy_id", F.col("drug_id").isNull() | F.col("pharmacy_id").isNull()),
+    ])

@@ -13,23 +13,23 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-MAX_HOT_KEYS = 10_000
+from pricelode.plans.durable import checkpointed
+
 LANES = 4_096
 
 
 def find_hot_keys(
     df: DataFrame, keys: list[str], row_id: str, one_in: int = 1_000, min_sampled: int = 1_000,
 ) -> DataFrame | None:
-    """Keys with about ``one_in * min_sampled`` rows or more, the largest first; None if there are none."""
+    """Keys with about ``one_in * min_sampled`` rows or more; None if there are none. There are at most as many as the
+    table has rows for; they are written once and joined like any table."""
     sampled = df if one_in == 1 else df.where(F.pmod(F.xxhash64(row_id), F.lit(one_in)) == 0)
     rows = (
         sampled.dropna(subset=keys).groupBy(*keys).agg(F.count("*").alias("n"))
-        .where(F.col("n") >= min_sampled)
-        .orderBy(F.desc("n"), *keys).limit(MAX_HOT_KEYS)
-        .select(*keys)
+        .where(F.col("n") >= min_sampled).select(*keys)
     )
-    found = rows.collect()
-    return df.sparkSession.createDataFrame(found, rows.schema) if found else None
+    found = checkpointed(rows)
+    return None if found.isEmpty() else found
 
 
 def over_ordered(
@@ -65,7 +65,6 @@ def over_ordered(
     if hot is None:
         return windowed(laned, keys).drop("_lane")
 
-    hot = F.broadcast(hot)  # at most MAX_HOT_KEYS rows
     cold_part = windowed(laned.join(hot, keys, "left_anti"), keys).drop("_lane")
 
     rows = laned.join(hot, keys, "left_semi").withColumn("_slice", F.to_date(slice_by))

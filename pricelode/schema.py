@@ -34,6 +34,7 @@ REQUIRED = [
     "gtn_price", "actual_price", "margin_percent", "volume_units",
 ]
 
+# Columns of a price history and of the results.
 PRICE_HISTORY_REQUIRED = ["ndc", "brand_name", "period", "wac_per_unit"]
 
 RESULT_COLUMNS = [
@@ -43,20 +44,7 @@ RESULT_COLUMNS = [
     "description", "recommended_action",
 ]
 
-# Anomaly types with their precedence, most important first.
-TYPE_PRIORITY = {
-    "wac_breach": 10,
-    "asp_wac_violation": 9,
-    "340b_ceiling_breach": 8,
-    "gtn_floor_breach": 7,
-    "margin_critical": 6,
-    "isolation_forest": 5,
-    "lof_outlier": 4,
-    "mom_spike": 3,
-    "mom_drop": 2,
-    "zscore_outlier": 1,
-    "iqr_outlier": 1,
-}
+# Fixed values.
 REGULATORY_TYPES = [
     "wac_breach", "asp_wac_violation", "340b_ceiling_breach", "gtn_floor_breach", "margin_critical",
 ]

@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-from pricelode.operators.reports import ACTIONS, DEFAULT_ACTION
-from pricelode.text.chunk import WHITESPACE
-from registry.queries import ADHOC
-
 FACT = """
 fact AS (
   SELECT *, amp_price * 1.03 AS nadac_price, (asp_price - actual_price) / asp_price * 100 AS margin_percent FROM (
@@ -100,6 +96,9 @@ res AS (SELECT * FROM fact JOIN found USING (txn_id)),
 ann AS (SELECT * FROM fact LEFT JOIN found USING (txn_id)),
 ranks AS (SELECT *, CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END AS rank FROM res)"""
 
+# What counts as white space around a chunk.
+WHITESPACE = '\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000'
+
 CHUNKS = f"""
 docs AS (SELECT doc_id, trim(text, '{WHITESPACE}') AS t, lang, source FROM documents),
 cuts AS (SELECT doc_id, lang, source, s, trim(substring(t, CAST(s + 1 AS INT), 400), '{WHITESPACE}') AS text
@@ -122,8 +121,8 @@ history AS (SELECT *, round(amp * (1.0 - 0.2302), 4) AS ceiling_340b,
 ORACLES: dict[str, str] = {}
 
 
-def nudged(sql: str) -> str:
-    """``round(e, d)`` with halves settled away from zero, as the queries do before they compare."""
+def decimal(sql: str) -> str:
+    """``round(e, digits)`` taken in decimals, where a half is a half in every engine."""
     out, rest = "", sql
     while "round(" in rest:
         head, rest = rest.split("round(", 1)
@@ -134,19 +133,17 @@ def nudged(sql: str) -> str:
             depth += (ch == "(") - (ch == ")")
             if ch == "," and depth == 0:
                 comma = end
-        inside = rest[:end]
-        rest = rest[end + 1:]
+        inside, rest = rest[:end], rest[end + 1:]
         if comma is None:
-            out += f"{head}round({nudged(inside)})"
+            out += f"{head}round({decimal(inside)})"
         else:
-            e, digits = nudged(inside[:comma]), inside[comma + 1:]
-            out += f"{head}round({e} + sign({e}) * 1e-9,{digits})"
+            out += f"{head}CAST(round(CAST({decimal(inside[:comma])} AS DECIMAL(38, 10)),{inside[comma + 1:]}) AS DOUBLE)"
     return out + rest
 
 
 def on(*parts: str, **queries: str) -> None:
     prefix = "WITH " + ",".join(parts) + "\n" if parts else ""
-    ORACLES.update({name: nudged(prefix + sql) for name, sql in queries.items()})
+    ORACLES.update({name: decimal(prefix + sql) for name, sql in queries.items()})
 
 
 def rounded(names: str, digits: int = 6) -> str:
@@ -213,14 +210,17 @@ on(
     benchmarks_long="\nUNION ALL ".join(
         f"SELECT drug_class, '{c}' AS benchmark, round(avg({c}), 4) AS avg_price FROM fact GROUP BY drug_class"
         for c in ("wac_price", "asp_price", "amp_price", "price_340b")),
-    **{f"{name}_box": f"""SELECT drug_class, round(min({c}), 6) AS low, round(quantile_cont({c}, 0.25), 6) AS q1,
+    **{name: f"""SELECT {by}, round(min({c}), 6) AS low, round(quantile_cont({c}, 0.25), 6) AS q1,
         round(quantile_cont({c}, 0.5), 6) AS median, round(quantile_cont({c}, 0.75), 6) AS q3, round(max({c}), 6) AS high
-        FROM fact GROUP BY drug_class""" for name, c in (("margin", "margin_percent"), ("wac", "wac_price"))},
-    gtn_histogram=f"""SELECT bin, round(lo + bin * w, 4) AS low, round(lo + (bin + 1) * w, 4) AS high, n FROM (
-        SELECT CAST(least(floor((v - lo) / w), 29) AS INT) AS bin, lo, w, count(*) AS n
-        FROM (SELECT least(greatest({PCT} * 100, 0), 100) AS v FROM fact),
-             (SELECT lo, (hi - lo) / 30 AS w FROM (SELECT min(v) AS lo, max(v) AS hi FROM (
-                SELECT least(greatest({PCT} * 100, 0), 100) AS v FROM fact))) GROUP BY ALL)""",
+        FROM fact GROUP BY {by}""" for name, by, c in (
+            ("margin_box", "drug_class", "margin_percent"), ("wac_box", "drug_class", "wac_price"),
+            ("wac_box_by_drug", "drug_id", "actual_price"))},
+    gtn_histogram=f"""SELECT bin, round(lo + bin * w, 4) AS low, round(lo + (bin + 1) * w, 4) AS high, count(v) AS n FROM
+        (SELECT bin, lo, w FROM (SELECT CAST(unnest(range(30)) AS INT) AS bin),
+           (SELECT lo, (hi - lo) / 30 AS w FROM (SELECT min(v) AS lo, max(v) AS hi FROM (
+              SELECT least(greatest({PCT} * 100, 0), 100) AS v FROM fact)))) b
+        LEFT JOIN (SELECT least(greatest({PCT} * 100, 0), 100) AS v FROM fact) f
+          ON CAST(least(floor((v - lo) / w), 29) AS INT) = bin GROUP BY bin, lo, w""",
     gtn_center=f"""SELECT round(avg(v), 4) AS mean_gtn, round(quantile_cont(v, 0.5), 4) AS median_gtn
         FROM (SELECT least(greatest({PCT} * 100, 0), 100) AS v FROM fact)""",
     class_pricing="""SELECT drug_class, round(avg(wac_price), 2) AS wac_mean, round(min(wac_price), 2) AS wac_min,
@@ -308,7 +308,10 @@ on(FACT, """
 transactions AS (SELECT * FROM fact),
 drugs AS (SELECT drug_id, min(drug_class) AS drug_class FROM fact GROUP BY drug_id),
 pharmacies AS (SELECT pharmacy_id, min(state) AS state FROM fact GROUP BY pharmacy_id)""",
-   adhoc_sql=f"SELECT drug_class, state, n, round(avg_margin, 6) AS avg_margin FROM ({ADHOC} LIMIT 20)")
+   adhoc_sql="""SELECT drug_class, state, n, round(avg_margin, 6) AS avg_margin FROM (
+     SELECT d.drug_class, p.state, count(*) AS n, avg(t.margin_percent) AS avg_margin
+     FROM transactions t JOIN drugs d USING (drug_id) JOIN pharmacies p USING (pharmacy_id)
+     GROUP BY d.drug_class, p.state)""")
 
 on(
     FACT, CATALOG,
@@ -321,10 +324,10 @@ on(
     class_counts="SELECT drug_class, count(*) AS n FROM catalog GROUP BY drug_class",
     manufacturer_counts="""SELECT manufacturer, count(*) AS n FROM catalog GROUP BY manufacturer
         ORDER BY n DESC, manufacturer LIMIT 10""",
-    wac_histogram="""SELECT bin, round(lo + bin * w, 4) AS low, round(lo + (bin + 1) * w, 4) AS high, n FROM (
-        SELECT CAST(least(floor((wac_mean - lo) / w), 19) AS INT) AS bin, lo, w, count(*) AS n
-        FROM catalog, (SELECT lo, (hi - lo) / 20 AS w FROM (
-          SELECT min(wac_mean) AS lo, max(wac_mean) AS hi FROM catalog)) GROUP BY ALL)""",
+    wac_histogram="""SELECT bin, round(lo + bin * w, 4) AS low, round(lo + (bin + 1) * w, 4) AS high, count(wac_mean) AS n FROM
+        (SELECT bin, lo, w FROM (SELECT CAST(unnest(range(20)) AS INT) AS bin),
+           (SELECT lo, (hi - lo) / 20 AS w FROM (SELECT min(wac_mean) AS lo, max(wac_mean) AS hi FROM catalog))) b
+        LEFT JOIN catalog ON CAST(least(floor((wac_mean - lo) / w), 19) AS INT) = bin GROUP BY bin, lo, w""",
 )
 
 on(
@@ -335,6 +338,10 @@ on(
         CAST(reason IS NOT NULL AS DOUBLE) AS anomaly_score FROM (
           SELECT *, CASE WHEN best_price > amp THEN 'bp_exceeds_amp'
             WHEN ceiling_340b < 0 THEN 'negative_340b_ceiling' END AS reason FROM history)""",
+    validate_price_history="""SELECT 'missing' AS check_name, unnest(['ndc', 'brand_name', 'period', 'wac_per_unit']) AS column_name,
+          0 AS bad_rows
+        UNION ALL SELECT 'negative', 'wac_per_unit', count(*) FILTER (wac_per_unit < 0) FROM history
+        UNION ALL SELECT 'outside_0_1', 'gross_to_net_pct', count(*) FILTER (NOT gross_to_net_pct BETWEEN 0 AND 1) FROM history""",
 )
 
 on(FACT, ZSCORE, zscore="""SELECT txn_id, z_feature, round(z_max, 6) AS z_max,
@@ -354,7 +361,6 @@ on(
         CAST(1 AS DOUBLE) AS anomaly_score FROM ruled WHERE is_{t}"""
         for t in ("wac_breach", "asp_wac_violation", "340b_ceiling_breach", "gtn_floor_breach", "margin_critical")),
 )
-ACTION_CASES = " ".join(f"""WHEN '{t}' THEN '{a.replace("'", "''")}'""" for t, a in ACTIONS.items())
 
 on(
     FACT, ZSCORE, IQR, MOM, RULES, FLAGS, MERGED,
@@ -407,6 +413,9 @@ on(
         count(DISTINCT pharmacy_id) AS pharmacies, round(avg(wac_price), 4) AS avg_wac,
         round(avg(margin_percent), 4) AS avg_margin, round(count(anomaly_type) * 100.0 / count(*), 4) AS anomaly_rate,
         count(*) FILTER (severity = 'high') AS high_severity FROM ann""",
+    anomaly_history="""SELECT drug_id, txn_id, anomaly_type, severity, detection_method, round(anomaly_score, 6) AS anomaly_score
+        FROM res""",
+    filter_options="SELECT DISTINCT anomaly_type FROM res",
     severity_counts="SELECT severity, count(*) AS n FROM res GROUP BY severity",
     type_counts="SELECT anomaly_type, count(*) AS n FROM res GROUP BY anomaly_type",
     top_drugs="SELECT drug_name, count(*) AS n FROM res GROUP BY drug_name ORDER BY n DESC, drug_name LIMIT 10",
@@ -430,7 +439,8 @@ on(
         GROUP BY ALL""",
     suggest_action=f"""SELECT drug_id, anomaly_type, count(*) AS findings,
         CASE min(rank) WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS worst_severity,
-        CASE anomaly_type {ACTION_CASES} ELSE '{DEFAULT_ACTION}' END AS action
+        CASE WHEN anomaly_type = 'margin_critical' THEN 'team-b' WHEN anomaly_type IN ('wac_breach', 'asp_wac_violation',
+          '340b_ceiling_breach', 'gtn_floor_breach') THEN 'team-a' ELSE 'queue' END AS action
         FROM ranks GROUP BY drug_id, anomaly_type""",
     anomaly_top5=f"""SELECT drug_id, r AS place, txn_id, drug_name, anomaly_type, severity,
         {rounded('anomaly_score wac_price actual_price margin_percent')}, recommended_action, {DAY}
@@ -468,3 +478,8 @@ on(
     history_tail="""SELECT conv_id, turn, role, text FROM (
         SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) WHERE r <= 6""",
 )
+
+# The same answers by the routes that only large tables take.
+for _name, _like in (("lof_drugs_leaves", "lof_drugs"), ("mom_hot", "mom"), ("zscore_rolling_hot", "zscore_rolling"),
+                     ("vector_topk_cells", "vector_topk")):
+    ORACLES[_name] = ORACLES[_like]

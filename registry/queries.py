@@ -30,7 +30,7 @@ def plain(df: DataFrame, digits: int = 6) -> DataFrame:
     def tidy(field: T.StructField):
         c = F.col(f"`{field.name}`")
         if isinstance(field.dataType, T.DoubleType):
-            return rounded(c, digits).alias(field.name)
+            return F.coalesce(rounded(c, digits), c).alias(field.name)
         if isinstance(field.dataType, T.DateType):
             return formats.iso_date(c).alias(field.name)
         if isinstance(field.dataType, T.ArrayType):
@@ -122,8 +122,7 @@ ADHOC = """
 
 @query()
 def adhoc_sql(spark, folder):
-    adhoc.register(tables.star_schema(pricing_fact(spark, folder)))
-    return adhoc.query(spark, ADHOC)
+    return adhoc.query(spark, ADHOC, tables.star_schema(pricing_fact(spark, folder)))
 
 
 # Projections, filters, predicates
@@ -159,7 +158,7 @@ def rule_flags(fact):
 
 @on_fact()
 def validate_contract(fact):
-    return rules.contract_violations(fact)
+    return rules.contract_violations(fact).drop("column_name")
 
 
 @on_results()
@@ -264,6 +263,11 @@ def wac_box(fact):
     return dashboard.five_numbers(fact, "wac_price")
 
 
+@on_fact()
+def wac_box_by_drug(fact):
+    return dashboard.five_numbers(fact, "actual_price", "drug_id")
+
+
 @on_results()
 def method_coverage(found):
     return dashboard.method_coverage(found)
@@ -356,7 +360,9 @@ def label_overlap(annotated):
 
 @on_annotated()
 def suggest_action(annotated):
-    return reports.suggest_actions(annotated)
+    ruled = ("wac_breach", "asp_wac_violation", "340b_ceiling_breach", "gtn_floor_breach")
+    return reports.suggest_actions(annotated, {"margin_critical": "team-b"} | dict.fromkeys(ruled, "team-a"), "queue")
+
 
 
 # Ordered operators
@@ -371,6 +377,17 @@ def causal_summary(fact):
     return causal.causal_summary(fact)
 
 
+@on_annotated()
+def anomaly_history(annotated):
+    return reports.anomaly_history(annotated).select(
+        "drug_id", "txn_id", "anomaly_type", "severity", "detection_method", "anomaly_score")
+
+
+@on_results()
+def filter_options(found):
+    return dashboard.filter_options(found, "anomaly_type")
+
+
 @on_annotated()
 def anomaly_top5(annotated):
     return reports.top_anomalies(annotated).select(
@@ -415,6 +432,19 @@ def mom(fact):
         "txn_id", F.col("mom_type").alias("anomaly_type"), F.col("mom_score").alias("anomaly_score"))
 
 
+@on_fact()
+def mom_hot(fact):
+    rows = timeseries.mom_flags(fact, one_in=1, min_sampled=3)
+    return rows.where("mom_type is not null").select(
+        "txn_id", F.col("mom_type").alias("anomaly_type"), F.col("mom_score").alias("anomaly_score"))
+
+
+@on_fact(4)
+def zscore_rolling_hot(fact):
+    rows = timeseries.rolling_zscore(fact, one_in=1, min_sampled=20)
+    return rows.select("txn_id", "rolling_mean", "z", "is_spike")
+
+
 @on_fact()
 def regulatory(fact):
     return rules.violations(fact, ["txn_id"])
@@ -447,6 +477,12 @@ def lof_drugs(fact):
     return lof.join_factors(points, lof.factors(points)).select("drug_id", F.col("lof_raw").alias("factor"))
 
 
+@on_fact(4)
+def lof_drugs_leaves(fact):
+    points = drug_points(fact)
+    return lof.join_factors(points, lof.factors(points, leaf_rows=64)).select("drug_id", F.col("lof_raw").alias("factor"))
+
+
 @on_fact()
 def robust_scale(fact):
     scaled = statistical.robust_scale(fact, lof.FEATURES)
@@ -502,6 +538,11 @@ def extra_rules(fact):
     return found.select("ndc", "period", "anomaly", "anomaly_reason", "anomaly_score")
 
 
+@on_fact()
+def validate_price_history(fact):
+    return rules.validate_price_history(history.price_history(fact))
+
+
 @on_fact(4)
 def ceiling_340b(fact):
     return fact.select(
@@ -551,11 +592,20 @@ def tfidf_embed(spark, folder):
 
 @query()
 def vector_topk(spark, folder):
+    return closest_to_means(spark, folder)
+
+
+@query()
+def vector_topk_cells(spark, folder):
+    return closest_to_means(spark, folder, max_broadcast=3, rows_per_cell=100)
+
+
+def closest_to_means(spark: SparkSession, folder: str, **options) -> DataFrame:
     """The vectors closest to the mean vector of each label."""
     store = spread_table(spark, folder, "embeddings")
     means = store.groupBy("label").agg(Summarizer.mean(array_to_vector("embedding")).alias("m")).select(
         F.col("label").alias("query_id"), vector_to_array("m").alias("embedding"))
-    return search.top_k(store, means, 4, id_col="vec_id").select("query_id", "id", "place", "similarity")
+    return search.top_k(store, means, 4, id_col="vec_id", **options).select("query_id", "id", "place", "similarity")
 
 
 def retrieved(spark: SparkSession, folder: str) -> DataFrame:

@@ -135,9 +135,10 @@ def test_price_history_rules_and_contract(spark):
            "best_price double, amp double, ceiling_340b double"
     good = ("1", "x", "2024-01", 10.0, 0.4, 8.0, 9.0, 5.0)
     df = spark.createDataFrame([good, ("2", "x", "2024-01", -1.0, 1.5, 13.5, 9.0, -10.0)], cols)
-    assert rules.validate_price_history(df.where("ndc = '1'")) == []
-    assert len(rules.validate_price_history(df)) == 2
-    assert any("Missing" in e for e in rules.validate_price_history(df.drop("period")))
+    bad = lambda frame: {(r[0], r[1]): r[2] for r in rules.validate_price_history(frame).collect() if r[2]}
+    assert bad(df.where("ndc = '1'")) == {}
+    assert bad(df) == {("negative", "wac_per_unit"): 1, ("outside_0_1", "gross_to_net_pct"): 1}
+    assert bad(df.drop("period"))["missing", "period"] == 2
     rows = rules.annotate_price_history(df).orderBy("ndc").collect()
     assert [r["anomaly"] for r in rows] == [False, True] and rows[1]["anomaly_reason"] == "bp_exceeds_amp"
     only = rules.annotate_price_history(df.withColumn("best_price", F.lit(1.0))).where("anomaly").collect()

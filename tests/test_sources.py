@@ -61,22 +61,25 @@ def test_star_schema_and_adhoc_queries(spark, transactions, tmp_path):
     star = tables.load_star(spark, str(tmp_path))
     assert {k: v.count() for k, v in star.items()} == {"drugs": 2, "pharmacies": 2, "transactions": 3, "anomalies": 1}
     assert tables.star_join(star).count() == 3
-    adhoc.register(star)
-    assert adhoc.query(spark, "SELECT count(*) AS n FROM transactions;").first()["n"] == 3
-    assert adhoc.query(spark, "with t as (select * from drugs) select * from t").count() == 2
-    assert adhoc.query(spark, "SELECT a.tx_id FROM transactions a JOIN transactions b JOIN drugs", 5).count() == 5
-    assert adhoc.query(spark, "SELECT * FROM drugs WHERE drug_id = 'none'").isEmpty()
+    spark.range(7).createOrReplaceTempView("drugs")
+    assert adhoc.query(spark, "SELECT count(*) AS n FROM transactions;", star).first()["n"] == 3
+    assert adhoc.query(spark, "with t as (select * from drugs) select * from t", star).count() == 2
+    assert adhoc.query(spark, "SELECT a.tx_id FROM transactions a JOIN transactions b JOIN drugs", star, 5).count() == 5
+    assert adhoc.query(spark, "SELECT a.tx_id FROM transactions a JOIN transactions b JOIN transactions c", star).count() == 27
+    assert adhoc.query(spark, "SELECT * FROM drugs WHERE drug_id = 'none'", star).isEmpty()
+    assert spark.table("drugs").count() == 7 and not spark.catalog.tableExists("pharmacies")
+    spark.catalog.dropTempView("drugs")
 
 
 @pytest.mark.parametrize("sql", ["", "DROP TABLE drugs", "insert into drugs values (1)", "PRAGMA x"])
 def test_statements_that_are_no_query_are_refused(spark, sql):
     with pytest.raises(ValueError):
-        adhoc.query(spark, sql)
+        adhoc.query(spark, sql, {})
 
 
 def test_a_write_behind_a_with_does_not_parse(spark):
     with pytest.raises(Exception):
-        adhoc.query(spark, "WITH t AS (SELECT 1) INSERT INTO drugs SELECT * FROM t")
+        adhoc.query(spark, "WITH t AS (SELECT 1) INSERT INTO drugs SELECT * FROM t", {})
 
 
 class FakeSession:
