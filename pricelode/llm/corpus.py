@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +20,13 @@ SCHEMAS = {
     "embeddings": "vec_id long, embedding array<float>, label int",
 }
 
-#: Words whose hash a task remembers; beyond that they are hashed again.
-REMEMBERED = 400_000
+#: Bytes of text whose words are hashed together; a longer text is taken by itself.
+HASHED = 1 << 20
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_SPACE = np.zeros(256, bool)
+_SPACE[[32, *range(9, 14)]] = True
+_BASE = 0x9E3779B97F4A7C15
 _MIX_1, _MIX_2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -47,22 +53,60 @@ def utf8(column: pa.Array) -> Iterator[bytes | None]:
     return (v.as_py() for v in column.cast(pa.large_binary()))
 
 
-def words(text: bytes | None) -> list[bytes]:
-    """Runs of anything but ASCII white space, with A-Z in lower case."""
-    return text.lower().split() if text else []
-
-
-class WordHashes(dict):
-    """64-bit hashes of words, remembered up to a bound."""
-
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(word)
-        if len(self) < REMEMBERED:
-            self[word] = h
-        return h
-
-    def of(self, found: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, found), np.uint64, len(found))
+def chunks(column: pa.Array, most: int = HASHED) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """``(first row, bytes, bounds)``: a string column as runs of rows of about ``most`` bytes, nulls empty."""
+    column = column.cast(pa.large_binary()).fill_null(b"")
+    _, offsets, data = column.buffers()
+    bounds = np.frombuffer(offsets, np.int64)[column.offset:column.offset + len(column) + 1]
+    data = np.frombuffer(data, np.uint8) if data else np.empty(0, np.uint8)
+    row = 0
+    while row < len(column):
+        end = max(row + 1, int(np.searchsorted(bounds, bounds[row] + most, "right")) - 1)
+        yield row, data[bounds[row]:bounds[end]], bounds[row:end + 1] - bounds[row]
+        row = end
+
+
+@lru_cache(maxsize=2)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the hash base and of its inverse."""
+    one = np.ones(1, np.uint64)
+    return tuple(np.concatenate([one, np.cumprod(np.full(n, x, np.uint64))]) for x in (_BASE, pow(_BASE, -1, 2**64)))
+
+
+def words_in(data: np.ndarray, bounds: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """``(hashes, places)``: a hash per word of the rows that ``bounds`` cut ``data`` into, and where each row's words start.
+
+    Words are runs of anything but ASCII white space, none crosses rows; with ``lower`` A-Z count as a-z.
+    """
+    data = _LOWER[data] if lower else data
+    inside = np.zeros(len(data) + 2, np.int8)
+    inside[1:-1] = ~_SPACE[data]
+    step = np.diff(inside)
+    starts, ends = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+    cuts = np.unique(bounds[1:-1])
+    cuts = cuts[(inside[cuts] == 1) & (inside[cuts + 1] == 1)]  # rows that meet without white space
+    if len(cuts):
+        starts, ends = np.sort(np.concatenate([starts, cuts])), np.sort(np.concatenate([ends, cuts]))
+    hashes = np.empty(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):  # as many words as take up HASHED bytes, or one longer one
+        to = max(at + 1, int(np.searchsorted(ends, starts[at] + HASHED, "right")))
+        part = data[starts[at]:ends[to - 1]]
+        powers, inverses = _powers(max(HASHED, 1 << max(0, len(part) - 1).bit_length()))
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum((part + np.uint64(1)) * powers[:len(part)], out=sums[1:])
+        a, b = starts[at:to] - starts[at], ends[at:to] - starts[at]
+        hashes[at:to] = mixed(((sums[b] - sums[a]) * inverses[a]) ^ (b - a).astype(np.uint64) * _MIX_1)
+        at = to
+    return hashes, np.searchsorted(starts, bounds)
+
+
+def word_hashes(column: pa.Array, lower: bool = True) -> Iterator[np.ndarray]:
+    """The word hashes of each row of a string column; none for a null."""
+    for _, data, bounds in chunks(column):
+        hashes, places = words_in(data, bounds, lower)
+        for a, b in zip(places[:-1].tolist(), places[1:].tolist(), strict=True):
+            yield hashes[a:b]
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

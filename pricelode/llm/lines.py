@@ -13,8 +13,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,13 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pricelode.llm.corpus import WordHashes, carried_type, mixed, shingle_hashes, signed, texts, utf8
+from pricelode.llm.corpus import carried_type, chunks, mixed, shingle_hashes, signed, texts, utf8, word_hashes, words_in
 from pricelode.llm.steps import written
 
 #: Buckets of the rarity sketch: its size does not depend on the corpus.
 SKETCH = 1 << 16
-#: Words cut into shingles together; documents are added up to this many.
-WORDS = 500_000
 #: Longer lists are compared in blocks, of so many lines at most on average.
 SHORT, BLOCK = 32, 1_024
 _COLUMNS = 4_096
@@ -36,38 +32,37 @@ _SALT = np.uint64(0xD6E8FEB86659FD93)
 
 
 class Cut:
-    """The shingles of the lines of some documents: one hash per shingle, and the line it is from."""
-
-    def __init__(self, docs: list[tuple[int, list[list[bytes]]]], hashes: WordHashes, size: int):
-        lines = [(doc, i, found) for doc, cut in docs for i, found in enumerate(cut) if found]
-        self.doc = np.array([x[0] for x in lines], np.int64)
-        self.number = np.array([x[1] for x in lines], np.int32)
-        counts = np.array([len(x[2]) for x in lines], np.int64)
-        all_words = hashes.of(list(chain.from_iterable(x[2] for x in lines)))
-        ends = np.cumsum(counts)
-        full = np.maximum(counts - size + 1, 0)  # shingles of each line
-        at = np.arange(full.sum()) + np.repeat(ends - counts - (np.cumsum(full) - full), full)  # where they start
-        line = np.repeat(np.arange(len(lines)), full)
-        total = shingle_hashes(all_words, size)[at] if len(at) else np.empty(0, np.uint64)
+    """The shingles of the lines of some texts: one hash per shingle, and the line with words it is from."""
+
+    def __init__(self, docs: np.ndarray, data: np.ndarray, bounds: np.ndarray, size: int):
+        starts = np.unique(np.concatenate([bounds[:-1], np.flatnonzero(data == 10) + 1]))
+        starts = starts[starts < len(data)]  # a line that starts where its text ends has no words
+        hashes, places = words_in(data, np.append(starts, len(data)))
+        of = np.searchsorted(bounds[:-1], starts, "right") - 1  # of empty texts at the same place the last is not empty
+        number = np.arange(len(starts)) - np.searchsorted(starts, bounds[:-1])[of]
+        counts = np.diff(places)
+        full = np.flatnonzero(counts)
+        self.doc, self.number = docs[of[full]], number[full].astype(np.int32)
+        counts, first = counts[full], places[:-1][full]
+        several = np.maximum(counts - size + 1, 0)  # shingles of each line
+        at = np.arange(several.sum()) + np.repeat(first - (np.cumsum(several) - several), several)  # where they start
+        total = shingle_hashes(hashes, size)[at] if len(at) else np.empty(0, np.uint64)
         short = np.flatnonzero(counts < size)
-        whole = [shingle_hashes(all_words[ends[i] - counts[i]:ends[i]], size)[0] for i in short]
+        whole = [shingle_hashes(hashes[first[i]:first[i] + counts[i]], size)[0] for i in short]
         self.hash = np.concatenate([total, np.array(whole, np.uint64)])
-        self.line = np.concatenate([line, short])
+        self.line = np.concatenate([np.repeat(np.arange(len(full)), several), short])
 
 
 def _cuts(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[Cut]:
-    hashes = WordHashes()
     for batch in batches:
-        held, n = [], 0
-        for doc, data in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
-            if data and doc is not None:
-                held.append((doc, [x.split() for x in data.lower().split(b"\n")]))
-                n += len(data) // 6
-                if n >= WORDS:
-                    yield Cut(held, hashes, size)
-                    held, n = [], 0
-        if held:
-            yield Cut(held, hashes, size)
+        batch = batch.filter(batch.column(0).is_valid())
+        docs = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        for row, data, bounds in chunks(batch.column(1)):
+            yield Cut(docs[row:row + len(bounds) - 1], data, bounds, size)
+
+
+def _shingle_sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
+    return (np.unique(shingle_hashes(w, size)) for w in word_hashes(column))
 
 
 def rarity(docs: DataFrame, size: int) -> np.ndarray:
@@ -131,17 +126,10 @@ def _line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 def _confirmed(pairs: DataFrame, line_texts: DataFrame, size: int, num: int, den: int) -> DataFrame:
     """Of pairs of lines ``(doc_id, line, doc_2, line_2)`` the first lines of those that are similar enough."""
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-
-        @lru_cache(maxsize=4_096)
-        def tokens(data: bytes) -> frozenset[int]:
-            return frozenset(shingle_hashes(hashes.of(data.lower().split()), size).tolist())
-
         for batch in batches:
             good = []
-            for x, y in zip(utf8(batch.column(2)), utf8(batch.column(3)), strict=True):
-                a, b = tokens(x), tokens(y)
-                common = len(a & b)
+            for a, b in zip(*(_shingle_sets(batch.column(i), size) for i in (2, 3)), strict=True):
+                common = len(np.intersect1d(a, b, assume_unique=True))
                 good.append(den * common >= num * (len(a) + len(b) - common))
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
@@ -184,9 +172,8 @@ def _earlier_within(table: pa.Table, num: int, den: int) -> pa.Table:
 def _block_matches(lists: DataFrame, line_texts: DataFrame, size: int, num: int, den: int) -> DataFrame:
     """Open lines with an earlier similar one, within long lists ``(token, doc_id, line, length, still)``."""
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
-            found = [np.unique(shingle_hashes(hashes.of(t.lower().split()), size)).tobytes() for t in utf8(batch.column(2))]
+            found = [x.tobytes() for x in _shingle_sets(batch.column(2), size)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], ["doc_id", "line", "s"])
 
     of_line = line_texts.join(lists.select("doc_id", "line").distinct(), ["doc_id", "line"], "left_semi").select(

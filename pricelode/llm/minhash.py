@@ -24,7 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pricelode.llm.components import components
-from pricelode.llm.corpus import WordHashes, mixed, set_key, shingle_hashes, signed, texts, utf8, words
+from pricelode.llm.corpus import mixed, set_key, shingle_hashes, signed, texts, word_hashes
 from pricelode.llm.steps import written
 
 COORDINATES = 32
@@ -37,8 +37,9 @@ SHORT, BLOCK = 32, 1_024
 _BLOCK = 4_096
 
 
-def shingle_set(data: bytes | None, hashes: WordHashes, size: int) -> np.ndarray:
-    return np.unique(shingle_hashes(hashes.of(words(data)), size))
+def shingle_sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
+    """The set of each text: sorted hashes of its runs of ``size`` words."""
+    return (np.unique(shingle_hashes(w, size)) for w in word_hashes(column))
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
@@ -55,9 +56,8 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 def signatures(docs: DataFrame, size: int = 5) -> DataFrame:
     """``(doc_id, n_shingles, k1, k2, signature)``: set size, 128 bits for the set, and its minima; null without shingles."""
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
-            sets = [shingle_set(d, hashes, size) for d in utf8(batch.column(1))]
+            sets = list(shingle_sets(batch.column(1), size))
             keys = [set_key(s) if len(s) else (None, None) for s in sets]
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([k[0] for k in keys], pa.int64()),
@@ -92,15 +92,11 @@ def _counted(pairs: DataFrame, reps: DataFrame) -> DataFrame:
 def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
     """Of ``pairs(a, b)`` of classes those whose full sets are similar enough."""
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, last, kept = WordHashes(), None, np.empty(0, np.uint64)
         for batch in batches:
             good = []
-            for a, x, y in zip(batch.column(0).to_pylist(), utf8(batch.column(2)), utf8(batch.column(3)), strict=True):
-                if a != last:
-                    last, kept = a, shingle_set(x, hashes, size)
-                other = shingle_set(y, hashes, size)
-                common = len(np.intersect1d(kept, other, assume_unique=True))
-                good.append(den * common >= num * (len(kept) + len(other) - common))
+            for x, y in zip(*(shingle_sets(batch.column(i), size) for i in (2, 3)), strict=True):
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(den * common >= num * (len(x) + len(y) - common))
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
     one = docs.select(F.col("doc_id").alias("a"), F.col("text").alias("x"))
@@ -111,10 +107,8 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, num: int, den: int)
 def _known(docs: DataFrame, size: int) -> DataFrame:
     """``(cls, known)``: how many shingles of each of ``docs`` another of them has too."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
-            for doc, data in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
-                s = shingle_set(data, hashes, size)
+            for doc, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), size), strict=True):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), doc)), pa.array(signed(s))], ["cls", "shingle"])
 
     rows = docs.mapInArrow(cut, "cls long, shingle long")
@@ -169,9 +163,8 @@ def _links_within(table: pa.Table, num: int, den: int) -> pa.Table:
 def _block_links(lists: DataFrame, docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
     """Links between components within long lists ``(key, cls, component, members)``."""
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
-            found = [shingle_set(d, hashes, size).tobytes() for d in utf8(batch.column(1))]
+            found = [x.tobytes() for x in shingle_sets(batch.column(1), size)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["cls", "s"])
 
     wanted = lists.select(F.col("cls").alias("doc_id")).distinct()

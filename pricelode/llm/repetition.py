@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from pricelode.llm.corpus import WordHashes, texts, utf8
+from pricelode.llm.corpus import texts, utf8, word_hashes
 
 #: Words that one suffix array covers: whole documents are added up to this many. A longer document has its own.
 WORDS = 400_000
@@ -105,13 +105,11 @@ def rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
     Row-local: no shuffle. A task holds the suffix array of at most ``WORDS`` words, or of one longer document.
     """
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
             held, size = [], 0
-            for doc, data in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
-                data = data or b""
-                words = data.split()
-                held.append((doc, data, hashes.of(words)))
+            rows = zip(batch.column(0).to_pylist(), utf8(batch.column(1)), word_hashes(batch.column(1), lower=False), strict=True)
+            for doc, data, words in rows:
+                held.append((doc, data or b"", words))
                 size += len(words)
                 if size >= WORDS:
                     yield of(held)

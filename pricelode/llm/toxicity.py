@@ -17,13 +17,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pricelode.llm.corpus import REMEMBERED, texts, utf8
+from pricelode.llm.corpus import texts, utf8
 from pricelode.llm.steps import written
 
 #: Labelled rows that the model is fitted on at most, and words in its lexicon at most.
 SAMPLE, LEXICON = 16_000, 200
 #: A lexicon word is in at least this share of the toxic texts, and this many times as common there as elsewhere.
 SHARE, ODDS = 0.02, 6.0
+#: Words whose weight a task remembers.
+REMEMBERED = 400_000
 #: Bytes of the beginnings of words that the lexicon may hold.
 STEMS = range(4, 8)
 #: Words around a lexicon word in which a second person counts.
