@@ -26,7 +26,7 @@ from pricelode.llm.corpus import texts
 #: Characters normalised and cut at a time; slices end at ASCII white space.
 SLICE = 1 << 16
 #: Words whose ids a worker remembers, and the longest word it remembers.
-REMEMBERED, LONGEST = 400_000, 48
+REMEMBERED, LONGEST = 800_000, 48
 #: What the normaliser takes for white space (a fixed value of its pattern dialect), and what Python adds to that.
 _SPACE = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _NO_SPACE = re.compile(r"[\x1c-\x1f]")
@@ -86,8 +86,11 @@ def sufficient_lookahead(merges: list[tuple[str, str]], end: str) -> int:
 def merged(symbols: list[str], ranks: dict[tuple[str, str], int]) -> list[str]:
     """Applies the merges to the symbols, in place: always the pair of least rank, the leftmost of equal ones."""
     get, none = ranks.get, 1 << 60
-    pairs = [get(p, none) for p in zip(symbols, symbols[1:], strict=False)]
-    while pairs and (least := min(pairs)) < none:
+    pairs = [get(p, none) for p in zip(symbols, symbols[1:])]  # noqa: B905
+    while pairs:
+        least = min(pairs)
+        if least == none:
+            break
         i = pairs.index(least)
         symbols[i] += symbols.pop(i + 1)
         del pairs[i]
@@ -142,20 +145,23 @@ class Encoder:
 
     def piece(self, piece: str) -> tuple[int, ...]:
         """The ids of a piece without white space: its words, each remembered or through the transducer."""
-        known, out = self.known, ()
-        for word in self.vocabulary.pattern.findall(normalised(piece)):
+        known, text = self.known, normalised(piece)
+        words = (text,) if text.isalpha() else self.vocabulary.pattern.findall(text)  # letters alone are one word
+        out = ()
+        for word in words:
             out += known.get(word) or self.word(word)
         if len(known) < REMEMBERED and len(piece) <= LONGEST:
             known[piece] = out
         return out
 
     def word(self, word: str) -> tuple[int, ...]:
-        symbols = [self.vocabulary.symbols[b] for b in word.encode()]
-        transducer = Transducer(self.vocabulary)
-        if len(symbols) < 2 * transducer.window:  # nothing is stable before the end
-            transducer.pending = symbols
-            return tuple(transducer.close())
-        return tuple(chain(transducer.push(symbols), transducer.close()))
+        v = self.vocabulary
+        symbols = [v.symbols[b] for b in word.encode()]
+        if len(symbols) > v.lookahead:
+            transducer = Transducer(v)
+            return tuple(chain(transducer.push(symbols), transducer.close()))
+        symbols[-1] += v.end  # nothing is stable before the end
+        return tuple([v.ids[t] for t in merged(symbols, v.ranks)])
 
     def stream(self, text: str) -> Iterator[array]:
         """The ids of a text, one array per slice."""
