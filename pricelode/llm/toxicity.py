@@ -22,8 +22,9 @@ from pricelode.llm.steps import written
 
 #: Labelled rows that the model is fitted on at most, and words in its lexicon at most.
 SAMPLE, LEXICON = 16_000, 200
-#: A lexicon word is in at least this share of the toxic texts, and this many times as common there as elsewhere.
-SHARE, ODDS = 0.02, 6.0
+#: A lexicon word is in at least this share of the toxic texts and this many of them, and this many times as common there as
+#: elsewhere.
+SHARE, LEAST, ODDS = 0.02, 3, 6.0
 #: Words whose weight a task remembers.
 REMEMBERED = 400_000
 #: Bytes of the beginnings of words that the lexicon may hold.
@@ -208,7 +209,7 @@ def fitted(docs: DataFrame, labels: DataFrame, allowed: Column, label_col: str =
     top = (
         sample.select("doc_id", "text", "y").mapInArrow(count, "word binary, toxic long, clean long")
         .groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-        .where((F.col("toxic") >= SHARE * n1) & (odds >= ODDS)).select("word", F.log(odds).alias("weight"), "toxic")
+        .where((F.col("toxic") >= max(LEAST, SHARE * n1)) & (odds >= ODDS)).select("word", F.log(odds).alias("weight"), "toxic")
         .orderBy(F.desc(F.col("weight") * F.col("toxic")), "word").limit(LEXICON).collect())
     lexicon = Lexicon({bytes(r["word"]): float(r["weight"]) for r in top})
 
