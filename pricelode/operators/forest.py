@@ -69,27 +69,23 @@ class Forest:
 
 
 def draw(df: DataFrame, n: int, trees: int, seed: int, row_id: str = "txn_id") -> DataFrame:
-    """``min(256, n)`` rows per tree, chosen by hash so that the draw never changes."""
+    """``min(256, n)`` rows per tree, chosen by hash so that the draw never changes.
+
+    One rule for any size: rows lie on a ring at the place of their hash, trees start at even distances, and each takes the
+    rows that come next. The rows that lie near enough are found without ordering the others.
+    """
     per_tree = min(ROWS_PER_TREE, n)
-    wanted = trees * per_tree
-    if n >= wanted:
-        # One draw dealt to all trees. Twice the expected hash range always holds enough rows,
-        # and keeps the ordering below to about two draws of rows.
-        hashed = df.withColumn("_h", F.xxhash64(F.lit(seed), F.col(row_id)))
-        hashed = hashed.where(F.col("_h") <= _hash_share(2 * wanted / n))
-        smallest = hashed.orderBy("_h", row_id).limit(wanted)
-        rank = F.row_number().over(Window.orderBy("_h", row_id))
-        return smallest.withColumn("tree", (rank - 1) % F.lit(trees))
-    each = df.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    hashed = each.withColumn("_h", F.xxhash64(F.lit(seed), F.col("tree"), F.col(row_id)))
-    hashed = hashed.where(F.col("_h") <= _hash_share(4 * per_tree / n))
-    order = Window.partitionBy("tree").orderBy("_h", row_id)
-    return hashed.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= per_tree).drop("_r")
-
-
-def _hash_share(share: float):
-    """Upper end of the lowest ``share`` of all 64-bit hashes."""
-    return F.lit(min(2 ** 63 - 1, int(-(2 ** 63) + min(share, 1.0) * 2 ** 64)))
+    share = min(1.0, 4 * per_tree / max(n, 1))  # of the ring; four times what a tree is expected to need
+    place = F.xxhash64(F.lit(seed), F.col(row_id)).cast("double") / F.lit(2.0 ** 64) + 0.5
+    back = F.sequence(F.lit(0), F.lit(min(trees - 1, int(share * trees) + 1)))
+    near = (
+        df.withColumn("_place", F.least(place, F.lit(1 - 2.0 ** -53)))
+        .withColumn("tree", F.explode(back)).withColumn(
+            "tree", F.pmod(F.floor(F.col("_place") * trees).cast("int") - F.col("tree"), F.lit(trees)))
+        .withColumn("_ahead", F.pmod(F.col("_place") - F.col("tree") / F.lit(trees), F.lit(1.0)))
+        .where(F.col("_ahead") < share if share < 1 else F.lit(True)))
+    order = Window.partitionBy("tree").orderBy("_ahead", row_id)
+    return near.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= per_tree).drop("_r", "_place", "_ahead")
 
 
 def grow(x: np.ndarray, depth: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -23,13 +23,31 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+#: Folders of the steps this process wrote.
+_STEPS: list[str] = []
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Write ``df`` once as a table; what follows reads the columns it needs and survives lost executors."""
     spark = df.sparkSession
     path = scratch_path(spark, "step")
+    _STEPS.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def remove_steps(spark: SparkSession) -> int:
+    """Deletes the steps that this process wrote, once their results have been stored elsewhere; returns how many.
+
+    Frames that were built on them can't be read afterwards.
+    """
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    removed = 0
+    while _STEPS:
+        path = hadoop(_STEPS.pop())
+        removed += bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
+    return removed

@@ -48,4 +48,4 @@ def chunk_documents(
     chunks = F.filter(F.flatten(F.transform("_s", pieces)), lambda c: F.length(c) > 0)
     rows = parts.select("doc_id", "metadata", F.posexplode(chunks).alias("chunk_index", "text"))
     digest = F.sha2(F.concat_ws("-", F.col("doc_id").cast("string"), F.col("chunk_index").cast("string")), 256)
-    return rows.select("doc_id", "chunk_index", F.substring(digest, 1, 12).alias("chunk_id"), "text", "metadata")
+    return rows.select("doc_id", "chunk_index", F.substring(digest, 1, 32).alias("chunk_id"), "text", "metadata")

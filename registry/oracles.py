@@ -450,7 +450,7 @@ on(
 
 on(
     CHUNKS,
-    chunk_docs="""SELECT doc_id, chunk_index, substring(sha256(doc_id || '-' || chunk_index), 1, 12) AS chunk_id,
+    chunk_docs="""SELECT doc_id, chunk_index, substring(sha256(doc_id || '-' || chunk_index), 1, 32) AS chunk_id,
         text, source AS topic FROM chunks""",
     context_pack="""SELECT doc_id, count(*) AS passages, CAST(sum(length(body)) AS BIGINT) AS body_chars,
           string_agg('[' || source || ' — ' || lang || ']' || chr(10) || body, chr(10) || chr(10) || '---' || chr(10)

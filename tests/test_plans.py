@@ -50,3 +50,15 @@ def test_entity_reports_hash_the_rows(spark):
     text = plan(reports.pharmacy_risk(ensemble.annotate(ensemble.with_flags(pricing_fact(spark, FOLDER), ["rules"]))))
     first = [line for line in text.splitlines() if "Aggregate(" in line][-1]
     assert "HashAggregate" in first
+
+
+def test_steps_are_removed_when_asked(spark, tmp_path):
+    import os
+
+    from pricelode.plans import durable
+    step = durable.checkpointed(spark.range(10))
+    folder = durable._STEPS[-1].removeprefix("file:")
+    assert step.count() == 10 and os.path.isdir(folder)
+    kept, durable._STEPS[:] = durable._STEPS[:-1], durable._STEPS[-1:]
+    assert durable.remove_steps(spark) == 1 and not os.path.exists(folder) and durable._STEPS == []
+    durable._STEPS[:] = kept
