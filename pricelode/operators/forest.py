@@ -85,7 +85,7 @@ def draw(df: DataFrame, n: int, trees: int, seed: int, row_id: str = "txn_id") -
         .withColumn("_ahead", F.pmod(F.col("_place") - F.col("tree") / F.lit(trees), F.lit(1.0)))
         .where(F.col("_ahead") < share if share < 1 else F.lit(True)))
     order = Window.partitionBy("tree").orderBy("_ahead", row_id)
-    return near.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= per_tree).drop("_r", "_place", "_ahead")
+    return near.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= per_tree).drop("_r", "_place")
 
 
 def grow(x: np.ndarray, depth: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -130,7 +130,7 @@ def fit(
 
     def build(rows: pd.DataFrame) -> pd.DataFrame:
         tree = int(rows["tree"].iloc[0])
-        x = rows.sort_values(["_h", "txn_id"])[features].to_numpy(dtype=np.float64)
+        x = rows.sort_values(["_ahead", "txn_id"])[features].to_numpy(dtype=np.float64)
         feature, split, path = grow(x, depth, np.random.default_rng([seed, tree]))
         return pd.DataFrame({"tree": [tree], "feature": [feature], "split": [split], "path": [path]})
 

@@ -111,9 +111,9 @@ def test_price_functions(spark):
 def test_histogram_closes_the_last_bin(spark):
     df = spark.createDataFrame([(float(v),) for v in (0, 1, 2, 3, 10)], "x double")
     got = {r["bin"]: r["n"] for r in dashboard.histogram(df, F.col("x"), 5).collect()}
-    assert got == {0: 2, 1: 2, 4: 1}
+    assert got == {0: 2, 1: 2, 2: 0, 3: 0, 4: 1}
     same = dashboard.histogram(df.where("x = 1"), F.col("x"), 5).collect()
-    assert [(r["bin"], r["n"]) for r in same] == [(0, 1)]
+    assert sorted((r["bin"], r["n"]) for r in same) == [(0, 1), (1, 0), (2, 0), (3, 0), (4, 0)]
 
 
 def test_explore_filters(spark):
