@@ -26,7 +26,7 @@ from pricelode.llm.corpus import texts
 #: Characters normalised and cut at a time; slices end at ASCII white space.
 SLICE = 1 << 16
 #: Words whose ids a worker remembers, and the longest word it remembers.
-REMEMBERED, LONGEST = 800_000, 48
+REMEMBERED, LONGEST = 300_000, 48
 #: What the normaliser takes for white space (a fixed value of its pattern dialect), and what Python adds to that.
 _SPACE = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _NO_SPACE = re.compile(r"[\x1c-\x1f]")
@@ -141,27 +141,27 @@ class Encoder:
 
     def __init__(self, path: str):
         self.vocabulary = Vocabulary(path)
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, bytes] = {}
 
-    def piece(self, piece: str) -> tuple[int, ...]:
-        """The ids of a piece without white space: its words, each remembered or through the transducer."""
+    def piece(self, piece: str) -> bytes:
+        """The ids of a piece without white space, as 32-bit numbers: its words, each remembered or through the transducer."""
         known, text = self.known, normalised(piece)
         words = (text,) if text.isalpha() else self.vocabulary.pattern.findall(text)  # letters alone are one word
-        out = ()
+        out = b""
         for word in words:
             out += known.get(word) or self.word(word)
         if len(known) < REMEMBERED and len(piece) <= LONGEST:
             known[piece] = out
         return out
 
-    def word(self, word: str) -> tuple[int, ...]:
+    def word(self, word: str) -> bytes:
         v = self.vocabulary
         symbols = [v.symbols[b] for b in word.encode()]
         if len(symbols) > v.lookahead:
             transducer = Transducer(v)
-            return tuple(chain(transducer.push(symbols), transducer.close()))
+            return array("I", chain(transducer.push(symbols), transducer.close())).tobytes()
         symbols[-1] += v.end  # nothing is stable before the end
-        return tuple([v.ids[t] for t in merged(symbols, v.ranks)])
+        return array("I", [v.ids[t] for t in merged(symbols, v.ranks)]).tobytes()
 
     def stream(self, text: str) -> Iterator[array]:
         """The ids of a text, one array per slice."""
@@ -181,7 +181,9 @@ class Encoder:
                 to = m.start() if m else end
             part = text[at:to]
             pieces = _PIECES.findall(part) if _NO_SPACE.search(part) else part.split()
-            yield array("I", chain.from_iterable([known[p] if p in known else piece(p) for p in pieces]))
+            ids = array("I")
+            ids.frombytes(b"".join([known[p] if p in known else piece(p) for p in pieces]))
+            yield ids
             at = to
 
     def encode(self, text: str | None) -> array:

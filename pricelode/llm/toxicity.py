@@ -26,7 +26,7 @@ SAMPLE, LEXICON = 16_000, 200
 #: elsewhere.
 SHARE, LEAST, ODDS = 0.02, 3, 6.0
 #: Words whose weight a task remembers.
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 #: Bytes of the beginnings of words that the lexicon may hold.
 STEMS = range(4, 8)
 #: Words around a lexicon word in which a second person counts.
