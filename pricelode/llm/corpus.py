@@ -22,6 +22,9 @@ SCHEMAS = {
 
 #: Bytes of text whose words are hashed together; a longer text is taken by itself.
 HASHED = 1 << 20
+#: Rows of an Arrow batch at most: texts are long, and a batch is held by the JVM and by Python at once.
+BATCH_ROWS = 1_000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
@@ -39,10 +42,17 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carried: Sequence[str] = ()) -> DataFrame:
     """The two columns the operators work on, as ``doc_id`` and ``text``; whatever else is there is left behind, but for the
     ``carried`` columns, which come along in one struct of that name."""
+    small_batches(docs.sparkSession)
     own = [docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")]
     return docs.select(*own, *([F.struct(*(docs[c] for c in carried)).alias("carried")] if carried else []))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lets the session hand texts to Python in batches of at most ``BATCH_ROWS`` rows from now on."""
+    if not 0 < int(spark.conf.get(_BATCH, "10000")) <= BATCH_ROWS:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+
+
 def carried_type(docs: DataFrame) -> str:
     """What a schema string needs for the carried columns of ``docs``."""
     return f", carried {docs.schema['carried'].dataType.simpleString()}" if "carried" in docs.columns else ""

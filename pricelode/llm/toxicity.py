@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pricelode.llm.corpus import texts, utf8
+from pricelode.llm.corpus import small_batches, texts, utf8
 from pricelode.llm.steps import written
 
 #: Labelled rows that the model is fitted on at most, and words in its lexicon at most.
@@ -188,6 +188,7 @@ def fitted(docs: DataFrame, labels: DataFrame, allowed: Column, label_col: str =
         labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels[label_col].cast("int").alias("y"))
         .where("doc_id IS NOT NULL AND y IN (0, 1)").where(allowed).groupBy("doc_id").agg(F.max("y").alias("y"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE))
+    small_batches(docs.sparkSession)
     sample = written(docs.join(F.broadcast(marks), "doc_id"))  # at most SAMPLE rows
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,6 +247,7 @@ def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
             s = model.score([d or b"" for d in utf8(batch.column(text_col))])
             yield batch.filter(pa.array(s < 0.5))
 
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(keep, docs.schema)
 
 
