@@ -1,10 +1,12 @@
-"""Packing documents into sequences: best fit, then a local search by swaps that empties underfull sequences."""
+"""Packing documents into sequences: best fit, then a local search by moves and swaps until none is left."""
 
 from __future__ import annotations
 
 import zlib
 from array import array
+from collections import Counter
 from collections.abc import Callable, Iterator
+from heapq import heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -21,8 +23,6 @@ from pricelode.llm.steps import written
 LOT = 40_000
 #: Sequences with more free room than this share go on to be packed with those of other lots.
 LOOSE = 0.02
-#: Pieces and bins that one step of the local search tries, and its steps in one lot.
-TRIES, STEPS = 64, 400
 _ITEM = "doc_id long, piece int, start long, length long, ids_crc32 long, task long, row long"
 _PLACED = _ITEM + ", sequence_id long, offset long, free long"
 
@@ -82,75 +82,126 @@ def best_fit(lengths: np.ndarray, capacity: int) -> np.ndarray:
     return out
 
 
+class _Bins:
+    """Lengths held by bins, and for every length the roomiest bin that holds it; length 0 stands for no piece.
+
+    Rooms are looked up in heaps, one for each length, whose outdated entries go when they come to the top.
+    """
+
+    def __init__(self, held: dict[int, Counter], room: dict[int, int], capacity: int):
+        self.held, self.room, self.capacity = held, room, capacity
+        self.heaps: list[list[tuple[int, int]]] = [[] for _ in range(capacity + 1)]
+        self.best = np.zeros(capacity + 1, np.int64)
+        self.open: dict[int, int] = {}  # bins that can take something, and the room they are listed with
+        self.at = np.arange(capacity + 1)
+
+    def _refresh(self, length: int) -> None:
+        heap = self.heaps[length]
+        while heap and not (self.open.get(heap[0][1]) == -heap[0][0] and (not length or self.held[heap[0][1]][length])):
+            heappop(heap)
+        self.best[length] = -heap[0][0] if heap else 0
+
+    def add(self, b: int) -> None:
+        if room := self.room[b]:
+            self.open[b] = room
+            for length in (0, *self.held[b]):
+                heappush(self.heaps[length], (-room, b))
+                self.best[length] = max(self.best[length], room)
+
+    def remove(self, b: int) -> None:
+        if room := self.open.pop(b, 0):
+            for length in (0, *self.held[b]):
+                if self.best[length] == room:
+                    self._refresh(length)
+
+    def step(self, source: int) -> int | None:
+        """Gives one or two pieces of the source for a smaller one, or none, of an open bin; the target, or None if there is none.
+
+        Of all such steps it takes one that moves most tokens."""
+        held = self.held[source]
+        own = np.fromiter(held, np.int64, len(held))
+        pairs = np.add.outer(own, own)
+        if single := [i for i, length in enumerate(own.tolist()) if held[length] == 1]:
+            pairs[single, single] = 0
+        given = np.concatenate([own, pairs.ravel()])
+        # A piece of length l in a bin of room r can be had for more than l and at most l + r.
+        reach = np.maximum.accumulate(np.where(self.best > 0, self.at + self.best, 0))
+        back = np.searchsorted(reach, given)
+        tokens = given - back
+        k = int(np.argmax(tokens))
+        if tokens[k] <= 0:
+            return None
+        out = [int(own[k])] if k < len(own) else [int(own[x]) for x in divmod(k - len(own), len(own))]
+        taken = int(back[k])
+        target = self.heaps[taken][0][1]
+        self.remove(target)
+        for length in out:
+            _put(held, length, -1)
+            _put(self.held[target], length, 1)
+        if taken:
+            _put(self.held[target], taken, -1)
+            _put(held, taken, 1)
+        self.room[source] += int(tokens[k])
+        self.room[target] -= int(tokens[k])
+        self.add(target)
+        return target
+
+
+def _put(held: Counter, length: int, n: int) -> None:
+    held[length] += n
+    if not held[length]:
+        del held[length]
+
+
 def local_search(lengths: np.ndarray, bins: np.ndarray, capacity: int) -> np.ndarray:
-    """Empties underfull bins: moves a piece out, or swaps one or two of its pieces for a smaller one elsewhere.
+    """Empties underfull bins: moves one or two pieces out, or swaps them for a smaller one elsewhere.
 
-    Every step moves tokens from the emptiest bin to a fuller one, so the sum of squared fills grows; it ends after
-    ``STEPS``, when none is left for any underfull bin, or when no fewer bins can hold the total.
+    Every step moves tokens from a bin to one that is as full or fuller, so the sum of squared fills grows. Bins give in
+    order of their room, the emptiest first, each until it has no step left; it ends when none of them has a step to any
+    other, or when no fewer bins can hold the total.
     """
     bins = bins.copy()
-    held: dict[int, list[int]] = {}
-    for i, b in enumerate(bins.tolist()):
-        held.setdefault(b, []).append(i)
     size = lengths.tolist()
-    room = {b: capacity - sum(size[i] for i in own) for b, own in held.items()}
-    least = -(-int(lengths.sum()) // capacity)
-    stuck: set[int] = set()
-    for _ in range(STEPS):
-        if len(held) <= least:
-            break
-        source = max((b for b in held if b not in stuck and room[b]), key=lambda b: (room[b], b), default=None)
-        if source is None:
-            break
-        targets = sorted((b for b in held if b != source and 0 < room[b] <= room[source]), key=lambda b: (-room[b], b))[:4 * TRIES]
+    held: dict[int, Counter] = {}
+    for length, b in zip(size, bins.tolist(), strict=True):
+        held.setdefault(b, Counter())[length] += 1
+    room = {b: capacity - sum(length * n for length, n in own.items()) for b, own in held.items()}
+    least = -(-sum(size) // capacity)
+    moved = True
+    while moved and len(held) > least:
         moved = False
-        for i in sorted(held[source], key=lambda i: -size[i])[:TRIES]:
-            moved = _move(i, source, targets, held, room, size) or _exchange(i, source, targets, held, room, size)
-            if moved:
-                break
-        if not moved:
-            stuck.add(source)
-        elif not held[source]:
-            del held[source], room[source]
-            stuck.clear()
-    for b, own in held.items():
-        bins[own] = b
+        state = _Bins(held, room, capacity)
+        by_room: list[list[int]] = [[] for _ in range(capacity + 1)]
+        for b in sorted(held):
+            state.add(b)
+            by_room[room[b]].append(b)
+        for free in range(capacity, 0, -1):
+            waiting, spent = by_room[free], []
+            while waiting and len(held) > least:
+                source = waiting.pop()
+                if room.get(source) != free:
+                    continue
+                state.remove(source)
+                while held[source] and (target := state.step(source)) is not None:
+                    moved = True
+                    by_room[room[target]].append(target)
+                if not held[source]:
+                    del held[source], room[source]
+                elif room[source] == free:  # as full as the next ones, which may give to it
+                    state.add(source)
+                    spent.append(source)
+            for b in spent:
+                if room.get(b) == free:
+                    state.remove(b)
+    places: dict[int, list[int]] = {}
+    for b in sorted(held):
+        for length, n in held[b].items():
+            places.setdefault(length, []).extend([b] * n)
+    for i in range(len(size) - 1, -1, -1):
+        bins[i] = places[size[i]].pop()
     return bins
 
 
-def _move(i: int, source: int, targets: list[int], held: dict, room: dict, size: list[int]) -> bool:
-    """Moves a piece to the fullest of the bins that takes it."""
-    for b in reversed(targets):
-        if size[i] <= room[b]:
-            held[source].remove(i)
-            held[b].append(i)
-            room[source] += size[i]
-            room[b] -= size[i]
-            return True
-    return False
-
-
-def _exchange(i: int, source: int, targets: list[int], held: dict, room: dict, size: list[int]) -> bool:
-    """Swaps a piece, or it and a second one, for a smaller piece of a bin that has room for the difference."""
-    partners = [None, *sorted((j for j in held[source] if j != i), key=lambda j: -size[j])[:4]]
-    for b in targets[:TRIES]:
-        for j in partners:
-            given = size[i] + (size[j] if j is not None else 0)
-            back = [k for k in held[b] if 0 < given - size[k] <= room[b]]
-            if back:
-                k = min(back, key=lambda k: (size[k], k))
-                for x in (i, j):
-                    if x is not None:
-                        held[source].remove(x)
-                        held[b].append(x)
-                held[b].remove(k)
-                held[source].append(k)
-                room[b] -= given - size[k]
-                room[source] += given - size[k]
-                return True
-    return False
-
-
 def _packer(round_number: int, capacity: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", "task", "row"], ascending=[False, True, True], ignore_index=True)
@@ -169,8 +220,8 @@ def packed(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     """``(doc_id, piece, start, length, ids_crc32, sequence_id, offset)``: a place in a sequence for every piece.
 
     Lots of bounded size, dealt by a hash, are packed side by side. Sequences that stay loose are taken apart and packed
-    again with those of other lots, in fewer lots each time, until one lot holds all that is left; so about one sequence of
-    the whole corpus is loose. A null or empty text is its end mark alone. Every row gives its pieces, also without an id
+    again with those of other lots, until one lot holds all that is left, or a round neither saves a sequence nor halves the
+    loose pieces; a last round that saves none is not used. A null or empty text is its end mark alone. Every row gives its pieces, also without an id
     or repeated. An empty table gives no rows; other columns are ignored. Steps are written when this is called.
     """
     items = written(pieces(texts(docs, id_col, text_col), path, capacity, end_id))
@@ -179,6 +230,8 @@ def packed(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     done = items.where(F.col("length") == capacity).select(
         "*", whole.alias("sequence_id"), zero.alias("offset"), zero.alias("free"))
     left = items.where(F.col("length") < capacity)
+    loose = F.col("free") > LOOSE * capacity
+    earlier, sequences = None, 0  # the loose sequences as last placed, and their number
     number = left.count()
     round_number = 0
     while number:
@@ -186,11 +239,13 @@ def packed(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
         dealt = left.withColumn("lot", F.pmod(F.xxhash64("task", "row", F.lit(round_number)), F.lit(lots)))
         placed = written(dealt.groupBy("lot").applyInPandas(_packer(round_number, capacity), _PLACED))
-        loose = F.col("free") > LOOSE * capacity
-        again = placed.where(loose).drop("sequence_id", "offset", "free")
-        before, number, round_number = number, again.count(), round_number + 1
-        if lots == 1 or 2 * number > before:  # nothing to combine, or pieces that leave room wherever they are
-            done = done.union(placed)
+        again = placed.where(loose)
+        now, now_loose, left_over = placed.select(
+            F.count_if(F.col("offset") == 0), F.count_if((F.col("offset") == 0) & loose), F.count_if(loose)).first()
+        saved = earlier is None or now < sequences
+        if lots == 1 or not (saved or 2 * left_over <= number):  # one lot has all that is left, or lots gain nothing from others
+            done = done.union(placed if saved else earlier)
             break
-        done, left = done.union(placed.where(~loose)), again
+        done, earlier, sequences = done.union(placed.where(~loose)), again, now_loose
+        left, number, round_number = again.drop("sequence_id", "offset", "free"), left_over, round_number + 1
     return done.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

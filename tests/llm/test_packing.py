@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 import zlib
+from itertools import combinations
 
 import numpy as np
 import public_tokenizers
@@ -49,6 +50,49 @@ def test_search_empties_bins_that_best_fit_leaves():
     assert better > 10
 
 
+def step_left(lengths, bins, capacity):
+    """Whether one or two pieces of a bin can go to a bin as full or fuller, for a smaller piece or none."""
+    held = {b: lengths[bins == b].tolist() for b in set(bins.tolist())}
+    for a, own in held.items():
+        given = {*own, *(x + y for x, y in combinations(own, 2))}
+        for b, other in held.items():
+            room = capacity - sum(other)
+            if a != b and sum(other) >= sum(own) and any(0 < g - k <= room for g in given for k in [0, *other]):
+                return True
+    return False
+
+
+def test_search_ends_when_no_step_is_left():
+    for seed in range(8):
+        r = np.random.default_rng(seed)
+        lengths = r.integers(*[(25, 43), (20, 60), (1, 100), (24, 27)][seed % 4], 150)
+        bins = packing.local_search(lengths, packing.best_fit(lengths, 100), 100)
+        least = -(-lengths.sum() // 100)
+        assert fills(lengths, bins).max() <= 100
+        assert len(set(bins.tolist())) == least or not step_left(lengths, bins, 100)
+
+
+def test_search_of_many_bins_goes_on():
+    lengths = np.random.default_rng(0).integers(1000, 1700, 10_000)
+    first = packing.best_fit(lengths, 4096)
+    last = packing.local_search(lengths, first, 4096)
+    assert fills(lengths, last).max() <= 4096
+    assert len(set(last.tolist())) < 0.95 * len(set(first.tolist()))
+
+
+def test_rounds_go_on_while_they_save_sequences(documents, monkeypatch):
+    def deal(docs, *_):
+        return docs.selectExpr("doc_id", "0 AS piece", "0L AS start", "cast(text AS long) AS length", "0L AS ids_crc32",
+                               "0L AS task", "doc_id AS row")
+
+    monkeypatch.setattr(packing, "pieces", deal)
+    r = np.random.default_rng(3)
+    rows = [(i, str(x)) for i, x in enumerate(r.integers(25, 43, 400).tolist())]
+    got = packing.packed(documents(rows), "", capacity=100, lot=25).toPandas()
+    assert len(got) == 400 and got.groupby("sequence_id")["length"].sum().max() <= 100
+    assert (got["offset"] == 0).sum() == got["sequence_id"].nunique() < 144  # 146 if it ends after one round
+
+
 @pytest.mark.parametrize("lot", [7, 40_000])
 def test_every_piece_has_a_place(documents, lot):
     r = random.Random(1)
