@@ -45,5 +45,50 @@ def test_no_row_under_the_limit_and_own_templates(documents):
     assert sorted((r["doc_id"], r["coverage"]) for r in got) == [(1, 1.0), (2, 0.75)]
 
 
+NEAR = [
+    ("Released under the MIT License.", ["MIT-notice"]),
+    ("Released under the BSD License.", ["BSD-notice"]),
+    ("Released under the Foo License.", []),
+    ("Released under the BSD 3-Clause License.", ["BSD-3-Clause-notice"]),
+    ("Licensed under CC BY 4.0.", ["CC-BY-4.0-notice"]),
+    ("Released under CC BY-NC 3.0.", ["CC-BY-NC-3.0-notice"]),
+    ("Licensed under CC BY NC 4.0.", ["CC-BY-NC-4.0-notice"]),
+    ("Licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", ["CC-BY-SA-4.0-notice"]),
+    ("Licensed under CC0.", ["CC0-1.0-notice"]),
+    ("Licensed under GPLv2.", ["GPL-2.0-notice"]),
+    ("Released under the LGPL-2.1.", ["LGPL-2.1-notice"]),
+    ("Licensed under the Apache License, Version 1.1.", ["Apache-1.1-notice"]),
+    ("Available under the terms of the Apache License 2.0.", ["Apache-2.0-notice"]),
+    ("Licensed under the MIT License or the Apache License, Version 2.0.", ["Apache-2.0-notice", "MIT-notice"]),
+    ("This work is licensed under the GNU General Public License, version 2.", ["GPL-2.0-notice"]),
+    ("This work is licensed under the GNU General Public License, version 3.", ["GPL-3.0-notice"]),
+    ("This work is licensed under the GNU General Public License.", ["GPL-notice"]),
+    ("This work is licensed under the GNU Lesser General Public License, version 3.", ["LGPL-3.0-notice"]),
+    ("This work is licensed under the GNU Lesser General Public License, version 2.1.", ["LGPL-2.1-notice"]),
+    ("This work is licensed under the GNU Affero General Public License, version 3.", ["AGPL-3.0-notice"]),
+    ("Licensed under the Mozilla Public License, version 2.0.", ["MPL-2.0-notice"]),
+]
+
+
+def test_near_misses_are_told_apart():
+    scanner = licenses.Scanner([*licenses.TEMPLATES.items(), *licenses._notices()], 0.8)
+    for text, want in NEAR:
+        assert sorted({h[0] for h in scanner.find(f"a b c. {text} d e f")}) == want, text
+
+
+def test_every_template_is_found_as_itself(documents):
+    names = list(licenses.TEMPLATES)
+    got = licenses.scanned(documents([(i, licenses.TEMPLATES[n]) for i, n in enumerate(names)])).collect()
+    assert {(i, n) for i, n in enumerate(names)} <= {(r["doc_id"], r["license"]) for r in got if r["coverage"] == 1}
+    assert len(got) == len(names)
+
+
+def test_places_with_the_same_phrase_keep_the_longest(documents):
+    templates = {"short": "under the {blue license}", "long": "under the {blue license} two"}
+    got = licenses.scanned(documents([(1, "under the blue license two"), (2, "under the light blue license two"),
+                                      (3, "under the blue x license two")]), templates).collect()
+    assert sorted((r["doc_id"], r["license"]) for r in got) == [(1, "long"), (2, "long")]
+
+
 def test_empty_table(documents):
     assert licenses.scanned(documents([])).collect() == []
