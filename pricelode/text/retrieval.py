@@ -46,5 +46,6 @@ def retrieve(
     index: DataFrame, model: PipelineModel, queries: DataFrame, k: int = 4, **search_options,
 ) -> DataFrame:
     """The ``k`` best passages of the index for each row (query_id, text) of ``queries``."""
-    hits = top_k(index, tfidf_embed(queries, model), k, **search_options)
+    named = index.withColumns({"doc": F.col("doc_id").cast("string"), "chunk": F.col("chunk_index")})
+    hits = top_k(named, tfidf_embed(queries, model), k, keys=("doc", "chunk"), **search_options)
     return passages(hits, index)

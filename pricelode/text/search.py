@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import sys
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -20,19 +20,20 @@ DIGITS = 12  # scores are compared after rounding, so that equal vectors tie whe
 
 
 def best(found: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The ``k`` highest scores per query, ties to the lower id."""
-    ordered = found.sort_values(["query", "score", "id"], ascending=[True, False, True], kind="stable")
+    """The ``k`` highest scores per query, ties to the lower id, then to the lower of the columns after it."""
+    after = [c for c in found.columns if c not in ("query", "score")]
+    ordered = found.sort_values(["query", "score", *after], ascending=[True, False, *[True] * len(after)], kind="stable")
     return ordered[ordered.groupby("query").cumcount() < k]
 
 
-def score(ids: np.ndarray, store: np.ndarray, queries: np.ndarray, k: int) -> pd.DataFrame:
+def score(ids: pd.DataFrame, store: np.ndarray, queries: np.ndarray, k: int) -> pd.DataFrame:
     sims = np.round(store @ queries.T, DIGITS)
     if len(sims) > k:
         floor = np.partition(sims, len(sims) - k, axis=0)[len(sims) - k]
         row, query = np.nonzero(sims >= floor)
     else:
         row, query = np.nonzero(np.isfinite(sims))
-    return best(pd.DataFrame({"query": query, "id": ids[row], "score": sims[row, query]}), k)
+    return best(ids.iloc[row].reset_index(drop=True).assign(query=query, score=sims[row, query]), k)
 
 
 def matrix(vectors: pd.Series) -> np.ndarray:
@@ -42,29 +43,32 @@ def matrix(vectors: pd.Series) -> np.ndarray:
 def top_k(
     store: DataFrame, queries: DataFrame, k: int = 4,
     id_col: str = "chunk_id", vector: str = "embedding", query_id: str = "query_id",
-    max_broadcast: int = MAX_BROADCAST_QUERIES, rows_per_cell: int = STORE_ROWS_PER_CELL,
+    max_broadcast: int = MAX_BROADCAST_QUERIES, rows_per_cell: int = STORE_ROWS_PER_CELL, keys: Sequence[str] = (),
 ) -> DataFrame:
-    """``query_id, id, similarity, place``: the ``k`` best ids per query (all of them if fewer).
+    """``query_id, id, *keys, similarity, place``: the ``k`` best rows per query (all of them if fewer).
+
+    ``keys`` are columns of the store that come along with the id, for ids that do not tell all rows apart.
 
     A batch of at most ``max_broadcast`` queries is sent to every task, which reads its part of the
     store once and returns k rows per query. A larger batch is cut into blocks that
     meet every cell of the store.
     """
-    store = store.where(F.col(vector).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector).alias("vector"))
+    store = store.where(F.col(vector).isNotNull()).select(
+        F.col(id_col).alias("id"), *keys, F.col(vector).alias("vector"))
     queries = queries.where(F.col(vector).isNotNull()).select(
         F.col(query_id).alias("query_id"), F.col(vector).alias("vector"))
-    id_type, query_type = dict(store.dtypes)["id"], dict(queries.dtypes)["query_id"]
+    query_type = dict(queries.dtypes)["query_id"]
+    schema = f"query_id {query_type}, " + ", ".join(f"`{c}` {t}" for c, t in store.drop("vector").dtypes) + ", similarity double"
     few = queries.limit(max_broadcast + 1).toPandas()
     if len(few) <= max_broadcast:
-        scored = _against_broadcast(store, few, k, id_type, query_type)
+        scored = _against_broadcast(store, few, k, schema)
     else:
-        scored = _in_cells(store, queries, k, id_type, query_type, max_broadcast, rows_per_cell)
-    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
+        scored = _in_cells(store, queries, k, schema, max_broadcast, rows_per_cell)
+    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id", *keys)
     return scored.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
 
 
-def _against_broadcast(store: DataFrame, few: pd.DataFrame, k: int, id_type: str, query_type: str) -> DataFrame:
-    schema = f"query_id {query_type}, id {id_type}, similarity double"
+def _against_broadcast(store: DataFrame, few: pd.DataFrame, k: int, schema: str) -> DataFrame:
     if not len(few):
         return store.sparkSession.createDataFrame([], schema)
     names = few["query_id"].to_numpy()
@@ -74,17 +78,22 @@ def _against_broadcast(store: DataFrame, few: pd.DataFrame, k: int, id_type: str
         top = None
         for b in batches:
             if len(b):
-                hits = score(b["id"].to_numpy(), matrix(b["vector"]), shared.value, k)
+                hits = score(b.drop(columns="vector"), matrix(b["vector"]), shared.value, k)
                 top = hits if top is None else best(pd.concat([top, hits], ignore_index=True), k)
         if top is not None:
-            yield pd.DataFrame({
-                "query_id": names[top["query"]], "id": top["id"].to_numpy(), "similarity": top["score"].to_numpy()})
+            yield _hits(top, names)
 
     return store.mapInPandas(scan, schema)
 
 
+def _hits(top: pd.DataFrame, names: np.ndarray) -> pd.DataFrame:
+    out = top.drop(columns=["query", "score"]).assign(similarity=top["score"])
+    out.insert(0, "query_id", names[top["query"]])
+    return out
+
+
 def _in_cells(
-    store: DataFrame, queries: DataFrame, k: int, id_type: str, query_type: str, per_block: int, per_cell: int,
+    store: DataFrame, queries: DataFrame, k: int, schema: str, per_block: int, per_cell: int,
 ) -> DataFrame:
     blocks = max(1, math.ceil(queries.count() / per_block))
     cells = max(1, math.ceil(store.count() / per_cell))
@@ -94,20 +103,21 @@ def _in_cells(
             .withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
 
     def meet(part: pd.DataFrame, batch: pd.DataFrame) -> pd.DataFrame:
+        ids, names = part.drop(columns=["vector", "cell", "block"]), batch["query_id"].to_numpy()
         if not len(part) or not len(batch):
-            return pd.DataFrame({
-                "query_id": batch["query_id"].head(0), "id": part["id"].head(0), "similarity": pd.Series(dtype=float)})
-        hits = score(part["id"].to_numpy(), matrix(part["vector"]), matrix(batch["vector"]), k)
-        return pd.DataFrame({
-            "query_id": batch["query_id"].to_numpy()[hits["query"]],
-            "id": hits["id"].to_numpy(), "similarity": hits["score"].to_numpy()})
+            return _hits(ids.head(0).assign(query=np.empty(0, int), score=np.empty(0)), names)
+        return _hits(score(ids, matrix(part["vector"]), matrix(batch["vector"]), k), names)
 
     left = side(store, "id", "cell", cells, "block", blocks).groupBy("cell", "block")
     right = side(queries, "query_id", "block", blocks, "cell", cells).groupBy("cell", "block")
-    return left.cogroup(right).applyInPandas(meet, f"query_id {query_type}, id {id_type}, similarity double")
+    return left.cogroup(right).applyInPandas(meet, schema)
 
 
 def passages(hits: DataFrame, chunks: DataFrame, length: int = 500) -> DataFrame:
-    """Hits with their text and metadata, and the start of the text as a snippet."""
-    found = chunks.select(F.col("chunk_id").alias("id"), "doc_id", "chunk_index", "text", "metadata")
-    return hits.join(found, "id").withColumn("snippet", F.substring("text", 1, length))
+    """Hits ``(id, doc, chunk, ...)`` with their text and metadata, and the start of the text as a snippet.
+
+    A passage is named by its document, as a string, and its place there: different chunks may have the same short id.
+    """
+    found = chunks.select("doc_id", "chunk_index", "text", "metadata")
+    same = F.col("doc").eqNullSafe(F.col("doc_id").cast("string")) & (F.col("chunk") == F.col("chunk_index"))
+    return hits.join(found, same).drop("doc", "chunk").withColumn("snippet", F.substring("text", 1, length))

@@ -106,6 +106,18 @@ def test_retrieval(spark, tmp_path):
                         str(tmp_path / "empty"))
 
 
+@pytest.mark.parametrize("options", [{}, {"max_broadcast": 1, "rows_per_cell": 2}])
+def test_chunks_of_one_id_stay_apart(spark, tmp_path, options):
+    index, model = retrieval.build(docs(spark), str(tmp_path / "index"))
+    one_id = index.withColumn("chunk_id", F.lit("0" * 12))
+    rows = [(1, "What is Medicaid best price?"), (2, "wholesale acquisition cost")]
+    asked = spark.createDataFrame(rows, "query_id int, text string")
+    hits = retrieval.retrieve(one_id, model, asked, k=1, **options).orderBy("query_id").collect()
+    assert [(h["query_id"], h["doc_id"], h["place"]) for h in hits] == [(1, "c", 1), (2, "a", 1)]
+    assert hits[0]["text"].startswith("Medicaid") and hits[0]["id"] == "0" * 12
+    assert retrieval.retrieve(one_id, model, asked, k=2, **options).count() == 4
+
+
 def test_embeddings_have_length_one(spark):
     def load():
         return lambda texts: np.array([[len(t), 1.0] for t in texts])
