@@ -584,10 +584,9 @@ def context_pack(spark, folder):
 
 @query()
 def tfidf_embed(spark, folder):
-    chunks = chunk_documents(documents(spark, folder)).select("chunk_id", "text")
-    vectors = embed.tfidf_embed(chunks, embed.fit_tfidf(chunks))
-    return vectors.select("chunk_id", F.size("embedding").alias("dimensions"), F.round(F.sqrt(F.aggregate(
-        "embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))), 4).alias("norm"))
+    """The vector of every chunk."""
+    chunks = chunk_documents(documents(spark, folder)).select("doc_id", "chunk_index", "chunk_id", "text")
+    return embed.tfidf_embed(chunks, embed.fit_tfidf(chunks)).drop("text")
 
 
 @query()

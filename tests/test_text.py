@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import unicodedata
 
 import numpy as np
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from pricelode.text import context, embed, retrieval, search
 from pricelode.text.chunk import WHITESPACE, chunk_documents
 from pricelode.text.index import load_index
+from registry.queries import QUERIES
 
 
 def expected_chunks(doc_id, text, size=400, overlap=80):
@@ -145,3 +147,36 @@ def test_context_budget(spark):
     assert (got[1]["passages"], got[1]["body_chars"]) == (2, 6000)
     assert got[1]["context"] == "[T — X]\n" + "a" * 4000 + "\n\n---\n\n[T]\n" + "b" * 2000
     assert got[2]["context"] == "[]\nd"
+
+
+def murmur3(data: bytes) -> int:
+    """MurmurHash3, 32 bits, seed 42, signed."""
+    h = 42
+    rotated = lambda x, n: (x << n | x >> 32 - n) & 0xFFFFFFFF
+    for at in range(0, len(data), 4):
+        part = data[at:at + 4]
+        h ^= rotated(int.from_bytes(part, "little") * 0xCC9E2D51 & 0xFFFFFFFF, 15) * 0x1B873593 & 0xFFFFFFFF
+        if len(part) == 4:
+            h = (rotated(h, 13) * 5 + 0xE6546B64) & 0xFFFFFFFF
+    h ^= len(data)
+    h = (h ^ h >> 16) * 0x85EBCA6B & 0xFFFFFFFF
+    h = (h ^ h >> 13) * 0xC2B2AE35 & 0xFFFFFFFF
+    h ^= h >> 16
+    return h - (h >> 31 << 32)
+
+
+def test_registered_vectors_like_brute_force(spark):
+    folder = "/root/testdata/sf0.001"
+    chunks = QUERIES["chunk_docs"](spark, folder).select("doc_id", "chunk_index", "text").collect()
+    counts = {}
+    for doc, place, text in chunks:
+        words = "".join(c if unicodedata.category(c)[0] in "LN" else " " for c in text.lower()).split()
+        counts[doc, place] = np.bincount(np.array([murmur3(w.encode()) % 384 for w in words], int), minlength=384)
+    having = sum((c > 0).astype(int) for c in counts.values())
+    idf = np.log((len(counts) + 1) / (having + 1))
+    got = QUERIES["tfidf_embed"](spark, folder).collect()
+    assert len(got) == len(counts)
+    for r in got:
+        want = counts[r["doc_id"], r["chunk_index"]] * idf
+        want = want / (np.linalg.norm(want) or 1.0)
+        assert np.abs(np.array(r["embedding"].split(","), float) - want).max() < 1e-5
