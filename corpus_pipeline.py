@@ -35,9 +35,15 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of smallest id of each group of near duplicates; rows without an id or without words all stay."""
-    gone = minhash.near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
+    """Keeps the document of smallest id of each group of near duplicates; rows without an id all stay, and so do those without
+    words. Of rows that are the same in every column and have an id, one stays."""
+    found = written(minhash.near_duplicates(docs).where("doc_id IS NOT NULL").select("doc_id", "kept"))
+    gone = found.where("NOT kept").select("doc_id").distinct()
+    repeated = found.where("kept").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if repeated.isEmpty():
+        return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
+    docs, repeated = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti"), written(repeated)
+    return docs.join(repeated, "doc_id", "left_anti").union(docs.join(repeated, "doc_id", "left_semi").distinct())
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -178,6 +178,28 @@ def _block_links(lists: DataFrame, docs: DataFrame, size: int, num: int, den: in
         .applyInArrow(lambda table: _links_within(table, num, den), "a long, b long"))
 
 
+def _several_sets(signed_docs: DataFrame) -> DataFrame:
+    """Ids whose rows have different sets."""
+    same = "least_1 <=> most_1 AND least_2 <=> most_2 AND with_words IN (0, n)"
+    return signed_docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(
+        F.min("k1").alias("least_1"), F.max("k1").alias("most_1"), F.min("k2").alias("least_2"), F.max("k2").alias("most_2"),
+        F.count("k1").alias("with_words"), F.count("*").alias("n")).where(f"NOT ({same})")
+
+
+def _by_row(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """Near duplicates where an id has different texts: of rows under numbers of their own, then of the ids they have."""
+    rows = written(docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").alias("id"), "text"))
+    found = near_duplicates(rows, "row", "text", size, num, den).select(
+        F.col("doc_id").alias("row"), "n_shingles", F.col("component_id").alias("of_rows"))
+    placed = written(rows.select("row", "id").join(found, "row"))
+    with_id = placed.where("id IS NOT NULL")
+    least = with_id.groupBy("of_rows").agg(F.min("id").alias("b"))
+    joined = components(with_id.join(least, "of_rows").select(F.col("id").alias("a"), "b"))
+    return placed.join(joined.withColumnRenamed("node", "id"), "id", "left").select(
+        F.col("id").alias("doc_id"), "n_shingles", F.coalesce("component", "id").alias("component_id")
+    ).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, num: int = 75,
                     den: int = 100) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)`` for each row of ``docs``.
@@ -185,12 +207,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Words are runs of anything but ASCII white space with A-Z in lower case; a text's set are its distinct runs of ``size``
     words, or the whole text where it has fewer. Texts are linked where ``den * intersection >= num * union``;
     ``component_id`` is the smallest id that links reach, ``kept`` says that it is the text's own. Null and empty texts have
-    an empty set and are linked with nothing. Rows that repeat an id and its text are linked to each other by their common id.
+    an empty set and are linked with nothing. Rows that repeat an id are linked to each other by it, also if their texts differ:
+    the links of each of its texts are links of the id, and all its rows have one component.
     Rows without an id take no part: their component is null, and they are kept. An empty table gives no rows; other
     columns are ignored. Jobs run and steps are written when this is called.
     """
     docs = texts(docs, id_col, text_col)
     signed_docs = written(signatures(docs, size))
+    if not _several_sets(signed_docs).isEmpty():
+        return _by_row(docs, size, num, den)
     with_id = signed_docs.where("doc_id IS NOT NULL AND k1 IS NOT NULL")
     classes = written(with_id.groupBy("k1", "k2").agg(F.min("doc_id").alias("cls")))
     reps = written(

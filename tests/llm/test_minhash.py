@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 
+import corpus_pipeline
 import pytest
 
 from pricelode.llm import minhash
@@ -82,3 +83,22 @@ def test_components_of_chains_and_stars(spark):
     got = dict(components(spark.createDataFrame(links, "a long, b long")).collect())
     assert got == {**{i: 0 for i in range(41)}, **{100 + i: 100 for i in range(30)}}
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_an_id_with_different_texts_has_the_links_of_all(documents):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(5, a), (5, b), (7, a + " more"), (9, b + " more"), (9, None), (11, c), (12, c), (None, a), (13, ""), (9, c + " x")]
+    got = sorted(tuple(r) for r in minhash.near_duplicates(documents(rows)).where("doc_id IS NOT NULL").collect())
+    assert [(r[0], r[2], r[3]) for r in got] == [
+        (5, 5, True), (5, 5, True), (7, 5, False), (9, 5, False), (9, 5, False), (9, 5, False), (11, 5, False), (12, 5, False),
+        (13, 13, True)]
+    assert [tuple(r) for r in minhash.near_duplicates(documents(rows)).where("doc_id IS NULL").collect()] == [(None, 36, None, True)]
+
+
+def test_stage_keeps_one_of_repeated_rows(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, text, "en", "s", 1), (1, text, "en", "s", 1), (2, text, "en", "s", 1), (3, "", "en", "s", 0), (None, text, "en", "s", 1),
+            (None, text, "en", "s", 1), (4, "other words", "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = corpus_pipeline.near_dedup(spark, docs, "").select("doc_id").collect()
+    assert sorted((r["doc_id"] for r in got), key=str) == [1, 3, 4, None, None]
