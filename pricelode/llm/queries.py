@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from pricelode.llm import bpe, licenses, lines, maxscore, minhash, packing, repetition, suffixes, toxicity, warc
+from pricelode.llm import bpe, codes, licenses, lines, maxscore, minhash, packing, repetition, suffixes, toxicity, warc
 from pricelode.llm.corpus import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -160,3 +160,39 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Every document without lines similar to an earlier one."""
     return lines.without_similar_lines(table(spark, folder, "documents")).select(
         "doc_id", "n_lines", "n_removed", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))
+
+
+def _codes_sql() -> str:
+    """Rounds of assigning all parts to their codebook's nearest entry and moving the entries, one after the other."""
+    def near(entries: str) -> str:
+        return f"""SELECT r, p.part, min(CAST(list_sum(list_transform(list_zip(p.c, b.c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) * 64
+                        + b.entry) AS best FROM p JOIN {entries} b ON b.part = p.part GROUP BY 1, 2"""
+
+    def moved(entries: str, best: str) -> str:
+        return f"""SELECT b.part, b.entry, coalesce(m.c, b.c) AS c FROM {entries} b LEFT JOIN (
+                SELECT part, entry, list(CAST(floor(CAST(s AS DOUBLE) / n) AS BIGINT) ORDER BY i) AS c FROM (
+                    SELECT part, entry, i, sum(x) AS s, count(*) AS n FROM (
+                        SELECT a.part, best % 64 AS entry, unnest(p.c) AS x, unnest(range(len(p.c))) AS i
+                        FROM {best} a JOIN p ON p.r = a.r AND p.part = a.part) GROUP BY 1, 2, 3) GROUP BY 1, 2) m
+            ON m.part = b.part AND m.entry = b.entry"""
+
+    return f"""
+    WITH v AS (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) - 1 AS r, vec_id, label,
+                      list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+               FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    p AS MATERIALIZED (SELECT r, part, q[part * len(q) // 16 + 1:(part + 1) * len(q) // 16] AS c FROM v, range(16) t(part)),
+    b0 AS MATERIALIZED (SELECT part, r AS entry, c FROM p WHERE r < 64),
+    a0 AS MATERIALIZED ({near('b0')}), b1 AS MATERIALIZED ({moved('b0', 'a0')}),
+    a1 AS MATERIALIZED ({near('b1')}), b2 AS MATERIALIZED ({moved('b1', 'a1')}),
+    a2 AS MATERIALIZED ({near('b2')}),
+    e AS (SELECT r, string_agg(format('{{:02x}}', best % 64), '' ORDER BY part) AS code, CAST(sum(best // 64) AS BIGINT) AS error FROM a2 GROUP BY 1),
+    h AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) AS s FROM b2)
+    SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, (SELECT s FROM h) AS codebooks_sha256
+    FROM v JOIN e USING (r)
+    """
+
+
+@query(_codes_sql())
+def op11_codes(spark: SparkSession, folder: str) -> DataFrame:
+    """Sixteen codebook indexes for every vector, with the errors they leave."""
+    return codes.compressed(table(spark, folder, "embeddings"))
