@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from pricelode.llm import bpe, codes, licenses, lines, maxscore, minhash, packing, repetition, suffixes, toxicity, warc
+from pricelode.llm import bpe, codes, licenses, lines, maxscore, minhash, packing, repetition, spelling, suffixes, toxicity, warc
 from pricelode.llm.corpus import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -196,3 +196,32 @@ def _codes_sql() -> str:
 def op11_codes(spark: SparkSession, folder: str) -> DataFrame:
     """Sixteen codebook indexes for every vector, with the errors they leave."""
     return codes.compressed(table(spark, folder, "embeddings"))
+
+
+@query("""
+    WITH RECURSIVE bits AS (SELECT list(list_reduce(list_prepend(b, range(8)), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)
+                    ORDER BY b) AS t FROM range(256) r(b)),
+    r AS (SELECT doc_id, w, count(*) AS c FROM (
+            SELECT doc_id, unnest(regexp_extract_all(translate(text, {upper}, {small}), '[a-z\u00C0-\u00FF]+')) AS w FROM documents) GROUP BY 1, 2),
+    x AS (SELECT w, c, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, octet_length(encode(s)) + 1),
+                     lambda i: ('0x' || substr(hex(encode(s)), 2 * i - 1, 2))::BIGINT)),
+                     lambda h, b: xor(h >> 8, t[xor(h & 255, b) + 1])), 4294967295) AS h
+          FROM (SELECT *, coalesce(CAST(doc_id AS VARCHAR), '') || ':' || w AS s FROM r WHERE length(w) >= 5), bits),
+    v AS (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM (
+            SELECT CASE WHEN h % 97 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, c FROM x)
+          WHERE length(word) >= 5 GROUP BY 1 HAVING sum(c) >= 3),
+    d AS (SELECT word, n, unnest(range(length(word))) AS i FROM v),
+    e AS (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM d),
+    p AS (SELECT a.word, a.n, b.word AS near, b.n AS m FROM e a JOIN e b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+          UNION SELECT e.word, e.n, v.word, v.n FROM e JOIN v ON v.word = e.rest
+          UNION SELECT v.word, v.n, e.word, e.n FROM e JOIN v ON v.word = e.rest),
+    q AS (SELECT word, any_value(n) AS n, count(*) AS n_near, min((-m, near)) AS best FROM p GROUP BY 1),
+    f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN -best[1] >= 2 * v.n THEN best[2] END AS form,
+                 CASE WHEN -best[1] >= 2 * v.n THEN -best[1] END AS form_n FROM v LEFT JOIN q USING (word)),
+    g AS (SELECT word, word AS root, 0 AS step FROM f UNION ALL SELECT g.word, f.form, step + 1 FROM g JOIN f ON f.word = g.root WHERE f.form IS NOT NULL),
+    o AS (SELECT word, arg_max(root, step) AS root FROM g GROUP BY 1)
+    SELECT word, form, root, n, n_near, form_n FROM f JOIN o USING (word)
+""")
+def op13_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    """The words of all documents, with the commoner words that they are variants of."""
+    return spelling.variants(table(spark, folder, "documents"), slips=97)
