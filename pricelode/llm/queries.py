@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from pricelode.llm import bpe, codes, licenses, lines, maxscore, minhash, packing, repetition, spelling, suffixes, toxicity, warc
+from pricelode.llm import bpe, codes, licenses, lines, maxscore, minhash, packing, quality, repetition, spelling, suffixes, toxicity, warc
 from pricelode.llm.corpus import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -198,6 +198,15 @@ def op11_codes(spark: SparkSession, folder: str) -> DataFrame:
     return codes.compressed(table(spark, folder, "embeddings"))
 
 
+@query()
+def op12_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """A quality score of every document, learned from labelled rows that are not held out."""
+    docs, sizes = table(spark, folder, "documents"), ("n_chars",)
+    out = toxicity.held_out(F.col("doc_id"))
+    machine = quality.fitted(docs, table(spark, folder, "labels"), ~out, sizes)
+    return quality.scored(docs, machine, sizes).withColumn("held_out", out)
+
+
 @query("""
     WITH RECURSIVE bits AS (SELECT list(list_reduce(list_prepend(b, range(8)), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)
                     ORDER BY b) AS t FROM range(256) r(b)),
