@@ -16,6 +16,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 MAX_BROADCAST_QUERIES = 1_024
 STORE_ROWS_PER_CELL = 20_000
+VISITS = 512  # queries scored together with a cell
 DIGITS = 12  # scores are compared after rounding, so that equal vectors tie wherever they are
 
 
@@ -50,8 +51,8 @@ def top_k(
     ``keys`` are columns of the store that come along with the id, for ids that do not tell all rows apart.
 
     A batch of at most ``max_broadcast`` queries is sent to every task, which reads its part of the
-    store once and returns k rows per query. A larger batch is cut into blocks that
-    meet every cell of the store.
+    store once and returns k rows per query. The queries of a larger batch visit every cell of the store,
+    each of whose rows is in one cell.
     """
     store = store.where(F.col(vector).isNotNull()).select(
         F.col(id_col).alias("id"), *keys, F.col(vector).alias("vector"))
@@ -63,7 +64,7 @@ def top_k(
     if len(few) <= max_broadcast:
         scored = _against_broadcast(store, few, k, schema)
     else:
-        scored = _in_cells(store, queries, k, schema, max_broadcast, rows_per_cell)
+        scored = _in_cells(store, queries, k, schema, rows_per_cell)
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id", *keys)
     return scored.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
 
@@ -93,24 +94,51 @@ def _hits(top: pd.DataFrame, names: np.ndarray) -> pd.DataFrame:
 
 
 def _in_cells(
-    store: DataFrame, queries: DataFrame, k: int, schema: str, per_block: int, per_cell: int,
+    store: DataFrame, queries: DataFrame, k: int, schema: str, per_cell: int,
 ) -> DataFrame:
-    blocks = max(1, math.ceil(queries.count() / per_block))
+    """Every query visits every cell; a row of the store is in one cell only."""
     cells = max(1, math.ceil(store.count() / per_cell))
+    placed = store.withColumn("cell", F.pmod(F.xxhash64("id"), F.lit(cells)).cast("int"))
+    visits = queries.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))))
+    return best_in_cells(placed, visits, k, ("cell",), schema)
 
-    def side(df: DataFrame, key: str, own: str, n: int, other: str, copies: int) -> DataFrame:
-        return df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(n)).cast("int")) \
-            .withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
 
-    def meet(part: pd.DataFrame, batch: pd.DataFrame) -> pd.DataFrame:
-        ids, names = part.drop(columns=["vector", "cell", "block"]), batch["query_id"].to_numpy()
-        if not len(part) or not len(batch):
-            return _hits(ids.head(0).assign(query=np.empty(0, int), score=np.empty(0)), names)
-        return _hits(score(ids, matrix(part["vector"]), matrix(batch["vector"]), k), names)
+def best_in_cells(store: DataFrame, visits: DataFrame, k: int, cell: Sequence[str], schema: str) -> DataFrame:
+    """``query_id, id, *keys, similarity``: the ``k`` best rows of each visited cell for each visit.
 
-    left = side(store, "id", "cell", cells, "block", blocks).groupBy("cell", "block")
-    right = side(queries, "query_id", "block", blocks, "cell", cells).groupBy("cell", "block")
-    return left.cogroup(right).applyInPandas(meet, schema)
+    ``store`` has the columns of ``cell``, the id and keys of ``schema``, and ``vector``; ``visits`` has those of ``cell``,
+    ``query_id`` and ``vector``. A cell's rows of the store come first and are held, so their number has to be bounded; its
+    visits, of which there may be any number, stream past them.
+    """
+    ids = [c for c in store.columns if c not in (*cell, "vector")]
+    rows = store.select(*cell, F.lit(0).alias("_side"), *ids, F.lit(None).cast(dict(visits.dtypes)["query_id"]).alias("query_id"), "vector")
+    asks = visits.select(*cell, F.lit(1).alias("_side"), *(F.lit(None).cast(t).alias(c) for c, t in store.select(*ids).dtypes),
+                         "query_id", "vector")
+
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, at, known, vectors = [], None, None, None
+        for b in batches:
+            if not len(b):
+                continue
+            where = b[list(cell)]
+            new = np.flatnonzero((where != where.shift()).any(axis=1).to_numpy())
+            for start, end in zip(new, [*new[1:], len(b)], strict=True):
+                part, here = b.iloc[start:end], tuple(where.iloc[start])
+                if here != at:
+                    held, at, known = [], here, None
+                side = part["_side"].to_numpy()
+                if (side == 0).any():
+                    held.append(part[side == 0])
+                asked = part[side == 1]
+                if len(asked) and held:
+                    if known is None:
+                        known = pd.concat(held)
+                        known, vectors = known[ids].reset_index(drop=True), matrix(known["vector"])
+                    for first in range(0, len(asked), VISITS):
+                        some = asked.iloc[first:first + VISITS]
+                        yield _hits(score(known, vectors, matrix(some["vector"]), k), some["query_id"].to_numpy())
+
+    return rows.unionByName(asks).repartition(*cell).sortWithinPartitions(*cell, "_side").mapInPandas(meet, schema)
 
 
 def passages(hits: DataFrame, chunks: DataFrame, length: int = 500) -> DataFrame:

@@ -481,5 +481,5 @@ on(
 
 # The same answers by the routes that only large tables take.
 for _name, _like in (("lof_drugs_leaves", "lof_drugs"), ("mom_hot", "mom"), ("zscore_rolling_hot", "zscore_rolling"),
-                     ("vector_topk_cells", "vector_topk")):
+                     ("vector_topk_cells", "vector_topk"), ("vector_topk_pruned", "vector_topk")):
     ORACLES[_name] = ORACLES[_like]

@@ -18,7 +18,7 @@ from pricelode.plans.durable import scratch_path
 from pricelode.plans.quantiles import profile
 from pricelode.sources import adhoc, tables
 from pricelode.sources.tpch import pricing_fact, spread_table, table
-from pricelode.text import context, embed, retrieval, search
+from pricelode.text import context, embed, lsh, pruned, retrieval, search
 from pricelode.text.chunk import chunk_documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -599,11 +599,32 @@ def vector_topk_cells(spark, folder):
     return closest_to_means(spark, folder, max_broadcast=3, rows_per_cell=100)
 
 
-def closest_to_means(spark: SparkSession, folder: str, **options) -> DataFrame:
-    """The vectors closest to the mean vector of each label."""
+@query()
+def vector_topk_pruned(spark, folder):
+    store, means = store_and_means(spark, folder)
+    index = pruned.build_pruned(store, scratch_path(spark, "cells"), id_col="vec_id")
+    return pruned.pruned_top_k(index, means).select("query_id", "id", "place", "similarity")
+
+
+@query()
+def vector_topk_hashed(spark, folder):
+    """Approximate: what hash tables find of the same."""
+    store, means = store_and_means(spark, folder)
+    index = lsh.build_hashes(store, scratch_path(spark, "hashes"), id_col="vec_id")
+    return lsh.approximate_top_k(index, means).select("query_id", "id", "place", "similarity")
+
+
+def store_and_means(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """The vectors, and the mean vector of each label as a query."""
     store = spread_table(spark, folder, "embeddings")
     means = store.groupBy("label").agg(Summarizer.mean(array_to_vector("embedding")).alias("m")).select(
         F.col("label").alias("query_id"), vector_to_array("m").alias("embedding"))
+    return store, means
+
+
+def closest_to_means(spark: SparkSession, folder: str, **options) -> DataFrame:
+    """The vectors closest to the mean vector of each label."""
+    store, means = store_and_means(spark, folder)
     return search.top_k(store, means, 4, id_col="vec_id", **options).select("query_id", "id", "place", "similarity")
 
 
