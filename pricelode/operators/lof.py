@@ -1,10 +1,11 @@
 """Local outlier factor (Breunig et al., 2000) by an exact, partitioned neighbour search.
 
 Equal points are merged into one weighted location first, so repeated rows cost nothing.
-A k-d tree grown on a bounded sample cuts the space into leaves of similar size. Each leaf finds
-neighbours among its own locations; a location whose neighbour ball crosses its leaf is
-sent to exactly the other leaves the ball touches, and the candidates are merged. The
-factor itself is two equi-joins on the neighbour lists.
+A k-d tree grown on a bounded sample cuts the space into leaves of similar size, each of which is one
+row of arrays. Each leaf finds neighbours among its own locations; where the neighbour ball of a location
+crosses its leaf, it asks exactly the leaves the ball touches, and these send the locations that count,
+each once per asking leaf. From then on only k-distances and densities of such foreign locations travel,
+and all sums over neighbours are taken where the points are.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from dataclasses import asdict, dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pricelode.operators.statistical import robust_scale
@@ -31,20 +32,19 @@ MAX_LEAVES = 131_072  # bounds the broadcast tree (16 MB) and its sample
 SAMPLES_PER_LEAF = 16
 SCAN_ROWS = 256  # locations compared all with all inside a task
 AXES = ["x0", "x1", "x2"]
-
-# A neighbour; the order of the fields is the order of preference: near first, ties by position.
-NEIGHBOUR = "struct<dist: double, o0: double, o1: double, o2: double, other: long, weight: long>"
+PLACES = 2 ** 32  # a location is named by its leaf and its place there
 
 
 @dataclass
 class LeafTree:
-    """A complete k-d tree in heap order with the box of every node."""
+    """A complete k-d tree in heap order with the box of every node, and the number of points there if that is known."""
 
     depth: int
     axis: np.ndarray
     cut: np.ndarray
     low: np.ndarray
     high: np.ndarray
+    count: np.ndarray | None = None
 
     def leaf_of(self, x: np.ndarray) -> np.ndarray:
         node = np.zeros(len(x), dtype=np.int64)
@@ -63,6 +63,28 @@ class LeafTree:
             row, node = row[near], node[near]
         return row, node
 
+    def filled(self, leaf: np.ndarray, count: np.ndarray, low: np.ndarray, high: np.ndarray) -> LeafTree:
+        """The tree with the boxes that its points fill, given number and extent of the points of each leaf that has any."""
+        nodes = len(self.cut)
+        counts, lows, highs = np.zeros(nodes, np.int64), np.full(self.low.shape, np.inf), np.full(self.high.shape, -np.inf)
+        counts[leaf], lows[leaf], highs[leaf] = count, low, high
+        for level in range(self.depth - 1, -1, -1):
+            own = slice(2 ** level - 1, 2 ** (level + 1) - 1)
+            left, right = slice(2 ** (level + 1) - 1, 2 ** (level + 2) - 1, 2), slice(2 ** (level + 1), 2 ** (level + 2) - 1, 2)
+            counts[own] = counts[left] + counts[right]
+            lows[own], highs[own] = np.minimum(lows[left], lows[right]), np.maximum(highs[left], highs[right])
+        return LeafTree(self.depth, self.axis, self.cut, lows, highs, counts)
+
+    def reach(self, x: np.ndarray, leaf: int, k: int) -> np.ndarray:
+        """A radius around points of ``leaf`` that holds ``k`` other points: to the far corner of the smallest box that has them."""
+        node = leaf
+        while node and self.count[node] <= k:
+            node = (node - 1) // 2
+        if self.count[node] <= k:
+            return np.full(len(x), np.inf)
+        gap = np.maximum(np.abs(x - self.low[node]), np.abs(self.high[node] - x))
+        return np.sqrt((gap ** 2).sum(axis=1)) * (1 + 1e-12)
+
 
 def grow_tree(sample: np.ndarray, depth: int) -> LeafTree:
     dims, nodes = sample.shape[1], 2 ** (depth + 1) - 1
@@ -165,18 +187,6 @@ def nearest_in(
     return row[keep], point[keep], dist[keep]
 
 
-def lists(row: np.ndarray, n: int, values: pa.Array) -> pa.ListArray:
-    """``values``, ordered by ``row``, as one list per row 0..n-1."""
-    return pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(n + 1)), pa.int32()), values)
-
-
-def neighbour_lists(hit: tuple, n: int, ids: np.ndarray, weight: np.ndarray, x: np.ndarray) -> pa.ListArray:
-    row, point, dist = hit
-    fields = {"dist": dist, "o0": x[point, 0], "o1": x[point, 1], "o2": x[point, 2],
-              "other": ids[point], "weight": weight[point]}
-    return lists(row, n, pa.StructArray.from_arrays([pa.array(v) for v in fields.values()], list(fields)))
-
-
 def locations(df: DataFrame, features: list[str] = FEATURES) -> DataFrame:
     """Distinct scaled points, and the raw values they come from, with their number of rows."""
     scaled = robust_scale(df, features)
@@ -196,64 +206,114 @@ def sampled_tree(points: DataFrame, n: int, k: int, leaf_rows: int) -> LeafTree:
     return grow_tree(sample.to_numpy(dtype=np.float64).reshape(-1, len(AXES)), depth)
 
 
-def neighbours(points: DataFrame, n: int, k: int, leaf_rows: int = LEAF_ROWS) -> DataFrame:
-    """``id, weight, near``: for each location its ``k`` nearest other locations, closest first.
+def packed(**arrays: np.ndarray) -> dict[str, pa.Array]:
+    """Arrays as one binary value each."""
+    return {name: pa.array([np.ascontiguousarray(x).tobytes()], pa.binary()) for name, x in arrays.items()}
+
+
+def unpacked(rows: pa.Table, name: str, kind: type = np.float64) -> np.ndarray:
+    return np.frombuffer(rows.column(name)[0].as_py(), kind)
+
+
+def axes_of(rows: pa.Table) -> np.ndarray:
+    return np.column_stack([rows.column(a).to_numpy() for a in AXES])
+
+
+def by_row(values: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
+    return np.bincount(row, values, n) if len(row) else np.zeros(n)
+
 
-    ``points`` has the axes and ``weight``. Each leaf numbers its locations in order of position.
+def leaves(points: DataFrame, n: int, k: int, leaf_rows: int = LEAF_ROWS) -> DataFrame:
+    """One row per leaf: its locations ordered by position with their ``k`` nearest other locations, closest first.
+
+    ``points`` has the axes and ``weight``. ``x`` and ``own`` (copies of a location itself among its neighbours) have a value per
+    location, ``row``, ``near``, ``dist`` and ``taken`` one per neighbour: ``near`` is the place of a neighbour in the leaf, or
+    behind the leaf's locations that of one of the ``foreign`` ones, and ``taken`` how many of the k places it has.
     """
+    spark = points.sparkSession
     # Plain arrays, so that workers need nothing but numpy to read them.
-    shared = points.sparkSession.sparkContext.broadcast(asdict(sampled_tree(points, n, k, leaf_rows)))
+    cuts = spark.sparkContext.broadcast(asdict(sampled_tree(points, n, k, leaf_rows)))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = np.column_stack([b.column(a).to_numpy(zero_copy_only=False) for a in AXES])
             yield pa.RecordBatch.from_arrays(
-                [*b.columns, pa.array(LeafTree(**shared.value).leaf_of(x))], [*b.schema.names, "leaf"])
+                [*b.columns, pa.array(LeafTree(**cuts.value).leaf_of(x))], [*b.schema.names, "leaf"])
 
-    point = "x0 double, x1 double, x2 double, weight long, leaf long"
-    placed = points.select(*AXES, "weight").mapInArrow(place, point)
+    placed = checkpointed(points.select(*AXES, "weight").mapInArrow(place, "x0 double, x1 double, x2 double, weight long, leaf long"))
+    extent = placed.groupBy("leaf").agg(
+        F.count("*").alias("n"), *(F.min(a) for a in AXES), *(F.max(a) for a in AXES)).toPandas().to_numpy(np.float64)  # a row per leaf
+    tree = LeafTree(**cuts.value).filled(
+        extent[:, 0].astype(np.int64), extent[:, 1].astype(np.int64), extent[:, 2:5], extent[:, 5:8])
+    shared = spark.sparkContext.broadcast(asdict(tree))
 
     def within(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by([(a, "ascending") for a in AXES])
-        x = np.column_stack([rows.column(a).to_numpy() for a in AXES])
-        leaf = rows.column("leaf")[0].as_py()
-        ids = leaf * 2 ** 32 + np.arange(len(x))
-        hit = nearest_in(x, x, k, None, True)
-        counts = np.bincount(hit[0], minlength=len(x))
-        last = np.maximum(np.searchsorted(hit[0], np.arange(len(x)), side="right") - 1, 0)
-        # The k-th local distance bounds the search; a leaf with too few locations leaves it open.
-        radius = np.where(counts >= k, hit[2][last] if len(hit[2]) else np.inf, np.inf)
-        row, other_leaf = LeafTree(**shared.value).touched(x, radius)
-        away = other_leaf != leaf
-        order = np.argsort(row[away], kind="stable")
-        visits = lists(row[away][order], len(x), pa.array(other_leaf[away][order]))
-        near = neighbour_lists(hit, len(x), ids, rows.column("weight").to_numpy(), x)
-        for name, values in (("id", pa.array(ids)), ("radius", pa.array(radius)), ("near", near), ("visits", visits)):
-            rows = rows.append_column(name, values)
-        return rows
-
+        x, leaf = axes_of(rows), rows.column("leaf")[0].as_py()
+        row, near, dist = nearest_in(x, x, k, None, True)
+        full = np.bincount(row, minlength=len(x)) >= k
+        last = np.searchsorted(row, np.arange(len(x)), side="right") - 1
+        # The k-th local distance bounds the search, or where there are too few locations a box that holds enough.
+        radius = LeafTree(**shared.value).reach(x, leaf, k)
+        radius[full] = dist[last[full]]
+        asking, asked = LeafTree(**shared.value).touched(x, radius)
+        away = asked != leaf
+        asking, asked = asking[away], asked[away]
+        visits = pa.StructArray.from_arrays(
+            [pa.array(v) for v in (asked, x[asking, 0], x[asking, 1], x[asking, 2], radius[asking])], ["leaf", *AXES, "radius"])
+        return pa.table({
+            "leaf": pa.array([leaf]), **packed(
+                x=x, weight=rows.column("weight").to_numpy(), row=row, near=near, dist=dist, radius=radius, crossing=np.unique(asking)),
+            "visits": pa.ListArray.from_arrays(pa.array([0, len(asked)], pa.int32()), visits)})
+
+    visit = "struct<leaf: long, x0: double, x1: double, x2: double, radius: double>"
     local = checkpointed(placed.groupBy("leaf").applyInArrow(
-        within, f"{point}, id long, radius double, near array<{NEIGHBOUR}>, visits array<long>"))
-
-    crossing = local.where(F.size("visits") > 0)
-    query = crossing.select("id", *AXES, "radius", F.explode("visits").alias("leaf"))
-
-    def across(query: pa.Table, rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by("id")
-        q = np.column_stack([query.column(a).to_numpy() for a in AXES])
-        x = np.column_stack([rows.column(a).to_numpy() for a in AXES])
-        hit = nearest_in(q, x, k, query.column("radius").to_numpy(), False)
-        near = neighbour_lists(hit, len(q), rows.column("id").to_numpy(), rows.column("weight").to_numpy(), x)
-        return pa.table({"id": query.column("id"), "near": near})
-
-    foreign = query.groupBy("leaf").cogroup(local.select("id", *AXES, "weight", "leaf").groupBy("leaf")) \
-        .applyInArrow(across, f"id long, near array<{NEIGHBOUR}>")
-
-    # A location gets one short list per leaf it touches.
-    merged = crossing.select("id", "near").unionByName(foreign).groupBy("id").agg(
-        F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
-    known = crossing.select("id", "weight", *AXES).join(merged, "id")
-    return local.where(F.size("visits") == 0).select("id", "weight", *AXES, "near").unionByName(known)
+        within, "leaf long, x binary, weight binary, row binary, near binary, dist binary, radius binary, crossing binary, "
+                f"visits array<{visit}>"))
+    query = local.select(F.col("leaf").alias("asks"), F.explode("visits").alias("visit")).select("asks", "visit.*")
+
+    def answer(query: pa.Table, rows: pa.Table) -> pa.Table:
+        """What counts among the asked leaf's locations, once for each leaf that asks."""
+        x, weight = unpacked(rows, "x").reshape(-1, len(AXES)), unpacked(rows, "weight", np.int64)
+        hit, point, _ = nearest_in(axes_of(query), x, k, query.column("radius").to_numpy(), False)
+        wanted = np.unique(np.column_stack([query.column("asks").to_numpy()[hit], point]), axis=0).reshape(-1, 2)
+        point = wanted[:, 1]
+        return pa.table({"asks": wanted[:, 0], "id": rows.column("leaf")[0].as_py() * PLACES + point,
+                         **{a: x[point, d] for d, a in enumerate(AXES)}, "weight": weight[point]})
+
+    halo = query.groupBy("leaf").cogroup(local.select("leaf", "x", "weight").groupBy("leaf")).applyInArrow(
+        answer, "asks long, id long, x0 double, x1 double, x2 double, weight long")
+
+    def merge(rows: pa.Table, halo: pa.Table) -> pa.Table:
+        x, weight = unpacked(rows, "x").reshape(-1, len(AXES)), unpacked(rows, "weight", np.int64)
+        row, near, dist = unpacked(rows, "row", np.int64), unpacked(rows, "near", np.int64), unpacked(rows, "dist")
+        foreign = np.zeros(0, np.int64)
+        n = len(x)
+        if halo.num_rows:
+            halo = halo.sort_by([(a, "ascending") for a in AXES])
+            asking, others = unpacked(rows, "crossing", np.int64), axes_of(halo)
+            q, point, far = nearest_in(x[asking], others, k, unpacked(rows, "radius")[asking], False)
+            place, both = np.concatenate([np.arange(n), n + np.arange(len(others))]), np.concatenate([x, others])
+            row, near, dist = np.concatenate([row, asking[q]]), np.concatenate([near, place[n + point]]), np.concatenate([dist, far])
+            order = np.lexsort((*both[near].T[::-1], dist, row))  # ties by position
+            row, near, dist = row[order], near[order], dist[order]
+            keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+            row, near, dist = row[keep], near[keep], dist[keep]
+            used, back = np.unique(near[near >= n], return_inverse=True)
+            foreign = halo.column("id").to_numpy()[used - n]
+            weight = np.concatenate([weight, halo.column("weight").to_numpy()[used - n]])
+            near[near >= n] = n + back
+        own = np.minimum(weight[:n] - 1, k)
+        # A neighbour takes as many of the k places as it has rows, while there are any left.
+        before = np.cumsum(weight[near]) - weight[near]
+        before -= before[np.searchsorted(row, row)] if len(row) else 0
+        taken = np.clip(k - own[row] - before, 0, weight[near])
+        return pa.table({"leaf": rows.column("leaf"), "x": rows.column("x"), **packed(
+            own=own, row=row.astype(np.int32), near=near.astype(np.int32), dist=dist, taken=taken.astype(np.int32)),
+            "foreign": pa.array([foreign], pa.list_(pa.int64()))})
+
+    return local.drop("visits").groupBy("leaf").cogroup(halo.withColumnRenamed("asks", "leaf").groupBy("leaf")).applyInArrow(
+        merge, "leaf long, x binary, own binary, row binary, near binary, dist binary, taken binary, foreign array<long>")
 
 
 def factors(
@@ -268,53 +328,60 @@ def factors(
     k = min(neighbors, size["rows"] - 1)
     if k < 1:
         return found.select(*raw, F.lit(None).cast("double").alias("factor"))
-    scored = local_outlier_factor(neighbours(points, size["n"], k, leaf_rows), k)
+    scored = local_outlier_factor(leaves(points, size["n"], k, leaf_rows), k)
     return found.join(scored, AXES).select(*raw, "factor")
 
 
-def places(near: Column, own: Column, k: int) -> Column:
-    """How many of the ``k`` places each listed neighbour takes: as many as it has rows, while there are any left."""
-    start = F.struct(own.cast("long").alias("used"), F.array().cast("array<long>").alias("taken"))
+def local_outlier_factor(found: DataFrame, k: int) -> DataFrame:
+    """``factor`` per location from the leaves.
 
-    def step(acc: Column, n: Column) -> Column:
-        take = F.least(n["weight"], F.lit(k) - acc["used"])
-        return F.struct((acc["used"] + take).alias("used"), F.concat(acc["taken"], F.array(take)).alias("taken"))
+    A location of weight w counts w - 1 copies of itself at distance 0 before any other.
+    """
+    found = checkpointed(found)
+    asked = found.select(F.col("leaf").alias("asks"), F.posexplode("foreign").alias("place", "other")).select(
+        "asks", "place", F.floor(F.col("other") / PLACES).cast("long").alias("leaf"), (F.col("other") % PLACES).alias("at"))
 
-    weighted = F.aggregate(near, start, step)["taken"]
-    # Nearly always every location is a single row.
-    single = (own == 0) & F.forall(near, lambda n: n["weight"] == 1)
-    return F.when(single, F.transform(near, lambda n: F.lit(1).cast("long"))).otherwise(weighted)
+    def fetched(values: DataFrame) -> DataFrame:
+        """``leaf, place, value``: what each leaf asked of others, from one array per leaf."""
+        def look(asked: pa.Table, rows: pa.Table) -> pa.Table:
+            value = unpacked(rows, "value")[asked.column("at").to_numpy()]
+            return pa.table({"leaf": asked.column("asks"), "place": asked.column("place"), "value": value})
 
+        return asked.groupBy("leaf").cogroup(values.groupBy("leaf")).applyInArrow(look, "leaf long, place int, value double")
 
-def local_outlier_factor(found: DataFrame, k: int) -> DataFrame:
-    """``factor`` per location from the neighbour lists.
+    def with_foreign(values: np.ndarray, halo: pa.Table) -> np.ndarray:
+        order = np.argsort(halo.column("place").to_numpy())
+        return np.concatenate([values, halo.column("value").to_numpy()[order]])
 
-    A location of weight w counts w - 1 copies of itself at distance 0 before any other.
-    """
-    own = F.least(F.col("weight") - 1, F.lit(k))
-    near = F.coalesce("near", F.array().cast(f"array<{NEIGHBOUR}>"))
-    counted = found.select("id", *AXES, own.alias("own"), near.alias("near"))
-    counted = counted.withColumn("taken", places(F.col("near"), F.col("own"), k))
-    links = F.filter(
-        F.zip_with("near", "taken", lambda n, t: F.struct(
-            n["other"].alias("other"), n["dist"].alias("dist"), t.alias("taken"))),
-        lambda x: x["taken"] > 0)
-    listed = checkpointed(counted.select("id", *AXES, "own", links.alias("links")).withColumn(
-        "kdist", F.coalesce(F.array_max(F.transform("links", lambda x: x["dist"])), F.lit(0.0))))
-    pairs = listed.select("id", F.explode("links").alias("link")).select("id", "link.*")
-
-    other_kdist = listed.select(F.col("id").alias("other"), F.col("kdist").alias("other_kdist"))
-    reached = pairs.join(other_kdist, "other").groupBy("id").agg(
-        F.sum(F.col("taken") * F.greatest("dist", "other_kdist")).alias("reach"))
-    mean_reach = (F.col("own") * F.col("kdist") + F.coalesce("reach", F.lit(0.0))) / F.lit(k)
-    density = checkpointed(listed.join(reached, "id", "left").select(
-        "id", *AXES, "own", (F.lit(1.0) / (mean_reach + F.lit(1e-10))).alias("lrd")))
-
-    other_lrd = density.select(F.col("id").alias("other"), F.col("lrd").alias("other_lrd"))
-    around = pairs.join(other_lrd, "other").groupBy("id").agg(
-        F.sum(F.col("taken") * F.col("other_lrd")).alias("around"))
-    total = F.col("own") * F.col("lrd") + F.coalesce("around", F.lit(0.0))
-    return density.join(around, "id", "left").select(*AXES, (total / F.lit(k) / F.col("lrd")).alias("factor"))
+    def kdistances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                yield pa.RecordBatch.from_pydict({"leaf": [b.column(0)[i].as_py()], **packed(value=kdistance(pa.Table.from_batches([b[i:i + 1]])))})
+
+    def kdistance(rows: pa.Table) -> np.ndarray:
+        n, row, counts = len(unpacked(rows, "own", np.int64)), unpacked(rows, "row", np.int32), unpacked(rows, "taken", np.int32) > 0
+        out = np.zeros(n)
+        np.maximum.at(out, row[counts], unpacked(rows, "dist")[counts])
+        return out
+
+    def density(rows: pa.Table, halo: pa.Table) -> pa.Table:
+        row, near, taken = (unpacked(rows, c, np.int32) for c in ("row", "near", "taken"))
+        own, kdist = unpacked(rows, "own", np.int64), kdistance(rows)
+        reach = by_row(taken * np.maximum(unpacked(rows, "dist"), with_foreign(kdist, halo)[near]), row, len(own))
+        return pa.table({"leaf": rows.column("leaf"), **packed(value=1.0 / ((own * kdist + reach) / k + 1e-10))})
+
+    def factor(rows: pa.Table, halo: pa.Table) -> pa.Table:
+        row, near, taken = (unpacked(rows, c, np.int32) for c in ("row", "near", "taken"))
+        own, lrd, x = unpacked(rows, "own", np.int64), unpacked(rows, "value"), unpacked(rows, "x").reshape(-1, len(AXES))
+        around = own * lrd + by_row(taken * with_foreign(lrd, halo)[near], row, len(own))
+        return pa.table({**{a: x[:, d] for d, a in enumerate(AXES)}, "factor": around / k / lrd})
+
+    lists = ["leaf", "own", "row", "near", "dist", "taken"]
+    kdist = found.select(*lists).mapInArrow(kdistances, "leaf long, value binary")
+    densities = checkpointed(found.select(*lists).groupBy("leaf").cogroup(fetched(kdist).groupBy("leaf")).applyInArrow(
+        density, "leaf long, value binary"))
+    return found.select(*lists, "x").drop("dist").join(densities, "leaf").groupBy("leaf").cogroup(
+        fetched(densities).groupBy("leaf")).applyInArrow(factor, "x0 double, x1 double, x2 double, factor double")
 
 
 def join_factors(

@@ -120,16 +120,24 @@ def price_trend(df: DataFrame, days: int = 90) -> DataFrame:
         "drug_id", "day", rounded("last.actual_price", 2).alias("actual_price"))
 
 
-def drug_report(annotated: DataFrame) -> DataFrame:
-    """Per drug: name, severity counts, five commonest violations and the action to take.
+def drug_report(annotated: DataFrame, days: int = 90) -> DataFrame:
+    """Per drug: name, severity counts, five commonest violations, the action to take and the price trend.
 
-    The findings themselves stay rows, see ``anomaly_history``; the 90-day trend is ``price_trend``.
+    ``price_trend`` maps each day within ``days`` of the drug's newest transaction to its last price, so it has at most
+    ``days + 1`` entries; findings without dates and prices have an empty one. The findings themselves stay rows, see
+    ``anomaly_history``. One scan.
     """
-    named = annotated.groupBy("drug_id", "drug_name", "anomaly_type").agg(F.count("*").alias("n"), *_severity_counts())
-    # At most one row per anomaly type and drug.
+    for column, kind in (("transaction_date", "date"), ("actual_price", "double")):
+        if column not in annotated.columns:
+            annotated = annotated.withColumn(column, F.lit(None).cast(kind))
+    day = F.to_date("transaction_date").alias("day")
+    named = annotated.groupBy("drug_id", "drug_name", "anomaly_type", day).agg(
+        F.count("*").alias("n"), *_severity_counts(), F.max(F.struct("transaction_date", "txn_id", "actual_price")).alias("last"))
+    # At most one row per anomaly type and drug, with a list of at most one entry per name and day.
     cells = named.groupBy("drug_id", "anomaly_type").agg(
         F.min("drug_name").alias("drug_name"),
-        *[F.sum(c).alias(c) for c in ("n", *[f"{s}_count" for s in POINTS])])
+        *[F.sum(c).alias(c) for c in ("n", *[f"{s}_count" for s in POINTS])],
+        F.collect_list(F.struct("day", "last")).alias("days"))
     listed = F.when(_found(), F.struct((-F.col("n")).alias("n"), "anomaly_type"))
     per_drug = cells.groupBy("drug_id").agg(
         F.min("drug_name").alias("drug_name"),
@@ -137,14 +145,20 @@ def drug_report(annotated: DataFrame) -> DataFrame:
         *[F.sum(f"{s}_count").alias(s) for s in POINTS],
         F.coalesce(F.max(_is_rule()), F.lit(False)).alias("has_rule"),
         F.sort_array(F.collect_list(listed)).alias("types"),
+        F.sort_array(F.flatten(F.collect_list("days"))).alias("days"),
     )
+    newest = F.element_at("days", -1)["last"]["transaction_date"]
+    ends_day = lambda x, i: ~F.coalesce(F.get("days", i + 1)["day"] == x["day"], F.lit(False))
+    recent = F.filter("days", lambda x, i: ends_day(x, i) & (
+        x["last"]["transaction_date"] >= newest - F.expr(f"INTERVAL {int(days)} DAYS")))
+    trend = F.map_from_entries(F.transform(recent, lambda x: F.struct(x["day"], rounded(x["last"]["actual_price"], 2))))
     action = F.when((F.col("high") > 0) & F.col("has_rule"), "regulatory_review") \
         .when(F.col("high") > 0, "escalate").when(F.col("medium") > 0, "investigate").otherwise("monitor")
     return per_drug.select(
         "drug_id", "drug_name", "anomalies",
         F.create_map(*[c for s in ("low", "medium", "high") for c in (F.lit(s), F.col(s))]).alias("severity_breakdown"),
         F.slice(F.transform("types", lambda t: t["anomaly_type"]), 1, 5).alias("top_violations"),
-        action.alias("recommended_action"),
+        action.alias("recommended_action"), trend.alias("price_trend"),
     )
 
 

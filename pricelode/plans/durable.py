@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,13 +28,14 @@ def shared_dir(spark: SparkSession) -> str:
 _STEPS: list[str] = []
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
+def checkpointed(df: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
     """Write ``df`` once as a table; what follows reads the columns it needs and survives lost executors."""
     spark = df.sparkSession
     path = scratch_path(spark, "step")
     _STEPS.append(path)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.partitionBy(*partition_by).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    return stored.select(*df.columns) if partition_by else stored
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -2,8 +2,8 @@
 
 A window by key puts a whole key into one task, so a key that holds a large share of the
 rows would run alone. Such keys are found on a sample of the key columns (the sample only
-decides the route, both routes give the same answer); their rows are cut into
-days, and each day gets the few preceding rows the frame looks back on.
+decides the route, both routes give the same answer). Then the rows are written once, hot ones apart
+and cut into days; each day gets the few preceding rows the frame looks back on.
 """
 
 from __future__ import annotations
@@ -65,9 +65,13 @@ def over_ordered(
     if hot is None:
         return windowed(laned, keys).drop("_lane")
 
-    cold_part = windowed(laned.join(hot, keys, "left_anti"), keys).drop("_lane")
+    # One pass over the input: what follows reads the written rows, hot and cold ones from different folders.
+    marked = laned.join(hot.withColumn("_hot", F.lit(True)), keys, "left").select(
+        *source_columns, "_lane", F.coalesce("_hot", F.lit(False)).alias("_hot"))
+    staged = checkpointed(marked, ["_hot"])
+    cold_part = windowed(staged.where(~F.col("_hot")).drop("_hot"), keys).drop("_lane")
 
-    rows = laned.join(hot, keys, "left_semi").withColumn("_slice", F.to_date(slice_by))
+    rows = staged.where("_hot").drop("_hot").withColumn("_slice", F.to_date(slice_by))
     newest_first = Window.partitionBy(*keys, "_slice").orderBy(*[F.desc(c) for c in order])
     tails = rows.where(in_sequence).withColumn("_r", F.row_number().over(newest_first)) \
         .where(F.col("_r") <= lookback).drop("_r")

@@ -40,17 +40,25 @@ def scan_pricing(spark: SparkSession, path: str) -> DataFrame:
         known = {f.name: f for f in schema.TRANSACTIONS.fields}
         df = load(spark, path, T.StructType([known.get(n, T.StructField(n, T.StringType())) for n in names]))
     else:
-        df = load(spark, path)
+        df = with_row_id(load(spark, path))
     return prepared(df)
 
 
+def with_row_id(df: DataFrame) -> DataFrame:
+    """Rows of Parquet files by file and place, unless they have an id: part of the scan, and the same whenever it is run."""
+    if "txn_id" in df.columns:
+        return df
+    file = F.hex(F.xxhash64("_metadata.file_path"))
+    return df.select(F.concat_ws("-", file, F.col("_metadata.row_index").cast("string")).alias("txn_id"), *df.columns)
+
+
 def prepared(df: DataFrame) -> DataFrame:
     df = schema.nan_to_null(schema.require_columns(df, [c for c in schema.REQUIRED if c != "txn_id"]))
     return df if "txn_id" in df.columns else with_txn_id(df)
 
 
 def with_txn_id(df: DataFrame) -> DataFrame:
-    """Give rows an id made of their content and, among equal rows, a number; written once to stay the same."""
+    """Give rows of any origin an id made of their content and, among equal rows, a number; written once to stay the same."""
     digest = F.substring(F.sha2(F.to_json(F.struct(*df.columns)), 256), 1, 24)
     # Equal rows are interchangeable, so lanes may split a large group of them at will.
     lane = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1_024))

@@ -398,7 +398,7 @@ on(
         FROM ann JOIN (SELECT drug_class, first(anomaly_type ORDER BY n DESC, anomaly_type) AS top FROM (
           SELECT drug_class, anomaly_type, count(*) AS n FROM res GROUP BY ALL) GROUP BY drug_class) USING (drug_class)
         GROUP BY drug_class""",
-    drug_report="""SELECT drug_id, drug_name, anomalies, low, medium, high, coalesce(types, '') AS top_violations,
+    drug_report="""SELECT drug_id, drug_name, anomalies, low, medium, high, coalesce(types, '') AS top_violations, price_trend,
           CASE WHEN high > 0 AND ruled THEN 'regulatory_review' WHEN high > 0 THEN 'escalate'
             WHEN medium > 0 THEN 'investigate' ELSE 'monitor' END AS recommended_action
         FROM (SELECT drug_id, min(drug_name) AS drug_name, count(anomaly_type) AS anomalies,
@@ -408,7 +408,12 @@ on(
         LEFT JOIN (SELECT drug_id, string_agg(anomaly_type, ',' ORDER BY n DESC, anomaly_type) AS types FROM (
           SELECT *, row_number() OVER (PARTITION BY drug_id ORDER BY n DESC, anomaly_type) AS r FROM (
             SELECT drug_id, anomaly_type, count(*) AS n FROM res GROUP BY ALL)) WHERE r <= 5 GROUP BY drug_id)
-        USING (drug_id)""",
+        USING (drug_id)
+        LEFT JOIN (SELECT drug_id, string_agg(day || '=' || printf('%.2f', price), ',' ORDER BY day) AS price_trend FROM (
+          SELECT drug_id, strftime(transaction_date, '%Y-%m-%d') AS day, round(actual_price, 2) AS price, transaction_date,
+            max(transaction_date) OVER (PARTITION BY drug_id) AS newest, row_number() OVER (
+            PARTITION BY drug_id, transaction_date ORDER BY txn_id DESC) AS r FROM fact)
+          WHERE r = 1 AND transaction_date >= newest - INTERVAL 90 DAYS GROUP BY drug_id) USING (drug_id)""",
     kpis="""SELECT count(*) AS transactions, count(DISTINCT drug_id) AS drugs,
         count(DISTINCT pharmacy_id) AS pharmacies, round(avg(wac_price), 4) AS avg_wac,
         round(avg(margin_percent), 4) AS avg_margin, round(count(anomaly_type) * 100.0 / count(*), 4) AS anomaly_rate,

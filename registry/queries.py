@@ -197,7 +197,9 @@ def drug_report(annotated):
     report = reports.drug_report(annotated)
     return report.select(
         "drug_id", "drug_name", "anomalies", *[F.col("severity_breakdown")[s].alias(s) for s in ("low", "medium", "high")],
-        "top_violations", "recommended_action")
+        "top_violations", "recommended_action",
+        F.transform(F.map_entries("price_trend"), lambda e: F.concat_ws(
+            "=", e["key"].cast("string"), F.format_string("%.2f", e["value"]))).alias("price_trend"))
 
 
 @on_fact()

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from pricelode.operators import ensemble, forest, lof
 from pricelode.operators.statistical import robust_scale
+from pricelode.sources.tpch import pricing_fact
+from registry.queries import QUERIES
 
 AXES = lof.AXES
 
@@ -132,3 +134,48 @@ def test_all_six_detectors_agree_on_the_planted_rows(prices):
     for txn in ("t00003", "t00400", "t00900"):
         assert found[txn]["severity"] == "high"
         assert {"Z-Score", "Isolation Forest", "LOF", "Regulatory Rules"} <= set(found[txn]["methods"])
+
+
+def test_transactions_against_all_pairs(spark):
+    """The factor of every transaction of a table, from all its pairs."""
+    fact = pricing_fact(spark, "/root/testdata/sf0.001")
+    scaled = robust_scale(fact, lof.FEATURES)
+    rows = fact.select("txn_id", *(c.alias(a) for a, c in zip(AXES, scaled.values()))).toPandas().sort_values([*AXES, "txn_id"])
+    x, k = rows[AXES].to_numpy(), 20
+    dist = np.sqrt(sum((x[:, d, None] - x[None, :, d]) ** 2 for d in range(3)))
+    np.fill_diagonal(dist, np.inf)
+    near = np.argsort(dist, axis=1, kind="stable")[:, :k]
+    far = np.take_along_axis(dist, near, axis=1)
+    lrd = 1 / (np.maximum(far, far[near, -1]).mean(axis=1) + 1e-10)
+    want = dict(zip(rows["txn_id"], lrd[near].mean(axis=1) / lrd, strict=True))
+    got = lof.join_factors(fact, lof.factors(fact, leaf_rows=300)).select("txn_id", "lof_raw").collect()
+    assert len(got) == len(want) == 6000
+    np.testing.assert_allclose([r["lof_raw"] for r in got], [want[r["txn_id"]] for r in got], rtol=1e-7)
+    flagged = {r["txn_id"] for r in QUERIES["lof_transactions"](spark, "/root/testdata/sf0.001").collect()}
+    top = sorted(want, key=want.get, reverse=True)
+    assert flagged == set(top[:len(flagged)]) and abs(len(flagged) - 0.07 * 6000) <= 1
+
+
+def test_sparse_leaves_ask_only_around_them():
+    rng = np.random.default_rng(2)
+    dense, lone = rng.normal(size=(2000, 3)), np.array([[40.0, 0.0, 0.0], [41.0, 0.0, 0.0]])
+    x, k = np.vstack([dense, lone]), 10
+    tree = lof.grow_tree(x, 5)
+    above = (tree.leaf_of(lone)[0] - 1) // 2
+    tree.axis[above], tree.cut[above] = 0, 20.0  # a leaf of the lone points only
+    leaf = tree.leaf_of(x)
+    own = np.unique(leaf)
+    filled = tree.filled(own, np.array([(leaf == o).sum() for o in own]), np.array([x[leaf == o].min(axis=0) for o in own]),
+                         np.array([x[leaf == o].max(axis=0) for o in own]))
+    assert filled.count[0] == len(x)
+    sparse = [o for o in own if (leaf == o).sum() <= k]
+    assert sparse
+    for o in sparse:
+        q = x[leaf == o]
+        radius = filled.reach(q, o, k)
+        dist = np.sort(np.linalg.norm(x[None] - q[:, None], axis=2), axis=1)
+        assert np.isfinite(radius).all() and (radius >= dist[:, k]).all()
+        _, asked = filled.touched(q, radius)
+        assert len(set(asked)) < len(own)
+    few = lof.grow_tree(x[:3], 0).filled(np.array([0]), np.array([3]), x[:3].min(axis=0)[None], x[:3].max(axis=0)[None])
+    assert np.isinf(few.reach(x[:3], 0, 5)).all()

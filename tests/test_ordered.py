@@ -59,6 +59,19 @@ def test_rolling_statistics_are_the_same_on_both_routes(sequences):
             assert a == b or a == pytest.approx(b, rel=1e-9)
 
 
+def test_hot_route_evaluates_its_input_once(spark, sequences):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = mom_flags(sequences.mapInArrow(counted, sequences.schema), **HOT)
+    sampled = seen.value  # looking for hot keys reads the input too
+    assert rows.count() == 401 and seen.value - sampled in (0, 401) and sampled <= 2 * 401
+
+
 def test_every_row_stays(sequences):
     assert mom_flags(sequences).count() == sequences.count()
     assert mom_flags(sequences, **HOT).count() == sequences.count()

@@ -57,6 +57,17 @@ def test_drug_report(spark, found, action):
     assert sum(row["severity_breakdown"].values()) == len(found)
 
 
+def test_drug_report_holds_the_trend(spark):
+    day = lambda n: dt.date(2024, 6, 1) - dt.timedelta(days=n)
+    rows = [("D", "a", "t1", day(0), 10.126), ("D", "b", "t2", day(0), 11.0), ("D", "a", "t0", day(0), 9.0), ("D", "a", "t3", day(90), 5.0),
+            ("D", "a", "t4", day(91), 4.0), ("D", "a", "t5", day(30), None), ("E", "e", "t6", day(200), 7.0), ("F", "f", "t7", None, 1.0)]
+    frame = spark.createDataFrame(
+        [(d, n, t, when, price, None if t == "t3" else "wac_breach", "high") for d, n, t, when, price in rows],
+        "drug_id string, drug_name string, txn_id string, transaction_date date, actual_price double, anomaly_type string, severity string")
+    got = {r["drug_id"]: r["price_trend"] for r in reports.drug_report(frame).collect()}
+    assert got["D"] == {day(0): 11.0, day(30): None, day(90): 5.0} and got["E"] == {day(200): 7.0} and not got["F"]
+
+
 def test_unknown_drug(spark):
     with pytest.raises(LookupError):
         reports.only(findings(spark, [("P", "D", "C", None, None)]), "drug_id", "X")

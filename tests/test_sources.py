@@ -28,6 +28,17 @@ def test_rows_without_an_id_get_one(spark, transactions, tmp_path):
     assert sorted(ids) == sorted(r["txn_id"] for r in back.repartition(3).collect())
 
 
+def test_row_ids_come_from_the_scan(spark, transactions, tmp_path):
+    df = transactions([dict(actual_price=1.0)] * 6).drop("txn_id").repartition(3)
+    path = tables.save(df, str(tmp_path / "bare"))
+    back = tables.scan_pricing(spark, path)
+    plan = back._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort" not in plan
+    ids = sorted(r["txn_id"] for r in back.collect())
+    assert len(set(ids)) == 6 and ids == sorted(r["txn_id"] for r in tables.scan_pricing(spark, path).repartition(2).collect())
+    assert back.where("actual_price > 2").count() == 0 and back.columns[0] == "txn_id"
+
+
 def test_unknown_formats(spark, transactions, tmp_path):
     with pytest.raises(ValueError):
         tables.load(spark, "x.xlsx")
