@@ -11,6 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pricelode.llm.steps import written
 from pricelode.plans.spread import spread
 
 SCHEMAS = {
@@ -47,6 +48,19 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carri
     return docs.select(*own, *([F.struct(*(docs[c] for c in carried)).alias("carried")] if carried else []))
 
 
+def told_apart(docs: DataFrame) -> DataFrame | None:
+    """``docs(doc_id, text, ...)`` with a number ``row`` for each id and text, in the order of ids and, for one id, of the MD5 of
+    texts; none for rows without an id. Nothing is returned where every id has one text, which is found in one aggregation."""
+    own, text = docs.where("doc_id IS NOT NULL"), F.coalesce("text", F.lit(""))
+    texts_of = own.groupBy("doc_id").agg(F.min(F.xxhash64(text)).alias("a"), F.max(F.xxhash64(text)).alias("b"))
+    if texts_of.where("a <> b").isEmpty():
+        return None
+    named = own.select("doc_id", F.md5(text.cast("binary")).alias("digest")).distinct()
+    rows = written(named.repartitionByRange("doc_id", "digest").sortWithinPartitions("doc_id", "digest").select(
+        F.col("doc_id").alias("of"), "digest", F.monotonically_increasing_id().alias("row")))  # ranges come in order
+    return docs.join(rows, (F.col("doc_id") == F.col("of")) & (F.md5(text.cast("binary")) == F.col("digest")), "left").drop("of", "digest")
+
+
 def small_batches(spark: SparkSession) -> None:
     """Lets the session hand texts to Python in batches of at most ``BATCH_ROWS`` rows from now on."""
     if not 0 < int(spark.conf.get(_BATCH, "10000")) <= BATCH_ROWS:

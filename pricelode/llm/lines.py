@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pricelode.llm.corpus import carried_type, chunks, mixed, shingle_hashes, signed, texts, utf8, word_hashes, words_in
+from pricelode.llm.corpus import carried_type, chunks, mixed, shingle_hashes, signed, texts, told_apart, utf8, word_hashes, words_in
 from pricelode.llm.steps import written
 
 #: Buckets of the rarity sketch: its size does not depend on the corpus.
@@ -227,11 +227,14 @@ def without_similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     tokens the distinct runs of ``size`` words, or the whole line where it has fewer. Earlier is a smaller id, or the same
     document and a smaller line number. A line goes if an earlier line of the input, itself removed or not, has
     ``den * intersection >= num * union``. Lines without words always stay. A null text stays null, with no lines. Rows without
-    an id stay as they are. Rows that repeat an id and text count as one document and get the same result. An empty table
-    gives no rows; other columns are ignored, or come along as the struct ``carried``. Jobs run and steps are written when
+    an id stay as they are. Rows that repeat an id and text count as one document and get the same result; those of one id with
+    different texts are documents of their own, in the order of the MD5 of their texts. An empty table gives no rows; other columns are ignored, or come along as the struct ``carried``. Jobs run and steps are written when
     this is called.
     """
     docs = texts(docs, id_col, text_col, carried)
+    if (rows := told_apart(docs)) is not None:
+        found = without_similar_lines(rows, "row", "text", size, num, den, [c for c in docs.columns if c != "text"])
+        return found.select("carried.doc_id", *found.columns[1:-1], *(["carried.carried"] if carried else []))
     stay = kept_lines(docs.select("doc_id", "text"), size, num, den).groupBy("doc_id").agg(F.collect_set("line").alias("stay"))
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

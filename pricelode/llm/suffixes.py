@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pricelode.llm.corpus import carried_type, mixed, texts, utf8
+from pricelode.llm.corpus import carried_type, mixed, texts, told_apart, utf8
 from pricelode.llm.steps import written
 
 #: Suffixes that one bucket holds on average, whatever the size of the corpus: what bounds a task's memory.
@@ -370,13 +370,17 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Texts are UTF-8 bytes, a null text is empty. A byte goes if a string of ``length`` bytes covers it that also starts
     earlier: in a document of smaller id, or earlier in the same one. Strings are judged on the input, and none crosses
     documents. ``kept`` are the remaining bytes, ``spans`` the removed ones as ``[start, end)`` pairs. Rows that repeat an id
-    and its text count as one document, each gets its result. Rows without an id take no part and are kept whole. Texts
+    and its text count as one document, each gets its result; those of one id with different texts are documents of their own, in
+    the order of the MD5 of their texts. Rows without an id take no part and are kept whole. Texts
     shorter than ``length`` are kept. An empty table gives no rows; other columns are ignored, or come along as the struct
     ``carried``. Jobs run and steps are written when this is called.
     """
     if not 0 < gram <= length or length - gram > 250:
         raise ValueError("gram must be at most length, and at most 250 shorter")
     docs = texts(docs, id_col, text_col, carried)
+    if (rows := told_apart(docs)) is not None:
+        found = without_repeats(rows, "row", "text", length, gram, [c for c in docs.columns if c != "text"])
+        return found.select("carried.doc_id", *found.columns[1:-1], *(["carried.carried"] if carried else []))
     own = docs.select("doc_id", "text")
     buckets, sample = _sampled(own, length, gram)
     marks = written(_marked(own, length, gram, buckets, sample[0]))

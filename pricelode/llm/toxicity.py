@@ -80,7 +80,10 @@ def features(data: bytes, lexicon: Lexicon) -> list[float]:
     weight = list(map(lexicon.__getitem__, found))
     hits = [i for i, x in enumerate(weight) if x]
     people = [i for i, w in enumerate(found) if w in SECOND_PERSON]
-    near = sum(any(abs(i - j) <= NEAR for j in people) for i in hits) if people else 0
+    near = 0
+    if people and hits:
+        at, own = np.array(people), np.array(hits)
+        near = int((np.searchsorted(at, own + NEAR, "right") > np.searchsorted(at, own - NEAR)).sum())
     plain = data.lower().translate(_PLAIN, _REMOVED).split()
     hidden = max(0, sum(map(bool, map(lexicon.__getitem__, plain))) - len(hits))
     letters = len(data) - len(data.translate(None, _LETTERS))

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import hashlib
 import random
 
 import pytest
@@ -56,6 +57,22 @@ def test_against_all_pairs(documents, seed, short, block, monkeypatch):
     assert found(documents(rows)) == brute(rows)
 
 
+def test_one_id_with_different_texts(documents):
+    """They are documents of their own, in the order of the MD5 of their texts."""
+    same = "a b c d e f g h"
+    rows = [(1, same), (2, "p q r s t u v"), (2, same), (2, same + "\nnew words in a line"), (3, "p q r s t u v"), (2, None), (None, same)]
+    digest = lambda t: hashlib.md5((t or "").encode()).hexdigest()
+    own = [(i, t) for i, t in rows if i is not None]
+    order = sorted({(i, digest(t)) for i, t in own})
+    want = brute([(order.index((i, digest(t))), t) for i, t in own])
+    got = lines.without_similar_lines(documents(rows)).collect()
+    key = lambda r: (r[0], str(r[1]), *r[2:])
+    assert sorted((tuple(x) for x in got if x[0] is not None), key=key) == sorted(
+        ((i, *want[order.index((i, digest(t)))]) for i, t in own), key=key)
+    assert [tuple(x)[1:] for x in got if x[0] is None] == [(same, 1, 0)]
+    assert lines.without_similar_lines(documents(rows), carried=("bucket",)).where("carried.bucket = 'x'").count() == len(rows)
+
+
 def test_single_words_as_tokens(documents):
     rows = corpus(7)
     assert found(documents(rows), size=1) == brute(rows, 1)

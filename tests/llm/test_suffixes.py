@@ -53,6 +53,20 @@ def test_against_every_string(documents, seed, monkeypatch):
     assert found(documents(rows), length=30, gram=12) == brute(rows, 30)
 
 
+def test_one_id_with_different_texts(spark, documents):
+    """They are documents of their own, in the order of the MD5 of their texts."""
+    r = random.Random(4)
+    p, q = ("".join(r.choice("abcdefg ") for _ in range(150)) for _ in range(2))
+    rows = [(1, p + " first"), (2, "7 bytes" + q), (2, "zzzz " + p), (2, "zzzz " + p), (2**62, q), (2, None), (-5, "x" + p[:120]), (None, p)]
+    order = sorted({(i, hashlib.md5((t or "").encode()).hexdigest()) for i, t in rows if i is not None})
+    want = brute({(order.index((i, hashlib.md5((t or "").encode()).hexdigest())), t) for i, t in rows if i is not None}, 100)
+    got = suffixes.digest(suffixes.without_repeats(documents(rows))).collect()
+    assert sorted(tuple(x) for x in got if x[0] is not None) == sorted(
+        (i, *want[order.index((i, hashlib.md5((t or "").encode()).hexdigest()))]) for i, t in rows if i is not None)
+    assert [x["n_removed"] for x in got if x[0] is None] == [0]
+    assert suffixes.without_repeats(documents(rows), carried=("bucket",)).where("carried.bucket = 'x'").count() == len(rows)
+
+
 def test_one_bucket_and_the_default_length(documents):
     rows = corpus(9)
     assert found(documents(rows)) == brute(rows, 100)

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -77,3 +78,16 @@ def test_obfuscated_and_second_person_words_count():
     lexicon = toxicity.Lexicon({b"nasty": 3.0, b"rotten*": 2.0})
     plain, near, hidden = (toxicity.features(t, lexicon) for t in (b"a nasty b rottenest c", b"you nasty", b"n4sty n.a.s.t.y"))
     assert plain[2] == 2 and plain[5] == 0 and near[5] > 0 and hidden[13] == 2 and plain[13] == 0
+
+
+def test_features_of_a_long_text_take_linear_time():
+    lexicon = toxicity.Lexicon({b"nasty": 3.0})
+    r = random.Random(0)
+    words = [r.choice(["nasty", "you", "a", "b", "c", "d", "e", "f"]) for _ in range(200_000)]
+    start = time.perf_counter()
+    found = toxicity.features(" ".join(words).encode(), lexicon)
+    assert time.perf_counter() - start < 5
+    some = words[:3_000]
+    hits, people = ([i for i, w in enumerate(some) if w == x] for x in ("nasty", "you"))
+    near = sum(any(abs(i - j) <= toxicity.NEAR for j in people) for i in hits)
+    assert toxicity.features(" ".join(some).encode(), lexicon)[5] == 100 * near / len(some) and 0 < found[5] < 100
