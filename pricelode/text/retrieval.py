@@ -7,6 +7,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pricelode.plans.durable import checkpointed
 from pricelode.text.chunk import chunk_documents
 from pricelode.text.embed import fit_tfidf, tfidf_embed
 from pricelode.text.index import save_index
@@ -35,7 +36,7 @@ def read_directory(spark: SparkSession, folder: str) -> DataFrame:
 
 def build(docs: DataFrame, path: str) -> tuple[DataFrame, PipelineModel]:
     """Chunk and embed the documents once; searches then read the stored vectors only."""
-    chunks = chunk_documents(docs)
+    chunks = checkpointed(chunk_documents(docs))  # cut once: read for the fit, and again with the model
     if chunks.isEmpty():
         raise ValueError("there are no chunks to index")
     model = fit_tfidf(chunks)

@@ -488,3 +488,6 @@ on(
 for _name, _like in (("lof_drugs_leaves", "lof_drugs"), ("mom_hot", "mom"), ("zscore_rolling_hot", "zscore_rolling"),
                      ("vector_topk_cells", "vector_topk"), ("vector_topk_pruned", "vector_topk")):
     ORACLES[_name] = ORACLES[_like]
+for _name in ("kpis", "anomaly_timeline", "gtn_quarter"):
+    ORACLES[f"{_name}_stored"] = ORACLES[_name]
+ORACLES["wac_trend_stored"] = ORACLES["wac_trend_top8"]

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from pricelode.functions import formats, prices
 from pricelode.functions.numbers import rounded
 from pricelode.operators import (
-    causal, conversations, dashboard, ensemble, forest, history, lof, reports, rules, statistical, timeseries)
+    causal, conversations, dashboard, ensemble, forest, history, lof, reports, rules, statistical, summaries, timeseries)
 from pricelode.plans.durable import scratch_path
 from pricelode.plans.quantiles import profile
 from pricelode.sources import adhoc, tables
@@ -527,6 +527,39 @@ def detect_summary(annotated):
                     lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))).alias("by_reason"))
 
 
+# The same figures from stored summaries
+
+def yearly(annotated: DataFrame) -> summaries.Summaries:
+    """Summaries with a batch per year, stored and read again."""
+    return summaries.add(annotated, scratch_path(annotated.sparkSession, "summaries"), F.year("transaction_date"))
+
+
+@on_annotated(4)
+def kpis_stored(annotated):
+    return summaries.kpis(yearly(annotated))
+
+
+@on_annotated()
+def anomaly_timeline_stored(annotated):
+    return summaries.timeline(yearly(annotated))
+
+
+@on_annotated(4)
+def wac_trend_stored(annotated):
+    return summaries.wac_trend(yearly(annotated))
+
+
+@on_annotated(4)
+def gtn_quarter_stored(annotated):
+    return summaries.gtn_by_quarter(yearly(annotated))
+
+
+@on_annotated()
+def margin_box_stored(annotated):
+    """Approximate quartiles, from rank sketches."""
+    return summaries.five_numbers(yearly(annotated), "margin_percent")
+
+
 # Price history
 
 @on_fact(4)
