@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pricelode import schema
 from pricelode.functions.numbers import rounded
 from pricelode.operators import forest, lof, rules
+from pricelode.operators.fitted import Fitted
 from pricelode.operators.statistical import IQR_FEATURES, ZSCORE_FEATURES, IqrFence, ZScore
 from pricelode.operators.timeseries import mom_flags
 from pricelode.plans.durable import checkpointed
@@ -31,18 +32,22 @@ def with_flags(
     neighbors: int = 20,
     trees: int = 200,
     seed: int = 42,
+    fitted: Fitted | None = None,
 ) -> DataFrame:
     """All rows, with the findings of every requested detector as columns (null = not flagged).
 
-    A detector that fails fails the job; leave it out by ``methods`` instead.
+    Detectors that ``fitted`` holds are applied as they are, whatever the other options; the rest are fitted on ``df``. A
+    detector that fails fails the job; leave it out by ``methods`` instead.
     """
+    fitted = fitted or Fitted()
+    stored = {m for m in ("zscore", "iqr", "forest") if getattr(fitted, m) is not None}
     methods = list(methods)
     unknown = set(methods) - set(ALL_METHODS)
     if unknown:
         raise ValueError(f"unknown detectors: {', '.join(sorted(unknown))}")
     source = df
     used = {"zscore": ZSCORE_FEATURES, "iqr": IQR_FEATURES, "forest": forest.FEATURES}
-    wanted = [c for m in methods for c in used.get(m, [])]
+    wanted = [c for m in methods if m not in stored for c in used.get(m, [])]
     known = profile(source, wanted) if wanted else None
     out = mom_flags(df, spike, drop) if "mom" in methods else df.withColumns({
         "mom_type": F.lit(None).cast("string"), "mom_score": F.lit(None).cast("double"),
@@ -50,13 +55,13 @@ def with_flags(
     })
     none = F.lit(None)
     if "zscore" in methods:
-        z = ZScore.fit(source, threshold=z_threshold, known=known)
+        z = fitted.zscore or ZScore.fit(source, threshold=z_threshold, known=known)
         out = out.withColumns(z.columns()).withColumn("zscore_score", F.when(z.flagged(), z.score()))
     else:
         out = out.withColumns({"z_max": none.cast("double"), "z_feature": none.cast("string"),
                                "z_value": none.cast("double"), "zscore_score": none.cast("double")})
     if "iqr" in methods:
-        fence = IqrFence.fit(source, multiplier=iqr_multiplier, known=known)
+        fence = fitted.iqr or IqrFence.fit(source, multiplier=iqr_multiplier, known=known)
         out = out.withColumns(fence.columns()).withColumn("iqr_score", F.when(fence.flagged(), fence.score()))
     else:
         out = out.withColumns({"iqr_distance": none.cast("double"), "iqr_feature": none.cast("string"),
@@ -66,27 +71,36 @@ def with_flags(
 
     models = [m for m in ("forest", "lof") if m in methods]
     if "forest" in models:
-        out = forest.with_raw_score(out, forest.fit(source, trees=trees, seed=seed, known=known), "forest_raw")
+        model = fitted.forest or forest.fit(source, trees=trees, seed=seed, known=known)
+        out = forest.with_raw_score(out, model, "forest_raw")
     if "lof" in models:
         out = lof.join_factors(out, lof.factors(source, neighbors=neighbors), "lof_raw")
-    if models:
+    cuts = {"forest_raw": fitted.cut} if "forest" in stored else {}
+    if any(MODEL_SCORES[m][0] not in cuts for m in models):
         # The cut-off of a model is a quantile of its own scores over all rows.
         out = checkpointed(out)
     for m in ("forest", "lof"):
         if m not in models:
             out = out.withColumns({name: none.cast("double") for name in MODEL_SCORES[m]})
-    return with_top_shares(out, [MODEL_SCORES[m] for m in models], contamination)
+    return with_top_shares(out, [MODEL_SCORES[m] for m in models], contamination, cuts)
 
 
-def with_top_shares(df: DataFrame, scores: list[tuple[str, str]], share: float) -> DataFrame:
-    """For each (raw, score): ``raw`` scaled to [0, 1] where it exceeds its ``1 - share`` quantile, else null."""
-    cuts = exact_quantiles(df, [raw for raw, _ in scores], [0.0, 1.0 - share, 1.0]) if scores else {}
+def with_top_shares(df: DataFrame, scores: list[tuple[str, str]], share: float, known: dict[str, tuple] | None = None) -> DataFrame:
+    """For each (raw, score): ``raw`` scaled to [0, 1] where it exceeds its ``1 - share`` quantile, else null.
+
+    ``known`` has the lowest value, that quantile and the highest value of the columns that need no look at ``df``; a score
+    beyond the highest is 1.
+    """
+    known = known or {}
+    open_ = [raw for raw, _ in scores if raw not in known]
+    cuts = known | (exact_quantiles(df, open_, [0.0, 1.0 - share, 1.0]) if open_ else {})
     for raw, score in scores:
         low, cut, high = cuts[raw]
         if cut is None:
             df = df.withColumn(score, F.lit(None).cast("double"))
         else:
             scaled = (F.col(raw) - F.lit(low)) / F.lit(high - low + 1e-9)
+            scaled = F.least(scaled, F.lit(1.0)) if raw in known else scaled
             df = df.withColumn(score, F.when(F.col(raw) > F.lit(cut), scaled))
     return df
 

@@ -491,3 +491,4 @@ for _name, _like in (("lof_drugs_leaves", "lof_drugs"), ("mom_hot", "mom"), ("zs
 for _name in ("kpis", "anomaly_timeline", "gtn_quarter"):
     ORACLES[f"{_name}_stored"] = ORACLES[_name]
 ORACLES["wac_trend_stored"] = ORACLES["wac_trend_top8"]
+ORACLES["detect_sql_stored"] = ORACLES["detect_sql"]

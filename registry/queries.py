@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from pricelode.functions import formats, prices
 from pricelode.functions.numbers import rounded
 from pricelode.operators import (
-    causal, conversations, dashboard, ensemble, forest, history, lof, reports, rules, statistical, summaries, timeseries)
+    causal, conversations, dashboard, ensemble, fitted, forest, history, lof, reports, rules, statistical, summaries, timeseries)
 from pricelode.plans.durable import scratch_path
 from pricelode.plans.quantiles import profile
 from pricelode.sources import adhoc, tables
@@ -507,6 +507,14 @@ def detect_sql(spark, folder):
     return ensemble.detect_all(pricing_fact(spark, folder), ensemble.SQL_METHODS).drop("description", "methods")
 
 
+@query()
+def detect_sql_stored(spark, folder):
+    """The detectors fitted, stored, loaded and applied without fitting."""
+    fact, state = pricing_fact(spark, folder), scratch_path(spark, "detectors")
+    fitted.save(spark, fitted.fit(fact, ("zscore", "iqr")), state)
+    return ensemble.detect_all(fact, ensemble.SQL_METHODS, fitted=fitted.load(spark, state)).drop("description", "methods")
+
+
 @query()
 def detect_all(spark, folder):
     return ensemble.detect_all(pricing_fact(spark, folder))
