@@ -16,6 +16,7 @@ from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -25,12 +26,17 @@ from pricelode.llm.corpus import texts
 
 #: Characters normalised and cut at a time; slices end at ASCII white space.
 SLICE = 1 << 16
-#: Words whose ids a worker remembers, and the longest word it remembers.
+#: Characters whose new words are encoded side by side.
+BLOCK = 1 << 20
+#: Pieces whose ids a worker remembers, and the longest piece it remembers and word it encodes beside others.
 REMEMBERED, LONGEST = 300_000, 48
+#: Bits of an id in the number that stands for a pair of ids.
+_PAIR = 20
 #: What the normaliser takes for white space (a fixed value of its pattern dialect), and what Python adds to that.
 _SPACE = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _NO_SPACE = re.compile(r"[\x1c-\x1f]")
 _PIECES = re.compile(f"[^{_SPACE}]+")
+_MARKS = frozenset(",.;:!?")
 _SLICE_END = re.compile(r"[\t\n\x0b\x0c\r ]")
 
 
@@ -101,6 +107,69 @@ def merged(symbols: list[str], ranks: dict[tuple[str, str], int]) -> list[str]:
     return symbols
 
 
+class Merges:
+    """The merges as sorted arrays, for many short words at once."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        ids, end = vocabulary.ids, vocabulary.end
+        self.first = np.array([ids[s] for s in vocabulary.symbols], np.int64)
+        self.last = np.array([ids[s + end] for s in vocabulary.symbols], np.int64)
+        pairs = np.array([ids[a] << _PAIR | ids[b] for a, b in vocabulary.ranks], np.int64)
+        self.made = np.array([ids[a + b] for a, b in vocabulary.ranks], np.int64)
+        self.none = len(pairs)  # the rank of a pair that no merge takes
+        order = np.argsort(pairs)
+        self.pairs, self.ranks = pairs[order], order
+
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        pair = left << _PAIR | right
+        at = np.minimum(np.searchsorted(self.pairs, pair), self.none - 1)
+        return np.where(self.pairs[at] == pair, self.ranks[at], self.none)
+
+    def encode(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word, none of them empty, as 32-bit numbers.
+
+        In each round every word merges its leftmost pair of least rank; words without one are done and leave.
+        """
+        if not words:
+            return []
+        data, n = np.frombuffer(b"".join(words), np.uint8), np.array(list(map(len, words)))
+        ids, ends = self.first[data], np.cumsum(n)
+        ids[ends - 1] = self.last[data[ends - 1]]
+        rank = np.full(len(ids), self.none)
+        rank[:-1] = self.rank(ids[:-1], ids[1:])
+        rank[ends - 1] = self.none
+        word = np.arange(len(words))
+        done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        while len(word):
+            least = np.minimum.reduceat(rank, np.cumsum(n) - n)
+            ready = least == self.none
+            if ready.any():
+                leaves = np.repeat(ready, n)
+                done.append((word[ready], n[ready], ids[leaves]))
+                ids, rank = ids[~leaves], rank[~leaves]
+                word, n, least = word[~ready], n[~ready], least[~ready]
+                if not len(word):
+                    break
+            starts = np.cumsum(n) - n
+            hits = np.flatnonzero(rank == np.repeat(least, n))
+            at = hits[np.searchsorted(hits, starts)]  # the first of each word
+            ids[at] = self.made[least]
+            rank[at] = rank[at + 1]  # none where the right half was the last
+            stays = np.ones(len(ids), bool)
+            stays[at + 1] = False
+            inner, after = at > starts, rank[at] < self.none
+            after |= at + 2 < starts + n
+            rank[at[after]] = self.rank(ids[at[after]], ids[at[after] + 2])
+            rank[at[inner] - 1] = self.rank(ids[at[inner] - 1], ids[at[inner]])
+            ids, rank, n = ids[stays], rank[stays], n - 1
+        word, n, ids = (np.concatenate(x) for x in zip(*done, strict=True))
+        held, cuts = ids.astype(np.uint32).tobytes(), np.concatenate([[0], 4 * np.cumsum(n)]).tolist()
+        out = [b""] * len(words)
+        for w, a, b in zip(word.tolist(), cuts, cuts[1:]):  # noqa: B905
+            out[w] = held[a:b]
+        return out
+
+
 class Transducer:
     """Encodes one word that arrives in pieces; holds back only what later symbols can still change."""
 
@@ -141,55 +210,106 @@ class Encoder:
 
     def __init__(self, path: str):
         self.vocabulary = Vocabulary(path)
+        self.merges = Merges(self.vocabulary)
         self.known: dict[str, bytes] = {}
-
-    def piece(self, piece: str) -> bytes:
-        """The ids of a piece without white space, as 32-bit numbers: its words, each remembered or through the transducer."""
-        known, text = self.known, normalised(piece)
-        words = (text,) if text.isalpha() else self.vocabulary.pattern.findall(text)  # letters alone are one word
-        out = b""
-        for word in words:
-            out += known.get(word) or self.word(word)
-        if len(known) < REMEMBERED and len(piece) <= LONGEST:
-            known[piece] = out
-        return out
+        self.earlier: dict[str, bytes] = {}
+
+    def meet(self, pieces: set[str]) -> None:
+        """Makes the ids of pieces without white space known, as 32-bit numbers: new words are encoded side by side, words
+        longer than the rest go through the transducer."""
+        known, find = self.known, self.vocabulary.pattern.findall
+        new: dict[str, list[str]] = {}
+        ids: dict[str, bytes] = {}
+        for piece in pieces.difference(known):
+            if piece in self.earlier:
+                known[piece] = self.earlier[piece]
+                continue
+            text = normalised(piece)
+            if text.isalpha():  # letters alone are one word
+                words = [text]
+            elif text[-1] in _MARKS and text[:-1].isalpha():
+                words = [text[:-1], text[-1]]
+            else:
+                words = find(text)
+            new[piece] = words
+            for word in words:
+                if word not in ids:  # a word in ASCII is its own normal form, so it may be known as a piece
+                    ids[word] = known.get(word, b"") if word.isascii() else b""
+        short = [w for w, own in ids.items() if not own and len(w) <= LONGEST]
+        ids.update(zip(short, self.merges.encode([w.encode() for w in short]), strict=True))
+        for word, own in ids.items():
+            if not own:
+                ids[word] = self.word(word)
+        for piece, words in new.items():
+            known[piece] = ids[words[0]] if len(words) == 1 else b"".join(map(ids.__getitem__, words))
 
     def word(self, word: str) -> bytes:
+        """The ids of one word, emitted as they become stable."""
         v = self.vocabulary
-        symbols = [v.symbols[b] for b in word.encode()]
-        if len(symbols) > v.lookahead:
-            transducer = Transducer(v)
-            return array("I", chain(transducer.push(symbols), transducer.close())).tobytes()
-        symbols[-1] += v.end  # nothing is stable before the end
-        return array("I", [v.ids[t] for t in merged(symbols, v.ranks)]).tobytes()
-
-    def stream(self, text: str) -> Iterator[array]:
-        """The ids of a text, one array per slice."""
+        transducer = Transducer(v)
+        symbols = (v.symbols[b] for b in word.encode())
+        return array("I", chain(transducer.push(symbols), transducer.close())).tobytes()
+
+    def streams(self, texts: Iterable[str | None]) -> Iterator[tuple[int, array]]:
+        """``(place, ids)`` for the slices of all texts, in order; a text without slices has none."""
+        block: list[tuple[int, list[str] | int]] = []
+        held = 0
+        for place, text in enumerate(texts):
+            for part, size in self._parts(text or ""):
+                block.append((place, part))
+                held += size
+                if held >= BLOCK:
+                    yield from self._block(block)
+                    block, held = [], 0
+        yield from self._block(block)
+
+    def _block(self, block: list[tuple[int, list[str] | int]]) -> Iterator[tuple[int, array]]:
+        if len(self.known) >= REMEMBERED // 2:  # those not met again before the next half is full are forgotten
+            self.known, self.earlier = {}, self.known
+        pieces = set().union(*(part for _, part in block if isinstance(part, list)))
+        self.meet(pieces)
+        known = self.known.__getitem__
+        for place, part in block:
+            ids = array("I")
+            if isinstance(part, list):
+                ids.frombytes(b"".join(map(known, part)))
+            else:
+                ids.append(part)
+            yield place, ids
+        for piece in pieces:
+            if len(piece) > LONGEST:
+                del self.known[piece]
+
+    def _parts(self, text: str) -> Iterator[tuple[list[str] | int, int]]:
+        """The pieces of each slice, or the id of a special token, and their characters."""
         at = 0
         for m in self.vocabulary.specials.finditer(text):
             yield from self._plain(text, at, m.start())
-            yield array("I", [self.vocabulary.special[m[0]]])
+            yield self.vocabulary.special[m[0]], len(m[0])
             at = m.end()
         yield from self._plain(text, at, len(text))
 
-    def _plain(self, text: str, at: int, end: int) -> Iterator[array]:
-        known, piece = self.known, self.piece
+    def _plain(self, text: str, at: int, end: int) -> Iterator[tuple[list[str], int]]:
         while at < end:
             to = end
             if end - at > SLICE:
                 m = _SLICE_END.search(text, at + SLICE, end)
                 to = m.start() if m else end
             part = text[at:to]
-            pieces = _PIECES.findall(part) if _NO_SPACE.search(part) else part.split()
-            ids = array("I")
-            ids.frombytes(b"".join([known[p] if p in known else piece(p) for p in pieces]))
-            yield ids
+            yield _PIECES.findall(part) if _NO_SPACE.search(part) else part.split(), to - at
             at = to
 
+    def stream(self, text: str) -> Iterator[array]:
+        """The ids of a text, one array per slice."""
+        return (ids for _, ids in self.streams([text]))
+
     def encode(self, text: str | None) -> array:
-        out = array("I")
-        for ids in self.stream(text or ""):
-            out += ids
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str | None]) -> list[array]:
+        out = [array("I") for _ in texts]
+        for place, ids in self.streams(texts):
+            out[place] += ids
         return out
 
 
@@ -239,21 +359,21 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     of the text they decode to, in the form that shows tokens.
 
     A null or empty text has no tokens. Every input row gives a row, whatever its id; other columns are ignored. Row-local:
-    no shuffle. Beside the text itself a task holds the ids of one slice. ``path`` must be readable on every executor.
+    no shuffle. Beside a batch of texts a task holds the pieces of about ``BLOCK`` characters, or of one slice, and their ids. ``path`` must be readable on every executor.
     """
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
+        empty = 0, hashlib.sha256().hexdigest(), hashlib.sha256().hexdigest()
         for batch in batches:
-            rows = []
-            for text in batch.column(1).to_pylist():
-                ids, decoded, n = hashlib.sha256(), hashlib.sha256(), 0
-                decode = Decoder(own.vocabulary, marked=True)
-                for part in own.stream(text or ""):
-                    n += len(part)
-                    ids.update(part.tobytes())
-                    decoded.update(decode.push(part).encode())
-                decoded.update(decode.close().encode())
-                rows.append((n, ids.hexdigest(), decoded.hexdigest()))
+            rows, at = [empty] * len(batch), -1
+            for place, part in own.streams(batch.column(1).to_pylist()):
+                if place != at:
+                    at, n, ids, decoded = place, 0, hashlib.sha256(), hashlib.sha256()
+                    decode = Decoder(own.vocabulary, marked=True)
+                n += len(part)
+                ids.update(part.tobytes())
+                decoded.update(decode.push(part).encode())
+                rows[at] = n, ids.hexdigest(), decoded.hexdigest()  # tokens leave whole, nothing is held back
             n, ids, decoded = zip(*rows, strict=True) if rows else ([], [], [])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())],
@@ -268,8 +388,8 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
         for batch in batches:
-            ids = [memoryview(own.encode(t)) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([i.tolist() for i in ids], pa.list_(pa.int32()))],
+            ids = [i.tolist() for i in own.encode_all(batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))],
                                              ["doc_id", "ids"])
 
     return texts(docs, id_col, text_col).mapInArrow(encode, "doc_id long, ids array<int>")

@@ -36,7 +36,9 @@ def pieces(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1) ->
         own, row, task = encoder(path), 0, TaskContext.get().partitionId()
         for batch in batches:
             out: list[tuple] = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            slices = own.streams(batch.column(1).to_pylist())
+            ahead = next(slices, None)
+            for place, doc in enumerate(batch.column(0).to_pylist()):
                 number, start, held = 0, 0, array("I")
 
                 def full(ids: array, doc=doc) -> None:
@@ -44,11 +46,12 @@ def pieces(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1) ->
                     out.append((doc, number, start, len(ids), zlib.crc32(ids.tobytes()), task, row))
                     number, start, row = number + 1, start + len(ids), row + 1
 
-                for part in own.stream(text or ""):
-                    held += part
+                while ahead is not None and ahead[0] == place:
+                    held += ahead[1]
                     while len(held) >= capacity:
                         full(held[:capacity])
                         held = held[capacity:]
+                    ahead = next(slices, None)
                 held.append(end_id)
                 full(held)
             columns = zip(*out, strict=True) if out else [[]] * 7

@@ -85,3 +85,22 @@ def test_digests(documents, library):
 def test_encode_and_decode_tables(documents):
     rows = bpe.encoded(documents([(1, "one two"), (2, None)]), PATH)
     assert sorted(tuple(r) for r in bpe.decoded(rows, PATH).collect()) == [(1, "one two "), (2, "")]
+
+
+def test_words_side_by_side_and_forgotten_ones(library, monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED", 40)
+    monkeypatch.setattr(bpe, "BLOCK", 300)
+    r = random.Random(3)
+    own = bpe.Encoder(PATH)
+    words = ["".join(r.choices("aeinrsthoéñ'.,1!中", k=r.randint(1, 70))) for _ in range(300)]
+    texts = [" ".join(r.choices(words, k=r.randint(0, 40))) for _ in range(200)] + [None, "", "<|endoftext|>", " "]
+    got = own.encode_all(texts)
+    assert [list(x) for x in got] == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert not any(len(p) > bpe.LONGEST for p in own.known)
+
+
+def test_ids_leave_before_a_long_word_ends(own):
+    machine = bpe.Transducer(own.vocabulary)
+    early = [i for _ in range(2_000) for i in machine.push("this")]
+    late = list(machine.close())
+    assert len(early) > len(late) > 0
