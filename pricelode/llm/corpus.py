@@ -21,8 +21,8 @@ SCHEMAS = {
     "embeddings": "vec_id long, embedding array<float>, label int",
 }
 
-#: Bytes of text whose words are hashed together; a longer text is taken by itself.
-HASHED = 1 << 20
+#: Bytes of text whose words are hashed together, few enough for a core's cache; a longer text is taken by itself.
+HASHED = 1 << 17
 #: Rows of an Arrow batch at most: texts are long, and a batch is held by the JVM and by Python at once.
 BATCH_ROWS = 1_000
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -50,9 +50,13 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carri
 
 def told_apart(docs: DataFrame) -> DataFrame | None:
     """``docs(doc_id, text, ...)`` with a number ``row`` for each id and text, in the order of ids and, for one id, of the MD5 of
-    texts; none for rows without an id. Nothing is returned where every id has one text, which is found in one aggregation."""
+    texts; none for rows without an id. Nothing is returned where every id has one text: a scan of the ids tells where none
+    repeats, else the texts of those that do are compared."""
     own, text = docs.where("doc_id IS NOT NULL"), F.coalesce("text", F.lit(""))
-    texts_of = own.groupBy("doc_id").agg(F.min(F.xxhash64(text)).alias("a"), F.max(F.xxhash64(text)).alias("b"))
+    repeated = own.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if repeated.isEmpty():
+        return None
+    texts_of = own.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.xxhash64(text)).alias("a"), F.max(F.xxhash64(text)).alias("b"))
     if texts_of.where("a <> b").isEmpty():
         return None
     named = own.select("doc_id", F.md5(text.cast("binary")).alias("digest")).distinct()

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pricelode.llm.corpus import carried_type, chunks, mixed, shingle_hashes, signed, texts, told_apart, utf8, word_hashes, words_in
 from pricelode.llm.steps import written
 
-#: Buckets of the rarity sketch: its size does not depend on the corpus.
+#: Buckets of the rarity sketch, a power of two: its size does not depend on the corpus.
 SKETCH = 1 << 16
 #: Longer lists are compared in blocks, of so many lines at most on average.
 SHORT, BLOCK = 32, 1_024
@@ -70,7 +70,7 @@ def rarity(docs: DataFrame, size: int) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SKETCH, np.int64)
         for cut in _cuts(batches, size):
-            total += np.bincount((cut.hash % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH)
+            total += np.bincount(signed(cut.hash & np.uint64(SKETCH - 1)), minlength=SKETCH)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["bucket", "n"])
 
@@ -89,7 +89,7 @@ def prefixes(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
             h, line = cut.hash, cut.line
             if not len(h):
                 continue
-            rare = steps[(h % np.uint64(SKETCH)).astype(np.int64)]
+            rare = steps[signed(h & np.uint64(SKETCH - 1))]
             bits = np.uint64(int(len(cut.doc)).bit_length())
             key = (line.astype(np.uint64) << (np.uint64(64) - bits)) | (rare << (np.uint64(56) - bits)) | (h >> (bits + np.uint64(8)))
             order = np.argsort(key)
