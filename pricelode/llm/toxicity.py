@@ -11,6 +11,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,9 @@ REMEMBERED = 100_000
 STEMS = range(4, 8)
 #: Words around a lexicon word in which a second person counts.
 NEAR = 5
-TREES, DEPTH, RATE, BINS, FOLDS = 80, 3, 0.15, 32, 5
+TREES, DEPTH, RATE, BINS, FOLDS = 80, 3, 0.15, 32, 3
+#: Terms that a task counts before it hands their numbers on.
+COUNTED = 200_000
 
 SECOND_PERSON = frozenset(
     "you your yours yourself yourselves ya u ur du dich dir dein deine deiner deinen euch ihr tu te toi ton ta tes vous votre "
@@ -165,7 +168,11 @@ def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
-    """Lexicon, trees and calibration; a constant where the labels are all alike."""
+    """Lexicon, trees and calibration; a constant where the labels are all alike.
+
+    ``x[0]`` are the features under the lexicon of all rows, ``x[1 + k]`` those under the lexicon of the rows outside fold
+    ``k``. A row is calibrated by the score of lexicon and trees that have not seen its fold.
+    """
 
     def __init__(self, lexicon: Lexicon, x: np.ndarray, y: np.ndarray, fold: np.ndarray):
         self.lexicon, self.constant = lexicon, float(y.mean()) if len(y) else 0.0
@@ -173,10 +180,10 @@ class Model:
         if 0 < self.constant < 1:
             out = np.zeros(len(y))
             for k in range(FOLDS):
-                rest = fold != k
-                out[~rest] = Trees(x[rest], y[rest]).raw(x[~rest]) if 0 < y[rest].sum() < rest.sum() else self.constant
+                rest, own = fold != k, x[1 + k]
+                out[~rest] = Trees(own[rest], y[rest]).raw(own[~rest]) if 0 < y[rest].sum() < rest.sum() else self.constant
             self.at, self.share = isotonic(out, y)
-            self.trees = Trees(x, y)
+            self.trees = Trees(x[0], y)
 
     def score(self, batch: list[bytes]) -> np.ndarray:
         if self.trees is None or not batch:
@@ -185,47 +192,73 @@ class Model:
         return np.clip(np.interp(self.trees.raw(x), self.at, self.share), 0.0, 1.0)
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(term, fold, toxic, clean)``: how many texts ``(doc_id, text, y, fold)`` of each label hold a term, a bounded number
+    of terms at a time."""
+    seen: Counter = Counter()
+
+    def rows() -> pa.RecordBatch:
+        terms, folds, marks = zip(*seen, strict=True) if seen else ((), (), ())
+        n, toxic = np.array(list(seen.values()), np.int64), np.array(marks, bool)
+        seen.clear()
+        return pa.RecordBatch.from_arrays(
+            [pa.array(terms, pa.binary()), pa.array(folds, pa.int32()), pa.array(n * toxic), pa.array(n * ~toxic)],
+            ["term", "fold", "toxic", "clean"])
+
+    for batch in batches:
+        for data, y, fold in zip(utf8(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            seen.update((t, fold, y) for t in {t for w in set(words_of(data or b"")) for t in terms_of(w)})
+            if len(seen) >= COUNTED:
+                yield rows()
+    yield rows()
+
+
+def _lexicons(sample: DataFrame) -> list[Lexicon]:
+    """The lexicon of all rows of ``sample(doc_id, text, y, fold)``, then for each fold that of the rows outside it."""
+    per_fold = sample.groupBy("fold").agg(F.count_if(F.col("y") == 1), F.count_if(F.col("y") == 0)).collect()
+    toxic, clean = ({r[0]: r[i] for r in per_fold} for i in (1, 2))
+    outside = lambda name, k: F.sum(F.when(F.col("fold") != k, F.col(name)).otherwise(0))
+    every = range(-1, FOLDS)  # no row is of fold -1
+    terms = written(
+        sample.mapInArrow(_counted, "term binary, fold int, toxic long, clean long").groupBy("term")
+        .agg(*(outside(name, k).alias(f"{name}{k + 1}") for name in ("toxic", "clean") for k in every))
+        .where(F.col("toxic0") >= LEAST))
+    out = []
+    for k in every:
+        n1, n0 = (sum(n for fold, n in of.items() if fold != k) for of in (toxic, clean))
+        held = F.col(f"toxic{k + 1}")
+        odds = (held + 0.5) / (n1 + 1) / ((F.col(f"clean{k + 1}") + 0.5) / (n0 + 1))
+        top = (
+            terms.where((held >= max(LEAST, SHARE * n1)) & (odds >= ODDS)).select("term", F.log(odds).alias("weight"), held.alias("n"))
+            .orderBy(F.desc(F.col("weight") * F.col("n")), "term").limit(LEXICON).collect())
+        out.append(Lexicon({bytes(r["term"]): float(r["weight"]) for r in top}))
+    return out
+
+
 def fitted(docs: DataFrame, labels: DataFrame, allowed: Column, label_col: str = "toxic") -> Model:
-    """A model from at most ``SAMPLE`` rows of ``docs(doc_id, text)`` that ``labels`` marks 0 or 1 and ``allowed`` admits."""
+    """A model from at most ``SAMPLE`` rows of ``docs(doc_id, text)`` that ``labels`` marks 0 or 1 and ``allowed`` admits.
+
+    Of texts that share an id the one of smallest MD5 counts; an id that is marked both 0 and 1 counts as 1."""
     marks = (
         labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels[label_col].cast("int").alias("y"))
         .where("doc_id IS NOT NULL AND y IN (0, 1)").where(allowed).groupBy("doc_id").agg(F.max("y").alias("y"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE))
     small_batches(docs.sparkSession)
-    sample = written(docs.join(F.broadcast(marks), "doc_id"))  # at most SAMPLE rows
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = (Counter(), Counter())
-        for batch in batches:
-            for y, data in zip(batch.column(2).to_pylist(), utf8(batch.column(1)), strict=True):
-                seen[y].update({t for w in set(words_of(data or b"")) for t in terms_of(w)})
-        found = list(seen[1])
-        yield pa.RecordBatch.from_arrays([
-            pa.array(found, pa.binary()), pa.array([seen[1][w] for w in found], pa.int64()),
-            pa.array([seen[0][w] for w in found], pa.int64())], ["word", "toxic", "clean"])
-        rest = [w for w in seen[0] if w not in seen[1]]
-        yield pa.RecordBatch.from_arrays([
-            pa.array(rest, pa.binary()), pa.array([0] * len(rest), pa.int64()), pa.array([seen[0][w] for w in rest], pa.int64())],
-            ["word", "toxic", "clean"])
-
-    n1, n0 = sample.agg(F.count_if(F.col("y") == 1), F.count_if(F.col("y") == 0)).first()
-    odds = (F.col("toxic") + 0.5) / (n1 + 1) / ((F.col("clean") + 0.5) / (n0 + 1))
-    top = (
-        sample.select("doc_id", "text", "y").mapInArrow(count, "word binary, toxic long, clean long")
-        .groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-        .where((F.col("toxic") >= max(LEAST, SHARE * n1)) & (odds >= ODDS)).select("word", F.log(odds).alias("weight"), "toxic")
-        .orderBy(F.desc(F.col("weight") * F.col("toxic")), "word").limit(LEXICON).collect())
-    lexicon = Lexicon({bytes(r["word"]): float(r["weight"]) for r in top})
+    text = F.coalesce("text", F.lit(""))
+    sample = written(
+        docs.join(F.broadcast(marks), "doc_id").groupBy("doc_id", "y").agg(F.min_by(text, F.md5(text.cast("binary"))).alias("text"))
+        .select("doc_id", "text", "y", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(FOLDS)).cast("int").alias("fold")))
+    lexicons = _lexicons(sample)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [features(d or b"", lexicon) for d in utf8(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(rows, pa.list_(pa.float64()))], ["doc_id", "y", "x"])
+            rows = [list(chain.from_iterable(features(d, x) for x in lexicons)) for d in utf8(batch.column(1))]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(2), batch.column(3), pa.array(rows, pa.list_(pa.float64()))], ["doc_id", "y", "fold", "x"])
 
-    rows = sample.select("doc_id", "text", "y").mapInArrow(measure, "doc_id long, y int, x array<double>").withColumn(
-        "fold", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(FOLDS))).orderBy("doc_id", "x").toPandas()  # at most SAMPLE rows
-    x = np.array(rows["x"].tolist()) if len(rows) else np.empty((0, 16))
-    return Model(lexicon, x, rows["y"].to_numpy(float), rows["fold"].to_numpy())
+    rows = sample.mapInArrow(measure, "doc_id long, y int, fold int, x array<double>").orderBy("doc_id").toPandas()  # at most SAMPLE rows
+    x = np.array(rows["x"].tolist()).reshape(len(rows), len(lexicons), -1).transpose(1, 0, 2) if len(rows) else np.empty((0, 0, 0))
+    return Model(lexicons[0], x, rows["y"].to_numpy(float), rows["fold"].to_numpy())
 
 
 def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

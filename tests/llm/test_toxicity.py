@@ -91,3 +91,32 @@ def test_features_of_a_long_text_take_linear_time():
     hits, people = ([i for i, w in enumerate(some) if w == x] for x in ("nasty", "you"))
     near = sum(any(abs(i - j) <= toxicity.NEAR for j in people) for i in hits)
     assert toxicity.features(" ".join(some).encode(), lexicon)[5] == 100 * near / len(some) and 0 < found[5] < 100
+
+
+def test_lexicons_leave_their_fold_out(spark, documents, monkeypatch):
+    monkeypatch.setattr(toxicity, "COUNTED", 7)
+    rows = [(i, f"{'nasty' if i % 2 else 'mild'} fold{i % 3} own{i % 3}x w{i}", i % 2, i % 3) for i in range(60)]
+    rows += [(60, "vile one", 1, 0), (61, "vile two", 1, 0), (62, "vile six", 1, 0)]
+    sample = spark.createDataFrame(rows, "doc_id long, text string, y int, fold int").repartition(4)
+    whole, *folds = toxicity._lexicons(sample)
+    for k, lexicon in [(-1, whole), *enumerate(folds)]:
+        kept = [(set(toxicity.words_of(t.encode())), y) for _, t, y, f in rows if f != k]
+        n = [sum(y == m for _, y in kept) for m in (0, 1)]
+        want = {}
+        for term in {x for w, _ in kept for word in w for x in toxicity.terms_of(word)}:
+            hits = [sum(y == m and any(term in toxicity.terms_of(word) for word in w) for w, y in kept) for m in (0, 1)]
+            odds = (hits[1] + 0.5) / (n[1] + 1) / ((hits[0] + 0.5) / (n[0] + 1))
+            if hits[1] >= max(toxicity.LEAST, toxicity.SHARE * n[1]) and odds >= toxicity.ODDS:
+                want[term] = np.log(odds)
+        assert lexicon.terms == pytest.approx(want)
+    assert b"vile" in whole.terms and b"vile" not in folds[0].terms and b"vile" in folds[1].terms
+
+
+def test_one_text_of_an_id_is_learned_from(spark):
+    rows, marks = corpus(200)
+    labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    again = rows + [(i, f"nasty {j}") for i in range(3) for j in range(400)]
+    found = [toxicity.fitted(spark.createDataFrame(r, "doc_id long, text string").repartition(n), labels, F.lit(True))
+             for r, n in [(again, 2), (again[::-1], 5)]]
+    assert found[0].lexicon.terms == found[1].lexicon.terms and found[0].constant == found[1].constant == 0.2
+    assert (found[0].share == found[1].share).all()
