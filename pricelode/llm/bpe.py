@@ -14,7 +14,6 @@ import unicodedata
 from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +29,8 @@ SLICE = 1 << 16
 BLOCK = 1 << 20
 #: Pieces whose ids a worker remembers, and the longest piece it remembers and word it encodes beside others.
 REMEMBERED, LONGEST = 300_000, 48
+#: Symbols on each side of a border that tell whether a merge can cross it, and such surroundings that a worker remembers.
+KNOWN, BORDERS = 2, 500_000
 #: Bits of an id in the number that stands for a pair of ids.
 _PAIR = 20
 #: What the normaliser takes for white space (a fixed value of its pattern dialect), and what Python adds to that.
@@ -68,6 +69,7 @@ class Vocabulary:
         self.symbols = byte_symbols()
         self.lookahead = sufficient_lookahead(merges, self.end)
         self.longest = max(map(len, self.ids))
+        self.crossings = Crossings(merges, self.end)
 
 
 def sufficient_lookahead(merges: list[tuple[str, str]], end: str) -> int:
@@ -170,53 +172,92 @@ class Merges:
         return out
 
 
+class Crossings(dict):
+    """Whether some merge can cross a border within a word, by up to ``KNOWN`` symbols before it and ``KNOWN`` after it.
+
+    The first merge ``(u, v)`` that crosses a border joins a token that ends there with one that starts there, so the text
+    before the border ends with ``u`` and the text after it starts with ``v``. Where no merge fits, no token ever crosses,
+    whatever follows: what stands before the border is encoded by itself.
+    """
+
+    def __init__(self, merges: list[tuple[str, str]], end: str):
+        super().__init__()
+        self.joints: set[tuple[str, str]] = set()
+        for left, right in merges:
+            text = right.removesuffix(end)
+            if text == right or len(text) >= KNOWN:  # the word goes on behind the known symbols, or may end right there
+                self.joints.add((left[-KNOWN:], text[:KNOWN]))
+
+    def __missing__(self, around: str) -> bool:
+        left, right = around[:-KNOWN], around[-KNOWN:]
+        crossed = any(
+            (left[i:], right[:j]) in self.joints for i in range(len(left)) for j in range(1, KNOWN + 1))
+        if len(self) < BORDERS:
+            self[around] = crossed
+        return crossed
+
+
 class Transducer:
-    """Encodes one word that arrives in pieces; holds back only what later symbols can still change."""
+    """Encodes one word that arrives in pieces; holds back only what later symbols can still change.
+
+    Ids leave as soon as ``KNOWN`` symbols behind a border show that no merge crosses it. Where no such border comes, they
+    leave once the lookahead that suffices for all merges is seen, so what is held back is bounded.
+    """
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
         self.window = vocabulary.lookahead + 2 * vocabulary.longest
-        self.pending: list[str] = []
+        self.pending = ""
+        self.at = 1  # the next border to look at
 
-    def push(self, symbols: Iterable[str]) -> Iterator[int]:
+    def push(self, symbols: str) -> list[int]:
         """Takes more symbols and gives the ids that are stable."""
-        for s in symbols:
-            self.pending.append(s)
-            if len(self.pending) >= 2 * self.window:
-                yield from self._settle()
-
-    def _settle(self) -> Iterator[int]:
-        v = self.vocabulary
-        safe = len(self.pending) - v.lookahead
-        done = 0
-        for token in merged(self.pending.copy(), v.ranks):
-            if done + len(token) > safe:
-                break
-            done += len(token)
-            yield v.ids[token]
-        self.pending = self.pending[done:]
-
-    def close(self) -> Iterator[int]:
-        """Ends the word."""
-        if self.pending:
-            self.pending[-1] += self.vocabulary.end
-            for token in merged(self.pending, self.vocabulary.ranks):
-                yield self.vocabulary.ids[token]
-            self.pending = []
+        v, text, out = self.vocabulary, self.pending + symbols, []
+        crossings, start, first = v.crossings, 0, self.at
+        for at in range(first, len(text) - KNOWN + 1):
+            if not crossings[text[max(start, at - KNOWN):at + KNOWN]]:
+                out += self._ids(list(text[start:at]))
+                start = at
+            elif at - start >= 2 * self.window - KNOWN:
+                safe = at + KNOWN - v.lookahead
+                for token in merged(list(text[start:at + KNOWN]), v.ranks):
+                    if start + len(token) > safe:
+                        break
+                    out.append(v.ids[token])
+                    start += len(token)
+        self.at = max(first, len(text) - KNOWN + 1) - start  # at least 1
+        self.pending = text[start:]
+        return out
+
+    def _ids(self, symbols: list[str]) -> Iterable[int]:
+        return map(self.vocabulary.ids.__getitem__, merged(symbols, self.vocabulary.ranks) if len(symbols) > 1 else symbols)
+
+    def close(self) -> list[int]:
+        """Ends the word; the next one may follow."""
+        last = list(self.pending)
+        self.pending, self.at = "", 1
+        if last:
+            last[-1] += self.vocabulary.end
+        return list(self._ids(last))
 
 
 class Encoder:
-    """Encodes texts slice by slice; keeps the ids of the pieces between white space that it met, up to a bound."""
+    """Encodes texts slice by slice; keeps the ids of the pieces between white space that it met, up to a bound.
 
-    def __init__(self, path: str):
+    With ``streaming`` every word that is not known goes through the transducer; else only those of more than ``LONGEST``
+    characters do, and shorter ones are merged side by side.
+    """
+
+    def __init__(self, path: str, streaming: bool = False):
+        self.streaming = streaming
         self.vocabulary = Vocabulary(path)
         self.merges = Merges(self.vocabulary)
+        self.transducer = Transducer(self.vocabulary)
         self.known: dict[str, bytes] = {}
         self.earlier: dict[str, bytes] = {}
 
     def meet(self, pieces: set[str]) -> None:
-        """Makes the ids of pieces without white space known, as 32-bit numbers: new words are encoded side by side, words
-        longer than the rest go through the transducer."""
+        """Makes the ids of pieces without white space known, as 32-bit numbers."""
         known, find = self.known, self.vocabulary.pattern.findall
         new: dict[str, list[str]] = {}
         ids: dict[str, bytes] = {}
@@ -235,7 +276,7 @@ class Encoder:
             for word in words:
                 if word not in ids:  # a word in ASCII is its own normal form, so it may be known as a piece
                     ids[word] = known.get(word, b"") if word.isascii() else b""
-        short = [w for w, own in ids.items() if not own and len(w) <= LONGEST]
+        short = [] if self.streaming else [w for w, own in ids.items() if not own and len(w) <= LONGEST]
         ids.update(zip(short, self.merges.encode([w.encode() for w in short]), strict=True))
         for word, own in ids.items():
             if not own:
@@ -245,10 +286,14 @@ class Encoder:
 
     def word(self, word: str) -> bytes:
         """The ids of one word, emitted as they become stable."""
-        v = self.vocabulary
-        transducer = Transducer(v)
-        symbols = (v.symbols[b] for b in word.encode())
-        return array("I", chain(transducer.push(symbols), transducer.close())).tobytes()
+        symbols, machine, out = self.vocabulary.symbols, self.transducer, array("I")
+        plain = word.isascii() and word.isprintable()  # such bytes, but for the blank that no word holds, stand for themselves
+        data = word if plain else word.encode()
+        for at in range(0, len(data), SLICE):
+            part = data[at:at + SLICE]
+            out.extend(machine.push(part if plain else "".join(map(symbols.__getitem__, part))))
+        out.extend(machine.close())
+        return out.tobytes()
 
     def streams(self, texts: Iterable[str | None]) -> Iterator[tuple[int, array]]:
         """``(place, ids)`` for the slices of all texts, in order; a text without slices has none."""
@@ -349,20 +394,20 @@ class Decoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    """One encoder per worker and file, whose remembered words serve all its tasks."""
-    return Encoder(path)
+def encoder(path: str, streaming: bool = False) -> Encoder:
+    """One encoder per worker, file and way, whose remembered words serve all its tasks."""
+    return Encoder(path, streaming)
 
 
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, n_tokens, ids_sha256, decoded_sha256)`` for each row: digests of the ids as little-endian 32-bit numbers and
-    of the text they decode to, in the form that shows tokens.
+    of the text they decode to, in the form that shows tokens. All words go through the transducer.
 
     A null or empty text has no tokens. Every input row gives a row, whatever its id; other columns are ignored. Row-local:
     no shuffle. Beside a batch of texts a task holds the pieces of about ``BLOCK`` characters, or of one slice, and their ids. ``path`` must be readable on every executor.
     """
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(path)
+        own = encoder(path, streaming=True)
         empty = 0, hashlib.sha256().hexdigest(), hashlib.sha256().hexdigest()
         for batch in batches:
             rows, at = [empty] * len(batch), -1

@@ -104,3 +104,38 @@ def test_ids_leave_before_a_long_word_ends(own):
     early = [i for _ in range(2_000) for i in machine.push("this")]
     late = list(machine.close())
     assert len(early) > len(late) > 0
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="abehinorstABÉéßüñΣσİ0129!'\".,- \n\t\x1c\x85\xa0́　中文😀", max_size=60))
+def test_the_transducer_is_like_the_library(text):
+    same(text, test_like_the_library.lib, bpe.encoder(PATH, streaming=True))
+
+
+def test_long_words_through_the_transducer(library):
+    test_long_words_without_a_break(library, bpe.Encoder(PATH, streaming=True))
+
+
+def test_every_word_of_a_corpus_goes_through_the_transducer(library, monkeypatch):
+    r = random.Random(5)
+    words = ["".join(r.choices("abcdefghijklmnopqrstuvwxyzé0-!", k=r.randint(1, 14))) for _ in range(3_000)]
+    own, early, late = bpe.Encoder(PATH, streaming=True), [], []
+    push, close = bpe.Transducer.push, bpe.Transducer.close
+    monkeypatch.setattr(bpe.Transducer, "push", lambda self, s: early.append(push(self, s)) or early[-1])
+    monkeypatch.setattr(bpe.Transducer, "close", lambda self: late.append(close(self)) or late[-1])
+    text = " ".join(words)
+    assert list(own.encode(text)) == library.encode(text, add_special_tokens=False).ids
+    cut = {w for piece in set(words) for w in own.vocabulary.pattern.findall(piece)}
+    assert len(late) == len(cut) and sum(map(len, early)) > 1_000  # ids that left within their word
+
+
+def test_ids_do_not_depend_on_how_a_word_arrives(own):
+    r = random.Random(6)
+    for _ in range(300):
+        word = "".join(r.choices("aeinrsthqxz!.", k=r.randint(1, 60)))
+        machine, found, at = bpe.Transducer(own.vocabulary), [], 0
+        while at < len(word):
+            n = r.randint(1, 5)
+            found += machine.push(word[at:at + n])
+            at += n
+        assert found + machine.close() == [own.vocabulary.ids[t] for t in bpe.merged([*word[:-1], word[-1] + own.vocabulary.end], own.vocabulary.ranks)]
