@@ -3,7 +3,8 @@
 A window by key puts a whole key into one task, so a key that holds a large share of the
 rows would run alone. Such keys are found on a sample of the key columns (the sample only
 decides the route, both routes give the same answer). Then the rows are written once, hot ones apart
-and cut into days; each day gets the few preceding rows the frame looks back on.
+and cut into spans of days that hold many times the rows a frame looks back on, one day at least; each span
+gets the few preceding rows of the one before. A key that fills a single span is not cut.
 """
 
 from __future__ import annotations
@@ -16,19 +17,23 @@ from pyspark.sql import functions as F
 from pricelode.plans.durable import checkpointed
 
 LANES = 4_096
+#: Hot keys are found on one in so many rows.
+ONE_IN = 1_000
+#: Rows of a slice, as a multiple of the rows that it gets from the one before.
+SLICE_ROWS = 16
 
 
 def find_hot_keys(
-    df: DataFrame, keys: list[str], row_id: str, one_in: int = 1_000, min_sampled: int = 1_000,
+    df: DataFrame, keys: list[str], row_id: str, one_in: int = ONE_IN, min_sampled: int = 1_000, counted: bool = False,
 ) -> DataFrame | None:
     """Keys with about ``one_in * min_sampled`` rows or more; None if there are none. There are at most as many as the
-    table has rows for; they are written once and joined like any table."""
+    table has rows for; they are written once and joined like any table, if ``counted`` with the number ``n`` of their sampled rows."""
     sampled = df if one_in == 1 else df.where(F.pmod(F.xxhash64(row_id), F.lit(one_in)) == 0)
     rows = (
         sampled.dropna(subset=keys).groupBy(*keys).agg(F.count("*").alias("n"))
-        .where(F.col("n") >= min_sampled).select(*keys)
+        .where(F.col("n") >= min_sampled)
     )
-    found = checkpointed(rows)
+    found = checkpointed(rows if counted else rows.select(*keys))
     return None if found.isEmpty() else found
 
 
@@ -41,13 +46,15 @@ def over_ordered(
     counts: Column | None = None,
     row_id: str = "txn_id",
     slice_by: str = "transaction_date",
+    slice_rows: int | None = None,
     **hot_options,
 ) -> DataFrame:
     """Add window columns whose frames reach at most ``lookback`` rows back.
 
     ``order`` must be a total order whose first column is ``slice_by``. Rows with a null key, or for
     which ``counts`` is false, belong to no sequence: they stay, with nulls in the new columns,
-    and are spread over lanes of their own.
+    and are spread over lanes of their own. A slice of a hot key has about ``slice_rows`` rows (by default SLICE_ROWS times
+    ``lookback``), or those of a day where these are more.
     """
     takes_part = F.lit(True) if counts is None else F.coalesce(counts, F.lit(False))
     for key in keys:
@@ -61,19 +68,35 @@ def over_ordered(
         added = add(Window.partitionBy(*by, "_lane").orderBy(*order))
         return rows.withColumns(added).withColumns({c: F.when(in_sequence, F.col(c)) for c in added})
 
-    hot = find_hot_keys(df, keys, row_id, **hot_options)
+    hot = find_hot_keys(df, keys, row_id, counted=True, **hot_options)
     if hot is None:
         return windowed(laned, keys).drop("_lane")
 
     # One pass over the input: what follows reads the written rows, hot and cold ones from different folders.
-    marked = laned.join(hot.withColumn("_hot", F.lit(True)), keys, "left").select(
-        *source_columns, "_lane", F.coalesce("_hot", F.lit(False)).alias("_hot"))
+    one_in = hot_options.get("one_in", ONE_IN)
+    hot = hot.select(*keys, (F.col("n") * one_in).alias("_rows"))
+    marked = laned.join(hot, keys, "left").select(*source_columns, "_lane", "_rows", F.col("_rows").isNotNull().alias("_hot"))
     staged = checkpointed(marked, ["_hot"])
-    cold_part = windowed(staged.where(~F.col("_hot")).drop("_hot"), keys).drop("_lane")
+    cold_part = windowed(staged.where(~F.col("_hot")).drop("_hot", "_rows"), keys).drop("_lane")
 
-    rows = staged.where("_hot").drop("_hot").withColumn("_slice", F.to_date(slice_by))
+    # Keys of several slices; the days of most of their rows tell how many days a slice spans.
+    wanted = max(1, SLICE_ROWS * lookback if slice_rows is None else slice_rows)
+    rows = staged.where("_hot").drop("_hot")
+    day = F.unix_date(F.to_date(slice_by))
+    middle = F.percentile_approx(day, F.array(F.lit(0.05), F.lit(0.95)), F.lit(1_000))
+    span = F.get("middle", F.lit(1)) - F.get("middle", F.lit(0)) + 1
+    sampled = rows if one_in == 1 else rows.where(F.pmod(F.xxhash64(row_id), F.lit(one_in)) == 0)
+    cut = checkpointed(sampled.where(F.col("_rows") > 2 * wanted).groupBy(*keys, "_rows").agg(middle.alias("middle")).select(
+        *keys, F.greatest(F.lit(1), F.floor(span * wanted / F.col("_rows"))).cast("int").alias("_width")))
+    rows = rows.drop("_rows")
+    if cut.isEmpty():
+        return cold_part.unionByName(windowed(rows, keys).drop("_lane"))
+    rows = rows.join(cut, keys, "left").select(*source_columns, "_lane", "_width").withColumn(
+        "_slice", F.when(F.col("_width").isNull(), 0).otherwise(F.floor(day / F.col("_width"))))
+    in_cut = rows.where(in_sequence & F.col("_width").isNotNull()).drop("_width")
+    rows = rows.drop("_width")
     newest_first = Window.partitionBy(*keys, "_slice").orderBy(*[F.desc(c) for c in order])
-    tails = rows.where(in_sequence).withColumn("_r", F.row_number().over(newest_first)) \
+    tails = in_cut.withColumn("_r", F.row_number().over(newest_first)) \
         .where(F.col("_r") <= lookback).drop("_r")
     in_key = Window.partitionBy(*keys).orderBy(*order)
     in_slice = Window.partitionBy(*keys, "_slice").orderBy(*order)

@@ -443,6 +443,7 @@ def mom_hot(fact):
 
 @on_fact(4)
 def zscore_rolling_hot(fact):
+    fact = fact.select("txn_id", "drug_id", "transaction_date", "actual_price")
     rows = timeseries.rolling_zscore(fact, one_in=1, min_sampled=20)
     return rows.select("txn_id", "rolling_mean", "z", "is_spike")
 

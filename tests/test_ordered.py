@@ -7,9 +7,12 @@ import datetime as dt
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql.classic.dataframe import DataFrame
 
 from pricelode.operators.timeseries import mom_flags, price_changes, rolling_zscore, volume_outliers
+from pricelode.plans import ordered
 from pricelode.plans.ordered import find_hot_keys
+from registry.queries import QUERIES
 
 HOT = {"one_in": 1, "min_sampled": 10}
 
@@ -104,3 +107,38 @@ def test_planted_spike(transactions):
 def test_volume_outlier(transactions):
     rows = [dict(volume_units=30 + i % 3) for i in range(40)] + [dict(volume_units=500), dict(drug_id="D2")]
     assert [r["volume_units"] for r in volume_outliers(transactions(rows)).collect()] == [500]
+
+
+def test_slices_of_several_days_and_uncut_keys_give_the_same(sequences):
+    plain = as_dict(rolling_zscore(sequences, window=5), "rolling_mean", "rolling_std")
+    for rows in (1, 12, 40, 10_000):
+        sliced = as_dict(rolling_zscore(sequences, window=5, slice_rows=rows, **HOT), "rolling_mean", "rolling_std")
+        assert plain.keys() == sliced.keys()
+        for txn, values in plain.items():
+            assert all(a == b or a == pytest.approx(b, rel=1e-9) for a, b in zip(values, sliced[txn]))
+
+
+def test_sparse_keys_carry_few_rows(transactions, monkeypatch):
+    """With one row a day, a slice per day would copy for every row all those that its frame looks back on."""
+    rows = transactions([dict(drug_id=f"D{i % 2}", transaction_date=dt.date(2024, 1, 1) + dt.timedelta(days=i)) for i in range(900)])
+    windowed = []
+    union = DataFrame.unionByName
+
+    def counted(a, b, **options):
+        if "_carried" in a.columns:
+            windowed.append((a.count(), b.count()))
+        return union(a, b, **options)
+
+    monkeypatch.setattr(DataFrame, "unionByName", counted)
+    got = as_dict(rolling_zscore(rows, one_in=1, min_sampled=20), "rolling_mean")
+    assert got == as_dict(rolling_zscore(rows), "rolling_mean")
+    (own, carried), = windowed
+    assert own == 900 and 0 < carried <= 90
+
+
+def test_hot_routes_write_only_the_columns_they_use(spark, monkeypatch):
+    written, checkpointed = [], ordered.checkpointed
+    monkeypatch.setattr(ordered, "checkpointed", lambda df, *by: written.append(set(df.columns)) or checkpointed(df, *by))
+    for name in ("mom_hot", "zscore_rolling_hot"):
+        assert QUERIES[name](spark, "/root/testdata/sf0.001").count() >= 0
+    assert len(written) > 2 and not any({"drug_name", "wac_price"} & columns for columns in written)
