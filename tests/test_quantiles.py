@@ -99,3 +99,33 @@ def test_robust_scale_fills_nulls_and_survives_a_zero_range(spark):
     q1, q3 = np.quantile(a, [0.25, 0.75])
     np.testing.assert_allclose([g[0] for g in got], (a - 3.0) / (q3 - q1))
     assert all(g[1] == 0.0 for g in got)
+
+
+def test_input_is_read_once_behind_its_profile(spark):
+    values = list(np.random.default_rng(4).normal(size=3000))
+    df, seen = frame(spark, values).repartition(3), spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    df = df.mapInArrow(counted, df.schema)
+    known = profile(df, ["x"])
+    seen.value = 0
+    got = exact_quantiles(df, ["x"], PROBS, known, final_rows=5)["x"]
+    np.testing.assert_allclose(got, np.quantile(values, PROBS), rtol=1e-12)
+    assert seen.value == 3000
+    seen.value = 0
+    quantile_table(df.withColumn("g", F.lit(1)), "g", ["x"], PROBS, final_rows=5).collect()
+    assert seen.value == 3000
+
+
+def test_cuts_that_are_far_off_cost_a_pass_but_no_rank(spark):
+    values = [float(v % 613) for v in range(2000)]
+    df = frame(spark, values).repartition(3)
+    known = profile(df, ["x"])
+    known["x"].cuts = [600.0 + k / 100 for k in range(64)]
+    np.testing.assert_allclose(exact_quantiles(df, ["x"], PROBS, known)["x"], np.quantile(values, PROBS), rtol=1e-12)
+    known["x"].cuts = [k / 100 for k in range(64)]
+    np.testing.assert_allclose(exact_quantiles(df, ["x"], PROBS, known, final_rows=5)["x"], np.quantile(values, PROBS), rtol=1e-12)
