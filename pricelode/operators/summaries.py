@@ -49,7 +49,8 @@ def add(annotated: DataFrame, folder: str, batch: str | Column) -> Summaries:
         "pharmacies": rows.groupBy("batch", "day", "pharmacy_id", "severity").agg(F.count("*").alias("n")),
         "sketches": rows.groupBy("batch", "day", "drug_class").agg(*ranked)}
     for table, parts in tables.items():
-        parts.repartition("batch").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(
+        # Files of a batch are of even size: a batch of many rows is dealt over many tasks.
+        parts.hint("rebalance", "batch").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(
             f"{folder.rstrip('/')}/{table}")
     reader = annotated.sparkSession.read
     return Summaries(*(reader.schema(parts.schema).parquet(f"{folder.rstrip('/')}/{t}") for t, parts in tables.items()))

@@ -92,3 +92,15 @@ def test_missing_and_unknown(spark, parts, tmp_path):
 def test_nothing_to_add(annotated, tmp_path):
     parts = summaries.add(annotated.limit(0), str(tmp_path / "parts"), "none")
     assert rows(summaries.kpis(parts)) == rows(dashboard.kpis(annotated.limit(0))) and summaries.timeline(parts).collect() == []
+
+
+def test_a_batch_of_many_rows_is_written_by_many_tasks(spark, annotated, tmp_path, monkeypatch):
+    for setting in ("advisoryPartitionSizeInBytes", "coalescePartitions.minPartitionSize"):
+        spark.conf.set(f"spark.sql.adaptive.{setting}", "4k")
+    try:
+        parts = summaries.add(annotated, str(tmp_path), "all")
+    finally:
+        for setting in ("advisoryPartitionSizeInBytes", "coalescePartitions.minPartitionSize"):
+            spark.conf.unset(f"spark.sql.adaptive.{setting}")
+    assert len(parts.drugs.inputFiles()) > 1
+    assert rows(summaries.timeline(parts)) == rows(dashboard.timeline(annotated.where("anomaly_type IS NOT NULL")))
