@@ -1,11 +1,14 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from pricelode.operators import ensemble, forest, lof
 from pricelode.operators.statistical import robust_scale
+from pricelode.plans.durable import checkpointed
 from pricelode.sources.tpch import pricing_fact
 from registry.queries import QUERIES
 
@@ -179,3 +182,15 @@ def test_sparse_leaves_ask_only_around_them():
         assert len(set(asked)) < len(own)
     few = lof.grow_tree(x[:3], 0).filled(np.array([0]), np.array([3]), x[:3].min(axis=0)[None], x[:3].max(axis=0)[None])
     assert np.isinf(few.reach(x[:3], 0, 5)).all()
+
+
+def test_large_rows_are_written_and_read_a_few_at_a_time(spark):
+    def filled(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.random.default_rng(i).bytes(1 << 22) for i in b.column(0).to_pylist()])], ["id", "x"])
+
+    rows = spark.range(0, 24, 1, 1).mapInArrow(filled, "id long, x binary")
+    stored = checkpointed(rows, large_rows=True)
+    groups = [pq.ParquetFile(f.removeprefix("file:")).metadata for f in stored.inputFiles()]
+    assert sum(g.num_rows for g in groups) == 24
+    assert max(g.row_group(i).num_rows for g in groups for i in range(g.num_row_groups)) <= 8
