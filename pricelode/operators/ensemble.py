@@ -12,8 +12,9 @@ from pricelode.functions.numbers import rounded
 from pricelode.operators import forest, lof, rules
 from pricelode.operators.fitted import Fitted
 from pricelode.operators.statistical import IQR_FEATURES, ZSCORE_FEATURES, IqrFence, ZScore
-from pricelode.operators.timeseries import mom_flags
+from pricelode.operators.timeseries import MOVE_KEYS, mom_flags
 from pricelode.plans.durable import checkpointed
+from pricelode.plans.ordered import is_sampled
 from pricelode.plans.quantiles import exact_quantiles, profile
 
 SQL_METHODS = ("zscore", "iqr", "mom", "rules")
@@ -45,11 +46,17 @@ def with_flags(
     unknown = set(methods) - set(ALL_METHODS)
     if unknown:
         raise ValueError(f"unknown detectors: {', '.join(sorted(unknown))}")
-    source = df
     used = {"zscore": ZSCORE_FEATURES, "iqr": IQR_FEATURES, "forest": forest.FEATURES}
     wanted = [c for m in methods if m not in stored for c in used.get(m, [])]
-    known = profile(source, wanted) if wanted else None
-    out = mom_flags(df, spike, drop) if "mom" in methods else df.withColumns({
+    read = dict.fromkeys([*wanted, *(lof.FEATURES if "lof" in methods else [])])
+    source, hot = df, {}
+    if read:
+        # The fits read their columns many times: one pass over the input writes them, and the keys that the search for hot ones samples.
+        sampled = {k: F.when(is_sampled("txn_id"), F.col(k)).alias(f"_{k}") for k in MOVE_KEYS} if "mom" in methods else {}
+        source = checkpointed(df.select(*read, *sampled.values()))
+        hot = {"sampled": source.select(*[F.col(f"_{k}").alias(k) for k in sampled])} if sampled else {}
+    known = profile(source, wanted, stored=True) if wanted else None
+    out = mom_flags(df, spike, drop, **hot) if "mom" in methods else df.withColumns({
         "mom_type": F.lit(None).cast("string"), "mom_score": F.lit(None).cast("double"),
         "price_change": F.lit(None).cast("double"),
     })
@@ -71,7 +78,7 @@ def with_flags(
 
     models = [m for m in ("forest", "lof") if m in methods]
     if "forest" in models:
-        model = fitted.forest or forest.fit(source, trees=trees, seed=seed, known=known)
+        model = fitted.forest or forest.fit(df, trees=trees, seed=seed, known=known)
         out = forest.with_raw_score(out, model, "forest_raw")
     if "lof" in models:
         out = lof.join_factors(out, lof.factors(source, neighbors=neighbors), "lof_raw")
@@ -124,9 +131,9 @@ def _type_conditions() -> dict[str, Column]:
     return {**{n: _rule(n) for n in schema.REGULATORY_TYPES}, **model, **moves, **stats}
 
 
-def _methods() -> Column:
-    """Method labels in the order the detectors run."""
-    hits = [
+def _methods() -> list[tuple[Column, str]]:
+    """When each method label applies, in the order the detectors run."""
+    return [
         (F.col("zscore_score").isNotNull(), "Z-Score"),
         (F.col("iqr_score").isNotNull(), "IQR Fence"),
         (F.col("mom_type").isNotNull(), "MoM Change"),
@@ -134,7 +141,6 @@ def _methods() -> Column:
         (F.col("lof_score").isNotNull(), "LOF"),
         (_any_rule(), "Regulatory Rules"),
     ]
-    return F.array_compact(F.array(*[F.when(hit, F.lit(label)) for hit, label in hits]))
 
 
 def _money(c: Column | str) -> Column:
@@ -172,21 +178,24 @@ def annotate(flagged: DataFrame) -> DataFrame:
     that has the same name is kept as ``label_type``.
     """
     types = _type_conditions()
+    labels = [F.when(hit, F.lit(label)) for hit, label in _methods()]
     found = F.col("anomaly_type")
     n = F.col("n_methods")
     if "anomaly_type" in flagged.columns:
         flagged = flagged.withColumnRenamed("anomaly_type", "label_type")
     merged = flagged.withColumns({
         "anomaly_type": F.coalesce(*[F.when(hit, F.lit(t)) for t, hit in types.items()]),
-        "methods": _methods(),
+        "methods": F.array_compact(F.array(*labels)),
+        # Counted and joined without the list, whose filter the JVM code generator leaves out.
+        "n_methods": sum((F.when(label.isNotNull(), 1).otherwise(0) for label in labels), F.lit(0)),
+        "detection_method": F.concat_ws(" | ", *labels),
         "has_rule": _any_rule(),
         "anomaly_score": F.greatest(
             "zscore_score", "iqr_score", "mom_score", "forest_score", "lof_score", F.when(_any_rule(), 1.0)),
-    }).withColumn("n_methods", F.size("methods"))
+    })
     severity = F.when(found.isNull(), None).when((n >= 3) | F.col("has_rule"), "high") \
         .when(n == 2, "medium").otherwise("low")
     merged = merged.withColumns({
-        "detection_method": F.array_join("methods", " | "),
         "severity": severity,
         "description": F.coalesce(*[F.when(found == t, d) for t, d in _descriptions().items()]),
     })

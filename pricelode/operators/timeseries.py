@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pricelode.plans.ordered import over_ordered
 
 ORDER = ["transaction_date", "txn_id"]
+MOVE_KEYS = ["drug_id", "pharmacy_id"]
 
 
 def price_changes(df: DataFrame, **hot_options) -> DataFrame:
@@ -17,7 +18,7 @@ def price_changes(df: DataFrame, **hot_options) -> DataFrame:
     price on, so it changes nothing itself and the next row compares with the price before it.
     """
     priced = over_ordered(
-        df, ["drug_id", "pharmacy_id"], ORDER, 1,
+        df, MOVE_KEYS, ORDER, 1,
         lambda w: {"previous_price": F.lag("actual_price").over(w)},
         counts=F.col("actual_price").isNotNull(), **hot_options,
     )

@@ -23,12 +23,20 @@ ONE_IN = 1_000
 SLICE_ROWS = 16
 
 
+def is_sampled(row_id: str, one_in: int = ONE_IN) -> Column:
+    """Whether hot keys are sought on a row."""
+    return F.pmod(F.xxhash64(row_id), F.lit(one_in)) == 0
+
+
 def find_hot_keys(
     df: DataFrame, keys: list[str], row_id: str, one_in: int = ONE_IN, min_sampled: int = 1_000, counted: bool = False,
+    sampled: DataFrame | None = None,
 ) -> DataFrame | None:
     """Keys with about ``one_in * min_sampled`` rows or more; None if there are none. There are at most as many as the
-    table has rows for; they are written once and joined like any table, if ``counted`` with the number ``n`` of their sampled rows."""
-    sampled = df if one_in == 1 else df.where(F.pmod(F.xxhash64(row_id), F.lit(one_in)) == 0)
+    table has rows for; they are written once and joined like any table, if ``counted`` with the number ``n`` of their sampled rows.
+    ``sampled`` has the keys of the sampled rows where they are at hand (its other rows have nulls), which saves a pass over ``df``."""
+    if sampled is None:
+        sampled = df if one_in == 1 else df.where(is_sampled(row_id, one_in))
     rows = (
         sampled.dropna(subset=keys).groupBy(*keys).agg(F.count("*").alias("n"))
         .where(F.col("n") >= min_sampled)
@@ -85,7 +93,7 @@ def over_ordered(
     day = F.unix_date(F.to_date(slice_by))
     middle = F.percentile_approx(day, F.array(F.lit(0.05), F.lit(0.95)), F.lit(1_000))
     span = F.get("middle", F.lit(1)) - F.get("middle", F.lit(0)) + 1
-    sampled = rows if one_in == 1 else rows.where(F.pmod(F.xxhash64(row_id), F.lit(one_in)) == 0)
+    sampled = rows if one_in == 1 else rows.where(is_sampled(row_id, one_in))
     cut = checkpointed(sampled.where(F.col("_rows") > 2 * wanted).groupBy(*keys, "_rows").agg(middle.alias("middle")).select(
         *keys, F.greatest(F.lit(1), F.floor(span * wanted / F.col("_rows"))).cast("int").alias("_width")))
     rows = rows.drop("_rows")

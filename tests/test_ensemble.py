@@ -143,3 +143,38 @@ def test_price_history_rules_and_contract(spark):
     assert [r["anomaly"] for r in rows] == [False, True] and rows[1]["anomaly_reason"] == "bp_exceeds_amp"
     only = rules.annotate_price_history(df.withColumn("best_price", F.lit(1.0))).where("anomaly").collect()
     assert [r["anomaly_reason"] for r in only] == ["negative_340b_ceiling"]
+
+
+def test_fits_read_the_input_once(spark, transactions):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = transactions([{"actual_price": 50.0 + i % 7 + 900 * (i == 40), "drug_id": f"D{i % 3}"} for i in range(60)])
+    plain = ensemble.annotate(ensemble.with_flags(rows)).orderBy("txn_id").collect()
+    flagged = ensemble.with_flags(rows.mapInArrow(counted, rows.schema))
+    assert seen.value == 60  # for the statistics, their quantiles and the hot keys together
+    annotated = ensemble.annotate(flagged).orderBy("txn_id").collect()
+    assert annotated == plain
+    for r in annotated:
+        assert (r["n_methods"], r["detection_method"]) == (len(r["methods"]), " | ".join(r["methods"]))
+    assert {r["n_methods"] > 0 for r in annotated} == {True, False}
+
+
+def test_hot_keys_from_keys_at_hand(spark, transactions):
+    from pricelode.plans.ordered import find_hot_keys, is_sampled
+
+    rows = transactions([{"drug_id": "hot" if i % 2 else f"D{i}"} for i in range(400)])
+    keys = rows.select(F.when(is_sampled("txn_id", 4), F.col("drug_id")).alias("drug_id"))
+    found = [find_hot_keys(rows, ["drug_id"], "txn_id", 4, 20, counted=True, **at) for at in ({}, {"sampled": keys})]
+    assert found[0].collect() == found[1].collect() and found[0].first()["drug_id"] == "hot"
+
+
+def test_profile_of_a_written_table_is_the_same(spark):
+    from pricelode.plans.quantiles import profile
+
+    df = spark.range(5000).selectExpr("cast(id * 37 % 1009 AS double) AS x", "if(id % 9 = 0, null, id / 3) AS y")
+    assert profile(df, ["x", "y"], stored=True) == profile(df, ["x", "y"])
