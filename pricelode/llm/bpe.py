@@ -12,7 +12,7 @@ import json
 import re
 import unicodedata
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -31,6 +31,8 @@ BLOCK = 1 << 20
 REMEMBERED, LONGEST = 300_000, 48
 #: Symbols on each side of a border that tell whether a merge can cross it, and such surroundings that a worker remembers.
 KNOWN, BORDERS = 2, 500_000
+#: Runs of symbols between settled borders whose ids a worker remembers.
+RUNS = 200_000
 #: Bits of an id in the number that stands for a pair of ids.
 _PAIR = 20
 #: What the normaliser takes for white space (a fixed value of its pattern dialect), and what Python adds to that.
@@ -209,6 +211,7 @@ class Transducer:
         self.window = vocabulary.lookahead + 2 * vocabulary.longest
         self.pending = ""
         self.at = 1  # the next border to look at
+        self.runs: tuple[dict[str, bytes], ...] = ({}, {})  # ids of runs met before, 32 bits each: within a word, at its end
 
     def push(self, symbols: str) -> list[int]:
         """Takes more symbols and gives the ids that are stable."""
@@ -216,7 +219,7 @@ class Transducer:
         crossings, start, first = v.crossings, 0, self.at
         for at in range(first, len(text) - KNOWN + 1):
             if not crossings[text[max(start, at - KNOWN):at + KNOWN]]:
-                out += self._ids(list(text[start:at]))
+                out += self._ids(text[start:at], False)
                 start = at
             elif at - start >= 2 * self.window - KNOWN:
                 safe = at + KNOWN - v.lookahead
@@ -229,16 +232,60 @@ class Transducer:
         self.pending = text[start:]
         return out
 
-    def _ids(self, symbols: list[str]) -> Iterable[int]:
-        return map(self.vocabulary.ids.__getitem__, merged(symbols, self.vocabulary.ranks) if len(symbols) > 1 else symbols)
+    def foresee(self, words: list[bytes], merges: Merges) -> None:
+        """Merges side by side the runs that will end these words, none of them empty, so that ``close`` finds their ids.
+
+        Finds the borders that ``push`` will, all words at once; what it should miss is only merged later.
+        """
+        crossings, met = self.vocabulary.crossings, self.runs[True]
+        joined = b"".join(words)
+        text = "".join(map(self.vocabulary.symbols.__getitem__, joined))
+        codes = np.frombuffer(joined, np.uint8).astype(np.int64)
+        ends = np.cumsum(list(map(len, words)))
+        starts = np.append(0, ends[:-1])
+
+        def settled(at: np.ndarray, before: int) -> np.ndarray:
+            around = sum(codes[at + i] << 8 * (i + before) for i in range(-before, KNOWN))
+            _, first, back = np.unique(around, return_index=True, return_inverse=True)
+            return at[np.array([not crossings[text[i - before:i + KNOWN]] for i in at[first].tolist()], bool)[back]]
+
+        border, inner = np.zeros(len(text), bool), np.ones(len(text), bool)
+        border[starts] = True
+        inner[starts] = False
+        for i in range(1, KNOWN):
+            inner[ends - i] = False  # too few symbols behind it
+        at = np.flatnonzero(inner)
+        border[settled(at[at >= KNOWN], KNOWN)] = True
+        near = settled(at, 1)  # where no more symbols count, as a border stands before the last one
+        while len(more := near[border[near - 1] & ~border[near]]):
+            border[more] = True
+        last = np.maximum.reduceat(np.where(border, np.arange(len(text)), 0), starts)
+        tails = {text[a:b]: joined[a:b] for a, b in zip(last.tolist(), ends.tolist(), strict=True)}
+        new = [t for t in tails if t not in met]
+        if len(met) + len(new) > RUNS:
+            met.clear()
+            new = list(tails)
+        for tail, ids in zip(new, merges.encode([tails[t] for t in new]), strict=True):
+            met[tail] = ids
+
+    def _ids(self, run: str, ends: bool) -> Iterable[int]:
+        """The ids of a run of symbols that no merge leaves, which may end its word."""
+        met = self.runs[ends]
+        if (found := met.get(run)) is None:
+            symbols = list(run)
+            if ends:
+                symbols[-1] += self.vocabulary.end
+            found = array("I", map(self.vocabulary.ids.__getitem__, merged(symbols, self.vocabulary.ranks))).tobytes()
+            if len(run) <= LONGEST:
+                if len(met) >= RUNS:
+                    met.clear()
+                met[run] = found
+        return memoryview(found).cast("I")
 
     def close(self) -> list[int]:
         """Ends the word; the next one may follow."""
-        last = list(self.pending)
-        self.pending, self.at = "", 1
-        if last:
-            last[-1] += self.vocabulary.end
-        return list(self._ids(last))
+        last, self.pending, self.at = self.pending, "", 1
+        return list(self._ids(last, True)) if last else []
 
 
 class Encoder:
@@ -255,11 +302,13 @@ class Encoder:
         self.transducer = Transducer(self.vocabulary)
         self.known: dict[str, bytes] = {}
         self.earlier: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.earlier_words: dict[str, bytes] = {}
 
     def meet(self, pieces: set[str]) -> None:
         """Makes the ids of pieces without white space known, as 32-bit numbers."""
         known, find = self.known, self.vocabulary.pattern.findall
-        new: dict[str, list[str]] = {}
+        new: dict[str, str | Sequence[str]] = {}
         ids: dict[str, bytes] = {}
         for piece in pieces.difference(known):
             if piece in self.earlier:
@@ -267,28 +316,47 @@ class Encoder:
                 continue
             text = normalised(piece)
             if text.isalpha():  # letters alone are one word
-                words = [text]
-            elif text[-1] in _MARKS and text[:-1].isalpha():
-                words = [text[:-1], text[-1]]
+                new[piece] = text
+                if text not in ids:
+                    ids[text] = self._met(text)
+                continue
+            if text[-1] in _MARKS and text[:-1].isalpha():
+                words = text[:-1], text[-1]
             else:
                 words = find(text)
             new[piece] = words
             for word in words:
-                if word not in ids:  # a word in ASCII is its own normal form, so it may be known as a piece
-                    ids[word] = known.get(word, b"") if word.isascii() else b""
-        short = [] if self.streaming else [w for w, own in ids.items() if not own and len(w) <= LONGEST]
-        ids.update(zip(short, self.merges.encode([w.encode() for w in short]), strict=True))
+                if word not in ids:
+                    ids[word] = self._met(word)
+        short = [w for w, own in ids.items() if not own and len(w) <= LONGEST]
+        coded = [w.encode() for w in short]
+        if self.streaming and short:
+            self.transducer.foresee(coded, self.merges)
+        else:
+            ids.update(zip(short, self.merges.encode(coded), strict=True))
         for word, own in ids.items():
             if not own:
                 ids[word] = self.word(word)
+            if len(word) <= LONGEST:
+                self.words[word] = ids[word]
         for piece, words in new.items():
-            known[piece] = ids[words[0]] if len(words) == 1 else b"".join(map(ids.__getitem__, words))
+            known[piece] = ids[words] if isinstance(words, str) else b"".join(map(ids.__getitem__, words))
+
+    def _met(self, word: str) -> bytes:
+        """The ids of a word that was met before, else none."""
+        if found := self.words.get(word) or self.earlier_words.get(word):
+            return found
+        return self.known.get(word, b"") if word.isascii() else b""  # its own normal form, so it may be known as a piece
 
     def word(self, word: str) -> bytes:
         """The ids of one word, emitted as they become stable."""
-        symbols, machine, out = self.vocabulary.symbols, self.transducer, array("I")
+        symbols, machine = self.vocabulary.symbols, self.transducer
         plain = word.isascii() and word.isprintable()  # such bytes, but for the blank that no word holds, stand for themselves
         data = word if plain else word.encode()
+        if len(data) <= SLICE:
+            ids = machine.push(data if plain else "".join(map(symbols.__getitem__, data)))
+            return array("I", ids + machine.close()).tobytes()
+        out = array("I")
         for at in range(0, len(data), SLICE):
             part = data[at:at + SLICE]
             out.extend(machine.push(part if plain else "".join(map(symbols.__getitem__, part))))
@@ -311,6 +379,7 @@ class Encoder:
     def _block(self, block: list[tuple[int, list[str] | int]]) -> Iterator[tuple[int, array]]:
         if len(self.known) >= REMEMBERED // 2:  # those not met again before the next half is full are forgotten
             self.known, self.earlier = {}, self.known
+            self.words, self.earlier_words = {}, self.words
         pieces = set().union(*(part for _, part in block if isinstance(part, list)))
         self.meet(pieces)
         known = self.known.__getitem__

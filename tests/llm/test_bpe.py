@@ -139,3 +139,26 @@ def test_ids_do_not_depend_on_how_a_word_arrives(own):
             found += machine.push(word[at:at + n])
             at += n
         assert found + machine.close() == [own.vocabulary.ids[t] for t in bpe.merged([*word[:-1], word[-1] + own.vocabulary.end], own.vocabulary.ranks)]
+
+
+def test_words_met_in_an_earlier_block_and_their_ends_are_not_merged_again(library, monkeypatch):
+    r = random.Random(7)
+    words = ["".join(r.choices("aeinrsthoéñqxz中", k=r.randint(1, 30))) for _ in range(400)]
+    own, calls, merging = bpe.Encoder(PATH, streaming=True), [], []
+    word, merged = bpe.Encoder.word, bpe.merged
+    monkeypatch.setattr(bpe.Encoder, "word", lambda self, w: calls.append(w) or word(self, w))
+    monkeypatch.setattr(bpe, "merged", lambda s, ranks: merging.append(list(s)) or merged(s, ranks))
+    for mark in ("", ".", "!!"):  # other pieces of the same words
+        text = " ".join(w + mark for w in words)
+        assert list(own.encode(text)) == library.encode(text, add_special_tokens=False).ids
+    assert len(calls) == len(set(calls))
+    assert not any(s[-1].endswith(own.vocabulary.end) for s in merging)
+
+
+def test_few_remembered_runs(library, monkeypatch):
+    monkeypatch.setattr(bpe, "RUNS", 20)
+    r = random.Random(8)
+    own = bpe.Encoder(PATH, streaming=True)
+    for _ in range(5):
+        text = " ".join("".join(r.choices("aeinrsthoéq'.!", k=r.randint(1, 60))) for _ in range(200))
+        assert list(own.encode(text)) == library.encode(text, add_special_tokens=False).ids
