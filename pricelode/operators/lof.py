@@ -87,26 +87,50 @@ class LeafTree:
 
 
 def grow_tree(sample: np.ndarray, depth: int) -> LeafTree:
+    """A level at a time: the points stay sorted along each axis within their node, so quartiles and medians are read off."""
     dims, nodes = sample.shape[1], 2 ** (depth + 1) - 1
     axis, cut = np.zeros(nodes, dtype=np.int64), np.zeros(nodes)
     low, high = np.full((nodes, dims), -np.inf), np.full((nodes, dims), np.inf)
-    rows = {0: sample}
-    for node in range(2 ** depth - 1):
-        part = rows.pop(node)
-        if len(part):
+    orders = [np.argsort(sample[:, d], kind="stable") for d in range(dims)]  # points by node, then along the axis
+    bounds = np.array([0, len(sample)])
+    for level in range(depth):
+        first, n = bounds[:-1], np.diff(bounds)
+        some = np.flatnonzero(n)
+        own = slice(2 ** level - 1, 2 ** (level + 1) - 1)
+
+        def at(d: int, share: float) -> np.ndarray:
+            """The quantile of each node that has points."""
+            place = share * (n[some] - 1)
+            below = np.floor(place).astype(np.int64)
+            a = sample[orders[d][first[some] + below], d]
+            b = sample[orders[d][first[some] + np.minimum(below + 1, n[some] - 1)], d]
+            return np.where(a == b, a, a + (b - a) * (place - below))
+
+        if len(some):
             # Split where the middle half of the points spreads most, so far outliers do not steer.
-            q1, q3 = np.quantile(part, [0.25, 0.75], axis=0)
-            spread = q3 - q1
-            a = int(np.argmax(spread if spread.max() > 0 else np.ptp(part, axis=0)))
-            axis[node], cut[node] = a, np.median(part[:, a])
-        a = axis[node]
-        left, right = 2 * node + 1, 2 * node + 2
+            spread = np.column_stack([at(d, 0.75) - at(d, 0.25) for d in range(dims)])
+            whole = np.column_stack([at(d, 1.0) - at(d, 0.0) for d in range(dims)])
+            axis[own][some] = np.argmax(np.where(spread.max(axis=1, keepdims=True) > 0, spread, whole), axis=1)
+            cut[own][some] = np.choose(axis[own][some], [at(d, 0.5) for d in range(dims)])
+        a, c, node = axis[own], cut[own], np.arange(2 ** level)
+        left, right = slice(2 ** (level + 1) - 1, 2 ** (level + 2) - 1, 2), slice(2 ** (level + 1), 2 ** (level + 2) - 1, 2)
         for child in (left, right):
-            low[child], high[child] = low[node], high[node]
-        high[left, a] = min(high[left, a], cut[node])
-        low[right, a] = max(low[right, a], cut[node])
-        to_right = part[:, a] >= cut[node]
-        rows[left], rows[right] = part[~to_right], part[to_right]
+            low[child], high[child] = low[own], high[own]
+        high[left][node, a] = np.minimum(high[left][node, a], c)
+        low[right][node, a] = np.maximum(low[right][node, a], c)
+        of = np.repeat(node, n)  # the same for all orders
+        to_right = np.zeros(len(sample), bool)
+        to_right[orders[0]] = sample[orders[0], a[of]] >= c[of]
+        rights = np.bincount(of, to_right[orders[0]], 2 ** level).astype(np.int64)
+        bounds = np.concatenate([[0], np.cumsum(np.column_stack([n - rights, rights]).ravel())])
+        for d in range(dims):
+            goes = to_right[orders[d]]
+            rank = np.cumsum(goes) - goes  # of those that go right, how many come before
+            rank -= rank[first[some]].repeat(n[some])
+            place = np.where(goes, bounds[1:-1:2][of] + rank, bounds[:-1:2][of] + np.arange(len(of)) - first[of] - rank)
+            moved = np.empty_like(orders[d])
+            moved[place] = orders[d]
+            orders[d] = moved
     return LeafTree(depth, axis, cut, low, high)
 
 

@@ -457,8 +457,9 @@ def regulatory(fact):
 
 @on_fact()
 def iforest(fact):
-    known = profile(fact, forest.FEATURES)
-    scored = forest.with_raw_score(fact, forest.fit(fact, known=known))
+    rows = ensemble.checkpointed(fact.select("txn_id", *forest.FEATURES))  # read for the profile, the draw and the scores
+    known = profile(rows, forest.FEATURES, stored=True)
+    scored = forest.with_raw_score(rows, forest.fit(rows, known=known))
     scored = ensemble.checkpointed(scored.select("txn_id", "actual_price", "margin_percent", "forest_raw"))
     return ensemble.with_top_shares(scored, [("forest_raw", "anomaly_score")], 0.07).where("anomaly_score is not null")
 
@@ -472,8 +473,8 @@ def lof_transactions(fact):
 
 def drug_points(fact: DataFrame) -> DataFrame:
     """Mean price, margin and volume per drug, rounded so that engines agree on the points."""
-    return fact.groupBy("drug_id").agg(
-        *[rounded(F.avg(c), 4).alias(c) for c in lof.FEATURES])
+    return ensemble.checkpointed(fact.groupBy("drug_id").agg(  # the fit reads them several times
+        *[rounded(F.avg(c), 4).alias(c) for c in lof.FEATURES]))
 
 
 @on_fact(4)

@@ -10,6 +10,7 @@ from pricelode.operators import ensemble, forest, lof
 from pricelode.operators.statistical import robust_scale
 from pricelode.plans.durable import checkpointed
 from pricelode.sources.tpch import pricing_fact
+from registry import queries
 from registry.queries import QUERIES
 
 AXES = lof.AXES
@@ -194,3 +195,55 @@ def test_large_rows_are_written_and_read_a_few_at_a_time(spark):
     groups = [pq.ParquetFile(f.removeprefix("file:")).metadata for f in stored.inputFiles()]
     assert sum(g.num_rows for g in groups) == 24
     assert max(g.row_group(i).num_rows for g in groups for i in range(g.num_row_groups)) <= 8
+
+
+def test_places_among_splits_lead_where_walking_does():
+    """Scores from bits of subtrees against a walk of every tree, with values on splits, missing and infinite ones."""
+    rng = np.random.default_rng(3)
+    for depth in (1, 4, 6, 8):
+        x = np.round(rng.normal(size=(2 ** depth, 3)), 1)
+        trees = [forest.grow(x, depth, np.random.default_rng(i)) for i in range(9)]
+        model = forest.Forest(["a", "b", "c"], {}, *(np.array(p) for p in zip(*trees)), 2.5)
+        asked = np.vstack([x, [[np.nan, 0.0, 1.0], [np.inf, -np.inf, np.nan]], np.tile(model.split.reshape(-1, 1)[:40], 3), rng.normal(size=(50, 3))])
+
+        def end(row, t, depth=depth, model=model):
+            node = 0
+            for _ in range(depth):
+                node = 2 * node + 1 + int(row[model.feature[t, node]] > model.split[t, node])
+            return model.path[t, node - (2 ** depth - 1)]
+
+        want = [sum(end(row, t) for t in range(9)) for row in asked]
+        assert np.array_equal(model.scorer(block=7)(asked), np.exp2(-np.array(want) / 9 / 2.5))
+
+
+@pytest.mark.parametrize("name", ["iforest", "lof_drugs_leaves"])
+def test_transactions_are_evaluated_once(spark, prices, monkeypatch, name):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    monkeypatch.setattr(queries, "pricing_fact", lambda *_: prices.mapInArrow(counted, prices.schema))
+    assert queries.QUERIES[name](spark, "").count() > 0
+    assert seen.value == prices.count()
+
+
+def test_trees_are_cut_at_medians_level_by_level(monkeypatch):
+    """As one node at a time would, by quartiles; no call per node, of which the driver may have 131,072."""
+    rng = np.random.default_rng(5)
+    x = np.vstack([np.round(rng.normal(size=(700, 3)) * [1, 3, 2], 1), [[0.0, 0.0, 90.0]] * 3])
+    want, parts = {}, {0: x}
+    for node in range(2 ** 5 - 1):
+        part = parts.pop(node)
+        q1, q3 = np.quantile(part, [0.25, 0.75], axis=0)
+        a = int(np.argmax(q3 - q1 if (q3 - q1).max() > 0 else np.ptp(part, axis=0)))
+        want[node] = (a, np.median(part[:, a]))
+        goes = part[:, a] >= want[node][1]
+        parts[2 * node + 1], parts[2 * node + 2] = part[~goes], part[goes]
+    monkeypatch.setattr(np, "quantile", None)
+    tree = lof.grow_tree(x, 5)
+    assert [(tree.axis[i], pytest.approx(tree.cut[i])) for i in want] == list(want.values())
+    leaf = tree.leaf_of(x)
+    assert all((x[leaf == i] >= tree.low[i]).all() and (x[leaf == i] <= tree.high[i]).all() for i in parts)
