@@ -4,7 +4,7 @@
    fixed-size count sketch occur in all lines, then by hash. Any fixed order is right; a rare-first one keeps lists short.
 2. Lines with one and the same set are a class, which its first line stands for; its other lines go.
 3. Classes are posted under the tokens of their prefix, long enough that similar lines share one. Pairs that share a
-   prefix token pass the length filter and the positional filter, and are confirmed on their full sets.
+   prefix token pass the length filter, the positional filter and a filter of parities, and are confirmed on their full sets.
 4. A class goes as soon as one earlier class is similar, so every class first meets the classes of the first document in
    each of its lists. Only those that found none meet the rest of their lists: short lists pair by pair, longer ones block
    against block on their full sets, where a task gives each line at most once.
@@ -29,6 +29,7 @@ SKETCH = 1 << 16
 SHORT, BLOCK = 32, 1_024
 _COLUMNS = 4_096
 _SALT = np.uint64(0xD6E8FEB86659FD93)
+_ONE, _SIX, _SEVENTH = np.uint64(1), np.uint64(63), np.uint64(64)
 
 
 class Cut:
@@ -81,7 +82,9 @@ def rarity(docs: DataFrame, size: int) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """``(doc_id, line, n, k1, k2, prefix)`` per line with a word: set size, 128 bits for the set, its rarest tokens."""
+    """``(doc_id, line, n, k1, k2, p1, p2, prefix)`` per line with a word: set size, 128 bits for the set, 128 parities, its
+    rarest tokens. A parity tells whether an odd number of the set's tokens falls on it: those of two sets differ in no more
+    places than there are tokens that only one of the sets has."""
     steps = rarity(docs, size)
 
     def cut_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,15 +106,19 @@ def prefixes(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
             n = np.diff(np.append(starts, len(h)))
             k1 = np.add.reduceat(mixed(h), starts)
             k2 = np.add.reduceat(mixed(h ^ _SALT), starts)
+            bit, second = _ONE << (h & _SIX), (h & _SEVENTH) != 0  # a token falls on one of the 128
+            p1 = np.bitwise_xor.reduceat(np.where(second, 0, bit), starts)
+            p2 = np.bitwise_xor.reduceat(np.where(second, bit, 0), starts)
             length = n + num * n // -den + 1
             kept = np.arange(len(h)) - np.repeat(starts, n) < np.repeat(length, n)
             offsets = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([
                 pa.array(cut.doc), pa.array(cut.number), pa.array(n.astype(np.int32)), pa.array(signed(k1)), pa.array(signed(k2)),
-                pa.ListArray.from_arrays(pa.array(offsets), pa.array(signed(h[kept])))],
-                ["doc_id", "line", "n", "k1", "k2", "prefix"])
+                pa.array(signed(p1)), pa.array(signed(p2)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(signed(h[kept])))],
+                ["doc_id", "line", "n", "k1", "k2", "p1", "p2", "prefix"])
 
-    return docs.mapInArrow(cut_lines, "doc_id long, line int, n int, k1 long, k2 long, prefix array<long>")
+    return docs.mapInArrow(
+        cut_lines, "doc_id long, line int, n int, k1 long, k2 long, p1 long, p2 long, prefix array<long>")
 
 
 def _line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -192,20 +199,27 @@ def kept_lines(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
     of_class = W.partitionBy("k1", "k2").orderBy("doc_id", "line")
     firsts = written(
         prefixes(docs, size, num, den).withColumn("place", F.row_number().over(of_class)).where("place = 1")
-        .select("doc_id", "line", "n", "prefix"))
+        .select("doc_id", "line", "n", "p1", "p2", "prefix"))
+    parities = firsts.select("doc_id", "line", "n", "p1", "p2")
     posted = firsts.select("doc_id", "line", "n", F.posexplode("prefix").alias("place", "token"))
     lists = posted.groupBy("token").agg(F.count("*").alias("length"), F.min("doc_id").alias("head")).where("length > 1")
     listed = written(posted.join(lists, "token").select("token", "doc_id", "line", "n", "place", "head", "length"))
     line_texts = written(_line_texts(docs, listed.select("doc_id", "line").distinct()))
 
     def pairs(x: DataFrame, y: DataFrame) -> DataFrame:
-        """Of lines that share a prefix token, those that come later with those that come earlier."""
-        return (
+        """Of lines that share a prefix token, those that come later with those that come earlier, without those whose parities
+        differ in more places than similar sets can."""
+        met = (
             x.alias("x").join(y.alias("y"), "token")
             .where("(y.doc_id < x.doc_id OR y.doc_id = x.doc_id AND y.line < x.line)")
             .where(f"{den} * least(x.n, y.n) >= {num} * greatest(x.n, y.n)")
             .where(f"{num + den} * least(x.n - x.place, y.n - y.place) >= {num} * (x.n + y.n)")
             .selectExpr("x.doc_id", "x.line", "y.doc_id AS doc_2", "y.line AS line_2").distinct())
+        other = parities.selectExpr("doc_id AS doc_2", "line AS line_2", "n AS m", "p1 AS q1", "p2 AS q2")
+        return (
+            met.join(other, ["doc_2", "line_2"]).join(parities, ["doc_id", "line"])
+            .where(f"{num + den} * (bit_count(p1 ^ q1) + bit_count(p2 ^ q2)) <= {den - num} * (n + m)")
+            .select("doc_id", "line", "doc_2", "line_2"))
 
     gone = written(_confirmed(pairs(listed, listed.where("doc_id = head")), line_texts, size, num, den))
     marked = listed.where("length > 2").join(gone.withColumn("gone", F.lit(True)), ["doc_id", "line"], "left").withColumn(

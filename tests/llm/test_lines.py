@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from pricelode.llm import lines
@@ -102,3 +103,32 @@ def test_rows_without_id_repeated_rows_and_carried_columns(documents):
 
 def test_empty_table(documents):
     assert lines.without_similar_lines(documents([])).collect() == []
+
+
+def test_parities_rule_out_pairs_that_only_share_a_token(spark, monkeypatch):
+    """Lines of few words that all meet in lists: hardly any pair but the planted ones comes to the full sets."""
+    rng = np.random.default_rng(4)
+    rows = [[f"w{i}" for i in rng.permutation(60)[:20]] for _ in range(60)]
+    rows += [[*rows[7][:-1], "other"], [*rows[30], "longer"]]
+    docs = spark.createDataFrame([(i, " ".join(r)) for i, r in enumerate(rows)], "doc_id long, text string")
+    confirmed, met = lines._confirmed, []
+
+    def counted(pairs, *rest):
+        met.append(pairs.count())
+        return confirmed(pairs, *rest)
+
+    monkeypatch.setattr(lines, "_confirmed", counted)
+    found = lines.without_similar_lines(docs, size=1)
+    assert sorted(r["doc_id"] for r in found.where("n_removed > 0").collect()) == [60, 61]
+    assert 2 <= sum(met) <= 20
+
+
+def test_parities_differ_in_no_more_places_than_sets(spark):
+    rng = np.random.default_rng(6)
+    rows = [[f"w{i}" for i in rng.permutation(300)[:n]] for n in rng.integers(1, 250, 40)]
+    docs = spark.createDataFrame([(i, " ".join(r)) for i, r in enumerate(rows)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["p1"] % 2 ** 64) << 64 | r["p2"] % 2 ** 64 for r in lines.prefixes(docs, 1, 75, 100).collect()}
+    for a, x in enumerate(rows):
+        assert got[a].bit_count() % 2 == len(x) % 2
+        for b, y in enumerate(rows[:a]):
+            assert (got[a] ^ got[b]).bit_count() <= len(set(x) ^ set(y))
