@@ -2,28 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from contextlib import contextmanager
+from pricelode.plans.durable import checkpointed, freeing
 
-from pyspark.sql import DataFrame, SparkSession
+__all__ = ["freeing", "written"]
 
-from pricelode.plans.durable import checkpointed
-
-_FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-@contextmanager
-def freeing(spark: SparkSession) -> Iterator[None]:
-    """While this holds, a finished query leaves no shuffle files; what is read again must have been written."""
-    before = spark.conf.get(_FREE, "false")
-    spark.conf.set(_FREE, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(_FREE, before)
-
-
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as a table in the shared folder, which cuts its lineage; the shuffles that made it are freed."""
-    with freeing(df.sparkSession):
-        return checkpointed(df)
+#: A frame as a table in the shared folder, which cuts its lineage; the shuffles that made it are freed.
+written = checkpointed

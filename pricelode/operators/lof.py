@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pricelode.operators.statistical import robust_scale
-from pricelode.plans.durable import checkpointed
+from pricelode.plans.durable import checkpointed, discard
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -212,12 +212,14 @@ def nearest_in(
 
 
 def locations(df: DataFrame, features: list[str] = FEATURES) -> DataFrame:
-    """Distinct scaled points, and the raw values they come from, with their number of rows."""
+    """Distinct scaled points, and the raw values they come from, with their number of rows; these are written."""
     scaled = robust_scale(df, features)
     # + 0.0 folds -0.0 into 0.0, so that equal points group together.
     axes = [(scaled[f] + F.lit(0.0)).alias(a) for f, a in zip(features, AXES)]
-    raw = [F.col(f).alias(f"raw_{f}") for f in features]
-    return df.select(*axes, *raw).groupBy(*AXES, *[f"raw_{f}" for f in features]).agg(F.count("*").alias("raw_rows"))
+    counted = checkpointed(df.groupBy(*features).agg(F.count("*").alias("raw_rows")))
+    found = counted.select(*axes, *[F.col(f).alias(f"raw_{f}") for f in features], "raw_rows")
+    found._step = counted._step
+    return found
 
 
 def sampled_tree(points: DataFrame, n: int, k: int, leaf_rows: int) -> LeafTree:
@@ -231,12 +233,44 @@ def sampled_tree(points: DataFrame, n: int, k: int, leaf_rows: int) -> LeafTree:
 
 
 def packed(**arrays: np.ndarray) -> dict[str, pa.Array]:
-    """Arrays as one binary value each."""
-    return {name: pa.array([np.ascontiguousarray(x).tobytes()], pa.binary()) for name, x in arrays.items()}
+    """Arrays as one binary value each; whole numbers from 0 in the fewest bytes that hold them, of which the first byte tells."""
+    def whole(x: np.ndarray) -> bytes:
+        kind = np.min_scalar_type(int(x.max(initial=0)))
+        return bytes([kind.itemsize]) + x.astype(kind).tobytes()
+
+    return {name: pa.array([whole(x) if x.dtype.kind in "iu" else np.ascontiguousarray(x).tobytes()], pa.binary())
+            for name, x in arrays.items()}
 
 
 def unpacked(rows: pa.Table, name: str, kind: type = np.float64) -> np.ndarray:
-    return np.frombuffer(rows.column(name)[0].as_py(), kind)
+    value = rows.column(name)[0].as_py()
+    return np.frombuffer(value, np.float64) if kind is np.float64 else np.frombuffer(value, f"u{value[0]}", offset=1).astype(np.int64)
+
+
+def points_in(rows: pa.Table, name: str = "x") -> np.ndarray:
+    """Points that are kept an axis at a time, as equal values then stand together."""
+    return unpacked(rows, name).reshape(len(AXES), -1).T
+
+
+def between(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distances of pairs, to the last bit those that ``nearest`` finds."""
+    square = np.zeros(len(a))
+    for d in range(len(AXES)):
+        gap = a[:, d] - b[:, d]
+        square += gap * gap
+    return np.sqrt(square)
+
+
+def shares(weight: np.ndarray, count: np.ndarray, near: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per location how many of its ``k`` places are copies of itself; per neighbour whose it is and how many places it has.
+
+    A neighbour takes as many places as it has rows, while there are any left.
+    """
+    row = np.repeat(np.arange(len(count)), count)
+    own = np.minimum(weight[:len(count)] - 1, k)
+    before = np.cumsum(weight[near]) - weight[near]
+    before -= before[np.searchsorted(row, row)] if len(row) else 0
+    return own, row, np.clip(k - own[row] - before, 0, weight[near])
 
 
 def axes_of(rows: pa.Table) -> np.ndarray:
@@ -248,12 +282,12 @@ def by_row(values: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
 
 
 def leaves(points: DataFrame, n: int, k: int, leaf_rows: int = LEAF_ROWS) -> DataFrame:
-    """One row per leaf: its locations ordered by position with their ``k`` nearest other locations, closest first.
+    """One written row per leaf: its locations ordered by position with their ``k`` nearest other locations, closest first.
 
-    ``points`` has the axes and ``weight``. ``x`` and ``own`` (copies of a location itself among its neighbours) have a value per
-    location, ``row``, ``near``, ``dist`` and ``taken`` one per neighbour: ``near`` is the place of a neighbour in the leaf, or
-    behind the leaf's locations that of one of the ``foreign`` ones, and ``taken`` how many of the k places it has. ``kdist`` is
-    the distance of a location's farthest neighbour that has a place.
+    ``points``, a written table that is deleted on the way, has the axes and ``weight``. ``x``, ``count`` and ``kdist`` have a value per location: its place in space, how many
+    neighbours it has, and the distance of the farthest that counts. ``near`` has one per neighbour: its place in the leaf, or behind
+    the leaf's locations that of one of the ``foreign`` ones, whose places in space are ``far``. ``weight`` is that of the leaf's
+    locations, then of the foreign ones. Distances are not kept, as places in space take far less room.
     """
     spark = points.sparkSession
     # Plain arrays, so that workers need nothing but numpy to read them.
@@ -266,6 +300,7 @@ def leaves(points: DataFrame, n: int, k: int, leaf_rows: int = LEAF_ROWS) -> Dat
                 [*b.columns, pa.array(LeafTree(**cuts.value).leaf_of(x))], [*b.schema.names, "leaf"])
 
     placed = checkpointed(points.select(*AXES, "weight").mapInArrow(place, "x0 double, x1 double, x2 double, weight long, leaf long"))
+    discard(points)
     extent = placed.groupBy("leaf").agg(
         F.count("*").alias("n"), *(F.min(a) for a in AXES), *(F.max(a) for a in AXES)).toPandas().to_numpy(np.float64)  # a row per leaf
     tree = LeafTree(**cuts.value).filled(
@@ -286,20 +321,23 @@ def leaves(points: DataFrame, n: int, k: int, leaf_rows: int = LEAF_ROWS) -> Dat
         asking, asked = asking[away], asked[away]
         visits = pa.StructArray.from_arrays(
             [pa.array(v) for v in (asked, x[asking, 0], x[asking, 1], x[asking, 2], radius[asking])], ["leaf", *AXES, "radius"])
+        crossing = np.unique(asking)
         return pa.table({
             "leaf": pa.array([leaf]), **packed(
-                x=x, weight=rows.column("weight").to_numpy(), row=row, near=near, dist=dist, radius=radius, crossing=np.unique(asking)),
+                x=x.T, weight=rows.column("weight").to_numpy(), count=np.bincount(row, minlength=len(x)), near=near, crossing=crossing,
+                radius=radius[crossing]),
             "visits": pa.ListArray.from_arrays(pa.array([0, len(asked)], pa.int32()), visits)})
 
     visit = "struct<leaf: long, x0: double, x1: double, x2: double, radius: double>"
     local = checkpointed(placed.groupBy("leaf").applyInArrow(
-        within, "leaf long, x binary, weight binary, row binary, near binary, dist binary, radius binary, crossing binary, "
-                f"visits array<{visit}>"), large_rows=True)
+        within, f"leaf long, x binary, weight binary, count binary, near binary, crossing binary, radius binary, visits array<{visit}>"),
+        large_rows=True)
+    discard(placed)
     query = local.select(F.col("leaf").alias("asks"), F.explode("visits").alias("visit")).select("asks", "visit.*")
 
     def answer(query: pa.Table, rows: pa.Table) -> pa.Table:
         """What counts among the asked leaf's locations, once for each leaf that asks."""
-        x, weight = unpacked(rows, "x").reshape(-1, len(AXES)), unpacked(rows, "weight", np.int64)
+        x, weight = points_in(rows), unpacked(rows, "weight", np.int64)
         hit, point, _ = nearest_in(axes_of(query), x, k, query.column("radius").to_numpy(), False)
         wanted = np.unique(np.column_stack([query.column("asks").to_numpy()[hit], point]), axis=0).reshape(-1, 2)
         point = wanted[:, 1]
@@ -310,14 +348,15 @@ def leaves(points: DataFrame, n: int, k: int, leaf_rows: int = LEAF_ROWS) -> Dat
         answer, "asks long, id long, x0 double, x1 double, x2 double, weight long")
 
     def merge(rows: pa.Table, halo: pa.Table) -> pa.Table:
-        x, weight = unpacked(rows, "x").reshape(-1, len(AXES)), unpacked(rows, "weight", np.int64)
-        row, near, dist = unpacked(rows, "row", np.int64), unpacked(rows, "near", np.int64), unpacked(rows, "dist")
-        foreign = np.zeros(0, np.int64)
+        x, weight = points_in(rows), unpacked(rows, "weight", np.int64)
         n = len(x)
+        row, near = np.repeat(np.arange(n), unpacked(rows, "count", np.int64)), unpacked(rows, "near", np.int64)
+        dist = between(x[row], x[near])
+        foreign, others = np.zeros(0, np.int64), x[:0]
         if halo.num_rows:
             halo = halo.sort_by([(a, "ascending") for a in AXES])
             asking, others = unpacked(rows, "crossing", np.int64), axes_of(halo)
-            q, point, far = nearest_in(x[asking], others, k, unpacked(rows, "radius")[asking], False)
+            q, point, far = nearest_in(x[asking], others, k, unpacked(rows, "radius"), False)
             place, both = np.concatenate([np.arange(n), n + np.arange(len(others))]), np.concatenate([x, others])
             row, near, dist = np.concatenate([row, asking[q]]), np.concatenate([near, place[n + point]]), np.concatenate([dist, far])
             order = np.lexsort((*both[near].T[::-1], dist, row))  # ties by position
@@ -326,45 +365,51 @@ def leaves(points: DataFrame, n: int, k: int, leaf_rows: int = LEAF_ROWS) -> Dat
             row, near, dist = row[keep], near[keep], dist[keep]
             used, back = np.unique(near[near >= n], return_inverse=True)
             foreign = halo.column("id").to_numpy()[used - n]
-            weight = np.concatenate([weight, halo.column("weight").to_numpy()[used - n]])
+            weight, others = np.concatenate([weight, halo.column("weight").to_numpy()[used - n]]), others[used - n]
             near[near >= n] = n + back
-        own = np.minimum(weight[:n] - 1, k)
-        # A neighbour takes as many of the k places as it has rows, while there are any left.
-        before = np.cumsum(weight[near]) - weight[near]
-        before -= before[np.searchsorted(row, row)] if len(row) else 0
-        taken = np.clip(k - own[row] - before, 0, weight[near])
+        count = np.bincount(row, minlength=n)
+        taken = shares(weight, count, near, k)[-1]
         kdist = np.zeros(n)
         np.maximum.at(kdist, row[taken > 0], dist[taken > 0])
         return pa.table({"leaf": rows.column("leaf"), "x": rows.column("x"), **packed(
-            kdist=kdist, own=own, row=row.astype(np.int32), near=near.astype(np.int32), dist=dist, taken=taken.astype(np.int32)),
-            "foreign": pa.array([foreign], pa.list_(pa.int64()))})
+            kdist=kdist, weight=weight, count=count, near=near, far=others.T), "foreign": pa.array([foreign], pa.list_(pa.int64()))})
 
-    return local.drop("visits").groupBy("leaf").cogroup(halo.withColumnRenamed("asks", "leaf").groupBy("leaf")).applyInArrow(
-        merge, "leaf long, x binary, kdist binary, own binary, row binary, near binary, dist binary, taken binary, foreign array<long>")
+    merged = checkpointed(local.drop("visits").groupBy("leaf").cogroup(halo.withColumnRenamed("asks", "leaf").groupBy("leaf")).applyInArrow(
+        merge, "leaf long, x binary, kdist binary, weight binary, count binary, near binary, far binary, foreign array<long>"), large_rows=True)
+    discard(local)
+    return merged
 
 
 def factors(
     df: DataFrame, features: list[str] = FEATURES, neighbors: int = 20, leaf_rows: int = LEAF_ROWS,
 ) -> DataFrame:
-    """The local outlier factor of every distinct combination of feature values (columns ``raw_*``)."""
-    found = checkpointed(locations(df, features))
+    """The local outlier factor of every distinct combination of feature values (columns ``raw_*``), as a written table.
+
+    Each step is deleted once the next is there, so that no more than two and what deals them out take room at a time."""
+    found = locations(df, features)
     raw = [f"raw_{f}" for f in features]
     # Different raw values (null and the median) can share a location.
-    points = found.groupBy(*AXES).agg(F.sum("raw_rows").alias("weight"))
+    points = checkpointed(found.groupBy(*AXES).agg(F.sum("raw_rows").alias("weight")))
     size = points.agg(F.count("*").alias("n"), F.coalesce(F.sum("weight"), F.lit(0)).alias("rows")).first()
     k = min(neighbors, size["rows"] - 1)
     if k < 1:
-        return found.select(*raw, F.lit(None).cast("double").alias("factor"))
-    scored = local_outlier_factor(leaves(points, size["n"], k, leaf_rows), k)
-    return found.join(scored, AXES).select(*raw, "factor")
+        discard(points)
+        out = checkpointed(found.select(*raw, F.lit(None).cast("double").alias("factor")))
+    else:
+        near = leaves(points, size["n"], k, leaf_rows)
+        scored = local_outlier_factor(near, k)
+        discard(near)
+        out = checkpointed(found.join(scored, AXES).select(*raw, "factor"))
+        discard(scored)
+    discard(found)
+    return out
 
 
 def local_outlier_factor(found: DataFrame, k: int) -> DataFrame:
-    """``factor`` per location from the leaves.
+    """``factor`` per location from the leaves, as a written table.
 
     A location of weight w counts w - 1 copies of itself at distance 0 before any other.
     """
-    found = checkpointed(found, large_rows=True)
     asked = found.select(F.col("leaf").alias("asks"), F.posexplode("foreign").alias("place", "other")).select(
         "asks", "place", F.floor(F.col("other") / PLACES).cast("long").alias("leaf"), (F.col("other") % PLACES).alias("at"))
 
@@ -380,24 +425,32 @@ def local_outlier_factor(found: DataFrame, k: int) -> DataFrame:
         order = np.argsort(halo.column("place").to_numpy())
         return np.concatenate([values, halo.column("value").to_numpy()[order]])
 
+    def neighbours(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        count, near = unpacked(rows, "count", np.int64), unpacked(rows, "near", np.int64)
+        own, row, taken = shares(unpacked(rows, "weight", np.int64), count, near, k)
+        return own, row, near, taken
+
     def density(rows: pa.Table, halo: pa.Table) -> pa.Table:
-        row, near, taken = (unpacked(rows, c, np.int32) for c in ("row", "near", "taken"))
-        own, kdist = unpacked(rows, "own", np.int64), unpacked(rows, "kdist")
-        reach = by_row(taken * np.maximum(unpacked(rows, "dist"), with_foreign(kdist, halo)[near]), row, len(own))
+        own, row, near, taken = neighbours(rows)
+        x, kdist = points_in(rows), unpacked(rows, "kdist")
+        dist = between(x[row], np.concatenate([x, points_in(rows, "far")])[near])
+        reach = by_row(taken * np.maximum(dist, with_foreign(kdist, halo)[near]), row, len(own))
         return pa.table({"leaf": rows.column("leaf"), **packed(value=1.0 / ((own * kdist + reach) / k + 1e-10))})
 
     def factor(rows: pa.Table, halo: pa.Table) -> pa.Table:
-        row, near, taken = (unpacked(rows, c, np.int32) for c in ("row", "near", "taken"))
-        own, lrd, x = unpacked(rows, "own", np.int64), unpacked(rows, "value"), unpacked(rows, "x").reshape(-1, len(AXES))
+        own, row, near, taken = neighbours(rows)
+        lrd, x = unpacked(rows, "value"), points_in(rows)
         around = own * lrd + by_row(taken * with_foreign(lrd, halo)[near], row, len(own))
         return pa.table({**{a: x[:, d] for d, a in enumerate(AXES)}, "factor": around / k / lrd})
 
-    lists = ["leaf", "own", "row", "near", "dist", "taken"]
+    lists = ["leaf", "x", "weight", "count", "near"]
     kdist = found.select("leaf", F.col("kdist").alias("value"))
-    densities = checkpointed(found.select(*lists, "kdist").groupBy("leaf").cogroup(fetched(kdist).groupBy("leaf")).applyInArrow(
+    densities = checkpointed(found.select(*lists, "far", "kdist").groupBy("leaf").cogroup(fetched(kdist).groupBy("leaf")).applyInArrow(
         density, "leaf long, value binary"), large_rows=True)
-    return found.select(*lists, "x").drop("dist").join(densities, "leaf").groupBy("leaf").cogroup(
-        fetched(densities).groupBy("leaf")).applyInArrow(factor, "x0 double, x1 double, x2 double, factor double")
+    scored = checkpointed(found.select(*lists).join(densities, "leaf").groupBy("leaf").cogroup(
+        fetched(densities).groupBy("leaf")).applyInArrow(factor, "x0 double, x1 double, x2 double, factor double"))
+    discard(densities)
+    return scored
 
 
 def join_factors(

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _CONF = "spark.checkpoint.dir"
+_FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,17 +34,39 @@ _STEPS: list[str] = []
 _LARGE_ROWS = {"parquet.block.size": 16 << 20, "parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.min": 1}
 
 
+@contextmanager
+def freeing(spark: SparkSession) -> Iterator[None]:
+    """While this holds, a finished query leaves no shuffle files; what is read again must have been written."""
+    before = spark.conf.get(_FREE, "false")
+    spark.conf.set(_FREE, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_FREE, before)
+
+
 def checkpointed(df: DataFrame, partition_by: Sequence[str] = (), large_rows: bool = False) -> DataFrame:
-    """Write ``df`` once as a table; what follows reads the columns it needs and survives lost executors.
+    """Write ``df`` once as a table; what follows reads the columns it needs and survives lost executors. The shuffles that made
+    it are freed.
 
     Rows of megabytes are ``large_rows``: a task then holds few of them at a time.
     """
     spark = df.sparkSession
     path = scratch_path(spark, "step")
     _STEPS.append(path)
-    df.write.options(**(_LARGE_ROWS if large_rows else {})).partitionBy(*partition_by).parquet(path)
+    with freeing(spark):
+        df.write.options(**(_LARGE_ROWS if large_rows else {})).partitionBy(*partition_by).parquet(path)
     stored = spark.read.schema(df.schema).parquet(path)
-    return stored.select(*df.columns) if partition_by else stored
+    stored = stored.select(*df.columns) if partition_by else stored
+    stored._step = path
+    return stored
+
+
+def discard(*steps: DataFrame) -> None:
+    """Deletes steps that ``checkpointed`` gave, once all that is read from them has been written or collected."""
+    for step in steps:
+        _STEPS.remove(step._step)
+        _delete(step.sparkSession, step._step)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -54,9 +78,12 @@ def remove_steps(spark: SparkSession) -> int:
 
     Frames that were built on them can't be read afterwards.
     """
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     removed = 0
     while _STEPS:
-        path = hadoop(_STEPS.pop())
-        removed += bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
+        removed += _delete(spark, _STEPS.pop())
     return removed
+
+
+def _delete(spark: SparkSession, folder: str) -> bool:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))

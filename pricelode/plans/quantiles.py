@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pricelode.plans.durable import checkpointed
+from pricelode.plans.durable import checkpointed, discard
 
 CUTS = 64
 FINAL_ROWS = 20_000
@@ -112,7 +112,9 @@ def exact_quantiles(
         (0, known[cols[s.col]].low), (known[cols[s.col]].n - 1, known[cols[s.col]].high))}
     spans = [t for s in spans if (t := replace(s, ranks=[r for r in s.ranks if (s.col, r) not in ends])).ranks]
     found.update(ends)
-    held, spans = _hold(data, spans, found) if spans else (None, [])
+    steps, spans = _hold(data, spans) if spans else ([], [])
+    if steps:
+        held = reduce(DataFrame.union, [step.where("side = 0").select("k", "v", "n") for step in steps])
     while spans:
         for s in [s for s in spans if s.settled]:
             found.update({(s.col, r): s.lo for r in s.ranks})
@@ -122,6 +124,7 @@ def exact_quantiles(
         if small:
             found.update(_read_ranks(held, small))
         spans = _narrow(held, wide, bins) if wide else []
+    discard(*steps)
     return {
         c: [_interpolate(p, known[c].n, lambda r, i=i: found[i, r]) if known[c].n else None for p in probs]
         for i, c in enumerate(cols)
@@ -217,9 +220,9 @@ def _interpolate(p: float, n: int, value) -> float:
     return a if frac == 0 or a == b else a + (b - a) * frac
 
 
-def _hold(data: DataFrame, spans: list[_Span], found: dict) -> tuple[DataFrame, list[_Span]]:
-    """One pass over the input: the values between the bounds of each span as a written table ``(k, v, n)``, and the spans with
-    what lies below them. Where a bound was off, the values on its other side follow in a pass of their own."""
+def _hold(data: DataFrame, spans: list[_Span]) -> tuple[list[DataFrame], list[_Span]]:
+    """One pass over the input: the values between the bounds of each span as a written table ``(k, side, v, n)``, where they have
+    side 0, and the spans with what lies below them. Where a bound was off, the values on its other side follow in a pass of their own."""
     tables, out, open_, k = [], [], spans, 0
     while open_:
         hits = []
@@ -246,9 +249,9 @@ def _hold(data: DataFrame, spans: list[_Span], found: dict) -> tuple[DataFrame,
                 again.append(replace(s, lo=None, ranks=rest))
             if rest := [r for r in s.ranks if r >= behind]:
                 again.append(replace(s, hi=None, ranks=rest))
-        tables.append(held.where("side = 0").select("k", "v", "n"))
+        tables.append(held)
         open_, k = again, k + len(open_)
-    return reduce(DataFrame.union, tables), out
+    return tables, out
 
 
 def _in_spans(held: DataFrame, spans: list[_Span]) -> DataFrame:

@@ -14,7 +14,7 @@ from pricelode.functions import formats, prices
 from pricelode.functions.numbers import rounded
 from pricelode.operators import (
     causal, conversations, dashboard, ensemble, fitted, forest, history, lof, reports, rules, statistical, summaries, timeseries)
-from pricelode.plans.durable import scratch_path
+from pricelode.plans.durable import discard, scratch_path
 from pricelode.plans.quantiles import profile
 from pricelode.sources import adhoc, tables
 from pricelode.sources.tpch import pricing_fact, spread_table, table
@@ -466,8 +466,10 @@ def iforest(fact):
 
 @on_fact()
 def lof_transactions(fact):
-    scored = ensemble.checkpointed(
-        lof.join_factors(fact, lof.factors(fact)).select("txn_id", *lof.FEATURES, "lof_raw"))
+    rows = ensemble.checkpointed(fact.select("txn_id", *lof.FEATURES))  # read for the scales, the locations and the join
+    factors = lof.factors(rows)
+    scored = ensemble.checkpointed(lof.join_factors(rows, factors).select("txn_id", *lof.FEATURES, "lof_raw"))
+    discard(rows, factors)
     return ensemble.with_top_shares(scored, [("lof_raw", "anomaly_score")], 0.07).where("anomaly_score is not null")
 
 

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import os
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -247,3 +249,38 @@ def test_trees_are_cut_at_medians_level_by_level(monkeypatch):
     assert [(tree.axis[i], pytest.approx(tree.cut[i])) for i in want] == list(want.values())
     leaf = tree.leaf_of(x)
     assert all((x[leaf == i] >= tree.low[i]).all() and (x[leaf == i] <= tree.high[i]).all() for i in parts)
+
+
+def test_the_lof_reads_transactions_once(spark, prices, monkeypatch):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    monkeypatch.setattr(queries, "pricing_fact", lambda *_: prices.mapInArrow(counted, prices.schema))
+    assert queries.QUERIES["lof_transactions"](spark, "").count() > 0
+    assert seen.value == prices.count()
+
+
+def test_leaves_take_little_room(spark):
+    """About 24 bytes a location for its place, 8 for its k-distance and 2 for each of 20 neighbours."""
+    points = spark.range(30_000).select(*[F.rand(i).alias(a) for i, a in enumerate(AXES)], F.lit(1).cast("long").alias("weight"))
+    stored = lof.leaves(checkpointed(points), 30_000, 20, 4_000)
+    size = sum(os.path.getsize(f.removeprefix("file:")) for f in stored.inputFiles())
+    assert size < 110 * 30_000
+
+
+def test_whole_numbers_take_as_many_bytes_as_they_need():
+    for x in ([], [0, 255], [0, 256, 65_535], [65_536], [2 ** 32, 7]):
+        values = lof.packed(x=np.array(x, np.int64))
+        assert len(values["x"][0].as_py()) == 1 + len(x) * np.min_scalar_type(max(x, default=0)).itemsize
+        assert lof.unpacked(pa.table(values), "x", np.int64).tolist() == x
+
+
+def test_distances_are_those_of_the_search():
+    rng = np.random.default_rng(8)
+    x = np.vstack([rng.normal(size=(300, 3)), rng.integers(0, 3, (80, 3))])
+    row, near, dist = lof.nearest_in(x, x, 9, None, True)
+    assert np.array_equal(lof.between(x[row], x[near]), dist)

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import os
+import pathlib
+
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_points
 from pricelode.operators import conversations, ensemble, reports, timeseries
+from pricelode.plans import durable
 from pricelode.sources.tpch import pricing_fact, table
 
 FOLDER = "/root/testdata/sf0.001"
@@ -62,3 +67,23 @@ def test_steps_are_removed_when_asked(spark, tmp_path):
     kept, durable._STEPS[:] = durable._STEPS[:-1], durable._STEPS[-1:]
     assert durable.remove_steps(spark) == 1 and not os.path.exists(folder) and durable._STEPS == []
     durable._STEPS[:] = kept
+
+
+def shuffle_files(spark) -> set[str]:
+    dirs = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().localDirs()
+    return {str(f) for d in dirs for f in pathlib.Path(d.getPath()).rglob("shuffle_*")}
+
+
+def test_steps_leave_no_shuffle_files(spark):
+    before = shuffle_files(spark)
+    step = durable.checkpointed(spark.range(1_000).groupBy((F.col("id") % 7).alias("g")).count())
+    assert step.count() == 7 and spark.conf.get(durable._FREE, "false") == "false"
+    spark.range(1_000).repartition(3).count()  # queries that write no step are as they were
+    assert not any(size for f in shuffle_files(spark) - before if (size := os.path.getsize(f)) > 5_000)
+
+
+def test_a_discarded_step_is_gone_and_others_stay(spark):
+    first, second = durable.checkpointed(spark.range(3)), durable.checkpointed(spark.range(5), ["id"][:0])
+    paths = durable._STEPS[-2:]
+    durable.discard(first)
+    assert not os.path.exists(paths[0].removeprefix("file:")) and second.count() == 5 and durable._STEPS[-1] == paths[1]
