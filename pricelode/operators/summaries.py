@@ -14,13 +14,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricelode.functions.prices import gtn_discount, month, quarter
-from pricelode.plans.durable import checkpointed
+from pricelode.plans.durable import checkpointed, discard, freeing
 
 #: Size of a sketch; with 800 a quantile's rank is off by at most RANK_ERROR of the rows, in 99 of 100 cases.
 SKETCH_K, RANK_ERROR = 800, 0.01
 SKETCHED = ("wac_price", "margin_percent", "actual_price")
 AVERAGED = ("wac_price", "margin_percent", "asp_price", "amp_price", "price_340b", "gtn_pct", "gtn_clipped")
-_ROWS = ("batch", "drug_id", "drug_name", "drug_class", "pharmacy_id", "transaction_date", "severity", "anomaly_type")
+_ROWS = ("batch", "drug_id", "drug_name", "drug_class", "pharmacy_id", "severity", "anomaly_type")
+_DRUGS = ("batch", "day", "drug_id", "drug_name", "drug_class", "severity", "anomaly_type")
+#: Rows of one drug, day and batch are many from MANY_SAMPLED in a sample of one row in ONE_IN.
+ONE_IN, MANY_SAMPLED = 1_000, 1_000
 
 
 @dataclass
@@ -45,15 +48,33 @@ def add(annotated: DataFrame, folder: str, batch: str | Column) -> Summaries:
     ranked = [x for c in SKETCHED for x in (
         F.kll_sketch_agg_double(c, SKETCH_K).alias(f"{c}_ranks"), F.min(c).alias(f"{c}_low"), F.max(c).alias(f"{c}_high"), F.count(c).alias(f"{c}_n"))]
     tables = {
-        "drugs": rows.groupBy("batch", "day", "drug_id", "drug_name", "drug_class", "severity", "anomaly_type").agg(F.count("*").alias("n"), *sums),
-        "pharmacies": rows.groupBy("batch", "day", "pharmacy_id", "severity").agg(F.count("*").alias("n")),
-        "sketches": rows.groupBy("batch", "day", "drug_class").agg(*ranked)}
-    for table, parts in tables.items():
+        "drugs": _by_drug(rows, [F.count("*").alias("n"), *sums]),
         # Files of a batch are of even size: a batch of many rows is dealt over many tasks.
-        parts.hint("rebalance", "batch").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(
-            f"{folder.rstrip('/')}/{table}")
-    reader = annotated.sparkSession.read
-    return Summaries(*(reader.schema(parts.schema).parquet(f"{folder.rstrip('/')}/{t}") for t, parts in tables.items()))
+        "pharmacies": rows.groupBy("batch", "day", "pharmacy_id", "severity").agg(F.count("*").alias("n")).hint("rebalance", "batch"),
+        "sketches": rows.groupBy("batch", "day", "drug_class").agg(*ranked).hint("rebalance", "batch")}
+    spark = annotated.sparkSession
+    for table, parts in tables.items():
+        with freeing(spark):
+            parts.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{folder.rstrip('/')}/{table}")
+    discard(rows)
+    return Summaries(*(spark.read.schema(parts.schema).parquet(f"{folder.rstrip('/')}/{t}") for t, parts in tables.items()))
+
+
+def _by_drug(rows: DataFrame, sums: list[Column]) -> DataFrame:
+    """``sums`` per group of ``_DRUGS``, in parts of even size that hold few batches each.
+
+    Most groups have few rows: these go to the task of their range as they are, once, as sums of each task would be about as many,
+    and wider. Only the rows of drugs with many on a day are summed in each task first (a sample picks the route, both give the same)."""
+    near = ["batch", "day", "drug_id"]
+    sampled = rows.select(*near).where(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(ONE_IN)) == 0)
+    many = checkpointed(sampled.groupBy(*near).agg(F.count("*").alias("_n")).where(F.col("_n") >= MANY_SAMPLED).select(
+        *[F.col(c).alias(f"_{c}") for c in near]))
+    if many.isEmpty():
+        discard(many)
+        return rows.repartitionByRange(*near).groupBy(*_DRUGS).agg(*sums)
+    match = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in near]
+    few, crowded = (rows.join(F.broadcast(many), match, how) for how in ("left_anti", "left_semi"))  # a key per million rows at most
+    return few.repartitionByRange(*near).groupBy(*_DRUGS).agg(*sums).unionByName(crowded.groupBy(*_DRUGS).agg(*sums))
 
 
 def load(spark: SparkSession, folder: str) -> Summaries:

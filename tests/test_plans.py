@@ -87,3 +87,14 @@ def test_a_discarded_step_is_gone_and_others_stay(spark):
     paths = durable._STEPS[-2:]
     durable.discard(first)
     assert not os.path.exists(paths[0].removeprefix("file:")) and second.count() == 5 and durable._STEPS[-1] == paths[1]
+
+
+@pytest.mark.parametrize("name", ["detect_all", "lof_transactions", "margin_box_stored", "wac_trend_stored"])
+def test_only_what_the_result_reads_is_left(spark, name):
+    before = set(durable._STEPS)
+    files = QUERIES[name](spark, FOLDER).inputFiles()
+    left = [s for s in durable._STEPS if s not in before]
+    used = [s for s in left if any(s.removeprefix("file:") in f for f in files)]
+    # Hot keys are sought in a table that is empty here.
+    assert sum(f.stat().st_size for s in left if s not in used for f in pathlib.Path(s.removeprefix("file:")).rglob("*.parquet")) < 20_000
+    assert len(used) <= 1

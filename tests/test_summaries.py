@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pricelode.operators import dashboard, ensemble, summaries
+from pricelode.plans import durable
 from pricelode.sources.tpch import pricing_fact
 
 
@@ -104,3 +105,29 @@ def test_a_batch_of_many_rows_is_written_by_many_tasks(spark, annotated, tmp_pat
             spark.conf.unset(f"spark.sql.adaptive.{setting}")
     assert len(parts.drugs.inputFiles()) > 1
     assert rows(summaries.timeline(parts)) == rows(dashboard.timeline(annotated.where("anomaly_type IS NOT NULL")))
+
+
+def test_rows_are_dealt_once_and_nothing_is_left_behind(spark, annotated, tmp_path):
+    before = list(durable._STEPS)
+    parts = summaries.add(annotated, str(tmp_path), F.year("transaction_date"))
+    assert durable._STEPS == before and parts.drugs.count() > 0
+    batch, day = F.year("transaction_date").cast("string"), F.to_date("transaction_date")
+    stored = durable.checkpointed(annotated.select(batch.alias("batch"), day.alias("day"), *summaries._DRUGS[2:]))
+    plan = summaries._by_drug(stored, [F.count("*").alias("n")])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Exchange rangepartitioning" in plan
+
+
+def test_drugs_with_many_rows_on_a_day_are_summed_in_each_task(spark, annotated, parts, tmp_path, monkeypatch):
+    wanted = rows(parts.drugs.select(sorted(parts.drugs.columns)))
+    monkeypatch.setattr(summaries, "ONE_IN", 1)
+    monkeypatch.setattr(summaries, "MANY_SAMPLED", 2)
+    assert not annotated.groupBy("drug_id", F.to_date("transaction_date")).count().where("count > 1").isEmpty()
+    nulls = annotated.withColumn("drug_id", F.when(F.col("drug_id") % 2 == 0, F.col("drug_id")))
+    for n, df in enumerate((annotated, nulls)):
+        crowded = summaries.add(df, str(tmp_path / f"crowded{n}"), F.year("transaction_date"))
+        monkeypatch.setattr(summaries, "MANY_SAMPLED", 10 ** 9)
+        plain = summaries.add(df, str(tmp_path / f"plain{n}"), F.year("transaction_date"))
+        monkeypatch.setattr(summaries, "MANY_SAMPLED", 2)
+        names = sorted(plain.drugs.columns)
+        assert rows(crowded.drugs.select(names)) == rows(plain.drugs.select(names))
+        assert n or rows(plain.drugs.select(names)) == wanted
