@@ -4,6 +4,7 @@ import hashlib
 import unicodedata
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -180,3 +181,16 @@ def test_registered_vectors_like_brute_force(spark):
         want = counts[r["doc_id"], r["chunk_index"]] * idf
         want = want / (np.linalg.norm(want) or 1.0)
         assert np.abs(np.array(r["embedding"].split(","), float) - want).max() < 1e-5
+
+
+def test_a_score_is_the_same_in_any_batch():
+    rng = np.random.default_rng(6)
+    x, q = rng.normal(size=(700, 48)) * 30, rng.normal(size=(60, 48))
+    ids = pd.DataFrame({"id": np.arange(len(x))})
+    whole = search.score(ids, x, q, 50)
+    for n in range(0, 60, 7):
+        alone = search.score(ids, x, q[n:n + 1], 50)
+        assert whole[whole["query"] == n][["id", "score"]].values.tolist() == alone[["id", "score"]].values.tolist()
+    part = search.score(ids.iloc[:333].reset_index(drop=True), x[:333], q, 333)
+    known = {(r.query, r.id): r.score for r in search.score(ids, x, q, 700).itertuples()}
+    assert all(known[r.query, r.id] == r.score for r in part.itertuples())
